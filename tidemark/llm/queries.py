@@ -50,7 +50,7 @@ def op10_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_chat_snapshots, op3_sentence_spans, op4_vector_packing, op5_language_id, op6_suffix_buckets,
+    op1_chat_snapshots, op3_sentence_spans, op4_vector_packing, op5_language_id,
     op7_line_filters, op9_benchmark_windows, op10_warc_chunks)}
 
 _WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
