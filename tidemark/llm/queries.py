@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, lines, packing, spans, warc
+from . import ann, chat, decontam, jaccard, langid, lines, packing, spans, suffix, warc
 from .common import table
 
 
@@ -19,6 +19,11 @@ def op1_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse_and_render(table(spark, sf_dir, "conversations"))
 
 
+def op2_multiprobe_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spans.dedup_spans(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_sentences", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
@@ -34,12 +39,21 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.predict(docs, keep=("doc_id", "held_out"))
 
 
+def op6_suffix_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.dedup_bytes(table(spark, sf_dir, "documents"), length=200)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_line_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     kept = lines.LineIndex.build(docs).apply(docs)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_bitmap_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents"))
+
+
 def op9_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -49,9 +63,15 @@ def op10_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_chat_snapshots, op3_sentence_spans, op4_vector_packing, op5_language_id,
-    op7_line_filters, op9_benchmark_windows, op10_warc_chunks)}
+    op1_chat_snapshots, op2_multiprobe_lsh, op3_sentence_spans, op4_vector_packing, op5_language_id, op6_suffix_buckets,
+    op7_line_filters, op8_bitmap_tiles, op9_benchmark_windows, op10_warc_chunks, pipeline)}
 
 _WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
