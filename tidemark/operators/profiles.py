@@ -11,8 +11,13 @@ from ..functions.stats import coefficient_of_variation, entropy, ratio, share, s
 # Tiers by mean bet.
 WHALE, HIGH_ROLLER = 10_000.0, 1000.0
 
-_USER = Window.partitionBy("user_id")
-_ORDER = _USER.orderBy("timestamp", "event_id")
+
+def _user():
+    return Window.partitionBy("user_id")
+
+
+def _order():
+    return _user().orderBy("timestamp", "event_id")
 
 
 def _bets(df: DataFrame) -> DataFrame:
@@ -37,7 +42,7 @@ def spending(df: DataFrame) -> DataFrame:
 
 def spending_concentration(df: DataFrame, bins: int = 5) -> DataFrame:
     """Herfindahl index over equal-width bins of each user's bets; bins are closed on the right. Equal bets: 1."""
-    rows = _bets(df).select("user_id", "bet_amount", F.min("bet_amount").over(_USER).alias("lo"), F.max("bet_amount").over(_USER).alias("hi"))
+    rows = _bets(df).select("user_id", "bet_amount", F.min("bet_amount").over(_user()).alias("lo"), F.max("bet_amount").over(_user()).alias("hi"))
     place = F.ceil((F.col("bet_amount") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)
     rows = rows.withColumn("bin", F.when(F.col("hi") > F.col("lo"), F.greatest(F.lit(1), F.least(F.lit(bins), place))).otherwise(1).cast("int"))
     return shares(rows, "user_id", "bin").groupBy("user_id").agg(F.sum(F.col("p") * F.col("p")).alias("spending_concentration"))
@@ -57,8 +62,8 @@ def bankroll(df: DataFrame) -> DataFrame:
 def rolling_volatility(df: DataFrame, window: int = 10) -> DataFrame:
     """Sample spread over the last ``window`` bets, from the first full window on: mean, maximum, normalised mean and
     linear trend over its order; the same for net results. Null below ``window`` bets."""
-    rows = _bets(df).withColumn("n", F.row_number().over(_ORDER)).withColumn("pnl", F.col("win_amount") - F.col("bet_amount"))
-    frame = _ORDER.rowsBetween(1 - window, 0)
+    rows = _bets(df).withColumn("n", F.row_number().over(_order())).withColumn("pnl", F.col("win_amount") - F.col("bet_amount"))
+    frame = _order().rowsBetween(1 - window, 0)
     full = F.col("n") >= window
     rows = rows.select("user_id", "n", "bet_amount", F.when(full, F.stddev_samp("bet_amount").over(frame)).alias("v"), F.when(full, F.stddev_samp("pnl").over(frame)).alias("pv"))
     place = F.when(F.col("v").isNotNull(), F.col("n").cast("double"))
@@ -71,8 +76,8 @@ def rolling_volatility(df: DataFrame, window: int = 10) -> DataFrame:
 def streaks(df: DataFrame) -> DataFrame:
     """Longest runs of net wins and of other results."""
     rows = _bets(df).withColumn("won", F.col("win_amount") > F.col("bet_amount"))
-    rows = rows.withColumn("change", F.coalesce((F.col("won") != F.lag("won").over(_ORDER)).cast("int"), F.lit(1)))
-    rows = rows.withColumn("island", F.sum("change").over(_ORDER.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("change", F.coalesce((F.col("won") != F.lag("won").over(_order())).cast("int"), F.lit(1)))
+    rows = rows.withColumn("island", F.sum("change").over(_order().rowsBetween(Window.unboundedPreceding, 0)))
     runs = rows.groupBy("user_id", "island", "won").agg(F.count("*").alias("n"))
     longest = lambda c: F.coalesce(F.max(F.when(c, F.col("n"))), F.lit(0))
     return runs.groupBy("user_id").agg(longest(F.col("won")).alias("max_winning_streak"), longest(~F.col("won")).alias("max_losing_streak"))
@@ -101,7 +106,7 @@ def loss_control(df: DataFrame) -> DataFrame:
     """Share of three-bet windows whose first bet lost and whose second is 1.5 times as large; share of bets that fall
     by more than half (over 5 bets); 95 % quantile over mean (over 10 bets); sizing volatility and discipline (over 2)."""
     b, w = F.col("bet_amount"), F.col("win_amount")
-    rows = _bets(df).select("user_id", b, ((w < b) & (F.lead(b).over(_ORDER) > b * 1.5)).alias("chase"), F.lead(b, 2).over(_ORDER).isNotNull().alias("window"), (F.when(F.lag(b).over(_ORDER) != 0, b / F.lag(b).over(_ORDER)) - 1).alias("change"))
+    rows = _bets(df).select("user_id", b, ((w < b) & (F.lead(b).over(_order()) > b * 1.5)).alias("chase"), F.lead(b, 2).over(_order()).isNotNull().alias("window"), (F.when(F.lag(b).over(_order()) != 0, b / F.lag(b).over(_order())) - 1).alias("change"))
     n = F.count("*")
     out = rows.groupBy("user_id").agg(
         F.when(n >= 3, F.count_if(F.col("chase") & F.col("window")) / F.count_if("window")).alias("loss_chase_frequency"),
@@ -124,7 +129,7 @@ def risk_profile(df: DataFrame) -> DataFrame:
     """Volatility, escalation (slope over order per mean), tail ratios, impulsivity and consistency; one bet gives the
     defaults 0 or 1."""
     b = F.col("bet_amount")
-    rows = _bets(df).select("user_id", b, (F.row_number().over(_ORDER) - 1).cast("double").alias("x"), F.abs(b - F.lag(b).over(_ORDER)).alias("d"))
+    rows = _bets(df).select("user_id", b, (F.row_number().over(_order()) - 1).cast("double").alias("x"), F.abs(b - F.lag(b).over(_order())).alias("d"))
     n, cv = F.count("*"), coefficient_of_variation(b)
     many = lambda c, other: F.when(n > 1, c).otherwise(F.lit(other))
     return rows.groupBy("user_id").agg(
@@ -137,14 +142,14 @@ def risk_profile(df: DataFrame) -> DataFrame:
 def loss_chasing(df: DataFrame, factor: float = 1.2) -> DataFrame:
     """Of losing bets with a next one, the share whose next bet is more than 1.2 times as large; 0 below two losses."""
     b = F.col("bet_amount")
-    rows = _bets(df).select("user_id", (b > F.col("win_amount")).alias("lost"), (F.lead(b).over(_ORDER) / F.when(b != 0, b)).alias("r"))
+    rows = _bets(df).select("user_id", (b > F.col("win_amount")).alias("lost"), (F.lead(b).over(_order()) / F.when(b != 0, b)).alias("r"))
     lost = F.when(F.col("lost"), F.col("r"))
     return rows.groupBy("user_id").agg(F.when((F.count_if("lost") > 1) & (F.count(lost) > 0), F.avg((lost > factor).cast("double"))).otherwise(0.0).alias("loss_chasing_tendency"))
 
 
 def consistency(df: DataFrame) -> DataFrame:
     """Session regularity 1 / (1 + cv of gaps in hours), weekday, duration and games consistency."""
-    rows = df.withColumn("gap", (F.col("timestamp").cast("double") - F.lag(F.col("timestamp").cast("double")).over(_ORDER)) / 3600)
+    rows = df.withColumn("gap", (F.col("timestamp").cast("double") - F.lag(F.col("timestamp").cast("double")).over(_order())) / 3600)
     base = rows.groupBy("user_id").agg(
         F.when(F.count("gap") > 1, 1 / (1 + coefficient_of_variation("gap"))).alias("session_regularity"),
         F.when(F.count("session_duration") > 1, 1 / (1 + coefficient_of_variation("session_duration"))).alias("duration_consistency"),
@@ -156,7 +161,7 @@ def consistency(df: DataFrame) -> DataFrame:
 def engagement(df: DataFrame) -> DataFrame:
     """Games per minute, intensity, and the change of the rolling mean duration (3 rows) from the first half of a
     user's rows to the second (3 rows at least)."""
-    rows = df.withColumn("roll", F.avg("session_duration").over(_ORDER.rowsBetween(-2, 0))).withColumn("n", F.row_number().over(_ORDER)).withColumn("all", F.count("*").over(_USER))
+    rows = df.withColumn("roll", F.avg("session_duration").over(_order().rowsBetween(-2, 0))).withColumn("n", F.row_number().over(_order())).withColumn("all", F.count("*").over(_user()))
     early = F.col("n") <= F.floor(F.col("all") / 2)
     first, second = F.avg(F.when(early, F.col("roll"))), F.avg(F.when(~early, F.col("roll")))
     return rows.groupBy("user_id").agg(
@@ -167,13 +172,13 @@ def engagement(df: DataFrame) -> DataFrame:
 def game_diversity_index(df: DataFrame) -> DataFrame:
     """Entropy, distinct types and Herfindahl index of game types, and how often the type changes from row to row."""
     types = shares(df, "user_id", "game_type").groupBy("user_id").agg(entropy("p").alias("game_entropy"), F.count("*").alias("unique_game_types"), F.sum(F.col("p") * F.col("p")).alias("game_concentration"))
-    rows = df.select("user_id", (F.col("game_type") != F.lag("game_type").over(_ORDER)).cast("double").alias("s"))
+    rows = df.select("user_id", (F.col("game_type") != F.lag("game_type").over(_order())).cast("double").alias("s"))
     return types.join(rows.groupBy("user_id").agg(F.coalesce(F.sum("s") / F.nullif(F.count("*") - 1, F.lit(0)), F.lit(0.0)).alias("game_switching_rate")), "user_id")
 
 
 def strategy_adaptation(df: DataFrame) -> DataFrame:
     """Sample spread of the rolling cv of bets (3 rows, from the second on); null below 5 bets."""
-    frame = _ORDER.rowsBetween(-2, 0)
+    frame = _order().rowsBetween(-2, 0)
     rows = _bets(df).select("user_id", ratio(F.stddev_samp("bet_amount").over(frame), F.avg("bet_amount").over(frame)).alias("r"))
     return rows.groupBy("user_id").agg(F.when(F.count("*") >= 5, F.stddev_samp("r")).alias("strategy_adaptation"))
 
@@ -185,7 +190,7 @@ def social_behavior(df: DataFrame) -> DataFrame:
 
 def linear_trends(df: DataFrame, columns: list[str]) -> DataFrame:
     """Slope over row order per mean and r² of each column; null below 3 rows."""
-    rows = df.withColumn("_x", (F.row_number().over(_ORDER) - 1).cast("double"))
+    rows = df.withColumn("_x", (F.row_number().over(_order()) - 1).cast("double"))
     x, many = F.col("_x"), F.count("*") >= 3
     return rows.groupBy("user_id").agg(*[e for c in columns for e in (
         F.when(many, ratio(F.regr_slope(F.col(c).cast("double"), x), F.avg(c))).alias(f"{c}_trend"), F.when(many, F.regr_r2(F.col(c).cast("double"), x)).alias(f"{c}_trend_strength"))])
@@ -214,7 +219,7 @@ def weekly(df: DataFrame) -> DataFrame:
 
 def activity_cycles(df: DataFrame) -> DataFrame:
     """Gaps between sessions in hours: mean, cv, shares under 2 and over 168 hours; null at 5 gaps or fewer."""
-    rows = df.select("user_id", ((F.col("timestamp").cast("double") - F.lag(F.col("timestamp").cast("double")).over(_ORDER)) / 3600).alias("gap"))
+    rows = df.select("user_id", ((F.col("timestamp").cast("double") - F.lag(F.col("timestamp").cast("double")).over(_order())) / 3600).alias("gap"))
     many, known = F.count("gap") > 5, F.col("gap").isNotNull()
     part = lambda c: F.count_if(known & c) / F.count("gap")
     return rows.groupBy("user_id").agg(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import profiles, segments, transactions
+from . import profiles, quality, segments, transactions
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "profiles", "segments", "transactions"]
+__all__ = ["ORACLE", "QUERIES", "profiles", "quality", "segments", "transactions"]
