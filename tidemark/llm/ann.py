@@ -11,7 +11,8 @@ pass), so that the sample's recall is ``recall``; every row is indexed. Up to ``
 
 Of equal vectors only the k + 1 smallest ids can be among anyone's nearest k (ties go to smaller ids), so only these
 are indexed: a vector that a third of all rows hold costs no more than others. Cells are split into blocks of
-``block`` vectors, and a task holds one block at a time and the best k of the queries that it has met.
+``block`` vectors, and a task holds one block at a time and the best k of the queries that it has met. Products with
+``pivots`` vectors bound each query's k-th best from below, so that a task passes on only what may still count.
 
 Defined cases: vectors that are null, zero, of another length than most, or that hold a null or non-finite component
 take no part; a query's own vec_id is no candidate; queries that repeat an id and vector count once, and with one id
@@ -118,13 +119,17 @@ class _Best:
     def __init__(self, k: int):
         self.k, self.of = k, {}
 
-    def add(self, queries: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
-        """scores: queries x ids."""
+    def add(self, queries: np.ndarray, ids: np.ndarray, scores: np.ndarray, least: np.ndarray | None = None) -> None:
+        """scores: queries x ids; those under ``least`` of a query are left out."""
         scores[queries[:, None] == ids[None, :]] = -np.inf
         k = min(self.k, scores.shape[1])
         floor = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+        # products of the same vectors may differ in their last bits, so a bound gives way a little
+        floor = floor if least is None else np.maximum(floor, least - 1e-9 * (1 + np.abs(least)))
         for q, row, low in zip(queries.tolist(), scores, floor, strict=True):
             at = np.flatnonzero((row >= low) & (row > -np.inf))
+            if not at.size:
+                continue
             s, i = row[at], ids[at]
             if q in self.of:
                 s, i = np.concatenate((self.of[q][0], s)), np.concatenate((self.of[q][1], i))
@@ -161,8 +166,18 @@ def exact(index: DataFrame, queries: list, k: int) -> DataFrame:
     return _ranked(index.select("vec_id", "v").mapInArrow(each, FOUND), k)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 4, functions: int = 8, width: float = 2.0,
-           recall: float = 0.95, sample: int = 64, exact_rows: int = 4096, block: int = 4096, seed: int = 11,
+def _packed(v: np.ndarray) -> bytes:
+    """Vectors as bytes, in single precision where that is exact; the first byte says which."""
+    small = v.astype(np.float32)
+    return b"f" + small.tobytes() if (small == v).all() else b"d" + v.tobytes()
+
+
+def _unpacked(data: bytes, rows: int) -> np.ndarray:
+    return np.frombuffer(data, np.float32 if data[:1] == b"f" else np.float64, offset=1).reshape(rows, -1).astype(np.float64)
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 4, functions: int = 6, width: float = 2.0,
+           recall: float = 0.95, sample: int = 64, pivots: int = 1024, exact_rows: int = 4096, block: int = 4096, seed: int = 11,
            vec: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): of each query the k vectors of largest inner product that were found."""
     spark = vectors.sparkSession
@@ -175,73 +190,95 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 4,
     index = written(every.distinct().withColumn("copy", F.row_number().over(few)).where(F.col("copy") <= k + 1).select("vec_id", "v"), "ann-rows")
     about = index.agg(F.count("*").alias("n"), F.max(F.expr("sqrt(aggregate(v, 0D, (s, x) -> s + x * x))")).alias("longest")).first()
 
-    hashes = Hashes.draw(size.d, tables, max(2, min(functions, int(np.log2(max(4, about.n / 128))))), width, about.longest * (1 + 1e-12), seed)
+    hashes = Hashes.draw(size.d, tables, functions, width, about.longest * (1 + 1e-12), seed)
     sent = spark.sparkContext.broadcast(hashes)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 c = sent.value.cells(_matrix(batch.column(1)))
-                n = c.shape[1]
-                at = pa.array(np.repeat(np.arange(batch.num_rows), n))
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(n, dtype=np.int32), batch.num_rows)), pa.array(c.ravel()), batch.column(0).take(at), batch.column(1).take(at)], ["t", "cell", "vec_id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(c.shape[1], dtype=np.int32), len(c))), pa.array(c.ravel())], ["t", "cell"])
 
-    entries = index.mapInArrow(hashed, "t int, cell long, vec_id long, v array<double>")
-    held = entries.groupBy("t", "cell").count().collect()  # at most tables x cells rows, whatever the data
+    held = index.mapInArrow(hashed, "t int, cell long").groupBy("t", "cell").count().collect()  # at most tables x cells rows
     cells = [np.array([r.cell for r in held if r.t == t], np.int64) for t in range(tables)]
     sizes = [np.array([r["count"] for r in held if r.t == t], np.int64) for t in range(tables)]
     probes = Probes(hashes, cells, sizes, 0.0, 2.0, 8 * k)
     if about.n > exact_rows:
         probes = _calibrated(probes, index, asked, k, recall, sample)
     sent_probes = spark.sparkContext.broadcast(probes)
-    splits = {(r.t, r.cell): -(-r["count"] // block) for r in held}
-    sent_splits = spark.sparkContext.broadcast(splits)
+    sent_splits = spark.sparkContext.broadcast({(r.t, r.cell): -(-r["count"] // block) for r in held})
+    # a bounded set of vectors whose products bound each query's k-th best from below: what is under it isn't passed on
+    some = index.orderBy(F.xxhash64(F.lit("pivots"), "vec_id"), "vec_id", "v").limit(pivots).collect()
+    sent_pivots = spark.sparkContext.broadcast((np.array([r.vec_id for r in some], np.int64), np.array([r.v for r in some]).reshape(len(some), size.d)))
+
+    names = ["t", "cell", "part", "asks", "ids", "least", "v"]
+    schema = "t int, cell long, part int, asks boolean, ids binary, least binary, v binary"
+
+    def packed_rows(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(list(zip(*rows, strict=True)) or [()] * 7, kinds, strict=True)], names)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Vectors of one table, cell and block as one row per batch."""
         for batch in batches:
-            t, c, i = (batch.column(x).to_numpy() for x in range(3))
-            part = [x % sent_splits.value[y, z] for x, y, z in zip((i * 0x9E3779B1 >> 16).tolist(), t.tolist(), c.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(part, pa.int32()), pa.array([False] * len(part)), batch.column(2), batch.column(3)], names)
+            i, v, rows = batch.column(0).to_numpy(), _matrix(batch.column(1)), []
+            for t, own in enumerate(sent.value.cells(v).T if len(i) else ()):
+                split = np.array([sent_splits.value[t, c] for c in own.tolist()])
+                part = (i * 0x9E3779B1 >> 16) % split
+                order = np.lexsort((part, own))
+                edge = np.flatnonzero(np.diff(own[order]) | np.diff(part[order])) + 1
+                for at in np.split(order, edge):
+                    rows.append((t, own[at[0]], part[at[0]], False, i[at].tobytes(), b"", _packed(v[at])))
+            yield packed_rows(rows)
 
     def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
-                v = _matrix(batch.column(1))
-                for t in range(tables):
-                    q, c = np.nonzero(sent_probes.value.visited(v, t))
-                    c = sent_probes.value.cells[t][c]
-                    count = np.array([sent_splits.value[t, x] for x in c.tolist()], np.int64)
-                    part = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                    q, c = np.repeat(q, count), np.repeat(c, count)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), t, np.int32)), pa.array(c), pa.array(part.astype(np.int32)), pa.array(np.ones(len(q), bool)), batch.column(0).take(pa.array(q)), batch.column(1).take(pa.array(q))], names)
+        """The queries of a batch that visit a cell as one row for each of its blocks."""
+        pivot_ids, pivot = sent_pivots.value
+        for batch in batches:
+            i, v, rows = batch.column(0).to_numpy(), _matrix(batch.column(1)), []
+            least = np.full(len(i), -np.inf)
+            if len(pivot_ids) > k and len(i):
+                scores = v @ pivot.T
+                scores[i[:, None] == pivot_ids[None, :]] = -np.inf
+                least = np.partition(scores, len(pivot_ids) - k, axis=1)[:, len(pivot_ids) - k]
+            for t in range(tables if len(i) else 0):
+                visits = sent_probes.value.visited(v, t)
+                for c, who in zip(sent_probes.value.cells[t].tolist(), visits.T, strict=True):
+                    if (at := np.flatnonzero(who)).size:
+                        row = (i[at].tobytes(), least[at].tobytes(), _packed(v[at]))
+                        rows += [(t, c, p, True, *row) for p in range(sent_splits.value[t, c])]
+            yield packed_rows(rows)
+
+    def of_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best = _Best(k)
+            if batch.num_rows and len(sent_pivots.value[0]):
+                best.add(batch.column(0).to_numpy(), sent_pivots.value[0], _matrix(batch.column(1)) @ sent_pivots.value[1].T)
+            yield best.rows()
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, now, ids, rows, parts = _Best(k), None, None, None, []
         for batch in batches:
-            t, c, p, asks, i = (batch.column(x).to_numpy(zero_copy_only=False) for x in range(5))
-            v = _matrix(batch.column(5))
-            edge = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (c[1:] != c[:-1]) | (p[1:] != p[:-1]) | (asks[1:] != asks[:-1]))))
-            for a, b in zip(edge, np.append(edge[1:], len(t)), strict=True):
-                if now != (t[a], c[a], p[a]):
-                    now, parts, rows = (t[a], c[a], p[a]), [], None
-                if not asks[a]:
-                    parts.append((i[a:b], v[a:b]))
+            for t, c, p, asks, i, least, v in zip(*(batch.column(x).to_pylist() for x in range(7)), strict=True):
+                if now != (t, c, p):
+                    now, parts, rows = (t, c, p), [], None
+                i = np.frombuffer(i, np.int64)
+                if not asks:
+                    parts.append((i, _unpacked(v, len(i))))
                 elif parts:
                     if rows is None:
                         ids, rows = (np.concatenate(x) for x in zip(*parts, strict=True))
-                    for x in range(a, b, 512):
-                        y = min(b, x + 512)
-                        best.add(i[x:y], ids, v[x:y] @ rows.T)
+                    v, least = _unpacked(v, len(i)), np.frombuffer(least, np.float64)
+                    for x in range(0, len(i), 512):
+                        best.add(i[x : x + 512], ids, v[x : x + 512] @ rows.T, least[x : x + 512])
             if len(best.of) > 50_000:
                 yield best.rows()
         yield best.rows()
 
-    names = ["t", "cell", "part", "asks", "vec_id", "v"]
-    schema = "t int, cell long, part int, asks boolean, vec_id long, v array<double>"
-    meeting = entries.mapInArrow(placed, schema).unionByName(asked.mapInArrow(asking, schema))
+    batched = asked.repartition(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)))
+    meeting = index.mapInArrow(placed, schema).unionByName(batched.mapInArrow(asking, schema))
     meeting = meeting.repartition("t", "cell", "part").sortWithinPartitions("t", "cell", "part", "asks")
-    return _ranked(meeting.mapInArrow(met, FOUND), k)
+    return _ranked(meeting.mapInArrow(met, FOUND).unionByName(asked.mapInArrow(of_pivots, FOUND)), k)
 
 
 def _calibrated(probes: Probes, index: DataFrame, asked: DataFrame, k: int, recall: float, sample: int) -> Probes:
