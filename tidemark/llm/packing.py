@@ -14,8 +14,11 @@ is cut into pieces that keep it.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -27,29 +30,80 @@ from pyspark.sql import functions as F
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
+def _spellings() -> list[str]:
+    """How byte-level vocabularies spell bytes: printable ones as themselves, others from U+0100 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
+
+
+_SPELLED = _spellings()
+
+
 class WordTokenizer:
-    """Ids of a vocabulary whose pre-tokens never hold white space, so that the ids of a text are those of its
-    chunks between blanks in turn; chunks seen before come from a bounded cache."""
+    """Ids of a lower-casing vocabulary whose pre-tokens never hold white space, so that the ids of a text are those of
+    its chunks between blanks in turn. Chunks seen before come from a cache of two generations: when the young one
+    has ``size`` chunks it becomes the old one, from which chunks that come again return."""
+
+    #: Beyond these, lower case may depend on neighbours or on composition; such texts are left to the tokenizer.
+    BEYOND = re.compile("[^\x00-\u012f\u0131-\u024f]")
+    TAILS = ".,!?;:"
 
-    def __init__(self, path: str, cache: int = 200_000):
+    def __init__(self, path: str, size: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {"": b""}
-        self.cache = cache
+        self.young: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+        self.size = size
+
+    def _look_up(self, chunks: set[str]) -> None:
+        """Puts the ids of all chunks into the young generation."""
+        new = []
+        for c in chunks:
+            if (known := self.old.get(c)) is not None:
+                self.young[c] = known
+            else:
+                new.append(c)
+        # letters followed by marks are two pre-tokens: many chunks, few words
+        for c in new:
+            w = c.rstrip(self.TAILS)
+            if w.isalpha() and not self.BEYOND.search(w) and w == w.lower():
+                self.young[c] = self._word(w) + (self._other(c[len(w) :]) if len(w) < len(c) else b"")
+            else:
+                self.young[c] = self._other(c)
+
+    def _word(self, w: str) -> bytes:
+        """A lower-case word of letters is one pre-token and needs the merges alone."""
+        if (known := self.young.get(w)) is None:
+            if (known := self.old.get(w)) is None:
+                spelled = w if w.isascii() else "".join(map(_SPELLED.__getitem__, w.encode()))
+                known = array("I", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
+            self.young[w] = known
+        return known
+
+    def _other(self, c: str) -> bytes:
+        if (known := self.young.get(c)) is None:
+            known = self.young[c] = array("I", self.tokenizer.encode(c, add_special_tokens=False).ids).tobytes()
+        return known
 
     def ids(self, text: str) -> np.ndarray:
+        if not self.BEYOND.search(text):
+            text = text.lower()
         chunks = text.replace("\n", " ").split(" ")
-        if len(self.known) > self.cache:
-            self.known = {"": b""}
-        missing = list({c for c in chunks if c not in self.known})
-        for k in range(0, len(missing), 4096):
-            some = missing[k : k + 4096]
-            for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[c] = np.array(e.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), "<u4")
+        if len(self.young) > self.size:
+            self.old, self.young = self.young, {"": b""}
+        if missing := set(chunks).difference(self.young):
+            self._look_up(missing)
+        return np.frombuffer(b"".join(map(self.young.__getitem__, chunks)), "<u4")
+
+
+@cache
+def tokenizer_of(path: str) -> WordTokenizer:
+    """One for each Python worker: its cache serves the worker's later tasks too."""
+    return WordTokenizer(path)
 
 
 class Packer:
@@ -152,7 +206,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, max_tokens: int = 4096,
     max_loss = max_loss or max_tokens
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(tokenizer_path)
+        tokenizer = tokenizer_of(tokenizer_path)
         packer = Packer(max_tokens, max_segments, max_loss, pool, TaskContext.get().partitionId() << 40)
         ids_of: dict[int, tuple] = {}
         number, rows = 0, []
