@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ingest, models, profiles, quality, segments, transactions
+from . import ingest, models, monitoring, profiles, quality, segments, transactions
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "ingest", "models", "profiles", "quality", "segments", "transactions"]
+__all__ = ["ORACLE", "QUERIES", "ingest", "models", "monitoring", "profiles", "quality", "segments", "transactions"]
