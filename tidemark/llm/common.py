@@ -27,11 +27,21 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Spark's switch to drop the shuffle files of a query as it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives the loss of any executor."""
+    """df as a Parquet table in the shared folder: cuts the lineage and survives the loss of any executor. The shuffle
+    files that made it go at once, since nothing reads them after the table is there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 

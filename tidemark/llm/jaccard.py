@@ -3,8 +3,9 @@
 A document is its set of shingles (five words). Equal sets are one class. Two sets of similarity t share one of their
 first shingles in any common order (prefixes of n - ceil(t n) + 1), so only documents that share such a shingle meet,
 in the tile of that shingle and of their band of sizes; sizes of linked sets differ by t at most, which is one band.
-In a tile, bitmap signatures of 1024 bits bound the overlap from above by bit counts; pairs that could reach the
-threshold are verified once by intersecting their sorted arrays.
+In a tile, the number of shared prefix shingles bounds the overlap; for the pairs that are left, bitmap signatures
+bound it from above by bit counts, and pairs that could still reach the threshold are verified once by intersecting
+their sorted arrays.
 
 What keeps hot groups cheap, and loses no link:
 
@@ -34,22 +35,30 @@ from pyspark.sql import functions as F
 
 from .common import mix64, shingle_set, with_row_id, written
 
-WORDS = 16  # 64-bit words of a bitmap signature
+LEAST_BITS = 1024  # of a bitmap signature; a set of more elements has the next power of two
 SKETCH_BITS = 20
-LEADS = 8  # prefix shingles whose tiles choose a leader
+LEADS, VOTES = 8, 4  # a leader is that of VOTES of the first LEADS prefix shingles at least
 
 
 def signature(shingles: np.ndarray) -> bytes:
-    bits = np.zeros(64 * WORDS, np.uint8)
-    bits[(shingles >> np.uint64(40)) % np.uint64(64 * WORDS)] = 1
-    return np.packbits(bits).tobytes()
+    size = max(LEAST_BITS, 1 << max(0, len(shingles) - 1).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[(shingles >> np.uint64(20)) % np.uint64(size)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
 
 
-def overlap_bound(sizes_a, bits_a: np.ndarray, sizes_b, bits_b: np.ndarray) -> np.ndarray:
-    """Upper bound of the intersection size: each bit that only one set has is an element that only it has."""
-    only_a = np.bitwise_count(bits_a & ~bits_b).sum(axis=-1, dtype=np.int64)
-    only_b = np.bitwise_count(bits_b & ~bits_a).sum(axis=-1, dtype=np.int64)
-    return np.minimum(sizes_a - only_a, sizes_b - only_b)
+def overlap_bound(size_a: int, bits_a: bytes, size_b: int, bits_b: bytes) -> int:
+    """Upper bound of the intersection size: each bit that only one set has is an element that only it has. A longer
+    bitmap is folded to the shorter one's length."""
+    a, b = np.frombuffer(bits_a, np.uint64), np.frombuffer(bits_b, np.uint64)
+    n = min(len(a), len(b))
+    a, b = (np.bitwise_or.reduce(x.reshape(-1, n), axis=0) for x in (a, b))
+    return min(size_a - int(np.bitwise_count(a & ~b).sum()), size_b - int(np.bitwise_count(b & ~a).sum()))
+
+
+def prefix_sizes(n, percent: int):
+    """Of n elements in order, how many decide whether any link is possible, and how many of the smaller set of a pair."""
+    return n + (-percent * n // 100) + 1, n + (-2 * percent * n // (100 + percent)) + 1
 
 
 def linked(common, size_a, size_b, percent: int):
@@ -60,24 +69,25 @@ def linked(common, size_a, size_b, percent: int):
 
 
 def _classes(rows: DataFrame) -> DataFrame:
-    """(_row, doc_id, n_shingles, key, sketch): one row per document, and one with the sketch per task."""
+    """(_row, doc_id, n_shingles, key, bits, sketch): one row per document, and one with the sketch per task."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["_row", "doc_id", "n_shingles", "key", "sketch"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        names = ["_row", "doc_id", "n_shingles", "key", "bits", "sketch"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
-            sizes, keys = [], []
+            sizes, keys, bits = [], [], []
             for text in batch.column(2):
                 shingles = shingle_set(text.as_py())
                 np.add.at(sketch, (shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
                 sizes.append(len(shingles))
                 keys.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None)
-            made = [pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.nulls(len(sizes), pa.binary())]
+                bits.append(signature(shingles))
+            made = [pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bits, pa.binary()), pa.nulls(len(sizes), pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names)
-        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((None, None, None, None, zlib.compress(sketch.tobytes(), 1)), kinds, strict=True)], names)
+        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((None, None, None, None, None, zlib.compress(sketch.tobytes(), 1)), kinds, strict=True)], names)
 
-    return rows.mapInArrow(each, "_row long, doc_id long, n_shingles long, key binary, sketch binary")
+    return rows.mapInArrow(each, "_row long, doc_id long, n_shingles long, key binary, bits binary, sketch binary")
 
 
 def _sketch(classes: DataFrame) -> np.ndarray:
@@ -97,11 +107,10 @@ def _sketch(classes: DataFrame) -> np.ndarray:
 
 
 def _postings(rows: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
-    """(shingle, node, n, place, small): prefix shingles of each row. ``small``: also in the shorter prefix that is
-    enough for the smaller set of a pair."""
+    """(shingle, node, n, place): prefix shingles of each row."""
     usual = 4.0 * sketch.mean() + 16.0
     level = rows.sparkSession.sparkContext.broadcast(np.ceil(np.log2(np.maximum(sketch / usual, 1.0))).astype(np.uint8))
-    names = ["shingle", "node", "n", "place", "small"]
+    names = ["shingle", "node", "n", "place"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,15 +119,12 @@ def _postings(rows: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
                 shingles = shingle_set(text.as_py())
                 n = len(shingles)
                 order = np.lexsort((shingles, level.value[(shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
-                whole = n + (-percent * n // 100) + 1
-                least = n + (-2 * percent * n // (100 + percent)) + 1
-                some = shingles[order[:whole]].view(np.int64)
-                place = np.arange(len(some))
-                parts.append([some, np.full(len(some), node), np.full(len(some), n, np.int32), place.astype(np.int32), place < least])
+                some = shingles[order[: prefix_sizes(n, percent)[0]]].view(np.int64)
+                parts.append([some, np.full(len(some), node), np.full(len(some), n, np.int32), np.arange(len(some), dtype=np.int32)])
             columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
-    return rows.select("_row", "text").mapInArrow(each, "shingle long, node long, n int, place int, small boolean")
+    return rows.select("_row", "text").mapInArrow(each, "shingle long, node long, n int, place int")
 
 
 def _shared(postings: DataFrame) -> DataFrame:
@@ -144,46 +150,33 @@ def _shared(postings: DataFrame) -> DataFrame:
     return postings.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(each, postings.schema).select(*names)
 
 
-def _sets(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, n, bits, items) of all nodes in pairs (a, b)."""
-    nodes = pairs.select(F.col("a").alias("_row")).union(pairs.select("b")).distinct()
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([len(x) for x in sets], pa.int32()),
-                pa.array([signature(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "n", "bits", "items"])
-
-    return rows.select("_row", "text").join(nodes, "_row", "left_semi").mapInArrow(each, "node long, n int, bits binary, items binary")
-
-
-def _verified(rows: DataFrame, pairs: DataFrame, percent: int, what: str) -> DataFrame:
-    """The pairs (a, b) whose sets are linked: bitmaps first, then the arrays of those that are left."""
-    sets = written(_sets(rows, pairs), f"{what}-sets")
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("items").alias(f"items_{x}"))
-    few = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
+def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int, what: str) -> DataFrame:
+    """The pairs (a, b) whose sets are linked. Bitmaps, which are small, leave those that may be; their texts then come
+    together (texts take half the room of arrays of hashes) and their sorted arrays are intersected."""
+    few = lambda x: classes.select(F.col("_row").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
+    side = lambda x: rows.select(F.col("_row").alias(x), F.col("text").alias(f"text_{x}"))
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                na, nb = (batch.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, WORDS) for c in ("bits_a", "bits_b"))
-                may = linked(overlap_bound(na, a, nb, b), na, nb, percent)
-                yield batch.select(["a", "b"]).filter(pa.array(may))
+            rows_of = zip(*(batch.column(c).to_pylist() for c in ("na", "bits_a", "nb", "bits_b")), strict=True)
+            may = [linked(overlap_bound(na, a, nb, b), na, nb, percent) for na, a, nb, b in rows_of]
+            yield batch.select(["a", "b"]).filter(pa.array(may, pa.bool_()))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, right = None, np.empty(0, np.uint64)  # rows of one b follow each other
         for batch in batches:
             keep = []
-            for na, nb, x, y in zip(*(batch.column(c) for c in ("na", "nb", "items_a", "items_b")), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.searchsorted(y, x)
-                common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                keep.append(linked(common, na.as_py(), nb.as_py(), percent))
+            for b, ta, tb in zip(batch.column("b").to_pylist(), batch.column("text_a"), batch.column("text_b"), strict=True):
+                if b != known:
+                    known, right = b, shingle_set(tb.as_py())
+                left = shingle_set(ta.as_py())
+                at = np.searchsorted(right, left)
+                common = int((right[np.minimum(at, len(right) - 1)] == left).sum())
+                keep.append(linked(common, len(left), len(right), percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     near = pairs.join(few("a"), "a").join(few("b"), "b").select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(bounded, "a long, b long")
-    both = near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "items_a", "items_b")
+    both = written(near, f"{what}-near").join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
     return written(both.mapInArrow(exact, "a long, b long"), f"{what}-links")
 
 
@@ -191,16 +184,19 @@ def _verified(rows: DataFrame, pairs: DataFrame, percent: int, what: str) -> Dat
 
 
 def _leader_pairs(shared: DataFrame) -> DataFrame:
-    """(a, b): each node with the leader of most of its first tiles, if that is another."""
+    """(a, b): each node with the leader of most of its first tiles, if that is another and of VOTES tiles at least."""
     first = shared.where(F.col("place") < LEADS).select("shingle", "node")
     leads = first.groupBy("shingle").agg(F.min("node").alias("leader"))
-    votes = first.join(leads, "shingle").where("node <> leader").groupBy("node", "leader").count()
+    votes = first.join(leads, "shingle").where("node <> leader").groupBy("node", "leader").count().where(F.col("count") >= VOTES)
     return votes.groupBy("node").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("b")).select(F.col("node").alias("a"), "b")
 
 
 def _tile_pairs(shared: DataFrame, settled: DataFrame, percent: int) -> DataFrame:
-    """(a, b), distinct: nodes of different groups that share a prefix shingle and whose sizes allow a link. The
-    larger of a pair looks up the smaller in the tile of the shingle and of the larger one's band of sizes."""
+    """(a, b), distinct: nodes of different groups that share enough prefix shingles and whose sizes allow a link. The
+    larger of a pair looks up the smaller in the tile of the shingle and of the larger one's band of sizes.
+
+    Up to the last prefix element of one of the two, the shared elements are those that both prefixes hold, c of them;
+    after it, that set has n - prefix elements left. So c + max(n - prefix) bounds the overlap."""
     groups = settled.select(F.col("a").alias("node"), F.col("b").alias("group"))
     rows = shared.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
     mixed = rows.groupBy("shingle").agg((F.min("group") != F.max("group")).alias("mixed")).where("mixed").select("shingle")
@@ -208,10 +204,11 @@ def _tile_pairs(shared: DataFrame, settled: DataFrame, percent: int) -> DataFram
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.1 / percent))).cast("int")
     rows = rows.join(mixed, "shingle", "left_semi").withColumn("band", band)
     large = rows.select("shingle", "band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("group").alias("gb"))
-    small = rows.where("small").select("shingle", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("group").alias("ga"))
-    pairs = large.join(small, ["shingle", "band"]).where(
-        f"ga <> gb and 100 * na >= {percent} * nb and (na < nb or na = nb and a < b)")
-    return pairs.select("a", "b").distinct()
+    small = rows.select("shingle", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("group").alias("ga"))
+    pairs = large.join(small, ["shingle", "band"]).where(f"ga <> gb and 100 * na >= {percent} * nb and (na < nb or na = nb and a < b)")
+    counted = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    left = f"greatest(ceil({percent} * na / 100), ceil({percent} * nb / 100)) - 1"  # n - prefix
+    return counted.where(f"(100 + {percent}) * (c + {left}) >= {percent} * (na + nb)").select("a", "b")
 
 
 # --- components --------------------------------------------------------------------------------------------
@@ -247,8 +244,8 @@ def links(docs: DataFrame, percent: int = 75, doc: str = "doc_id", text: str = "
     members = known.join(nodes, "key", "left").select("_row", "doc_id", "n_shingles", "node")
     first = rows.join(nodes.select(F.col("node").alias("_row")), "_row", "left_semi")
     shared = written(_shared(_postings(first, sketch, percent)), "postings")
-    led = _verified(rows, written(_leader_pairs(shared), "leaders"), percent, "leader")
-    met = _verified(rows, written(_tile_pairs(shared, led, percent), "tiles"), percent, "tile")
+    led = _verified(rows, classes, written(_leader_pairs(shared), "leaders"), percent, "leader")
+    met = _verified(rows, classes, written(_tile_pairs(shared, led, percent), "tiles"), percent, "tile")
     return members, led.unionByName(met)
 
 
