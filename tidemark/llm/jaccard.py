@@ -12,7 +12,7 @@ What keeps hot groups cheap, and loses no link:
 * The common order puts frequent shingles last. Frequencies come from a count sketch of fixed size over all texts
   (it is broadcast); the order is right whatever the sketch says.
 * A group of thousands of near copies shares all of its prefix shingles. Each class is first held against one leader,
-  the class of smallest number in most of its first tiles. Classes linked to the same leader aren't compared again:
+  the class of smallest number in most of its first tiles. Classes that these links connect aren't compared again:
   links say who is in a component, and theirs is settled.
 
 ``components`` returns components, by large-star and small-star rounds on the links (Kiveris et al. 2014).
@@ -245,7 +245,8 @@ def links(docs: DataFrame, percent: int = 75, doc: str = "doc_id", text: str = "
     first = rows.join(nodes.select(F.col("node").alias("_row")), "_row", "left_semi")
     shared = written(_shared(_postings(first, sketch, percent)), "postings")
     led = _verified(rows, classes, written(_leader_pairs(shared), "leaders"), percent, "leader")
-    met = _verified(rows, classes, written(_tile_pairs(shared, led, percent), "tiles"), percent, "tile")
+    settled = connected_components(led).select(F.col("node").alias("a"), F.col("component").alias("b"))
+    met = _verified(rows, classes, written(_tile_pairs(shared, settled, percent), "tiles"), percent, "tile")
     return members, led.unionByName(met)
 
 
