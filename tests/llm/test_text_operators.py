@@ -167,6 +167,16 @@ def test_spans_against_brute_force(docs, corpus):
     assert sum(r.n_removed > 0 for r in found) >= 8
 
 
+def test_short_sentences_are_compared(spark):
+    lines = [f"w{i}\n" for i in range(80)]
+    texts = ["".join(lines), "own start of it\n" + "".join(lines) + "and an own end\n", "a\nb\nc", "a\nb\nc", "a\nb\nd", "Eight words that are here in one line.\nfour words in this\no.\np.\nq."]
+    texts.append(texts[-1])
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r for r in spans.dedup_spans(rows).collect()}
+    assert [found[i].text for i in range(7)] == [texts[0], "own start of it\nand an own end\n", texts[2], "", texts[4], texts[5], ""]
+    assert found[1].removed == [[1, 81]]
+
+
 def test_spans_of_nothing(nothing):
     assert spans.dedup_spans(nothing).count() == 0
 

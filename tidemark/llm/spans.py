@@ -3,8 +3,10 @@ meet in one global join, and a sentence that any non-first repeat covers goes.
 
 A sentence ends after ``.``, ``!`` or ``?`` before white space, or at a line end; one of over ``long_words`` words is
 cut after every so many, so that passages of few long sentences still hold several. Sentences are compared in lower
-case with each run of white space as one blank. Runs of fewer than ``min_words`` words aren't compared. The first of
-equal runs is that of the smallest (doc_id, row, sentence); the rest go.
+case with each run of white space as one blank. A run of fewer than ``min_words`` words is extended by the sentences
+after it until it has as many; where the text ends before that, the last run is extended by those before it instead, and
+a whole text of fewer words is one run. The first of equal runs is that of the smallest (doc_id, row, sentence); the rest
+go. A text of fewer than ``width`` sentences holds no run.
 
 Defined cases: null text is empty and loses nothing; a row with a null id takes part, before all ids; rows that repeat
 an id are separate, in the order of their row numbers; other columns are ignored.
@@ -40,25 +42,39 @@ def sentences(text: str, long_words: int = 24) -> list[str]:
     return [x for p in parts for x in (cut.findall(p) if len(p) > 2 * long_words and not p.isspace() else [p])]
 
 
-def span_hashes(parts: list[str], width: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each run that is long enough: number of its first sentence, and 64 and 32 bits of hash."""
+def runs(words: list[int], width: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and end of each compared run, of the numbers of words of the sentences."""
+    n, size = len(words), np.cumsum([0, *words])
+    if n < width:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    first = np.arange(n)
+    end = np.maximum(np.searchsorted(size, size[:-1] + min_words), first + width)
+    first, end = first[end <= n], end[end <= n]
+    last = max(0, min(n - width, int(np.searchsorted(size, size[n] - min_words, "right")) - 1))
+    if not len(end) or end[-1] < n:
+        first, end = np.append(first, last), np.append(end, n)
+    return first, end
+
+
+def span_hashes(parts: list[str], width: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """64 and 32 bits of hash of each run."""
     words = [p.lower().split() for p in parts]
-    n = len(parts) - width + 1
-    if n < 1:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+    first, end = runs([len(w) for w in words], width, min_words)
+    if not len(first):
+        return np.empty(0, np.int64), np.empty(0, np.int32)
     each = np.array([xxhash.xxh3_64_intdigest(" ".join(w).encode("utf-8", "surrogatepass")) for w in words], np.uint64)
-    size = np.cumsum([0, *map(len, words)])
-    h, c = np.zeros(n, np.uint64), np.ones(n, np.uint64)
-    for k in range(width):
-        h = mix64(h * np.uint64(0x9FB21C651E98DF25) + each[k : k + n])
-        c = mix64(c * np.uint64(0xA0761D6478BD642F) ^ each[k : k + n])
-    some = np.flatnonzero(size[width:] - size[:n] >= min_words)
-    return some, h[some].view(np.int64), (c[some] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+    h, c = np.zeros(len(first), np.uint64), np.ones(len(first), np.uint64)
+    for k in range(int((end - first).max())):
+        some = np.flatnonzero(first + k < end)
+        x = each[first[some] + k]
+        h[some] = mix64(h[some] * np.uint64(0x9FB21C651E98DF25) + x)
+        c[some] = mix64(c[some] * np.uint64(0xA0761D6478BD642F) ^ x)
+    return h.view(np.int64), (c & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
 
 
 def spans_of(docs: DataFrame, width: int, min_words: int, long_words: int) -> DataFrame:
     """docs: _row, doc_id, text. One row for each compared run."""
-    names = ["h", "c", "doc_id", "_row", "first"]
+    names = ["h", "c", "doc_id", "_row", "run"]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,17 +86,17 @@ def spans_of(docs: DataFrame, width: int, min_words: int, long_words: int) -> Da
                 return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], k, mask=None) if i != 2 else pa.chunked_array(x or [[]], pa.int64()).combine_chunks() for i, (x, k) in enumerate(zip(rows, kinds, strict=True))], names)
 
             for r, d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                first, h, c = span_hashes(sentences(t.as_py() or "", long_words), width, min_words)
-                if len(first):
-                    for x, v in zip(rows, (h, c, pa.array([d] * len(first), pa.int64()), np.full(len(first), r), first.astype(np.int32)), strict=True):
+                h, c = span_hashes(sentences(t.as_py() or "", long_words), width, min_words)
+                if len(h):
+                    for x, v in zip(rows, (h, c, pa.array([d] * len(h), pa.int64()), np.full(len(h), r), np.arange(len(h), dtype=np.int32)), strict=True):
                         x.append(v)
-                    total += len(first)
+                    total += len(h)
                 if total > 100_000:
                     yield out()
                     rows, total = [[], [], [], [], []], 0
             yield out()
 
-    return docs.mapInArrow(each, "h long, c int, doc_id long, _row long, first int")
+    return docs.mapInArrow(each, "h long, c int, doc_id long, _row long, run int")
 
 
 def dedup_spans(docs: DataFrame, width: int = 3, min_words: int = 12, long_words: int = 24, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -88,24 +104,28 @@ def dedup_spans(docs: DataFrame, width: int = 3, min_words: int = 12, long_words
     removed sentence numbers and ``text`` is what is left."""
     rows = with_row_id(docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))).select("_row", "doc_id", "text")
     spans = written(spans_of(rows, width, min_words, long_words), "spans", "lz4")
-    place = F.struct("doc_id", "_row", "first")
+    place = F.struct("doc_id", "_row", "run")
     repeats = spans.groupBy("h", "c").agg(F.min(place).alias("at"), F.count("*").alias("n")).where("n > 1").select("h", "c", "at")
-    later = spans.join(repeats, ["h", "c"]).where(~place.eqNullSafe(F.col("at"))).groupBy("_row").agg(F.sort_array(F.collect_set("first")).alias("firsts"))
+    repeats = written(repeats, "repeats", "lz4")
+    later = spans.join(repeats, ["h", "c"]).where(~place.eqNullSafe(F.col("at"))).groupBy("_row").agg(F.sort_array(F.collect_set("run")).alias("found"))
+    later = written(later, "later", "lz4")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for d, t, firsts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for d, t, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 body = t.as_py() or ""
                 parts = sentences(body, long_words)
                 gone = np.zeros(len(parts) + 1, bool)
-                for f in firsts.as_py() or ():
-                    gone[f : f + width] = True
+                if found.is_valid:
+                    first, end = runs([len(p.split()) for p in parts], width, min_words)
+                    for k in found.as_py():
+                        gone[first[k] : end[k]] = True
                 edges = np.flatnonzero(np.diff(np.concatenate(([False], gone)).astype(np.int8)))
                 out.append((d, len(parts), int(gone.sum()), edges.reshape(-1, 2).tolist(), "".join(p for p, g in zip(parts, gone, strict=False) if not g) if len(edges) else body))
             columns = list(zip(*out, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["doc_id", "n_sentences", "n_removed", "removed", "text"])
 
-    return rows.join(later, "_row", "left").select("doc_id", "text", "firsts").mapInArrow(
+    return rows.join(later, "_row", "left").select("doc_id", "text", "found").mapInArrow(
         cut, "doc_id long, n_sentences long, n_removed long, removed array<array<long>>, text string")
