@@ -177,6 +177,22 @@ def test_short_sentences_are_compared(spark):
     assert found[1].removed == [[1, 81]]
 
 
+def test_any_51_shared_words_hold_a_run(spark):
+    rng = np.random.default_rng(7)
+    words = [f"v{i}" for i in range(3000)]
+    some = lambda n: " ".join(rng.choice(words, n))
+    texts = []
+    for i in range(60):  # a passage within longer sentences, with and without an end of its own
+        passage = some(51) if i % 3 else some(20) + ". " + some(31)
+        texts += [f"{some(int(rng.integers(0, 40)))} {passage} {some(int(rng.integers(0, 40)))}" for _ in range(2)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r for r in spans.dedup_spans(rows, part_words=8).collect()}
+    assert all(found[2 * i].n_removed == 0 and found[2 * i + 1].n_removed >= 3 for i in range(60))
+    for t in (*texts, "", " \n", "  a b. c\n\n d e f g h i j k l m n o p q r s t u v w x y z", "x " * 100):
+        parts = spans.sentences(t, part_words=8)
+        assert "".join(parts) == t and all(len(p.split()) <= 8 for p in parts)
+
+
 def test_spans_of_nothing(nothing):
     assert spans.dedup_spans(nothing).count() == 0
 

@@ -25,7 +25,7 @@ def op2_multiprobe_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spans.dedup_spans(table(spark, sf_dir, "documents"))
+    found = spans.dedup_spans(table(spark, sf_dir, "documents"), part_words=8)
     return found.select("doc_id", "n_sentences", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
 
 

@@ -1,8 +1,13 @@
 """Substring dedup over sliding sentence spans: every run of ``width`` consecutive sentences is hashed, the hashes
 meet in one global join, and a sentence that any non-first repeat covers goes.
 
-A sentence ends after ``.``, ``!`` or ``?`` before white space, or at a line end; one of over ``long_words`` words is
-cut after every so many, so that passages of few long sentences still hold several. Sentences are compared in lower
+A sentence ends after ``.``, ``!`` or ``?`` before white space, or at a line end. With ``part_words`` w its words decide
+where it is cut: in each w consecutive words of a sentence, after the (last) one of least hash. So parts have w words at
+most, and cuts are the same in equal passages except next to their edges: a word that has w - 1 words of the passage on
+either side is cut after in both or in none. With width 3 and w = 8, as the query has it, any 51 words that two places
+share (with their sentence ends) hold a whole run, since its 24 words at most begin within 15 words and end before the
+last 7. Without ``part_words`` a sentence of over ``long_words`` words is cut after every so many, counted from its
+start, and passages set into long sentences can be missed. Parts count as sentences. Sentences are compared in lower
 case with each run of white space as one blank. A run of fewer than ``min_words`` words is extended by the sentences
 after it until it has as many; where the text ends before that, the last run is extended by those before it instead, and
 a whole text of fewer words is one run. The first of equal runs is that of the smallest (doc_id, row, sentence); the rest
@@ -26,10 +31,43 @@ from pyspark.sql import functions as F
 from .common import mix64, with_row_id, written
 
 BOUNDARY = re.compile(r"[.!?]+\s+|\n\s*")
-
-
-def sentences(text: str, long_words: int = 24) -> list[str]:
+WORD = re.compile(r"\s*\S+\s*")
+ENDS = re.compile(r"[.!?]\s+$|\n\s*$")
+_KNOWN: dict[str, tuple[int, bool]] = {}  # of a word with its white space: hash, and whether it ends a sentence
+
+
+def _known(word: str) -> tuple[int, bool]:
+    found = _KNOWN.get(word)
+    if found is None:
+        if len(_KNOWN) >= 1 << 18:
+            _KNOWN.clear()
+        h = xxhash.xxh3_64_intdigest(word.strip().lower().encode("utf-8", "surrogatepass"))
+        found = _KNOWN[word] = (h, ENDS.search(word) is not None)
+    return found
+
+
+def word_cuts(text: str, part_words: int) -> list[str]:
+    """Parts that together are the text, cut at sentence ends and where the words of a sentence decide."""
+    words = WORD.findall(text)
+    if not words:
+        return [text] if text else []
+    known = [_known(w) for w in words]
+    cut = np.fromiter((e for _, e in known), bool, len(words))
+    cut[-1] = True
+    if len(words) >= part_words:
+        h = np.fromiter((h for h, _ in known), np.uint64, len(words))
+        ended = np.cumsum(cut) - cut  # sentence ends before each word
+        at = np.flatnonzero(ended[: len(words) - part_words + 1] == ended[part_words - 1 :])
+        windows = np.lib.stride_tricks.sliding_window_view(h, part_words)[at, ::-1]
+        cut[at + part_words - 1 - windows.argmin(axis=1)] = True
+    edges = [0, *(np.flatnonzero(cut) + 1).tolist()]
+    return ["".join(words[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def sentences(text: str, long_words: int = 24, part_words: int | None = None) -> list[str]:
     """Parts that together are the text."""
+    if part_words:
+        return word_cuts(text, part_words)
     parts, at = [], 0
     for m in BOUNDARY.finditer(text):
         parts.append(text[at : m.end()])
@@ -72,7 +110,7 @@ def span_hashes(parts: list[str], width: int, min_words: int) -> tuple[np.ndarra
     return h.view(np.int64), (c & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
 
 
-def spans_of(docs: DataFrame, width: int, min_words: int, long_words: int) -> DataFrame:
+def spans_of(docs: DataFrame, width: int, min_words: int, long_words: int, part_words: int | None = None) -> DataFrame:
     """docs: _row, doc_id, text. One row for each compared run."""
     names = ["h", "c", "doc_id", "_row", "run"]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
@@ -86,7 +124,7 @@ def spans_of(docs: DataFrame, width: int, min_words: int, long_words: int) -> Da
                 return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], k, mask=None) if i != 2 else pa.chunked_array(x or [[]], pa.int64()).combine_chunks() for i, (x, k) in enumerate(zip(rows, kinds, strict=True))], names)
 
             for r, d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                h, c = span_hashes(sentences(t.as_py() or "", long_words), width, min_words)
+                h, c = span_hashes(sentences(t.as_py() or "", long_words, part_words), width, min_words)
                 if len(h):
                     for x, v in zip(rows, (h, c, pa.array([d] * len(h), pa.int64()), np.full(len(h), r), np.arange(len(h), dtype=np.int32)), strict=True):
                         x.append(v)
@@ -99,11 +137,11 @@ def spans_of(docs: DataFrame, width: int, min_words: int, long_words: int) -> Da
     return docs.mapInArrow(each, "h long, c int, doc_id long, _row long, run int")
 
 
-def dedup_spans(docs: DataFrame, width: int = 3, min_words: int = 12, long_words: int = 24, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_spans(docs: DataFrame, width: int = 3, min_words: int = 12, long_words: int = 24, doc: str = "doc_id", text: str = "text", part_words: int | None = None) -> DataFrame:
     """(doc_id, n_sentences, n_removed, removed, text): every row of docs; ``removed`` lists [first, end) runs of
     removed sentence numbers and ``text`` is what is left."""
     rows = with_row_id(docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))).select("_row", "doc_id", "text")
-    spans = written(spans_of(rows, width, min_words, long_words), "spans", "lz4")
+    spans = written(spans_of(rows, width, min_words, long_words, part_words), "spans", "lz4")
     place = F.struct("doc_id", "_row", "run")
     repeats = spans.groupBy("h", "c").agg(F.min(place).alias("at"), F.count("*").alias("n")).where("n > 1").select("h", "c", "at")
     repeats = written(repeats, "repeats", "lz4")
@@ -115,7 +153,7 @@ def dedup_spans(docs: DataFrame, width: int = 3, min_words: int = 12, long_words
             out: list[tuple] = []
             for d, t, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 body = t.as_py() or ""
-                parts = sentences(body, long_words)
+                parts = sentences(body, long_words, part_words)
                 gone = np.zeros(len(parts) + 1, bool)
                 if found.is_valid:
                     first, end = runs([len(p.split()) for p in parts], width, min_words)
