@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, jaccard, langid, lines, packing
-from tidemark.llm.common import table, written
+from tidemark.llm.common import table, with_row_id, written
 from tidemark.llm.queries import tokenizer_path
 
 
@@ -31,9 +31,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by a similarity of 0.75 or more, the one of the smallest id stays."""
-    stay = jaccard.components(docs).where("component_id = doc_id").select("doc_id")
-    return docs.join(stay, "doc_id", "left_semi")
+    """Of each group of documents linked by a similarity of 0.75 or more, the one of the smallest id stays. Rows count,
+    not ids: of rows that share the smallest id the first stays, a row without an id only where its group has none with
+    one, and rows that are linked with no other stay whatever their ids. docs is a table, read alike each time."""
+    return with_row_id(docs).join(jaccard.keepers(docs), "_row", "left_semi").drop("_row")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -116,3 +116,17 @@ def test_pipeline(spark, sf_dir):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
+
+
+def test_near_duplicates_keep_one_row_of_each_group(spark, tmp_path):
+    import corpus_pipeline
+
+    one, two, three, four = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(None, one), (1, two), (1, two), (2, three), (2, four), (5, three), (None, two), (None, "e f"), (None, "e f"), (None, None), (9, ""), (9, "")]
+    path = str(tmp_path / "rows.parquet")
+    spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(path)
+    docs = spark.read.parquet(path)
+    found = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert found.columns == docs.columns
+    want = [(None, one), (1, two), (2, three), (2, four), (None, "e f"), (None, None), (9, ""), (9, "")]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in found.collect()))) == sorted(map(str, want))

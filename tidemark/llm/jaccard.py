@@ -250,10 +250,24 @@ def links(docs: DataFrame, percent: int = 75, doc: str = "doc_id", text: str = "
     return members, led.unionByName(met)
 
 
-def components(docs: DataFrame, percent: int = 75, **options) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs."""
+def _grouped(docs: DataFrame, percent: int, **options) -> DataFrame:
+    """(_row, doc_id, n_shingles, component) of every row; component is null for an empty set."""
     members, pairs = links(docs, percent, **options)
     found = connected_components(pairs)
-    members = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def components(docs: DataFrame, percent: int = 75, **options) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of docs."""
+    members = _grouped(docs, percent, **options)
     ids = members.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return members.join(ids, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keepers(docs: DataFrame, percent: int = 75, **options) -> DataFrame:
+    """(_row) of the rows that stay: of each component that of the smallest (doc_id, _row), ids before nulls, and each
+    row of an empty set. _row is that of ``with_row_id`` on docs."""
+    members = _grouped(docs, percent, **options).select("_row", "doc_id", "component")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    first = members.where("component is not null").groupBy("component").agg(F.min(place).alias("at")).select(F.col("at._row").alias("_row"))
+    return first.unionByName(members.where("component is null").select("_row"))
