@@ -130,6 +130,14 @@ def test_knn_limit(spark):
         similarity.knn(rows, rows, 1, limit=2)
 
 
+def test_knn_of_many_queries(spark):
+    rows = spark.range(10_001).selectExpr("id as vec_id", "array(cast(1 as float), cast(id % 97 as float)) as embedding", "0 as label")
+    few = rows.where("vec_id < 4")
+    assert similarity.knn(rows, few, 1).count() == 10_001
+    one, more = (similarity.knn(rows.where("vec_id < 200"), rows.where("vec_id < 300"), 3, block=n) for n in (1000, 30))
+    assert sorted(one.collect()) == sorted(more.collect()) and one.count() == 600
+
+
 def test_feather_and_json(spark, tmp_path):
     import pyarrow as pa
     import pyarrow.feather as feather
