@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tidemark.llm import decontam, jaccard, langid, lines, packing, spans, suffix
 from tidemark.llm.queries import tokenizer_path
@@ -203,7 +204,7 @@ def test_spans_of_nothing(nothing):
 @pytest.mark.parametrize("options", [{}, {"max_tokens": 64, "max_segments": 3}, {"max_tokens": 128, "max_loss": 50, "prompt_share": 0.5}])
 def test_packing(docs, corpus, options):
     found = packing.pack_documents(docs.where("doc_id is null or doc_id <> 10"), tokenizer_path(), **options).collect()
-    tokenizer = packing.WordTokenizer(tokenizer_path()).tokenizer
+    tokenizer = Tokenizer.from_file(tokenizer_path())
     most = options.get("max_tokens", 4096)
     by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
     for r in found:
@@ -230,9 +231,17 @@ def test_packing(docs, corpus, options):
 
 
 def test_tokenizer_is_that_of_the_library():
-    ours = packing.WordTokenizer(tokenizer_path(), size=5)
-    for t in ["ΑΣ ΣΑΣ x", "İstanbul I'll don't it's 'sx ''s 12ab3 <|endoftext|> áb  c d\x1ce\tf", "Éµß Ŀ ǅ ", "é É!!.. ,a, word.!?x", "", " \n", "a b c d e f g h a b"]:
-        assert list(ours.ids(t)) == ours.tokenizer.encode(t, add_special_tokens=False).ids
+    ours, theirs = packing.WordTokenizer(tokenizer_path(), size=5), Tokenizer.from_file(tokenizer_path())
+    for t in ["ΑΣ ΣΑΣ x", "İstanbul I'll don't it's 'sx ''s 12ab3 <|endoftext|> áb  c d\x1ce\tf", "Éµß Ŀ ǅ ", "é É!!.. ,a, word.!?x", "", " \n", "a b c d e f g h a b",
+              "hello <|endoftext|> world", "x<|startoftext|>y<|ENDOFTEXT|>", "<| endoftext |>"]:
+        assert list(ours.ids(t)) == theirs.encode(t, add_special_tokens=False).ids
+
+
+def test_many_tiny_documents_need_no_padding(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("one two three four").alias("text")).coalesce(1)
+    found = packing.pack_documents(rows, tokenizer_path(), max_segments=4096)
+    sizes = [r.n for r in found.groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()]
+    assert sum(sizes) == 100_000 and sum(4096 - n for n in sizes if n & (n - 1)) == 0
 
 
 def test_packing_of_nothing(nothing):
@@ -251,6 +260,38 @@ def test_language_of_held_out_documents(spark, sf_dir):
     assert found.where("score < 0 or score > 1").count() == 0
 
 
+def _buckets(text, orders, bits):
+    points = [ord(c) for c in " " + " ".join(text.lower().split()) + " "]
+    for n in orders:
+        for at in range(len(points) - n + 1):
+            g = 0
+            for p in points[at : at + n]:
+                g = (g + p) * 0x9E3779B1 % 2**32
+                g ^= g >> 15
+            yield (g + n) * 0x85EBCA6B % 2**32 >> (32 - bits)
+
+
+def test_language_against_brute_force(spark, monkeypatch):
+    """Counts, log probabilities and posteriors from scratch, and texts longer than a step."""
+    rng = np.random.default_rng(3)
+    letters = {"aa": "abcdeé ", "bb": "defghß ", "cc": "xyz日本 "}
+    train = [(i, "".join(rng.choice(list(letters[k]), 80)), k) for i, k in enumerate(["aa", "bb", "cc"] * 5)]
+    texts = ["".join(rng.choice(list("".join(letters.values())), int(n))) for n in rng.integers(1, 300, 40)] + ["½ ² ¾", "", " x ", "12 a", "É" * 3000]
+    monkeypatch.setattr(langid, "STEP", 257)
+    model = langid.LanguageModel.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"), bits=9)
+    counts = {k: collections.Counter() for k in letters}
+    for _, t, k in train:
+        counts[k].update(_buckets(t, (1, 2, 3), 9))
+    logp = {k: [np.log((c[b] + 0.5) / (c.total() + 0.5 * 512)) for b in range(512)] for k, c in counts.items()}
+    for t, (lang, score) in zip(texts, model.best(texts), strict=True):
+        if not any(c.isalpha() for c in t):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        sums = {k: sum(logp[k][b] for b in _buckets(t, (1, 2, 3), 9)) for k in letters}
+        best = max(sums, key=lambda k: sums[k])
+        assert lang == best and abs(score - 1 / sum(np.exp(v - sums[best]) for v in sums.values())) < 1e-4
+
+
 def test_language_edges(spark, docs, nothing):
     rows = spark.createDataFrame([(1, None), (2, ""), (3, "12 !?"), (4, "le chat"), (4, "the cat"), (None, "x" * 300_000)], "doc_id long, text string")
     train = spark.createDataFrame([(1, "le chat noir", "fr"), (2, "the black cat", "en"), (3, None, "en"), (4, "no label", None)], "doc_id long, text string, lang string")

@@ -5,7 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only where it is unset (a local
-    session, as in tests) is a temporary one made and set."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only in a local session, as in tests, is a
+    temporary one made and set where it is unset; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-tidemark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -45,9 +52,27 @@ def written(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Deletes the files of a table that ``written`` made and nothing reads any more."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def with_row_id(df: DataFrame, name: str = "_row") -> DataFrame:
-    """A number for each row that a retried task makes again, so that repeated ids stay separate rows."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """A number for each row that is the same in every scan, so that repeated ids stay separate rows. Rows of files, with
+    any columns and filters, get the file's place among the sorted paths and their place in the file, whatever tasks read
+    them; other rows (as of a join) are numbered and written once."""
+    try:
+        paths = df.select(F.col("_metadata.file_path").alias("_path"))
+        placed = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_at"))
+    except AnalysisException:
+        return written(df.withColumn(name, F.monotonically_increasing_id()), "rows")
+    files = sorted(r[0] for r in paths.distinct().collect())
+    known = df.sparkSession.createDataFrame([(f, k) for k, f in enumerate(files)], "_path string, _file long")
+    row = F.shiftleft("_file", 36) + F.col("_at")
+    return placed.join(F.broadcast(known), "_path").select(*[F.col(f"`{c}`") for c in df.columns], row.alias(name))
 
 
 # --- numpy helpers that run inside tasks -------------------------------------------------------------------
@@ -100,23 +125,60 @@ class RollingHash:
         return mix64((self.sums[width:] - self.sums[:n]) * self.down[:n]) if n > 0 else np.empty(0, np.uint64)
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """One hash for each word ``[^\\x20\\x09-\\x0D]+`` of the text, A-Z lower-cased."""
-    data = _LOWER[np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)]
-    if not len(data):
-        return np.empty(0, np.uint64)
-    edge = np.flatnonzero(np.diff(np.concatenate(([1], _IS_WHITE[data], [1])).astype(np.int8)))
-    return RollingHash(data).at(edge[::2], edge[1::2])
-
-
-def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the runs of ``width`` words; with fewer words the whole sequence is one, with
-    none the set is empty."""
-    words = word_hashes(text)
-    if not len(words):
-        return words
+def text_groups(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Runs of texts of about ``most`` bytes together, or one longer text: number of the first, bytes, and offsets of
+    the texts in them (one more than there are texts). A null is empty."""
+    if column.null_count:
+        column = pc.fill_null(column, "")
+    n = len(column)
+    if not n:
+        return
+    _, places, body = column.buffers()
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(places, kind)[column.offset : column.offset + n + 1].astype(np.int64)
+    data = np.frombuffer(body, np.uint8) if body is not None else np.empty(0, np.uint8)
+    first = 0
+    while first < n:
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1)
+        yield first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
+        first = last
+
+
+def word_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+``, and the number of the first word of each text (and all)."""
+    black = np.concatenate(([False], _IS_WHITE[data] == 0, [False]))
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    starts = np.flatnonzero(black[1:-1] & (edge[:-1] | ~black[:-2]))
+    ends = np.flatnonzero(black[1:-1] & (edge[1:] | ~black[2:])) + 1
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z lower-cased."""
+    return _LOWER[data]
+
+
+def mixed_shingles(words: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of ``width`` word hashes; of all of them, if there are fewer."""
     n = max(1, len(words) - width + 1)
-    h = np.full(n, len(words) if len(words) < width else width, np.uint64)
+    h = np.full(n, min(len(words), width), np.uint64)
     for k in range(min(width, len(words))):
         h = mix64(h * np.uint64(0x9FB21C651E98DF25) + words[k : k + n])
-    return np.unique(h)
+    return h
+
+
+def shingle_sets(column: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
+    """Of each text the sorted distinct hashes of its runs of ``width`` words, A-Z lower-cased; with fewer words the whole
+    sequence is one, with none the set is empty."""
+    for _, data, offsets in text_groups(column):
+        data = _LOWER[data]
+        starts, ends, first = word_places(data, offsets)
+        words = RollingHash(data).at(starts, ends)
+        runs = mixed_shingles(words, width) if len(words) >= width else words
+        for a, b in zip(first.tolist(), first[1:].tolist(), strict=False):
+            yield np.unique(runs[a : b - width + 1]) if b - a >= width else mixed_shingles(words[a:b], width) if b > a else words[:0]
+
+
+def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
+    return next(shingle_sets(pa.array([text], pa.string()), width))

@@ -1,17 +1,18 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams. Counts of a bounded sample of
-labelled texts become a matrix of log probabilities (buckets x languages) that is broadcast; whole texts are scored
-in numpy batches.
+labelled texts become a matrix of log probabilities (buckets x languages) that is broadcast. Texts are scored in sparse
+batches: the bucket numbers of many texts together pick rows of the matrix, which are summed text by text, and a long
+text is passed over in steps that carry the code points between them.
 
-Defined cases: a text that is null or has no letter is ``und`` with score 0; ties go to the language that sorts
+Defined cases: a text that is null or has no letter (``str.isalpha``, Unicode categories L) is ``und`` with score 0; ties go to the language that sorts
 first; rows without a label teach nothing; without any labelled row every text is ``und``; repeated or null ids are
 rows of their own, and a null id is never held out. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -19,22 +20,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
+STEP = 1 << 15  # code points that are scored at once
 
 
-def buckets_of(text: str, orders: tuple[int, ...], bits: int) -> np.ndarray:
-    """Bucket numbers of the n-grams of a text in lower case, each blank run one blank."""
-    points = np.frombuffer((" " + " ".join(text.lower().split()) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
-    grams, out = np.zeros(len(points), np.uint32), []
-    for n in range(1, max(orders) + 1):
-        if n > len(points):
-            break
+def points_of(text: str) -> np.ndarray:
+    """Code points of a text in lower case, each blank run one blank, and one at both ends."""
+    return np.frombuffer((" " + " ".join(text.lower().split()) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def gram_buckets(points: np.ndarray, orders: tuple[int, ...], bits: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(n, bucket numbers of the n-grams at all places) for each order n: g = 0; for each code point p: g = (g + p) * A,
+    g ^= g >> 15; then (g + n) * B, of which the upper ``bits`` bits count. 32-bit arithmetic."""
+    grams = np.zeros(len(points), np.uint32)
+    for n in range(1, min(max(orders), len(points)) + 1):
         grams = (grams[: len(points) - n + 1] + points[n - 1 :]) * np.uint32(0x9E3779B1)
         grams ^= grams >> np.uint32(15)
         if n in orders:
-            out.append(((grams + np.uint32(n)) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits))
-    return np.concatenate(out) if out else np.empty(0, np.uint32)
+            yield n, ((grams + np.uint32(n)) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits)
 
 
 @dataclass
@@ -62,7 +65,8 @@ class LanguageModel:
             total = np.zeros((len(languages), 1 << bits), np.int64)
             for batch in batches:
                 for name, body in zip(batch["lang"], batch["text"], strict=True):
-                    total[languages.index(name)] += np.bincount(buckets_of(body, orders, bits), minlength=1 << bits)
+                    for _, found in gram_buckets(points_of(body), orders, bits):
+                        total[languages.index(name)] += np.bincount(found, minlength=1 << bits)
             which, bucket = np.nonzero(total)
             yield pd.DataFrame({"which": which, "bucket": bucket, "n": total[which, bucket]})
 
@@ -71,31 +75,62 @@ class LanguageModel:
         counts[found["bucket"], found["which"]] += found["n"]
         return cls(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32), orders, bits)
 
-    def predict(self, docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-        """The kept columns of every row, with lang_pred and score, the posterior of that language (equal priors)."""
+    def predict(self, docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+        """The kept columns of every row, with lang_pred and score (or other ``names``), the posterior of that language
+        (equal priors)."""
         model = docs.sparkSession.sparkContext.broadcast(self)
-        schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add("lang_pred", "string").add("score", "double")
+        schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add(names[0], "string").add(names[1], "double")
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = [model.value.best(t.as_py()) for t in batch.column(len(keep))]
+                found = model.value.best(t.as_py() for t in batch.column(len(keep)))
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(k) for k in range(len(keep))), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
-                    [*keep, "lang_pred", "score"])
+                    [*keep, names[0], names[1]])
 
         return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text_to_score")).mapInArrow(score, schema)
 
-    def best(self, text: str | None) -> tuple[str, float]:
-        if not self.languages or not text or not LETTER.search(text):
-            return UNKNOWN, 0.0
-        total = np.zeros(len(self.languages))
-        for k in range(0, len(text), 1 << 18):  # long texts in parts; n-grams across a cut between parts are left out
-            counts = np.bincount(buckets_of(text[k : k + (1 << 18)], self.orders, self.bits), minlength=1 << self.bits)
-            some = np.flatnonzero(counts)
-            total += counts[some].astype(np.float64) @ self.log_probability[some]
-        total -= total.max()
-        share = np.exp(total)
-        return self.languages[int(total.argmax())], float(share.max() / share.sum())
+    @cached_property
+    def _columns(self) -> np.ndarray:
+        return np.ascontiguousarray(self.log_probability.T, np.float64)
+
+    def best(self, texts: Iterable[str | None]) -> list[tuple[str, float]]:
+        """Language and score of each text."""
+        out: list[tuple[str, float]] = []
+        group: list[tuple[int, np.ndarray]] = []
+        held = 0
+        for text in texts:
+            out.append((UNKNOWN, 0.0))
+            if self.languages and text and any(map(str.isalpha, text)):
+                group.append((len(out) - 1, points_of(text)))
+                held += len(group[-1][1])
+                if held >= STEP:
+                    self._score(group, out)
+                    group, held = [], 0
+        self._score(group, out)
+        return out
+
+    def _score(self, group: list[tuple[int, np.ndarray]], out: list[tuple[str, float]]) -> None:
+        """One pass over the joined code points in steps; n-grams that reach into the next text are left out."""
+        if not group:
+            return
+        points = np.concatenate([p for _, p in group])
+        ends = np.cumsum([len(p) for _, p in group])
+        total = np.zeros((len(group), len(self.languages)))
+        for at in range(0, len(points), STEP):
+            part = points[at : at + STEP + max(self.orders) - 1]
+            for n, buckets in gram_buckets(part, self.orders, self.bits):
+                places = np.arange(at, at + min(len(buckets), STEP))
+                which = np.searchsorted(ends, places, "right")
+                inside = places + n <= ends[which]
+                which, some = which[inside], buckets[: len(places)][inside]
+                if len(which):
+                    first = np.flatnonzero(np.concatenate(([True], which[1:] != which[:-1])))
+                    for k, column in enumerate(self._columns):
+                        total[which[first], k] += np.add.reduceat(column[some], first)
+        for (k, _), row in zip(group, total, strict=True):
+            share = np.exp(row - row.max())
+            out[k] = self.languages[int(row.argmax())], float(share.max() / share.sum())
 
 
 def held_out(doc: Column) -> Column:

@@ -48,13 +48,14 @@ class WordTokenizer:
     #: Beyond these, lower case may depend on neighbours or on composition; such texts are left to the tokenizer.
     BEYOND = re.compile("[^\x00-\u012f\u0131-\u024f]")
     TAILS = ".,!?;:"
+    #: What special tokens start with: texts that hold it go to the tokenizer whole.
+    SPECIAL = "<|"
 
     def __init__(self, path: str, size: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
         self.size = size
@@ -90,6 +91,9 @@ class WordTokenizer:
         return known
 
     def ids(self, text: str) -> np.ndarray:
+        """As ``tokenizers`` gives them without adding tokens: special tokens that stand in a text are themselves."""
+        if self.SPECIAL in text:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         if not self.BEYOND.search(text):
             text = text.lower()
         chunks = text.replace("\n", " ").split(" ")

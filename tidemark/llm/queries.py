@@ -30,7 +30,7 @@ def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), max_segments=4096)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """WARC archives as a chunked record table. A record's bytes (header, then payload) are one row if the payload has at
 most ``chunk_bytes`` bytes, else rows (record, chunk): a large payload is never one value in the archive, and its
-digest is carried on from chunk to chunk when it is read.
+digest is carried on from chunk to chunk when it is read. The header is in the first row whole, however long it is.
 
 Records with equal payloads of at least ``min_bytes`` bytes are one ``response`` (the largest page_id) and
 ``revisit`` records without payload that refer to it.
@@ -104,7 +104,7 @@ def read_archive(archive: DataFrame) -> DataFrame:
             for chunk, last, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 view = memoryview(data.as_buffer())
                 if chunk == 0:
-                    end = bytes(view[: 1 << 16]).find(b"\r\n\r\n")
+                    end = bytes(view).find(b"\r\n\r\n")  # the first row holds the whole header
                     head = bytes(view[:end]).decode("utf-8", "surrogatepass").split("\r\n")[1:]
                     fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in head)
                     sha, size, view = hashlib.sha1(usedforsecurity=False), 0, view[end + 4 :]
