@@ -54,8 +54,11 @@ def _shingles(t):
     return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-@pytest.mark.parametrize("percent", [75, 50])
-def test_components_against_brute_force(docs, corpus, percent):
+@pytest.mark.parametrize(("percent", "often", "rounds"), [(75, 256, 8), (50, 256, 8), (75, 3, 2), (60, 4, 0)])
+def test_components_against_brute_force(docs, corpus, percent, often, rounds, monkeypatch):
+    monkeypatch.setattr(jaccard, "OFTEN", often)
+    monkeypatch.setattr(jaccard, "ODD", often + 1)
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
     sets = [_shingles(t) for _, t in corpus]
     root = list(range(len(corpus)))
 

@@ -1,31 +1,34 @@
 """n-gram Jaccard join, exact at a threshold: size-banded tiles with hashed bitmap signatures.
 
-A document is its set of shingles (five words). Equal sets are one class. Two sets of similarity t share one of their
-first shingles in any common order (prefixes of n - ceil(t n) + 1), so only documents that share such a shingle meet,
+A document is its set of shingles (five words). Equal sets are one class, a node. Two sets of similarity t share one of
+their first shingles in any common order (prefixes of n - ceil(t n) + 1), so only nodes that share such a shingle meet,
 in the tile of that shingle and of their band of sizes; sizes of linked sets differ by t at most, which is one band.
 In a tile, the number of shared prefix shingles bounds the overlap; for the pairs that are left, bitmap signatures
-bound it from above by bit counts, and pairs that could still reach the threshold are verified once by intersecting
-their sorted arrays.
+bound it from above by bit counts, and pairs that could still reach the threshold are verified by intersecting their
+sorted arrays of 64-bit shingle hashes (two different shingles of a pair of sets of n would have to collide to count
+wrongly: n * n in 2**64).
 
-What keeps hot groups cheap, and loses no link:
+The common order puts rare shingles first. The half of the shingles whose hash is even comes first, by exact frequency
+up to ``OFTEN`` and by hash among equals; the odd half follows by hash alone and is needed only where a set has too few
+even ones. One equi-grouping of these postings counts them; a shingle that one row alone has makes no tile, so a node
+whose prefix is full of such is done. A task passes on ``OFTEN`` postings of a shingle at most to be counted; that many
+show that it is frequent, and the others say so themselves, so no task gets all rows of a shingle that many rows hold.
 
-* The common order puts frequent shingles last. Frequencies come from a count sketch of fixed size over all texts
-  (it is broadcast); the order is right whatever the sketch says.
-* A group of thousands of near copies shares all of its prefix shingles. Each class is first held against one leader,
-  the class of smallest number in most of its first tiles. Classes that these links connect aren't compared again:
-  links say who is in a component, and theirs is settled.
+Links say who is in a component, and only that is kept. So groups of thousands of near copies are settled in rounds: in
+each tile one node (another one each round) is the leader, each node of another component is held against the leader
+with which it shares most tiles, and links merge components. When a round links nothing more, all pairs of different
+components that share a tile are compared, whatever their number: no link between components is lost.
 
 ``components`` returns components, by large-star and small-star rounds on the links (Kiveris et al. 2014).
 
 Defined cases: null or empty text has an empty set and is linked with nothing; fewer than five words are one shingle;
 rows that repeat an id, or have none, are nodes of their own, and a component's id is its smallest id; other columns
-are ignored. docs must read the same rows each time (a table).
+are ignored, whatever their names. docs must read the same rows each time (a table).
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,11 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, shingle_set, with_row_id, written
+from .common import release, shingle_sets, with_row_id, written
 
 LEAST_BITS = 1024  # of a bitmap signature; a set of more elements has the next power of two
-SKETCH_BITS = 20
-LEADS, VOTES = 8, 4  # a leader is that of VOTES of the first LEADS prefix shingles at least
+OFTEN = 256  # frequencies from here on count as one
+ODD = OFTEN + 1  # the place of odd shingles in the order
+ROUNDS = 8  # of leaders, at most
 
 
 def signature(shingles: np.ndarray) -> bytes:
@@ -69,92 +73,146 @@ def linked(common, size_a, size_b, percent: int):
 
 
 def _classes(rows: DataFrame) -> DataFrame:
-    """(_row, doc_id, n_shingles, key, bits, sketch): one row per document, and one with the sketch per task."""
+    """(_row, doc_id, n_shingles, n_even, key) of every row; key is null for an empty set."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["_row", "doc_id", "n_shingles", "key", "bits", "sketch"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
-            sizes, keys, bits = [], [], []
-            for text in batch.column(2):
-                shingles = shingle_set(text.as_py())
-                np.add.at(sketch, (shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+            sizes, even, keys = [], [], []
+            for shingles in shingle_sets(batch.column(2)):
                 sizes.append(len(shingles))
+                even.append(int((shingles & np.uint64(1) == 0).sum()))
                 keys.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None)
-                bits.append(signature(shingles))
-            made = [pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bits, pa.binary()), pa.nulls(len(sizes), pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names)
-        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((None, None, None, None, None, zlib.compress(sketch.tobytes(), 1)), kinds, strict=True)], names)
+            made = [pa.array(sizes, pa.int64()), pa.array(even, pa.int64()), pa.array(keys, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["_row", "doc_id", "n_shingles", "n_even", "key"])
 
-    return rows.mapInArrow(each, "_row long, doc_id long, n_shingles long, key binary, bits binary, sketch binary")
+    return rows.select("_row", "doc_id", "text").mapInArrow(each, "_row long, doc_id long, n_shingles long, n_even long, key binary")
 
 
-def _sketch(classes: DataFrame) -> np.ndarray:
-    """Sum of the tasks' sketches, of fixed size, in two levels."""
+def _postings(rows: DataFrame, percent: int) -> DataFrame:
+    """(shingle, node): the even shingles of each row, and odd ones where its prefix reaches them. Those of a shingle of
+    which the task has passed on ``OFTEN`` have -1 - node for node: they are frequent and need no counting."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passed: dict[int, int] = {}
+
+        def out(sets: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
+            shingle, node = np.concatenate(sets), np.repeat(np.array(nodes, np.int64), [len(x) for x in sets])
+            order = np.argsort(shingle, kind="stable")
+            shingle, node = shingle[order], node[order]
+            first = np.flatnonzero(np.concatenate(([True], shingle[1:] != shingle[:-1])))
+            size = np.diff(np.append(first, len(shingle)))
+            for k in np.flatnonzero(size >= 8).tolist():  # fewer of a batch can't make a shingle hot
+                at, n, key = int(first[k]), int(size[k]), int(shingle[first[k]])
+                free = OFTEN - passed.get(key, 0)
+                passed[key] = min(OFTEN, passed.get(key, 0) + n)
+                if n > free:
+                    node[at + free : at + n] = -1 - node[at + free : at + n]
+            return pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(node)], ["shingle", "node"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
-            for x in batch.column(0):
-                part = np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
-                total += np.minimum(part, np.uint32(0xFFFFFFFF) - total)
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["sketch"])
+            sets: list[np.ndarray] = []
+            nodes: list[int] = []
+            held = 0
+            for node, shingles in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True):
+                odd = shingles & np.uint64(1) == 1
+                some, n = shingles[~odd], prefix_sizes(len(shingles), percent)[0]
+                if len(some) < n:
+                    some = np.concatenate((some, shingles[odd][: n - len(some)]))
+                if len(some):
+                    sets.append(some)
+                    nodes.append(node)
+                    held += len(some)
+                if held > 1 << 20:
+                    yield out(sets, nodes)
+                    sets, nodes, held = [], [], 0
+            if sets:
+                yield out(sets, nodes)
+
+    return rows.select("_row", "text").mapInArrow(each, "shingle long, node long")
 
-    parts = classes.where("sketch is not null").select("sketch")
-    parts = parts.repartition(8).mapInArrow(add, "sketch binary").coalesce(1).mapInArrow(add, "sketch binary")
-    return np.frombuffer(zlib.decompress(parts.first()[0]), np.uint32)
 
+def _shared(postings: DataFrame) -> DataFrame:
+    """(node, shingle, level): postings whose shingle another row has, with its place in the order. One shuffle, and one
+    pass that holds ``OFTEN`` postings of a shingle."""
+    names = ["node", "shingle", "level"]
 
-def _postings(rows: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
-    """(shingle, node, n, place): prefix shingles of each row."""
-    usual = 4.0 * sketch.mean() + 16.0
-    level = rows.sparkSession.sparkContext.broadcast(np.ceil(np.log2(np.maximum(sketch / usual, 1.0))).astype(np.uint8))
-    names = ["shingle", "node", "n", "place"]
+    def out(shingle: np.ndarray, node: np.ndarray, level: np.ndarray) -> pa.RecordBatch:
+        level = np.where(shingle & 1 == 1, ODD, np.minimum(level, OFTEN))
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(shingle), pa.array(level.astype(np.int32))], names)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, node, often = np.empty(0, np.int64), np.empty(0, np.int64), None  # the last run, and a shingle whose run is passed on
         for batch in batches:
-            parts: list[list[np.ndarray]] = []
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                shingles = shingle_set(text.as_py())
-                n = len(shingles)
-                order = np.lexsort((shingles, level.value[(shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
-                some = shingles[order[: prefix_sizes(n, percent)[0]]].view(np.int64)
-                parts.append([some, np.full(len(some), node), np.full(len(some), n, np.int32), np.arange(len(some), dtype=np.int32)])
-            columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
-
-    return rows.select("_row", "text").mapInArrow(each, "shingle long, node long, n int, place int")
-
+            s, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if (known := v < 0).any():
+                yield out(s[known], -1 - v[known], np.full(int(known.sum()), OFTEN))
+                s, v = s[~known], v[~known]
+            s, v = np.concatenate((shingle, s)), np.concatenate((node, v))
+            if not len(s):
+                continue
+            if often is not None:
+                n = int(np.searchsorted(s, often, "right"))
+                if n:
+                    yield out(s[:n], v[:n], np.full(n, OFTEN))
+                    s, v = s[n:], v[n:]
+                if not len(s):
+                    shingle, node = s, v
+                    continue
+                often = None
+            first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+            end = int(first[-1])
+            if len(s) - end >= OFTEN:
+                often, end = int(s[-1]), len(s)
+                first = np.append(first, end)
+            size = np.repeat(np.diff(first), np.diff(first))
+            if (many := size > 1).any():
+                yield out(s[:end][many], v[:end][many], size[many])
+            shingle, node = s[end:], v[end:]
+        if len(shingle) > 1:
+            yield out(shingle, node, np.full(len(shingle), len(shingle)))
+
+    dealt = F.when(F.col("node") < 0, F.xxhash64("node")).otherwise(F.col("shingle"))
+    return postings.repartition(dealt).sortWithinPartitions("shingle").mapInArrow(each, "node long, shingle long, level int")
+
+
+def _tiles(shared: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(shingle, node, n): the prefix shingles of each node that other rows have. nodes: node, n_shingles, n_even."""
+    lists = shared.groupBy("node").agg(F.collect_list("shingle").alias("shingles"), F.collect_list("level").alias("levels"))
 
-def _shared(postings: DataFrame) -> DataFrame:
-    """Postings whose shingle another row has, in one shuffle and one pass that holds one row."""
-    names = postings.columns
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts: list[tuple[np.ndarray, int, int]] = []
+            for k, (node, n, even) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("node", "n_shingles", "n_even")), strict=True)):
+                shingle, level = (batch.column(c)[k].values.to_numpy() for c in ("shingles", "levels"))
+                odd = level == ODD
+                left = min(prefix_sizes(n, percent)[0], even) - (even - int((~odd).sum()))  # of the prefix, after even ones of this row alone
+                some = shingle[~odd]
+                some = some[np.lexsort((some, level[~odd]))][: max(0, left)]
+                parts.append((np.concatenate((some, shingle[odd])), node, n))
+            parts = [p for p in parts if len(p[0])]
+            if parts:
+                sizes = [len(p[0]) for p in parts]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate([p[0] for p in parts])), pa.array(np.repeat([p[1] for p in parts], sizes)), pa.array(np.repeat([p[2] for p in parts], sizes))], ["shingle", "node", "n"])
+
+    return lists.join(nodes, "node").mapInArrow(each, "shingle long, node long, n long")
+
+
+def _sets(rows: DataFrame, tiles: DataFrame) -> DataFrame:
+    """(node, n, bits, elements) of the nodes in tiles: bitmap and sorted array."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, same = None, False  # the last row of the batches so far, and whether the one before it is equal
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if held is not None:
-                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            key = batch.column(0).to_numpy()
-            equal = key[1:] == key[:-1]
-            keep = np.concatenate(([same if held is not None else False], equal)) | np.concatenate((equal, [False]))
-            yield batch.slice(0, batch.num_rows - 1).filter(pa.array(keep[:-1]))
-            held, same = batch.slice(batch.num_rows - 1), bool(keep[-1])
-        if held is not None and same:
-            yield held
-
-    # a hash of the shingle first: where frequent shingles aren't in prefixes, no task has many rows of one
-    return postings.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(each, postings.schema).select(*names)
-
-
-def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int, what: str) -> DataFrame:
-    """The pairs (a, b) whose sets are linked. Bitmaps, which are small, leave those that may be; their texts then come
-    together (texts take half the room of arrays of hashes) and their sorted arrays are intersected."""
-    few = lambda x: classes.select(F.col("_row").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
-    side = lambda x: rows.select(F.col("_row").alias(x), F.col("text").alias(f"text_{x}"))
+            sets = list(shingle_sets(batch.column(1)))
+            made = [pa.array([len(x) for x in sets], pa.int64()), pa.array([signature(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["node", "n", "bits", "elements"])
+
+    few = tiles.select(F.col("node").alias("_row")).distinct()
+    return rows.join(few, "_row", "left_semi").select("_row", "text").mapInArrow(each, "node long, n long, bits binary, elements binary")
+
+
+def _verified(sets: DataFrame, pairs: DataFrame, percent: int, what: str) -> DataFrame:
+    """The pairs (a, b) whose sets are linked, written: bitmaps leave those that may be, arrays decide."""
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,46 +221,56 @@ def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, percent: in
             yield batch.select(["a", "b"]).filter(pa.array(may, pa.bool_()))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, right = None, np.empty(0, np.uint64)  # rows of one b follow each other
         for batch in batches:
             keep = []
-            for b, ta, tb in zip(batch.column("b").to_pylist(), batch.column("text_a"), batch.column("text_b"), strict=True):
-                if b != known:
-                    known, right = b, shingle_set(tb.as_py())
-                left = shingle_set(ta.as_py())
+            for x, y in zip(batch.column("ea"), batch.column("eb"), strict=True):
+                left, right = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 at = np.searchsorted(right, left)
                 common = int((right[np.minimum(at, len(right) - 1)] == left).sum())
                 keep.append(linked(common, len(left), len(right), percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    near = pairs.join(few("a"), "a").join(few("b"), "b").select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(bounded, "a long, b long")
-    both = written(near, f"{what}-near").join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
-    return written(both.mapInArrow(exact, "a long, b long"), f"{what}-links")
+    few = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("elements").alias(f"e{x}"))
+    near = written(pairs.join(few("a"), "a").join(few("b"), "b").select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(bounded, "a long, b long"), f"{what}-near")
+    return written(near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ea", "eb").mapInArrow(exact, "a long, b long"), f"{what}-links")
 
 
 # --- candidates --------------------------------------------------------------------------------------------
 
 
-def _leader_pairs(shared: DataFrame) -> DataFrame:
-    """(a, b): each node with the leader of most of its first tiles, if that is another and of VOTES tiles at least."""
-    first = shared.where(F.col("place") < LEADS).select("shingle", "node")
-    leads = first.groupBy("shingle").agg(F.min("node").alias("leader"))
-    votes = first.join(leads, "shingle").where("node <> leader").groupBy("node", "leader").count().where(F.col("count") >= VOTES)
+def _mixed(tiles: DataFrame, known: DataFrame | None) -> DataFrame:
+    """(shingle, node, n, group): tiles with each node's component, where a shingle has nodes of several."""
+    rows = tiles.withColumn("group", F.col("node"))
+    if known is not None:
+        rows = tiles.join(known, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
+    mixed = rows.groupBy("shingle").agg((F.min("group") != F.max("group")).alias("mixed")).where("mixed").select("shingle")
+    return rows.join(mixed, "shingle", "left_semi").select("shingle", "node", "n", "group")
+
+
+def _band(n: str, percent: int, shift: float = 0.0):
+    """Bands a little wider than the ratio, so that rounding never sets a linked pair two bands apart."""
+    return F.floor(F.log(F.col(n).cast("double")) / F.log(F.lit(100.1 / percent)) + shift).cast("int")
+
+
+def _leader_pairs(mixed: DataFrame, turn: int, percent: int) -> DataFrame:
+    """(a, b): each node with the leader of most of its tiles, if that is of another component. Leaders change with the
+    turn, and bands shift by half their width."""
+    rows = mixed.withColumn("band", _band("n", percent, turn % 2 / 2))
+    place = F.struct(F.xxhash64(F.lit(turn), "group").alias("h"), "group", "node")
+    leads = rows.groupBy("shingle", "band").agg(F.min(place).alias("at"), (F.min("group") != F.max("group")).alias("several")).where("several")
+    leads = leads.select("shingle", "band", F.col("at.node").alias("leader"), F.col("at.group").alias("led"))
+    votes = rows.join(leads, ["shingle", "band"]).where("group <> led").groupBy("node", "leader").count()
     return votes.groupBy("node").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("b")).select(F.col("node").alias("a"), "b")
 
 
-def _tile_pairs(shared: DataFrame, settled: DataFrame, percent: int) -> DataFrame:
-    """(a, b), distinct: nodes of different groups that share enough prefix shingles and whose sizes allow a link. The
+def _tile_pairs(mixed: DataFrame, percent: int) -> DataFrame:
+    """(a, b), distinct: nodes of different components that share enough prefix shingles and whose sizes allow a link. The
     larger of a pair looks up the smaller in the tile of the shingle and of the larger one's band of sizes.
 
     Up to the last prefix element of one of the two, the shared elements are those that both prefixes hold, c of them;
     after it, that set has n - prefix elements left. So c + max(n - prefix) bounds the overlap."""
-    groups = settled.select(F.col("a").alias("node"), F.col("b").alias("group"))
-    rows = shared.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
-    mixed = rows.groupBy("shingle").agg((F.min("group") != F.max("group")).alias("mixed")).where("mixed").select("shingle")
-    # bands a little wider than the ratio, so that rounding never sets a linked pair two bands apart
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.1 / percent))).cast("int")
-    rows = rows.join(mixed, "shingle", "left_semi").withColumn("band", band)
+    rows = mixed.withColumn("band", _band("n", percent))
     large = rows.select("shingle", "band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("group").alias("gb"))
     small = rows.select("shingle", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("group").alias("ga"))
     pairs = large.join(small, ["shingle", "band"]).where(f"ga <> gb and 100 * na >= {percent} * nb and (na < nb or na = nb and a < b)")
@@ -215,7 +283,7 @@ def _tile_pairs(shared: DataFrame, settled: DataFrame, percent: int) -> DataFram
 
 
 def connected_components(links: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reachable, of every node in links (a, b)."""
+    """(node, component): the smallest node reachable, of every node in links (a, b) but those that are it."""
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     state = None
     while True:
@@ -225,7 +293,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        edges = written(small, "edges")
+        before, edges = edges, written(small, "edges")
+        release(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state or not now[0]:
             break
@@ -234,26 +303,36 @@ def connected_components(links: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, percent: int = 75, doc: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(members, links). members: _row, doc_id, n_shingles, node for every row; node is null for an empty set. links:
-    pairs (a, b) of nodes that are linked, enough to connect all that are."""
+    """(members, components). members: _row, doc_id, n_shingles, node for every row; node is null for an empty set.
+    components: node, component of the nodes whose component is another node."""
     rows = with_row_id(docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))).select("_row", "doc_id", "text")
     classes = written(_classes(rows), "classes")
-    sketch = _sketch(classes)
-    known = classes.where("_row is not null").select("_row", "doc_id", "n_shingles", "key")
-    nodes = known.where("key is not null").groupBy("key").agg(F.min("_row").alias("node"))
-    members = known.join(nodes, "key", "left").select("_row", "doc_id", "n_shingles", "node")
-    first = rows.join(nodes.select(F.col("node").alias("_row")), "_row", "left_semi")
-    shared = written(_shared(_postings(first, sketch, percent)), "postings")
-    led = _verified(rows, classes, written(_leader_pairs(shared), "leaders"), percent, "leader")
-    settled = connected_components(led).select(F.col("node").alias("a"), F.col("component").alias("b"))
-    met = _verified(rows, classes, written(_tile_pairs(shared, settled, percent), "tiles"), percent, "tile")
-    return members, led.unionByName(met)
+    named = classes.where("key is not null").groupBy("key").agg(F.min("_row").alias("node"))
+    members = written(classes.join(named, "key", "left").select("_row", "doc_id", "n_shingles", "n_even", "node"), "members")
+    release(classes)
+    shared = _shared(_postings(rows, percent))
+    tiles = written(_tiles(shared, members.where("_row = node").select("node", "n_shingles", "n_even"), percent), "tiles")
+    several = tiles.groupBy("shingle").agg(F.count("*").alias("nodes")).where("nodes > 1").select("shingle")
+    tiles = written(tiles.join(several, "shingle", "left_semi").select("shingle", "node", "n"), "tiles")
+    sets = written(_sets(rows, tiles), "sets")
+    known = None
+    for turn in range(ROUNDS):
+        tiles = written(_mixed(tiles.select("shingle", "node", "n"), known), "mixed")
+        found = _verified(sets, written(_leader_pairs(tiles, turn, percent), "leaders"), percent, "leader")
+        if found.isEmpty():
+            break
+        known = connected_components(found if known is None else found.union(known.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    else:
+        tiles = written(_mixed(tiles.select("shingle", "node", "n"), known), "mixed")
+    found = _verified(sets, written(_tile_pairs(tiles, percent), "pairs"), percent, "tile")
+    if known is None or not found.isEmpty():
+        known = connected_components(found if known is None else found.union(known.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    return members, known
 
 
 def _grouped(docs: DataFrame, percent: int, **options) -> DataFrame:
     """(_row, doc_id, n_shingles, component) of every row; component is null for an empty set."""
-    members, pairs = links(docs, percent, **options)
-    found = connected_components(pairs)
+    members, found = links(docs, percent, **options)
     return members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
