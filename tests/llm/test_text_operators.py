@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import decontam, jaccard, langid, lines, packing, spans, suffix
+from tidemark.llm import common, decontam, jaccard, langid, lines, packing, spans, suffix
 from tidemark.llm.queries import tokenizer_path
 
 
@@ -152,36 +152,71 @@ def test_cuckoo_filter():
 # --- sentence spans ----------------------------------------------------------------------------------------
 
 
+def _parts(text, part_words=8):
+    """Words with their white space, cut at sentence ends and where the words of a sentence decide."""
+    words = re.findall(r"[ \t\n\v\f\r]*[^ \t\n\v\f\r]+[ \t\n\v\f\r]*", text)
+    bare = [w.strip(" \t\n\v\f\r") for w in words]
+    data = [np.frombuffer(w.lower().encode() if w.isascii() else "".join(c.lower() if c.isascii() else c for c in w).encode(), np.uint8) for w in bare]
+    h = [int(common.RollingHash(d).at(np.array([0]), np.array([len(d)]))[0]) for d in data]
+    ends = [b[-1] in ".!?" or "\n" in w[w.index(b) + len(b) :] for w, b in zip(words, bare, strict=True)]
+    cut = {k for k, e in enumerate(ends) if e} | {len(words) - 1}
+    for k in range(len(words) - part_words + 1):
+        if not any(ends[k : k + part_words - 1]):
+            cut.add(max(range(k, k + part_words), key=lambda i: (-h[i], i)))
+    out, at = [], 0
+    for k in sorted(cut):
+        if words:
+            out.append("".join(words[at : k + 1]))
+            at = k + 1
+    return out
+
+
+def _span_runs(parts, width=3, min_words=12):
+    size = [len(p.split()) for p in parts]
+    found = []
+    for k in range(len(parts)):
+        e = k + width
+        while e <= len(parts) and sum(size[k:e]) < min_words:
+            e += 1
+        if e <= len(parts):
+            found.append((k, e))
+    if parts and (not found or found[-1][1] < len(parts)):
+        k = max(0, len(parts) - width)
+        while k and sum(size[k:]) < min_words:
+            k -= 1
+        found.append((k, len(parts)))
+    return found
+
+
 def test_spans_against_brute_force(docs, corpus):
-    order = [(r.doc_id, r._row, r.text) for r in docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), "text").collect()]
-    order.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
-    parts = [spans.sentences(t or "") for *_, t in order]
-    seen, gone = set(), [set() for _ in parts]
-    for i, p in enumerate(parts):
-        assert "".join(p) == (order[i][2] or "")
-        for k in range(len(p) - 2):
-            run = tuple(" ".join(x.lower().split()) for x in p[k : k + 3])
-            if sum(len(x.split()) for x in run) >= 12:
-                if run in seen:
-                    gone[i] |= {k, k + 1, k + 2}
-                seen.add(run)
-    want = [(o[0], len(p), len(g), "".join(x for k, x in enumerate(p) if k not in g)) for o, p, g in zip(order, parts, gone, strict=True)]
+    order = sorted(common.with_row_id(docs).select("_row", "doc_id", "text").collect())
+    seen, want = set(), []
+    for _, d, t in order:
+        parts, gone = _parts(t or ""), set()
+        assert [p for p in spans.sentences(t or "")] == parts and (not parts or "".join(parts) == t)
+        for a, b in _span_runs(parts):
+            run = tuple("".join(c.lower() if c.isascii() else c for c in "".join(parts[a:b])).split())
+            if run in seen:
+                gone |= set(range(a, b))
+            seen.add(run)
+        want.append((d, len(parts), len(gone), "".join(x for k, x in enumerate(parts) if k not in gone) if gone else t or ""))
     found = spans.dedup_spans(docs).select("doc_id", "n_sentences", "n_removed", "text").collect()
     assert _bag(found) == _bag(want)
     assert sum(r.n_removed > 0 for r in found) >= 8
 
 
-def test_short_sentences_are_compared(spark):
+def test_short_texts_are_compared(spark, tmp_path):
     lines = [f"w{i}\n" for i in range(80)]
-    texts = ["".join(lines), "own start of it\n" + "".join(lines) + "and an own end\n", "a\nb\nc", "a\nb\nc", "a\nb\nd", "Eight words that are here in one line.\nfour words in this\no.\np.\nq."]
-    texts.append(texts[-1])
-    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = {r.doc_id: r for r in spans.dedup_spans(rows).collect()}
-    assert [found[i].text for i in range(7)] == [texts[0], "own start of it\nand an own end\n", texts[2], "", texts[4], texts[5], ""]
-    assert found[1].removed == [[1, 81]]
+    texts = ["".join(lines), "own start of it\n" + "".join(lines) + "and an own end\n", "a\nb\nc", "a\nb\nc", "a\nb\nd", "Eight words that are here in one line.\nfour words in this\no.\np.\nq.", "One. Two.", "one. two."]
+    texts.append(texts[5])
+    path = str(tmp_path / "rows")
+    spark.createDataFrame([(*x, "clash", 1, None) for x in enumerate(texts)], "doc_id long, text string, row string, run int, found string").coalesce(1).write.parquet(path)
+    found = {r.doc_id: r for r in spans.dedup_spans(spark.read.parquet(path)).collect()}
+    assert [found[i].text for i in range(9)] == [texts[0], "own start of it\nand an own end\n", texts[2], "", texts[4], texts[5], texts[6], "", ""]
+    assert found[1].n_removed == found[0].n_sentences
 
 
-def test_any_51_shared_words_hold_a_run(spark):
+def test_any_51_shared_words_hold_a_run(spark, tmp_path):
     rng = np.random.default_rng(7)
     words = [f"v{i}" for i in range(3000)]
     some = lambda n: " ".join(rng.choice(words, n))
@@ -189,11 +224,12 @@ def test_any_51_shared_words_hold_a_run(spark):
     for i in range(60):  # a passage within longer sentences, with and without an end of its own
         passage = some(51) if i % 3 else some(20) + ". " + some(31)
         texts += [f"{some(int(rng.integers(0, 40)))} {passage} {some(int(rng.integers(0, 40)))}" for _ in range(2)]
-    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = {r.doc_id: r for r in spans.dedup_spans(rows, part_words=8).collect()}
+    path = str(tmp_path / "rows")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(path)
+    found = {r.doc_id: r for r in spans.dedup_spans(spark.read.parquet(path)).collect()}
     assert all(found[2 * i].n_removed == 0 and found[2 * i + 1].n_removed >= 3 for i in range(60))
-    for t in (*texts, "", " \n", "  a b. c\n\n d e f g h i j k l m n o p q r s t u v w x y z", "x " * 100):
-        parts = spans.sentences(t, part_words=8)
+    for t in (*texts, "  a b. c\n\n d e f g h i j k l m n o p q r s t u v w x y z", "x " * 100):
+        parts = spans.sentences(t)
         assert "".join(parts) == t and all(len(p.split()) <= 8 for p in parts)
 
 

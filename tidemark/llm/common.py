@@ -125,6 +125,14 @@ class RollingHash:
         return mix64((self.sums[width:] - self.sums[:n]) * self.down[:n]) if n > 0 else np.empty(0, np.uint64)
 
 
+def sequence_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int) -> np.ndarray:
+    """64-bit hashes of runs of 64-bit values, from one cumulative sum; another salt gives another hash."""
+    up, down = _powers(len(values) + 1)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(mix64(values + np.uint64(salt * 0x9E3779B97F4A7C15 % (1 << 64))) * up[: len(values)], out=sums[1:])
+    return mix64((sums[ends] - sums[starts]) * down[starts])
+
+
 def text_groups(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Runs of texts of about ``most`` bytes together, or one longer text: number of the first, bytes, and offsets of
     the texts in them (one more than there are texts). A null is empty."""
