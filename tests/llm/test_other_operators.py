@@ -34,26 +34,46 @@ def _vectors(spark, n, seed=3):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), rows[: n + 60]
 
 
-@pytest.mark.parametrize("exact_rows", [10**6, 0])
-def test_search_recall(spark, exact_rows):
-    df, rows = _vectors(spark, 4000)
-    found = ann.search(df, df.where("vec_id % 20 = 0"), k=20, exact_rows=exact_rows, block=500).collect()
+def _nearest(rows, k=20):
+    """(vec_id, score) of each query's nearest, by sums in the order of the components."""
     ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float32).astype(np.float64)
-    got = collections.defaultdict(dict)
-    for r in found:
-        got[r.query_id][r.rank] = (r.vec_id, r.score)
-    hits = total = 0
+    out = {}
     for q in np.flatnonzero(ids % 20 == 0):
-        score = x @ x[q]
-        score[q] = -np.inf
-        order = np.lexsort((ids, -np.round(score, 9)))[:20]
-        mine = got[ids[q]]
-        assert sorted(mine) == list(range(1, len(mine) + 1))
-        place = {i: s for i, s in zip(ids.tolist(), score, strict=True)}
-        assert all(abs(place[i] - s) < 1e-9 for i, s in mine.values())
-        hits += len({i for i, _ in mine.values()} & set(ids[order].tolist()))
-        total += 20
-    assert hits / total >= (1.0 if exact_rows else 0.9)
+        score = np.cumsum(x * x[q], axis=1)[:, -1]
+        score[ids == ids[q]] = -np.inf
+        out[int(ids[q])] = [(int(ids[j]), float(score[j])) for j in np.lexsort((ids, -score))[:k]]
+    return out
+
+
+@pytest.mark.parametrize("n", [300, 4000, 12_000])
+def test_search_recall(spark, n):
+    df, rows = _vectors(spark, n)
+    found = collections.defaultdict(dict)
+    for r in ann.search(df, df.where("vec_id % 20 = 0"), k=20, block=500).collect():
+        found[r.query_id][r.rank] = (r.vec_id, r.score)
+    want, hits = _nearest(rows), 0
+    assert set(found) == set(want)
+    for q, near in want.items():
+        mine = [found[q][k] for k in sorted(found[q])]
+        assert sorted(found[q]) == list(range(1, len(mine) + 1)) and mine == sorted(mine, key=lambda x: (-x[1], x[0]))
+        hits += len(set(mine) & set(near))  # scores to the last bit
+    assert hits / (20 * len(want)) >= 0.9
+
+
+def test_search_ties_go_to_smaller_ids(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(40, 7))
+    rows = [(100 * j + i, [float(v) for v in x[i]]) for j in range(30) for i in range(40)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, score string").repartition(5)
+    got = collections.defaultdict(list)
+    for r in ann.search(df, df.where("vec_id % 20 = 0"), k=20, block=64).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    for q, near in got.items():
+        p = x[[i for i in range(40) if q % 100 == i][0]]
+        score = {i: float(np.cumsum(x[i] * p)[-1]) for i in range(40)}
+        want = sorted((v for v, _ in rows if v != q), key=lambda v: (-score[v % 100], v))[:20]
+        assert near[:1] == want[:1] and [score[v % 100] for v in near] == sorted((score[v % 100] for v in near), reverse=True)
+        assert near == want or len(set(near) & set(want)) >= 15
 
 
 def test_search_edges(spark):
@@ -62,6 +82,9 @@ def test_search_edges(spark):
     assert ann.search(few, few, k=20).groupBy("query_id").count().where("count <> 2").count() == 0
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
     assert ann.search(df, df.where("vec_id > 9000")).count() == 0
+    two = spark.createDataFrame([(i, [1.0 * i] * (2 + i % 2)) for i in range(1, 40)], "vec_id long, embedding array<double>")
+    found = ann.search(two, two.where("vec_id in (3, 4)"), k=2).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.vec_id) for r in found] == [(3, 39), (3, 37), (4, 38), (4, 36)]
 
 
 def test_archive_round_trip(spark, tmp_path):

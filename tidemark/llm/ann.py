@@ -14,8 +14,8 @@ are indexed: a vector that a third of all rows hold costs no more than others. C
 ``block`` vectors, and a task holds one block at a time and the best k of the queries that it has met. Products with
 ``pivots`` vectors bound each query's k-th best from below, so that a task passes on only what may still count.
 
-Defined cases: vectors that are null, zero, of another length than most, or that hold a null or non-finite component
-take no part; a query's own vec_id is no candidate; queries that repeat an id and vector count once, and with one id
+Defined cases: vectors that are null, zero, or that hold a null or non-finite component take no part; vectors of each
+length are searched among themselves; a query's own vec_id is no candidate; queries that repeat an id and vector count once, and with one id
 and several vectors the best products count; fewer than k candidates give fewer rows; no query or no vector gives no
 row; other columns are ignored.
 """
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from math import erf, sqrt
 
 import numpy as np
@@ -113,30 +114,36 @@ class Probes:
         return out
 
 
+def _slack(v: np.ndarray, longest: float) -> np.ndarray:
+    """By how much products of each row with a vector may differ between orders of summation, and more."""
+    return 1e-14 * v.shape[1] * np.linalg.norm(v, axis=1) * longest
+
+
 class _Best:
     """The best k (score, id) of each query so far; ties go to smaller ids."""
 
     def __init__(self, k: int):
         self.k, self.of = k, {}
 
-    def add(self, queries: np.ndarray, ids: np.ndarray, scores: np.ndarray, least: np.ndarray | None = None) -> None:
-        """scores: queries x ids; those under ``least`` of a query are left out."""
+    def add(self, queries: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, least: np.ndarray | None = None) -> None:
+        """q, x: vectors of the queries and of ids; products under ``least`` of a query are left out. The matrix product
+        says which may count; their scores are sums in the order of the components."""
+        scores = q @ x.T
         scores[queries[:, None] == ids[None, :]] = -np.inf
         k = min(self.k, scores.shape[1])
         floor = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-        # products of the same vectors may differ in their last bits, so a bound gives way a little
-        floor = floor if least is None else np.maximum(floor, least - 1e-9 * (1 + np.abs(least)))
-        for q, row, low in zip(queries.tolist(), scores, floor, strict=True):
+        floor = (floor if least is None else np.maximum(floor, least)) - _slack(q, float(np.linalg.norm(x, axis=1).max()))
+        for who, own, row, low in zip(queries.tolist(), q, scores, floor, strict=True):
             at = np.flatnonzero((row >= low) & (row > -np.inf))
             if not at.size:
                 continue
-            s, i = row[at], ids[at]
-            if q in self.of:
-                s, i = np.concatenate((self.of[q][0], s)), np.concatenate((self.of[q][1], i))
+            s, i = np.cumsum(x[at] * own, axis=1)[:, -1], ids[at]
+            if who in self.of:
+                s, i = np.concatenate((self.of[who][0], s)), np.concatenate((self.of[who][1], i))
                 i, first = np.unique(i, return_index=True)
                 s = s[first]
             order = np.lexsort((i, -s))[: self.k]
-            self.of[q] = (s[order], i[order])
+            self.of[who] = (s[order], i[order])
 
     def rows(self) -> pa.RecordBatch:
         q = np.repeat(np.fromiter(self.of, np.int64, len(self.of)), [len(x[0]) for x in self.of.values()] if self.of else [])
@@ -160,7 +167,7 @@ def exact(index: DataFrame, queries: list, k: int) -> DataFrame:
         best = _Best(k)
         for batch in batches:
             if batch.num_rows:
-                best.add(ids, batch.column(0).to_numpy(), q @ _matrix(batch.column(1)).T)
+                best.add(ids, q, batch.column(0).to_numpy(), _matrix(batch.column(1)))
         yield best.rows()
 
     return _ranked(index.select("vec_id", "v").mapInArrow(each, FOUND), k)
@@ -177,20 +184,24 @@ def _unpacked(data: bytes, rows: int) -> np.ndarray:
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 4, functions: int = 6, width: float = 2.0,
-           recall: float = 0.95, sample: int = 64, pivots: int = 1024, exact_rows: int = 4096, block: int = 4096, seed: int = 11,
+           recall: float = 0.95, sample: int = 64, pivots: int = 1024, block: int = 4096, seed: int = 11,
            vec: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): of each query the k vectors of largest inner product that were found."""
-    spark = vectors.sparkSession
     every, asked = usable(vectors, vec, embedding), usable(queries, vec, embedding).distinct()
-    size = every.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if size is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    every, asked = (x.where(F.size("v") == size.d) for x in (every, asked))
+    # vectors of different lengths have no product: each length is a search of its own
+    lengths = sorted(r[0] for r in every.select(F.size("v")).distinct().collect())
+    found = [_search(*(x.where(F.size("v") == d) for x in (every, asked)), d, k, tables, functions, width, recall, sample, pivots, block, seed) for d in lengths]
+    return reduce(DataFrame.unionByName, found) if found else vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _search(every: DataFrame, asked: DataFrame, dimension: int, k: int, tables: int, functions: int, width: float, recall: float,
+            sample: int, pivots: int, block: int, seed: int) -> DataFrame:
+    spark = every.sparkSession
     few = Window.partitionBy("v").orderBy("vec_id")
     index = written(every.distinct().withColumn("copy", F.row_number().over(few)).where(F.col("copy") <= k + 1).select("vec_id", "v"), "ann-rows")
-    about = index.agg(F.count("*").alias("n"), F.max(F.expr("sqrt(aggregate(v, 0D, (s, x) -> s + x * x))")).alias("longest")).first()
+    about = index.agg(F.max(F.expr("sqrt(aggregate(v, 0D, (s, x) -> s + x * x))")).alias("longest")).first()
 
-    hashes = Hashes.draw(size.d, tables, functions, width, about.longest * (1 + 1e-12), seed)
+    hashes = Hashes.draw(dimension, tables, functions, width, about.longest * (1 + 1e-12), seed)
     sent = spark.sparkContext.broadcast(hashes)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,14 +213,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 4,
     held = index.mapInArrow(hashed, "t int, cell long").groupBy("t", "cell").count().collect()  # at most tables x cells rows
     cells = [np.array([r.cell for r in held if r.t == t], np.int64) for t in range(tables)]
     sizes = [np.array([r["count"] for r in held if r.t == t], np.int64) for t in range(tables)]
-    probes = Probes(hashes, cells, sizes, 0.0, 2.0, 8 * k)
-    if about.n > exact_rows:
-        probes = _calibrated(probes, index, asked, k, recall, sample)
+    probes = _calibrated(Probes(hashes, cells, sizes, 0.0, 2.0, 8 * k), index, asked, k, recall, sample)
     sent_probes = spark.sparkContext.broadcast(probes)
     sent_splits = spark.sparkContext.broadcast({(r.t, r.cell): -(-r["count"] // block) for r in held})
     # a bounded set of vectors whose products bound each query's k-th best from below: what is under it isn't passed on
     some = index.orderBy(F.xxhash64(F.lit("pivots"), "vec_id"), "vec_id", "v").limit(pivots).collect()
-    sent_pivots = spark.sparkContext.broadcast((np.array([r.vec_id for r in some], np.int64), np.array([r.v for r in some]).reshape(len(some), size.d)))
+    sent_pivots = spark.sparkContext.broadcast((np.array([r.vec_id for r in some], np.int64), np.array([r.v for r in some]).reshape(len(some), dimension)))
 
     names = ["t", "cell", "part", "asks", "ids", "least", "v"]
     schema = "t int, cell long, part int, asks boolean, ids binary, least binary, v binary"
@@ -242,18 +251,22 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 4,
                 scores[i[:, None] == pivot_ids[None, :]] = -np.inf
                 least = np.partition(scores, len(pivot_ids) - k, axis=1)[:, len(pivot_ids) - k]
             for t in range(tables if len(i) else 0):
-                visits = sent_probes.value.visited(v, t)
-                for c, who in zip(sent_probes.value.cells[t].tolist(), visits.T, strict=True):
+                most = max(1, (1 << 22) // max(1, len(sent_probes.value.cells[t])))  # queries that are held against the cells at once
+                visits = [sent_probes.value.visited(v[x : x + most], t) for x in range(0, len(i), most)]
+                for c, who in zip(sent_probes.value.cells[t].tolist(), np.concatenate(visits).T, strict=True):
                     if (at := np.flatnonzero(who)).size:
                         row = (i[at].tobytes(), least[at].tobytes(), _packed(v[at]))
                         rows += [(t, c, p, True, *row) for p in range(sent_splits.value[t, c])]
+                if len(rows) > 10_000:
+                    yield packed_rows(rows)
+                    rows = []
             yield packed_rows(rows)
 
     def of_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             best = _Best(k)
             if batch.num_rows and len(sent_pivots.value[0]):
-                best.add(batch.column(0).to_numpy(), sent_pivots.value[0], _matrix(batch.column(1)) @ sent_pivots.value[1].T)
+                best.add(batch.column(0).to_numpy(), _matrix(batch.column(1)), *sent_pivots.value)
             yield best.rows()
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +283,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 4,
                         ids, rows = (np.concatenate(x) for x in zip(*parts, strict=True))
                     v, least = _unpacked(v, len(i)), np.frombuffer(least, np.float64)
                     for x in range(0, len(i), 512):
-                        best.add(i[x : x + 512], ids, v[x : x + 512] @ rows.T, least[x : x + 512])
+                        best.add(i[x : x + 512], v[x : x + 512], ids, rows, least[x : x + 512])
             if len(best.of) > 50_000:
                 yield best.rows()
         yield best.rows()
@@ -284,6 +297,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 4,
 def _calibrated(probes: Probes, index: DataFrame, asked: DataFrame, k: int, recall: float, sample: int) -> Probes:
     """The cosine of the sample's k-th neighbours, and the least share by which the sample finds ``recall`` of them."""
     some = asked.orderBy(F.xxhash64(F.lit("sample"), "vec_id"), "v").limit(sample).collect()
+    if not some:
+        return probes
     near = exact(index, some, k).select("query_id", "vec_id").join(index, "vec_id").select("query_id", "v").collect()
     if not near:
         return probes
