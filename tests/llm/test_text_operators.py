@@ -132,12 +132,27 @@ def test_lines_can_be_taken_back(spark, docs, corpus, nothing):
     assert _bag(both.apply(docs.where("doc_id is not null")).collect()) == _bag(_line_dedup(known))
     back = both.delete(second.select("doc_id"))
     assert _bag(back.apply(first).collect()) == _bag(_line_dedup(half))
-    joined = both._changed(both.refs, both.refs)
-    joined.broadcast_bytes = -1  # filters too large to send: the exact counts decide
-    assert _bag(joined.apply(docs).collect()) == _bag(_line_dedup(corpus))
+    again = back.insert(second).compact()
+    again.broadcast_bytes = -1  # filters too large to send: they are probed shard by shard
+    assert _bag(again.apply(docs).collect()) == _bag(_line_dedup(corpus))
+    assert set(again._probed().select("key").distinct().collect()) >= set(again._over().select("key").collect())
     assert lines.LineIndex.build(nothing).apply(nothing).count() == 0
 
 
+@pytest.mark.parametrize("broadcast_bytes", [32 << 20, -1])
+def test_line_shards_grow_and_columns_may_clash(spark, nothing, broadcast_bytes):
+    texts = [(i, "\n".join(f"the common line number {k} of them" for k in range(300))) for i in range(4)]
+    rows = spark.createDataFrame([(*x, "a", 2, None) for x in texts], "doc_id long, text string, keys string, n_lines int, kept string")
+    empty = lines.LineIndex.build(nothing, keys_per_shard=20)
+    grown = empty.insert(rows.where("doc_id < 2")).insert(rows.where("doc_id = 2"))
+    assert empty.shards == 1 and grown.shards >= 8
+    grown.broadcast_bytes = broadcast_bytes
+    grown = grown.insert(rows.where("doc_id = 3"))
+    found = {r.doc_id: r for r in grown.apply(rows, keep=("keys", "kept")).collect()}
+    assert [found[i].n_dropped for i in range(4)] == [300, 300, 300, 0] and found[0]["keys"] == "a" and found[0].text == ""
+    assert grown.delete(rows.where("doc_id < 2").select("doc_id")).apply(rows).where("n_dropped > 0").count() == 0
+
+
 def test_cuckoo_filter():
     keys = np.random.default_rng(2).integers(0, 2**63, 5000).astype(np.uint64)
     cuckoo = lines.CuckooFilter(5000)

@@ -3,10 +3,16 @@ from it, and sharded cuckoo filters over the keys that are to be dropped.
 
 A key is a line stripped of white space with A-Z lower-cased. A key of at least ``min_chars`` code points that at
 least ``min_docs`` documents hold loses its lines in all of them but the largest id. Inserting or deleting
-documents changes references, counts and filters by the difference alone, so a deletion brings lines back.
+documents writes the references, counts and filter shards that it touches and nothing else (references are read once to
+count the touched keys anew), so a deletion brings lines back; ``compact`` writes one table of each again. Shards split
+when keys outgrow them.
+
+References are held against the filters before they are shuffled to the counts: with filters of up to
+``broadcast_bytes`` where they are, else shard by shard, each shard's references dealt over ``SALTS`` tasks.
 
 Defined cases: null or empty text is one empty line; rows with a null id are left as they are and count nowhere;
-rows that repeat an id count as one document in counts, and each row is treated; other columns are ignored.
+rows that repeat an id count as one document in counts, and each row is treated; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +30,9 @@ from pyspark.sql import functions as F
 from .common import WHITE, written
 
 
+SALTS = 16
+
+
 class CuckooFilter:
     """Fingerprints of 16 bits in buckets of four; a key has two buckets. ``insert`` says False if it is full."""
 
@@ -92,6 +101,9 @@ def line_key(line: bytes, min_chars: int) -> bytes | None:
     return hashlib.blake2b(key, digest_size=16).digest()
 
 
+FILTERS = "shard int, cells binary"
+
+
 def _head(keys: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(k[:8] for k in keys), ">u8").astype(np.uint64)
 
@@ -129,13 +141,10 @@ class LineIndex:
     broadcast_bytes: int = 32 << 20
 
     @classmethod
-    def build(cls, docs: DataFrame, min_chars: int = 20, min_docs: int = 3, **options) -> LineIndex:
+    def build(cls, docs: DataFrame, min_chars: int = 20, min_docs: int = 3, keys_per_shard: int = 100_000, **options) -> LineIndex:
         refs = written(references(docs, min_chars, **options), "line-refs")
-        counts = written(cls._count(refs), "line-counts")
-        index = cls(refs, counts, None, 1, min_chars, min_docs)
-        index.shards = 1 << max(0, (counts.where(F.col("refs") >= min_docs).count() // index.keys_per_shard)).bit_length()
-        index.filters = index._filters(None, counts.select("key", F.lit(0).alias("before"), F.col("refs").alias("after")))
-        return index
+        index = cls(refs, written(cls._count(refs), "line-counts"), None, 1, min_chars, min_docs, keys_per_shard)
+        return index._sharded()
 
     @staticmethod
     def _count(refs: DataFrame) -> DataFrame:
@@ -144,54 +153,77 @@ class LineIndex:
     def _shard(self):
         return F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int").alias("shard")
 
-    def _filters(self, old: DataFrame | None, change: DataFrame) -> DataFrame:
-        """Old filters with the keys that have crossed ``min_docs`` put in or taken out. change: key, before, after.
-        A shard holds about ``keys_per_shard`` keys; one that overflows is made anew from the exact counts."""
-        low = self.min_docs
+    def _over(self) -> DataFrame:
+        return self.counts.where(F.col("refs") >= self.min_docs)
 
-        def update(key, have: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
-            now = keys["after"] >= low
-            was = keys["before"] >= low
-            cuckoo = CuckooFilter(data=have["cells"].iloc[0]) if len(have) else CuckooFilter(int(now.sum()))
-            if len(have):
-                cuckoo.delete(_head(keys.loc[was & ~now, "key"]))
-            while not cuckoo.insert(_head(keys.loc[now & ~(was & bool(len(have))), "key"])):
+    def _sharded(self) -> LineIndex:
+        """Filters made from the counts, in as many shards as the keys need."""
+        self.shards = 1 << max(0, self._over().count() // self.keys_per_shard).bit_length()
+        self.filters = self._made(self._over())
+        return self
+
+    def _made(self, over: DataFrame) -> DataFrame:
+        """Filters of all of these keys."""
+
+        def make(key, keys: pd.DataFrame) -> pd.DataFrame:
+            cuckoo = CuckooFilter(len(keys))
+            while not cuckoo.insert(_head(keys["key"])):
                 cuckoo = CuckooFilter(2 * cuckoo.cells.size)
-                have = have.iloc[:0]
             return pd.DataFrame({"shard": [key[0]], "cells": [cuckoo.bytes()]})
 
-        spark = change.sparkSession
-        old = old if old is not None else spark.createDataFrame([], "shard int, cells binary")
-        keys = change.where((F.col("before") >= low) | (F.col("after") >= low)).withColumn("shard", self._shard())
-        return written(old.groupBy("shard").cogroup(keys.groupBy("shard")).applyInPandas(update, "shard int, cells binary"), "line-filters")
+        keys = over.select("key", self._shard())
+        return written(keys.groupBy("shard").applyInPandas(make, FILTERS), "line-filters")
 
     def _changed(self, refs: DataFrame, difference: DataFrame) -> LineIndex:
         """The index over refs, which differ from the present ones by the keys of ``difference``."""
-        touched = difference.select("key").distinct()
-        new = self._count(refs.join(touched, "key", "left_semi"))
-        counts = written(self.counts.join(touched, "key", "left_anti").unionByName(new), "line-counts")
-        change = counts.select("key", F.col("refs").alias("after")).join(self.counts.select("key", F.col("refs").alias("before")), "key", "full")
+        touched = written(difference.select("key").distinct(), "line-touched")
+        new = written(self._count(refs.join(touched, "key", "left_semi")), "line-counts")
+        old = self.counts.join(touched, "key", "left_semi").select("key", F.col("refs").alias("before"))
+        counts = self.counts.join(touched, "key", "left_anti").unionByName(new)
         after = LineIndex(refs, counts, None, self.shards, self.min_chars, self.min_docs, self.keys_per_shard, self.broadcast_bytes)
-        after.filters = after._filters(self.filters, change.fillna(0, ["before", "after"]))
+        if after._over().count() > 2 * self.keys_per_shard * self.shards:
+            return after._sharded()
+        low = self.min_docs
+        both = new.select("key", F.col("refs").alias("after")).join(old, "key", "full").fillna(0, ["before", "after"])
+        crossed = both.where((F.col("before") >= low) != (F.col("after") >= low)).select("key", (F.col("after") >= low).alias("now"), self._shard())
+        crossed = written(crossed, "line-crossed")
+        shards = crossed.select("shard").distinct()
+
+        def update(key, have: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
+            cuckoo = CuckooFilter(data=have["cells"].iloc[0]) if len(have) else CuckooFilter(len(keys))
+            cuckoo.delete(_head(keys.loc[~keys["now"], "key"]))
+            full = not cuckoo.insert(_head(keys.loc[keys["now"], "key"]))
+            return pd.DataFrame({"shard": [key[0]], "cells": [None if full else cuckoo.bytes()]})
+
+        mine = self.filters.join(shards, "shard", "left_semi")
+        done = written(mine.groupBy("shard").cogroup(crossed.groupBy("shard")).applyInPandas(update, FILTERS), "line-filters")
+        after.filters = self.filters.join(shards, "shard", "left_anti").unionByName(done.where("cells is not null"))
+        full = done.where("cells is null").select("shard")
+        if not full.isEmpty():  # made anew from the exact counts
+            keys = after._over().select("key").withColumn("shard", after._shard()).join(full, "shard", "left_semi")
+            after.filters = after.filters.unionByName(after._made(keys.select("key")))
         return after
 
     def insert(self, docs: DataFrame, **options) -> LineIndex:
         new = written(references(docs, self.min_chars, **options), "line-refs")
-        return self._changed(written(self.refs.unionByName(new), "line-refs"), new)
+        return self._changed(self.refs.unionByName(new), new)
 
     def delete(self, ids: DataFrame) -> LineIndex:
         """ids: one column doc_id. Their lines no longer count."""
-        ids = ids.select("doc_id").distinct()
-        gone = written(self.refs.join(ids, "doc_id", "left_semi"), "line-gone")
-        return self._changed(written(self.refs.join(ids, "doc_id", "left_anti"), "line-refs"), gone)
-
-    def dropped(self) -> DataFrame:
-        """(doc_id, keys): the line keys that each document loses. Filters pass on what may be dropped; the exact
-        counts decide. Filters within ``broadcast_bytes`` go to each task; larger ones do not travel and the
-        join with the counts decides alone."""
-        refs = self.refs
-        cells = self.filters.agg(F.coalesce(F.sum(F.octet_length("cells")), F.lit(0))).first()[0]
-        if cells <= self.broadcast_bytes:
+        ids = written(ids.select("doc_id").distinct(), "line-deleted")
+        gone = self.refs.join(ids, "doc_id", "left_semi")
+        return self._changed(self.refs.join(ids, "doc_id", "left_anti"), gone)
+
+    def compact(self) -> LineIndex:
+        """The same index as one table of references, counts and filters each, so that reads don't pass over all changes."""
+        tables = (written(self.refs, "line-refs"), written(self.counts, "line-counts"), written(self.filters, "line-filters"))
+        return LineIndex(*tables, self.shards, self.min_chars, self.min_docs, self.keys_per_shard, self.broadcast_bytes)
+
+    def _probed(self) -> DataFrame:
+        """The references whose keys the filters hold."""
+        refs = self.refs.withColumn("shard", self._shard())
+        size = self.filters.agg(F.coalesce(F.sum(F.octet_length("cells")), F.lit(0))).first()[0]
+        if size <= self.broadcast_bytes:
             sent = refs.sparkSession.sparkContext.broadcast({r.shard: bytes(r.cells) for r in self.filters.collect()})
 
             def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -203,15 +235,33 @@ class LineIndex:
                             keep[at] = filters[shard].contains(_head(rows["key"].iloc[at]))
                     yield rows.loc[keep, ["key", "doc_id"]]
 
-            refs = refs.withColumn("shard", self._shard()).mapInPandas(probe, "key binary, doc_id long")
-        over = self.counts.where(F.col("refs") >= self.min_docs)
-        hits = refs.join(over, "key").where(F.col("doc_id") != F.col("max_doc"))
+            return refs.mapInPandas(probe, "key binary, doc_id long")
+
+        def probe_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            shard, cuckoo = None, None  # a shard's filter comes before its references
+            for rows in batches:
+                for at in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(rows["shard"]) | rows["cells"].notna()[1:]) + 1):
+                    some = rows.iloc[at]
+                    if len(some) and some["cells"].notna().iloc[0]:
+                        shard, cuckoo = some["shard"].iloc[0], CuckooFilter(data=some["cells"].iloc[0])
+                        some = some.iloc[1:]
+                    if len(some) and some["shard"].iloc[0] == shard:
+                        yield some.loc[cuckoo.contains(_head(some["key"])), ["key", "doc_id"]]
+
+        held = self.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "cells", F.lit(None).cast("binary").alias("key"), F.lit(None).cast("long").alias("doc_id"))
+        asked = refs.select("shard", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"), F.lit(None).cast("binary").alias("cells"), "key", "doc_id")
+        dealt = held.unionByName(asked).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("cells").isNull())
+        return dealt.mapInPandas(probe_shards, "key binary, doc_id long")
+
+    def dropped(self) -> DataFrame:
+        """(doc_id, keys): the line keys that each document loses. Filters pass on what may be dropped; the exact
+        counts decide."""
+        hits = self._probed().join(self._over(), "key").where(F.col("doc_id") != F.col("max_doc"))
         return hits.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
     def apply(self, docs: DataFrame, doc: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
         """(doc_id, kept columns, n_lines, n_dropped, text): every row of docs with its remaining lines joined by \\n."""
         min_chars = self.min_chars
-        named = ["doc_id", *keep]
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -223,8 +273,11 @@ class LineIndex:
                     out.append((len(lines), len(lines) - len(kept), "\n".join(kept)))
                 columns = zip(*out, strict=True) if out else ([],) * 3
                 made = [pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in named), *made], [*named, "n_lines", "n_dropped", "text"])
-
-        rows = docs.select(F.col(doc).cast("long").alias("doc_id"), *[F.col(f"`{c}`") for c in keep], F.col(text).alias("text"))
-        schema = rows.select(*[F.col(f"`{c}`") for c in named]).schema.add("n_lines", "long").add("n_dropped", "long").add("text", "string")
-        return rows.join(self.dropped(), "doc_id", "left").select(*[F.col(f"`{c}`") for c in named], "text", "keys").mapInArrow(cut, schema)
+                rest = ["kept"] if keep else []
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made, *map(batch.column, rest)], ["doc_id", "n_lines", "n_dropped", "text", *rest])
+
+        kept = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None)
+        rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"), kept.alias("kept"))
+        schema = "doc_id long, n_lines long, n_dropped long, text string" + (f", kept {rows.schema['kept'].dataType.simpleString()}" if keep else "")
+        found = rows.join(self.dropped(), "doc_id", "left").select("doc_id", "text", "keys", *(["kept"] if keep else [])).mapInArrow(cut, schema)
+        return found.select("doc_id", *[F.col(f"kept.`{c}`").alias(c) for c in keep], "n_lines", "n_dropped", "text")
