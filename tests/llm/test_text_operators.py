@@ -57,7 +57,6 @@ def _shingles(t):
 @pytest.mark.parametrize(("percent", "often", "rounds"), [(75, 256, 8), (50, 256, 8), (75, 3, 2), (60, 4, 0)])
 def test_components_against_brute_force(docs, corpus, percent, often, rounds, monkeypatch):
     monkeypatch.setattr(jaccard, "OFTEN", often)
-    monkeypatch.setattr(jaccard, "ODD", often + 1)
     monkeypatch.setattr(jaccard, "ROUNDS", rounds)
     sets = [_shingles(t) for _, t in corpus]
     root = list(range(len(corpus)))
@@ -385,17 +384,20 @@ def _contamination(corpus, items, width):
         yield d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("set_limit", [50_000, 0])
+@pytest.mark.parametrize("set_bytes", [1 << 20, 0])
 @pytest.mark.parametrize("width", [10, 3])
-def test_contamination_against_brute_force(docs, corpus, benchmark, set_limit, width):
+def test_contamination_against_brute_force(docs, corpus, benchmark, set_bytes, width):
     items = [(r.item_id, r.text) for r in benchmark.collect()]
-    found = decontam.report(decontam.contamination(docs, benchmark, width, set_limit))
+    found = decontam.report(decontam.contamination(docs, benchmark, width, set_bytes))
     assert _bag(found.collect()) == _bag(_contamination(corpus, items, width))
 
 
 def test_decontaminate(docs, benchmark, nothing):
     clean = decontam.decontaminate(docs, benchmark)
     assert clean.columns == docs.columns and 0 < clean.count() < docs.count()
+    clash = docs.select("doc_id", "text", *[F.lit(k).alias(c) for k, c in enumerate(("_row", "words", "found", "hit", "items", "spans", "whole", "pieces"))])
+    assert decontam.decontaminate(clash, benchmark).count() == clean.count()
+    assert decontam.decontaminate(clash, benchmark, mode="spans").columns == clash.columns
     cut = decontam.decontaminate(docs, benchmark, mode="spans")
     assert cut.columns == docs.columns and cut.count() == docs.count()
     left = decontam.report(decontam.contamination(cut, benchmark.where("item_id < 3")))

@@ -34,6 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def unused(columns: list[str], name: str) -> str:
+    """The name, with as many underscores before it as make it differ from all columns."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = f"_{name}"
+    return name
+
+
 #: Spark's switch to drop the shuffle files of a query as it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

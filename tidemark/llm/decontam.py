@@ -1,9 +1,11 @@
 """Benchmark decontamination with DataFrame functions only: windows of benchmark words form a hash set that goes
-to every task, training windows are looked up in it, hits are verified word by word, and spans or documents go.
+to every task, training windows are looked up in it, hits are verified word by word, and spans or documents go. Only
+rows with hits are shuffled, and never their texts.
 
 Defined cases: null text has no words; an item without words has no window; a document with a null id or a
-repeated id is a row of its own; other columns of either table are ignored by ``contamination`` and kept by
-``decontaminate``; an empty benchmark leaves every document clean.
+repeated id is a row of its own; other columns of either table, whatever their names, are ignored by
+``contamination`` and kept by ``decontaminate``; an empty benchmark leaves every document clean. docs must read the same
+rows each time (a table).
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_row_id
+from .common import unused, with_row_id, written
 
 #: What separates words, after A-Z have become a-z.
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -36,45 +38,56 @@ def benchmark_windows(benchmark: DataFrame, width: int, item: str = "item_id", t
     return grams.groupBy("length", "gram").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, set_limit: int = 50_000,
-                  doc: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def _positions(lengths: list[int], test: str) -> str:
+    """Places (from 1) and lengths of the windows of ``words`` that pass the test on place i and length n."""
+    some = [f"transform(filter(sequence(1, size(words) - {n - 1}), i -> {test.format(n=n)}), i -> named_struct('pos', i, 'length', {n}))" for n in lengths]
+    none = "cast(array() as array<struct<pos:int,length:int>>)"
+    return "concat(" + ", ".join([none, *(f"if(size(words) >= {n}, {x}, {none})" for n, x in zip(lengths, some, strict=True))]) + ")"
+
+
+def _pair(n: int) -> str:
+    return "xxhash64(words[i - 1], words[i])" if n > 1 else "xxhash64(words[i - 1])"
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, set_bytes: int = 1 << 20,
+                  doc: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
     """One row per document: doc, n_words, spans (maximal hit runs as [first, end) word numbers), n_hit, items.
 
-    Up to ``set_limit`` distinct windows go to the tasks as one hash set inside the plan (its size is checked
-    first) and documents aren't shuffled to find hits; beyond it, window hashes of documents meet those of the
-    benchmark in an equi-join, whose sides Spark may broadcast or shuffle by their measured size.
-    """
-    windows = benchmark_windows(benchmark, width).withColumn("h", F.expr("xxhash64(split(gram, ' '))"))
-    lengths = sorted(r[0] for r in windows.select("length").distinct().collect())  # width values at most
-    found = [r[0] for r in windows.select("h").distinct().limit(set_limit + 1).collect()]
-    docs = with_row_id(docs.select(F.col(doc).alias("doc_id"), *keep, F.col(text).alias("_text")))
-    named = ["_row", "doc_id", *keep]
-    words = docs.select(*named, words_of(F.col("_text")).alias("words"))
-    words = words.withColumn("n_words", F.size("words").cast("long"))
-    each = [f"if(n_words >= {n}, sequence(1, cast(n_words as int) - {n - 1}), cast(array() as array<int>))" for n in lengths]
-    grams = "transform({}, i -> named_struct('pos', i - 1, 'length', {}, 'gram', array_join(slice(words, i, {}), ' ')))"
-    if not lengths:
-        hits = words.select(*named, "n_words", F.expr("cast(null as struct<pos:int,length:int,gram:string>)").alias("hit"))
-    elif len(found) <= set_limit:
-        inside = ", ".join(f"{x}L" for x in found)
-        some = [grams.format(f"filter({s}, i -> xxhash64(slice(words, i, {n})) in ({inside}))", n, n) for s, n in zip(each, lengths, strict=True)]
-        hits = words.select(*named, "n_words", F.explode_outer(F.expr(f"concat({', '.join(some)})")).alias("hit"))
+    Two hash sets of the benchmark's windows, of their first two words and of all their words, go to the tasks inside the
+    plan while they have at most ``set_bytes`` bytes (8 for each hash); the first spares nearly all places the second.
+    A larger benchmark is met by the hashes of all windows in an equi-join. Either way only places, lengths and hashes
+    move, and the words of hits alone are compared one by one. ``whole`` adds the number of each row, ``_row``."""
+    windows = written(benchmark_windows(benchmark, width).withColumn("h", F.expr("xxhash64(split(gram, ' '))"))
+                      .withColumn("pair", F.expr("if(length > 1, xxhash64(split(gram, ' ')[0], split(gram, ' ')[1]), xxhash64(gram))")), "windows")
+    about = windows.agg(F.array_sort(F.collect_set("length")).alias("lengths"), F.count("*").alias("n")).first()  # width lengths at most
+    lengths, small = about.lengths, 16 * about.n <= set_bytes
+    rows = with_row_id(docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("_text"))).select("_row", "doc_id", words_of(F.col("_text")).alias("words"))
+    gram = "transform(found, p -> struct(p.pos as pos, p.length as length, array_join(slice(words, p.pos, p.length), ' ') as gram))"
+    if small:
+        sent = windows.select("length", "h", "pair").collect()
+        inside = lambda column, n: ", ".join(f"{x}L" for x in sorted({r[column] for r in sent if (r.length > 1) == (n > 1)}))
+        tests = {n: f"{_pair(n)} in ({inside('pair', n)}) and xxhash64(slice(words, i, {n})) in ({inside('h', n)})" for n in lengths}
+        parts = [_positions([n], tests[n]) for n in lengths] or [_positions([], "")]
+        found = rows.withColumn("found", F.expr(f"concat({', '.join(parts)})"))
+        # each row's words are read once: what is written has places and the words of hits only
+        found = written(found.select("_row", "doc_id", F.size("words").cast("long").alias("n_words"), F.expr(gram).alias("found")), "places")
+        hits = found.where("size(found) > 0").select("_row", F.explode("found").alias("hit")).select("_row", "hit.*")
     else:
-        some = [grams.format(s, n, n) for s, n in zip(each, lengths, strict=True)]
-        hits = words.select(*named, "n_words", F.explode_outer(F.expr(f"concat({', '.join(some)})")).alias("hit"))
-    hits = hits.select(*named, "n_words", F.col("hit.pos").alias("pos"), F.col("hit.length").alias("length"), F.col("hit.gram").alias("gram"))
-    grams_of = windows.select(F.col("gram"), "items")
-    hits = hits.join(F.broadcast(grams_of) if len(found) <= set_limit else grams_of, "gram", "left")
-    per_doc = hits.groupBy(*named).agg(
-        F.first("n_words").alias("n_words"),
+        found = rows.select("_row", "doc_id", F.size("words").cast("long").alias("n_words"))
+        places = rows.select("_row", "words", F.explode(F.expr(_positions(lengths, "true"))).alias("at")).select(
+            "_row", "at.pos", "at.length", F.expr("xxhash64(slice(words, at.pos, at.length))").alias("h"))
+        some = places.join(windows.select("h", "length").distinct(), ["h", "length"]).groupBy("_row").agg(F.collect_list(F.struct("pos", "length")).alias("found"))
+        hits = rows.join(some, "_row").select("_row", F.explode(F.expr(gram)).alias("hit")).select("_row", "hit.*")
+    hits = hits.join(windows.select("gram", "items"), "gram").groupBy("_row").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-        F.array_sort(F.collect_list(F.when(F.col("items").isNotNull(), F.struct(F.col("pos").alias("first"), (F.col("pos") + F.col("length")).alias("end"))))).alias("raw"),
-    )
+        F.array_sort(F.collect_list(F.struct((F.col("pos") - 1).alias("first"), (F.col("pos") - 1 + F.col("length")).alias("end")))).alias("raw"))
     merged = F.expr("""aggregate(raw, cast(array() as array<struct<first:int,end:int>>), (acc, x) ->
         if(size(acc) > 0 and element_at(acc, -1).end >= x.first,
            concat(slice(acc, 1, size(acc) - 1), array(named_struct('first', element_at(acc, -1).first, 'end', greatest(element_at(acc, -1).end, x.end)))),
            concat(acc, array(x))))""")
-    return per_doc.select(*named, "n_words", "items", merged.alias("spans")).withColumn(
+    hits = hits.select("_row", "items", merged.alias("spans"))
+    clean = [F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"), F.coalesce("spans", F.expr("cast(array() as array<struct<first:int,end:int>>)")).alias("spans")]
+    return found.join(hits, "_row", "left").select(*["_row"] * whole, "doc_id", "n_words", *clean).withColumn(
         "n_hit", F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.first)"))
 
 
@@ -91,15 +104,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, mode:
     them cut out of their texts (``mode='spans'``). Columns stay as they were."""
     if mode not in ("documents", "spans"):
         raise ValueError(f"mode {mode!r}")
-    columns = docs.columns
-    struct = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_whole"), F.col(f"`{doc}`").alias("_doc"), F.col(f"`{text}`").alias("_body"))
-    found = contamination(struct, benchmark, width, doc="_doc", text="_body", keep=("_whole",), **options)
+    found = contamination(docs, benchmark, width, doc=doc, text=text, whole=True, **options).where("n_hit > 0")
+    rows = with_row_id(docs, name := unused(docs.columns, "_row"))
     if mode == "documents":
-        return found.where("n_hit = 0").select("_whole.*")
+        gone = found.select(F.col("_row").alias(name))
+        return rows.join(gone, name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     # pieces are words and separators by turns; word j is piece 2 j, or 2 j + 1 if the text starts with a separator
-    pieces = found.withColumn("_pieces", F.expr(
-        rf"regexp_extract_all(_whole.`{text}`, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+|[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+', 0)"))
-    pieces = pieces.withColumn("_first", F.expr(rf"cast(_whole.`{text}` rlike '^[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]' as int)"))
-    cut = F.expr("array_join(filter(_pieces, (p, i) -> not exists(spans, s -> i >= 2 * s.first + _first and i < 2 * s.end - 1 + _first)), '')")
-    kept = F.when(F.col("n_hit") > 0, cut).otherwise(F.col(f"_whole.`{text}`"))
-    return pieces.withColumn("_text", kept).select(*[F.col("_text").alias(c) if c == text else F.col(f"_whole.`{c}`").alias(c) for c in columns])
+    spans = found.select(F.col("_row").alias(name), "spans")
+    both = rows.select(name, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")).join(spans, name, "left")
+    pieces = both.withColumn("pieces", F.expr(
+        rf"regexp_extract_all(whole.`{text}`, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+|[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+', 0)"))
+    pieces = pieces.withColumn("first", F.expr(rf"cast(whole.`{text}` rlike '^[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]' as int)"))
+    cut = F.expr("array_join(filter(pieces, (p, i) -> not exists(spans, s -> i >= 2 * s.first + first and i < 2 * s.end - 1 + first)), '')")
+    kept = F.when(F.col("spans").isNotNull(), cut).otherwise(F.col(f"whole.`{text}`"))
+    return pieces.withColumn("cut", kept).select(*[F.col("cut").alias(c) if c == text else F.col(f"whole.`{c}`").alias(c) for c in docs.columns])

@@ -8,16 +8,16 @@ bound it from above by bit counts, and pairs that could still reach the threshol
 sorted arrays of 64-bit shingle hashes (two different shingles of a pair of sets of n would have to collide to count
 wrongly: n * n in 2**64).
 
-The common order puts rare shingles first. The half of the shingles whose hash is even comes first, by exact frequency
-up to ``OFTEN`` and by hash among equals; the odd half follows by hash alone and is needed only where a set has too few
-even ones. One equi-grouping of these postings counts them; a shingle that one row alone has makes no tile, so a node
-whose prefix is full of such is done. A task passes on ``OFTEN`` postings of a shingle at most to be counted; that many
-show that it is frequent, and the others say so themselves, so no task gets all rows of a shingle that many rows hold.
+The common order puts rare shingles first, by exact frequency up to ``OFTEN`` and by hash among equals. One shuffle of all
+postings counts them; a shingle that one row alone has makes no tile, so a node whose prefix is full of such is done. A
+task passes on ``OFTEN`` postings of a shingle at most to be counted; that many show that it is frequent, and the others
+say so themselves, so no task gets all rows of a shingle that many rows hold.
 
 Links say who is in a component, and only that is kept. So groups of thousands of near copies are settled in rounds: in
 each tile one node (another one each round) is the leader, each node of another component is held against the leader
-with which it shares most tiles, and links merge components. When a round links nothing more, all pairs of different
-components that share a tile are compared, whatever their number: no link between components is lost.
+with which it shares most tiles, and links merge components. When the pairs of different components that share a tile
+are few for the rows, or a round links nothing more, all of them are compared, whatever their number: no link between
+components is lost.
 
 ``components`` returns components, by large-star and small-star rounds on the links (Kiveris et al. 2014).
 
@@ -33,15 +33,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import release, shingle_sets, with_row_id, written
 
 LEAST_BITS = 1024  # of a bitmap signature; a set of more elements has the next power of two
 OFTEN = 256  # frequencies from here on count as one
-ODD = OFTEN + 1  # the place of odd shingles in the order
 ROUNDS = 8  # of leaders, at most
+FEW = 4  # pairs for each row of the tiles: when no more are left, all are compared
 
 
 def signature(shingles: np.ndarray) -> bytes:
@@ -73,24 +73,23 @@ def linked(common, size_a, size_b, percent: int):
 
 
 def _classes(rows: DataFrame) -> DataFrame:
-    """(_row, doc_id, n_shingles, n_even, key) of every row; key is null for an empty set."""
+    """(_row, doc_id, n_shingles, key) of every row; key is null for an empty set."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, even, keys = [], [], []
+            sizes, keys = [], []
             for shingles in shingle_sets(batch.column(2)):
                 sizes.append(len(shingles))
-                even.append(int((shingles & np.uint64(1) == 0).sum()))
                 keys.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None)
-            made = [pa.array(sizes, pa.int64()), pa.array(even, pa.int64()), pa.array(keys, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["_row", "doc_id", "n_shingles", "n_even", "key"])
+            made = [pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["_row", "doc_id", "n_shingles", "key"])
 
-    return rows.select("_row", "doc_id", "text").mapInArrow(each, "_row long, doc_id long, n_shingles long, n_even long, key binary")
+    return rows.select("_row", "doc_id", "text").mapInArrow(each, "_row long, doc_id long, n_shingles long, key binary")
 
 
-def _postings(rows: DataFrame, percent: int) -> DataFrame:
-    """(shingle, node): the even shingles of each row, and odd ones where its prefix reaches them. Those of a shingle of
-    which the task has passed on ``OFTEN`` have -1 - node for node: they are frequent and need no counting."""
+def _postings(rows: DataFrame) -> DataFrame:
+    """(shingle, node): the shingles of each row. Those of a shingle of which the task has passed on ``OFTEN`` have -1 - node
+    for node: they are frequent and need no counting."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed: dict[int, int] = {}
@@ -114,14 +113,10 @@ def _postings(rows: DataFrame, percent: int) -> DataFrame:
             nodes: list[int] = []
             held = 0
             for node, shingles in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True):
-                odd = shingles & np.uint64(1) == 1
-                some, n = shingles[~odd], prefix_sizes(len(shingles), percent)[0]
-                if len(some) < n:
-                    some = np.concatenate((some, shingles[odd][: n - len(some)]))
-                if len(some):
-                    sets.append(some)
+                if len(shingles):
+                    sets.append(shingles)
                     nodes.append(node)
-                    held += len(some)
+                    held += len(shingles)
                 if held > 1 << 20:
                     yield out(sets, nodes)
                     sets, nodes, held = [], [], 0
@@ -137,8 +132,7 @@ def _shared(postings: DataFrame) -> DataFrame:
     names = ["node", "shingle", "level"]
 
     def out(shingle: np.ndarray, node: np.ndarray, level: np.ndarray) -> pa.RecordBatch:
-        level = np.where(shingle & 1 == 1, ODD, np.minimum(level, OFTEN))
-        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(shingle), pa.array(level.astype(np.int32))], names)
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(shingle), pa.array(np.minimum(level, OFTEN).astype(np.int32))], names)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, node, often = np.empty(0, np.int64), np.empty(0, np.int64), None  # the last run, and a shingle whose run is passed on
@@ -176,20 +170,17 @@ def _shared(postings: DataFrame) -> DataFrame:
 
 
 def _tiles(shared: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(shingle, node, n): the prefix shingles of each node that other rows have. nodes: node, n_shingles, n_even."""
+    """(shingle, node, n): the prefix shingles of each node that other rows have. nodes: node, n_shingles."""
     lists = shared.groupBy("node").agg(F.collect_list("shingle").alias("shingles"), F.collect_list("level").alias("levels"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts: list[tuple[np.ndarray, int, int]] = []
-            for k, (node, n, even) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("node", "n_shingles", "n_even")), strict=True)):
+            for k, (node, n) in enumerate(zip(batch.column("node").to_pylist(), batch.column("n_shingles").to_pylist(), strict=True)):
                 shingle, level = (batch.column(c)[k].values.to_numpy() for c in ("shingles", "levels"))
-                odd = level == ODD
-                left = min(prefix_sizes(n, percent)[0], even) - (even - int((~odd).sum()))  # of the prefix, after even ones of this row alone
-                some = shingle[~odd]
-                some = some[np.lexsort((some, level[~odd]))][: max(0, left)]
-                parts.append((np.concatenate((some, shingle[odd])), node, n))
-            parts = [p for p in parts if len(p[0])]
+                left = prefix_sizes(n, percent)[0] - (n - len(shingle))  # of the prefix, after those that this row alone has
+                if left > 0:
+                    parts.append((shingle[np.lexsort((shingle, level))][:left], node, n))
             if parts:
                 sizes = [len(p[0]) for p in parts]
                 yield pa.RecordBatch.from_arrays([
@@ -240,12 +231,14 @@ def _verified(sets: DataFrame, pairs: DataFrame, percent: int, what: str) -> Dat
 
 
 def _mixed(tiles: DataFrame, known: DataFrame | None) -> DataFrame:
-    """(shingle, node, n, group): tiles with each node's component, where a shingle has nodes of several."""
+    """(shingle, node, n, group, share): tiles with each node's component, where a shingle has nodes of several. Shares sum
+    to the number of pairs of different components."""
     rows = tiles.withColumn("group", F.col("node"))
     if known is not None:
         rows = tiles.join(known, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
-    mixed = rows.groupBy("shingle").agg((F.min("group") != F.max("group")).alias("mixed")).where("mixed").select("shingle")
-    return rows.join(mixed, "shingle", "left_semi").select("shingle", "node", "n", "group")
+    sizes = rows.groupBy("shingle", "group").agg(F.count("*").cast("double").alias("c"))
+    mixed = sizes.groupBy("shingle").agg(((F.sum("c") - F.sum(F.col("c") * F.col("c")) / F.sum("c")) / 2).alias("share"), F.count("*").alias("groups")).where("groups > 1")
+    return rows.join(mixed.drop("groups"), "shingle").select("shingle", "node", "n", "group", "share")
 
 
 def _band(n: str, percent: int, shift: float = 0.0):
@@ -293,10 +286,11 @@ def connected_components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        before, edges = edges, written(small, "edges")
+        seen = Observation()
+        before, edges = edges, written(small.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "edges")
         release(before)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state or not now[0]:
+        now = seen.get
+        if now == state or not now["n"]:
             break
         state = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
@@ -308,22 +302,23 @@ def links(docs: DataFrame, percent: int = 75, doc: str = "doc_id", text: str = "
     rows = with_row_id(docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))).select("_row", "doc_id", "text")
     classes = written(_classes(rows), "classes")
     named = classes.where("key is not null").groupBy("key").agg(F.min("_row").alias("node"))
-    members = written(classes.join(named, "key", "left").select("_row", "doc_id", "n_shingles", "n_even", "node"), "members")
+    members = written(classes.join(named, "key", "left").select("_row", "doc_id", "n_shingles", "node"), "members")
     release(classes)
-    shared = _shared(_postings(rows, percent))
-    tiles = written(_tiles(shared, members.where("_row = node").select("node", "n_shingles", "n_even"), percent), "tiles")
+    shared = _shared(_postings(rows))
+    tiles = written(_tiles(shared, members.where("_row = node").select("node", "n_shingles"), percent), "tiles")
     several = tiles.groupBy("shingle").agg(F.count("*").alias("nodes")).where("nodes > 1").select("shingle")
     tiles = written(tiles.join(several, "shingle", "left_semi").select("shingle", "node", "n"), "tiles")
     sets = written(_sets(rows, tiles), "sets")
     known = None
-    for turn in range(ROUNDS):
+    for turn in range(ROUNDS + 1):
         tiles = written(_mixed(tiles.select("shingle", "node", "n"), known), "mixed")
+        left = tiles.agg(F.count("*").alias("rows"), F.sum("share").alias("pairs")).first()
+        if turn == ROUNDS or not left.rows or left.pairs <= FEW * left.rows:
+            break
         found = _verified(sets, written(_leader_pairs(tiles, turn, percent), "leaders"), percent, "leader")
         if found.isEmpty():
             break
         known = connected_components(found if known is None else found.union(known.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    else:
-        tiles = written(_mixed(tiles.select("shingle", "node", "n"), known), "mixed")
     found = _verified(sets, written(_tile_pairs(tiles, percent), "pairs"), percent, "tile")
     if known is None or not found.isEmpty():
         known = connected_components(found if known is None else found.union(known.select(F.col("node").alias("a"), F.col("component").alias("b"))))
