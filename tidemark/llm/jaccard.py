@@ -3,8 +3,8 @@
 A document is its set of shingles (five words). Equal sets are one class, a node. Two sets of similarity t share one of
 their first shingles in any common order (prefixes of n - ceil(t n) + 1), so only nodes that share such a shingle meet,
 in the tile of that shingle and of their band of sizes; sizes of linked sets differ by t at most, which is one band.
-In a tile, the number of shared prefix shingles bounds the overlap; for the pairs that are left, bitmap signatures
-bound it from above by bit counts, and pairs that could still reach the threshold are verified by intersecting their
+In a tile, places in the order bound the overlap; for the pairs that are left, bitmap signatures bound it from above by
+bit counts, and pairs that could still reach the threshold are verified by intersecting their
 sorted arrays of 64-bit shingle hashes (two different shingles of a pair of sets of n would have to collide to count
 wrongly: n * n in 2**64).
 
@@ -14,9 +14,9 @@ task passes on ``OFTEN`` postings of a shingle at most to be counted; that many
 say so themselves, so no task gets all rows of a shingle that many rows hold.
 
 Links say who is in a component, and only that is kept. So groups of thousands of near copies are settled in rounds: in
-each tile one node (another one each round) is the leader, each node of another component is held against the leader
+each tile one node (another one each round) is the leader, each node of another component is held against the leaders
 with which it shares most tiles, and links merge components. When the pairs of different components that share a tile
-are few for the rows, or a round links nothing more, all of them are compared, whatever their number: no link between
+are few for the rows, or a round settles few more, all of them are compared, whatever their number: no link between
 components is lost.
 
 ``components`` returns components, by large-star and small-star rounds on the links (Kiveris et al. 2014).
@@ -41,6 +41,7 @@ from .common import release, shingle_sets, with_row_id, written
 LEAST_BITS = 1024  # of a bitmap signature; a set of more elements has the next power of two
 OFTEN = 256  # frequencies from here on count as one
 ROUNDS = 8  # of leaders, at most
+LEADERS = 8  # that a node is held against in a round
 FEW = 4  # pairs for each row of the tiles: when no more are left, all are compared
 
 
@@ -60,9 +61,9 @@ def overlap_bound(size_a: int, bits_a: bytes, size_b: int, bits_b: bytes) -> int
     return min(size_a - int(np.bitwise_count(a & ~b).sum()), size_b - int(np.bitwise_count(b & ~a).sum()))
 
 
-def prefix_sizes(n, percent: int):
-    """Of n elements in order, how many decide whether any link is possible, and how many of the smaller set of a pair."""
-    return n + (-percent * n // 100) + 1, n + (-2 * percent * n // (100 + percent)) + 1
+def prefix_size(n, percent: int):
+    """Of n elements in order, how many decide whether any link is possible."""
+    return n + (-percent * n // 100) + 1
 
 
 def linked(common, size_a, size_b, percent: int):
@@ -170,23 +171,25 @@ def _shared(postings: DataFrame) -> DataFrame:
 
 
 def _tiles(shared: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(shingle, node, n): the prefix shingles of each node that other rows have. nodes: node, n_shingles."""
+    """(shingle, node, n, at): the prefix shingles of each node that other rows have, and how many come before each in the
+    set's order. nodes: node, n_shingles."""
     lists = shared.groupBy("node").agg(F.collect_list("shingle").alias("shingles"), F.collect_list("level").alias("levels"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts: list[tuple[np.ndarray, int, int]] = []
+            parts: list[tuple[np.ndarray, int, int, int]] = []
             for k, (node, n) in enumerate(zip(batch.column("node").to_pylist(), batch.column("n_shingles").to_pylist(), strict=True)):
                 shingle, level = (batch.column(c)[k].values.to_numpy() for c in ("shingles", "levels"))
-                left = prefix_sizes(n, percent)[0] - (n - len(shingle))  # of the prefix, after those that this row alone has
+                left = prefix_size(n, percent) - (n - len(shingle))  # of the prefix, after those that this row alone has
                 if left > 0:
-                    parts.append((shingle[np.lexsort((shingle, level))][:left], node, n))
+                    parts.append((shingle[np.lexsort((shingle, level))][:left], node, n, n - len(shingle)))
             if parts:
                 sizes = [len(p[0]) for p in parts]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate([p[0] for p in parts])), pa.array(np.repeat([p[1] for p in parts], sizes)), pa.array(np.repeat([p[2] for p in parts], sizes))], ["shingle", "node", "n"])
+                node, n, before = (np.repeat([p[k] for p in parts], sizes) for k in (1, 2, 3))
+                at = before + np.arange(len(node)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate([p[0] for p in parts]), node, n, at)], ["shingle", "node", "n", "at"])
 
-    return lists.join(nodes, "node").mapInArrow(each, "shingle long, node long, n long")
+    return lists.join(nodes, "node").mapInArrow(each, "shingle long, node long, n long, at long")
 
 
 def _sets(rows: DataFrame, tiles: DataFrame) -> DataFrame:
@@ -231,14 +234,14 @@ def _verified(sets: DataFrame, pairs: DataFrame, percent: int, what: str) -> Dat
 
 
 def _mixed(tiles: DataFrame, known: DataFrame | None) -> DataFrame:
-    """(shingle, node, n, group, share): tiles with each node's component, where a shingle has nodes of several. Shares sum
+    """(shingle, node, n, at, group, share): tiles with each node's component, where a shingle has nodes of several. Shares sum
     to the number of pairs of different components."""
     rows = tiles.withColumn("group", F.col("node"))
     if known is not None:
         rows = tiles.join(known, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
     sizes = rows.groupBy("shingle", "group").agg(F.count("*").cast("double").alias("c"))
     mixed = sizes.groupBy("shingle").agg(((F.sum("c") - F.sum(F.col("c") * F.col("c")) / F.sum("c")) / 2).alias("share"), F.count("*").alias("groups")).where("groups > 1")
-    return rows.join(mixed.drop("groups"), "shingle").select("shingle", "node", "n", "group", "share")
+    return rows.join(mixed.drop("groups"), "shingle").select("shingle", "node", "n", "at", "group", "share")
 
 
 def _band(n: str, percent: int, shift: float = 0.0):
@@ -246,30 +249,36 @@ def _band(n: str, percent: int, shift: float = 0.0):
     return F.floor(F.log(F.col(n).cast("double")) / F.log(F.lit(100.1 / percent)) + shift).cast("int")
 
 
+def _reach(percent: int, x: str, y: str) -> str:
+    """Whether two sets whose first common element in order is the tile's shingle can have enough in common: at most what
+    each of them holds from there on. Rows of later common elements may fail this; that of the first one never does where
+    a link is."""
+    need = f"{percent} * (n{x} + n{y})"
+    return f"{100 + percent} * (n{x} - at{x}) >= {need} and {100 + percent} * (n{y} - at{y}) >= {need}"
+
+
 def _leader_pairs(mixed: DataFrame, turn: int, percent: int) -> DataFrame:
-    """(a, b): each node with the leader of most of its tiles, if that is of another component. Leaders change with the
-    turn, and bands shift by half their width."""
+    """(a, b), distinct: each node with up to ``LEADERS`` of the leaders of its tiles, those of most tiles, that are of other
+    components. The first turn's leader is the node with fewest rarer shingles, the middle of a group of copies; the others
+    are any. Bands shift by half their width."""
     rows = mixed.withColumn("band", _band("n", percent, turn % 2 / 2))
-    place = F.struct(F.xxhash64(F.lit(turn), "group").alias("h"), "group", "node")
-    leads = rows.groupBy("shingle", "band").agg(F.min(place).alias("at"), (F.min("group") != F.max("group")).alias("several")).where("several")
-    leads = leads.select("shingle", "band", F.col("at.node").alias("leader"), F.col("at.group").alias("led"))
-    votes = rows.join(leads, ["shingle", "band"]).where("group <> led").groupBy("node", "leader").count()
-    return votes.groupBy("node").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("b")).select(F.col("node").alias("a"), "b")
+    place = F.struct(F.xxhash64(F.lit(turn), "shingle", "node").alias("h") if turn else F.col("at").alias("h"), "node", "group", "n", "at")
+    leads = rows.groupBy("shingle", "band").agg(F.min(place).alias("l"), (F.min("group") != F.max("group")).alias("several")).where("several")
+    leads = leads.select("shingle", "band", *[F.col(f"l.{c}").alias(f"{c}b") for c in ("node", "group", "n", "at")])
+    rows = rows.select("shingle", "band", *[F.col(c).alias(f"{c}a") for c in ("node", "group", "n", "at")])
+    votes = rows.join(leads, ["shingle", "band"]).where(f"groupa <> groupb and {_reach(percent, 'a', 'b')}").groupBy("nodea", "nodeb").count()
+    best = votes.groupBy("nodea").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "nodeb")), asc=False), 1, LEADERS).alias("b"))
+    return best.select(F.col("nodea").alias("a"), F.explode("b.nodeb").alias("b"))
 
 
 def _tile_pairs(mixed: DataFrame, percent: int) -> DataFrame:
-    """(a, b), distinct: nodes of different components that share enough prefix shingles and whose sizes allow a link. The
-    larger of a pair looks up the smaller in the tile of the shingle and of the larger one's band of sizes.
-
-    Up to the last prefix element of one of the two, the shared elements are those that both prefixes hold, c of them;
-    after it, that set has n - prefix elements left. So c + max(n - prefix) bounds the overlap."""
+    """(a, b), distinct: nodes of different components that share a prefix shingle and whose sizes and places in the order
+    allow a link. The larger of a pair looks up the smaller in the tile of the shingle and of the larger one's band."""
     rows = mixed.withColumn("band", _band("n", percent))
-    large = rows.select("shingle", "band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("group").alias("gb"))
-    small = rows.select("shingle", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("group").alias("ga"))
-    pairs = large.join(small, ["shingle", "band"]).where(f"ga <> gb and 100 * na >= {percent} * nb and (na < nb or na = nb and a < b)")
-    counted = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    left = f"greatest(ceil({percent} * na / 100), ceil({percent} * nb / 100)) - 1"  # n - prefix
-    return counted.where(f"(100 + {percent}) * (c + {left}) >= {percent} * (na + nb)").select("a", "b")
+    large = rows.select("shingle", "band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("group").alias("gb"), F.col("at").alias("atb"))
+    small = rows.select("shingle", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("group").alias("ga"), F.col("at").alias("ata"))
+    pairs = large.join(small, ["shingle", "band"]).where(f"ga <> gb and 100 * na >= {percent} * nb and (na < nb or na = nb and a < b) and {_reach(percent, 'a', 'b')}")
+    return pairs.select("a", "b").distinct()
 
 
 # --- components --------------------------------------------------------------------------------------------
@@ -307,14 +316,16 @@ def links(docs: DataFrame, percent: int = 75, doc: str = "doc_id", text: str = "
     shared = _shared(_postings(rows))
     tiles = written(_tiles(shared, members.where("_row = node").select("node", "n_shingles"), percent), "tiles")
     several = tiles.groupBy("shingle").agg(F.count("*").alias("nodes")).where("nodes > 1").select("shingle")
-    tiles = written(tiles.join(several, "shingle", "left_semi").select("shingle", "node", "n"), "tiles")
+    tiles = written(tiles.join(several, "shingle", "left_semi").select("shingle", "node", "n", "at"), "tiles")
     sets = written(_sets(rows, tiles), "sets")
     known = None
+    before = float("inf")
     for turn in range(ROUNDS + 1):
-        tiles = written(_mixed(tiles.select("shingle", "node", "n"), known), "mixed")
+        tiles = written(_mixed(tiles.select("shingle", "node", "n", "at"), known), "mixed")
         left = tiles.agg(F.count("*").alias("rows"), F.sum("share").alias("pairs")).first()
-        if turn == ROUNDS or not left.rows or left.pairs <= FEW * left.rows:
+        if turn == ROUNDS or not left.rows or left.pairs <= FEW * left.rows or left.pairs > 0.9 * before:
             break
+        before = left.pairs
         found = _verified(sets, written(_leader_pairs(tiles, turn, percent), "leaders"), percent, "leader")
         if found.isEmpty():
             break
