@@ -77,7 +77,7 @@ def with_row_id(df: DataFrame, name: str = "_row") -> DataFrame:
     except AnalysisException:
         return written(df.withColumn(name, F.monotonically_increasing_id()), "rows")
     files = sorted(r[0] for r in paths.distinct().collect())
-    known = df.sparkSession.createDataFrame([(f, k) for k, f in enumerate(files)], "_path string, _file long")
+    known = df.sparkSession.createDataFrame(pa.table({"_path": pa.array(files, pa.string()), "_file": pa.array(range(len(files)), pa.int64())}))
     row = F.shiftleft("_file", 36) + F.col("_at")
     return placed.join(F.broadcast(known), "_path").select(*[F.col(f"`{c}`") for c in df.columns], row.alias(name))
 
