@@ -50,18 +50,19 @@ def _pair(n: int) -> str:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, set_bytes: int = 1 << 20,
-                  doc: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
+                  doc: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
     """One row per document: doc, n_words, spans (maximal hit runs as [first, end) word numbers), n_hit, items.
 
     Two hash sets of the benchmark's windows, of their first two words and of all their words, go to the tasks inside the
     plan while they have at most ``set_bytes`` bytes (8 for each hash); the first spares nearly all places the second.
     A larger benchmark is met by the hashes of all windows in an equi-join. Either way only places, lengths and hashes
-    move, and the words of hits alone are compared one by one. ``whole`` adds the number of each row, ``_row``."""
+    move, and the words of hits alone are compared one by one. ``row`` names a column of distinct row numbers, which is then kept as ``_row``."""
     windows = written(benchmark_windows(benchmark, width).withColumn("h", F.expr("xxhash64(split(gram, ' '))"))
                       .withColumn("pair", F.expr("if(length > 1, xxhash64(split(gram, ' ')[0], split(gram, ' ')[1]), xxhash64(gram))")), "windows")
     about = windows.agg(F.array_sort(F.collect_set("length")).alias("lengths"), F.count("*").alias("n")).first()  # width lengths at most
     lengths, small = about.lengths, 16 * about.n <= set_bytes
-    rows = with_row_id(docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("_text"))).select("_row", "doc_id", words_of(F.col("_text")).alias("words"))
+    rows = docs.select(F.col(f"`{doc}`").alias("doc_id"), F.col(f"`{text}`").alias("_text"), *([F.col(f"`{row}`").alias("_row")] if row else []))
+    rows = (rows if row else with_row_id(rows)).select("_row", "doc_id", words_of(F.col("_text")).alias("words"))
     gram = "transform(found, p -> struct(p.pos as pos, p.length as length, array_join(slice(words, p.pos, p.length), ' ') as gram))"
     if small:
         sent = windows.select("length", "h", "pair").collect()
@@ -87,7 +88,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, set_by
            concat(acc, array(x))))""")
     hits = hits.select("_row", "items", merged.alias("spans"))
     clean = [F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"), F.coalesce("spans", F.expr("cast(array() as array<struct<first:int,end:int>>)")).alias("spans")]
-    return found.join(hits, "_row", "left").select(*["_row"] * whole, "doc_id", "n_words", *clean).withColumn(
+    return found.join(hits, "_row", "left").select(*(["_row"] if row else []), "doc_id", "n_words", *clean).withColumn(
         "n_hit", F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.first)"))
 
 
@@ -104,8 +105,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, mode:
     them cut out of their texts (``mode='spans'``). Columns stay as they were."""
     if mode not in ("documents", "spans"):
         raise ValueError(f"mode {mode!r}")
-    found = contamination(docs, benchmark, width, doc=doc, text=text, whole=True, **options).where("n_hit > 0")
     rows = with_row_id(docs, name := unused(docs.columns, "_row"))
+    found = contamination(rows, benchmark, width, doc=doc, text=text, row=name, **options).where("n_hit > 0")
     if mode == "documents":
         gone = found.select(F.col("_row").alias(name))
         return rows.join(gone, name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -15,9 +15,8 @@ say so themselves, so no task gets all rows of a shingle that many rows hold.
 
 Links say who is in a component, and only that is kept. So groups of thousands of near copies are settled in rounds: in
 each tile one node (another one each round) is the leader, each node of another component is held against the leaders
-with which it shares most tiles, and links merge components. When the pairs of different components that share a tile
-are few for the rows, or a round settles few more, all of them are compared, whatever their number: no link between
-components is lost.
+with which it shares most tiles, and links merge components. When a round settles few more pairs, all pairs of different
+components that share a tile are compared, whatever their number: no link between components is lost.
 
 ``components`` returns components, by large-star and small-star rounds on the links (Kiveris et al. 2014).
 
@@ -42,7 +41,6 @@ LEAST_BITS = 1024  # of a bitmap signature; a set of more elements has the next
 OFTEN = 256  # frequencies from here on count as one
 ROUNDS = 8  # of leaders, at most
 LEADERS = 8  # that a node is held against in a round
-FEW = 4  # pairs for each row of the tiles: when no more are left, all are compared
 
 
 def signature(shingles: np.ndarray) -> bytes:
@@ -305,10 +303,11 @@ def connected_components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def links(docs: DataFrame, percent: int = 75, doc: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(members, components). members: _row, doc_id, n_shingles, node for every row; node is null for an empty set.
+def links(docs: DataFrame, percent: int = 75, doc: str = "doc_id", text: str = "text", row: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(members, components). ``row`` names a column of distinct row numbers, if docs has one. members: _row, doc_id, n_shingles, node for every row; node is null for an empty set.
     components: node, component of the nodes whose component is another node."""
-    rows = with_row_id(docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))).select("_row", "doc_id", "text")
+    rows = docs.select(F.col(f"`{doc}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), *([F.col(f"`{row}`").alias("_row")] if row else []))
+    rows = (rows if row else with_row_id(rows)).select("_row", "doc_id", "text")
     classes = written(_classes(rows), "classes")
     named = classes.where("key is not null").groupBy("key").agg(F.min("_row").alias("node"))
     members = written(classes.join(named, "key", "left").select("_row", "doc_id", "n_shingles", "node"), "members")
@@ -323,7 +322,7 @@ def links(docs: DataFrame, percent: int = 75, doc: str = "doc_id", text: str = "
     for turn in range(ROUNDS + 1):
         tiles = written(_mixed(tiles.select("shingle", "node", "n", "at"), known), "mixed")
         left = tiles.agg(F.count("*").alias("rows"), F.sum("share").alias("pairs")).first()
-        if turn == ROUNDS or not left.rows or left.pairs <= FEW * left.rows or left.pairs > 0.9 * before:
+        if turn == ROUNDS or not left.rows or left.pairs > 0.9 * before:
             break
         before = left.pairs
         found = _verified(sets, written(_leader_pairs(tiles, turn, percent), "leaders"), percent, "leader")
@@ -351,7 +350,7 @@ def components(docs: DataFrame, percent: int = 75, **options) -> DataFrame:
 
 def keepers(docs: DataFrame, percent: int = 75, **options) -> DataFrame:
     """(_row) of the rows that stay: of each component that of the smallest (doc_id, _row), ids before nulls, and each
-    row of an empty set. _row is that of ``with_row_id`` on docs."""
+    row of an empty set. _row is that of ``row``, or of ``with_row_id`` on docs."""
     members = _grouped(docs, percent, **options).select("_row", "doc_id", "component")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
     first = members.where("component is not null").groupBy("component").agg(F.min(place).alias("at")).select(F.col("at._row").alias("_row"))
