@@ -96,15 +96,17 @@ def _postings(rows: DataFrame) -> DataFrame:
         def out(sets: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
             shingle, node = np.concatenate(sets), np.repeat(np.array(nodes, np.int64), [len(x) for x in sets])
             order = np.argsort(shingle, kind="stable")
-            shingle, node = shingle[order], node[order]
-            first = np.flatnonzero(np.concatenate(([True], shingle[1:] != shingle[:-1])))
-            size = np.diff(np.append(first, len(shingle)))
+            by = shingle[order]
+            first = np.flatnonzero(np.concatenate(([True], by[1:] != by[:-1])))
+            size = np.diff(np.append(first, len(by)))
             for k in np.flatnonzero(size >= 8).tolist():  # fewer of a batch can't make a shingle hot
-                at, n, key = int(first[k]), int(size[k]), int(shingle[first[k]])
+                at, n, key = int(first[k]), int(size[k]), int(by[first[k]])
                 free = OFTEN - passed.get(key, 0)
                 passed[key] = min(OFTEN, passed.get(key, 0) + n)
                 if n > free:
-                    node[at + free : at + n] = -1 - node[at + free : at + n]
+                    some = order[at + free : at + n]
+                    node[some] = -1 - node[some]
+            # rows of one node stay together: they compress better
             return pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(node)], ["shingle", "node"])
 
         for batch in batches:
@@ -315,12 +317,14 @@ def links(docs: DataFrame, percent: int = 75, doc: str = "doc_id", text: str = "
     shared = _shared(_postings(rows))
     tiles = written(_tiles(shared, members.where("_row = node").select("node", "n_shingles"), percent), "tiles")
     several = tiles.groupBy("shingle").agg(F.count("*").alias("nodes")).where("nodes > 1").select("shingle")
-    tiles = written(tiles.join(several, "shingle", "left_semi").select("shingle", "node", "n", "at"), "tiles")
+    before, tiles = tiles, written(tiles.join(several, "shingle", "left_semi").select("shingle", "node", "n", "at"), "tiles")
+    release(before)
     sets = written(_sets(rows, tiles), "sets")
     known = None
     before = float("inf")
     for turn in range(ROUNDS + 1):
-        tiles = written(_mixed(tiles.select("shingle", "node", "n", "at"), known), "mixed")
+        last, tiles = tiles, written(_mixed(tiles.select("shingle", "node", "n", "at"), known), "mixed")
+        release(last)
         left = tiles.agg(F.count("*").alias("rows"), F.sum("share").alias("pairs")).first()
         if turn == ROUNDS or not left.rows or left.pairs > 0.9 * before:
             break
