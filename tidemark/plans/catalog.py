@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import derived, ingest, models, monitoring, profiles, quality, segments, transactions
+from . import derived, evaluation, ingest, models, monitoring, profiles, quality, segments, transactions
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "derived", "ingest", "models", "monitoring", "profiles", "quality", "segments", "transactions"]
+__all__ = ["ORACLE", "QUERIES", "derived", "evaluation", "ingest", "models", "monitoring", "profiles", "quality", "segments", "transactions"]
