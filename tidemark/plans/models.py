@@ -91,7 +91,9 @@ def kmeans(spark, sf):
 
 @query()
 def kmeans_auto(spark, sf):
-    return c.kmeans_auto(v.vectors(spark, sf).drop("label"), range(3, 7), "embedding")[1]
+    """The measures of each k, and which was chosen."""
+    k, table = c.kmeans_auto(v.vectors(spark, sf).drop("label"), range(3, 7), "embedding")
+    return table.withColumn("chosen", F.col("k") == k)
 
 
 def _matrix(spark, sf):
@@ -183,11 +185,32 @@ def _profiles(spark, sf):
     return b.groupBy("user_id").agg(
         F.count("*").cast("double").alias("session_frequency"), F.countDistinct("game_type").cast("double").alias("game_diversity"), F.avg((F.col("win_amount") > 0).cast("double")).alias("win_rate"),
         F.avg("promotion_used").alias("risk_tolerance"), F.avg("session_duration").alias("session_duration"), F.avg("bet_amount").alias("avg_bet"), F.sum("bet_amount").alias("lifetime_value"),
-        F.coalesce(F.sum("deposit_amount"), F.lit(0.0)).alias("total_deposits"), F.array_sort(F.collect_set(F.when(F.col("promotion_used") == 1, F.col("game_type")))).alias("favorite_games"), (F.max("user_id") % 10).alias("block"))
+        F.coalesce(F.sum("deposit_amount"), F.lit(0.0)).alias("total_deposits"), F.array_sort(F.collect_set(F.when(F.col("promotion_used") == 1, F.col("game_type")))).alias("favorite_games"),
+        F.collect_set("game_type").alias("game_categories"), F.collect_set(F.when(F.col("promotion_used") == 1, F.hour("timestamp"))).alias("peak_hours"))
 
 
+_NUMBERS = ["avg_bet", "session_frequency", "win_rate", "game_diversity", "risk_tolerance", "total_deposits", "lifetime_value", "session_duration"]
 _PROFILES = """, pr as (select user_id, count(*)::double session_frequency, count(distinct game_type)::double game_diversity, avg(case when win_amount > 0 then 1.0 else 0.0 end) win_rate, avg(promotion_used) risk_tolerance, avg(session_duration) session_duration, avg(bet_amount) avg_bet, sum(bet_amount) lifetime_value,
-coalesce(sum(deposit_amount), 0) total_deposits, list(distinct game_type) filter (where promotion_used = 1) favorite_games, user_id % 10 as block from bets group by user_id), k as (select *, row_number() over (partition by block order by avg_bet, user_id) n from pr)"""
+coalesce(sum(deposit_amount), 0) total_deposits, list_sort(list(distinct game_type) filter (where promotion_used = 1)) favorite_games, list(distinct game_type) as game_categories, list(distinct hour(timestamp)) filter (where promotion_used = 1) as peak_hours from bets group by user_id),
+st as (select """ + ", ".join(f"avg({x}) m_{x}, stddev_pop({x}) s_{x}" for x in _NUMBERS) + """ from pr), pv as (select user_id, [""" + ", ".join(f"0.4 * case when s_{x} > 0 then ({x} - m_{x}) / s_{x} else 0 end" if x in _NUMBERS else "0" for x in s.NUMERIC) + ", " + ", ".join(
+    ["0"] * 9 + [f"0.3 * cast(list_contains(game_categories, '{x}') as int)" for x in s.CATEGORIES]) + ", " + ", ".join(f"0.2 * coalesce(cast(list_contains(peak_hours, {h}) as int), 0)" for h in range(24)) + ", 0, 0, 0, 0, 0, 0, 0]::double[] as x from pr, st), pn as (select user_id, list_transform(x, lambda y: y / sqrt(list_inner_product(x, x))) as embedding from pv)"
+
+
+@query(_PROFILES + ", z as (select user_id, unnest(embedding) as x, generate_subscripts(embedding, 1) as d from pn) select user_id, cast(d as int) as dimension, x as value from z where x <> 0", (v.BETS,), "value")
+def profile_vectors(spark, sf):
+    rows = s.profile_vectors(_profiles(spark, sf))
+    return rows.select("user_id", F.posexplode("embedding").alias("dimension", "value")).where("value <> 0").withColumn("dimension", (F.col("dimension") + 1).cast("int"))
+
+
+@query()
+def profile_vectors_with_text(spark, sf):
+    return s.profile_vectors(_profiles(spark, sf), text_dimensions=64)
+
+
+@query(_PROFILES + """ select user_id, 'Gaming profile: ' || concat_ws(', ', case when avg_bet > 100 then 'high roller' when avg_bet > 50 then 'medium spender' else 'casual player' end, case when session_frequency > 10 then 'frequent player' when session_frequency > 3 then 'regular player' else 'occasional player' end,
+case when win_rate > 0.6 then 'successful gambler' when win_rate > 0.4 then 'average performer' else 'unlucky player' end, case when len(favorite_games) > 0 then 'prefers ' || array_to_string(favorite_games[1:3], ', ') end, case when risk_tolerance > 0.7 then 'high risk tolerance' when risk_tolerance > 0.3 then 'moderate risk tolerance' else 'conservative player' end, 'new customer') as description from pr""", (v.BETS,))
+def profile_text(spark, sf):
+    return s.profile_text(_profiles(spark, sf)).select("user_id", "description")
 
 
 def _sql_near(c, log=False):
@@ -195,13 +218,28 @@ def _sql_near(c, log=False):
     return f"(1 - abs({a} - {b}) / greatest({a} + {b}, 1))"
 
 
-@query(_PROFILES + f""", q as (select x.user_id as user_id_1, y.user_id as user_id_2, 0.5::double as vector, ({_sql_near('session_frequency')} + {_sql_near('game_diversity')} + 1 - abs(x.win_rate - y.win_rate) + 1 - abs(x.risk_tolerance - y.risk_tolerance) + {_sql_near('session_duration')}) / 5 as behavioral,
-({_sql_near('avg_bet', True)} + {_sql_near('lifetime_value', True)} + {_sql_near('total_deposits', True)}) / 3 as financial, len(list_intersect(x.favorite_games, y.favorite_games)) as shared_games, 1 - abs(x.risk_tolerance - y.risk_tolerance) as risk_match from k x join k y on x.block = y.block and x.n < y.n and x.n >= y.n - 5),
-r as (select *, vector * 0.6::double + behavioral * 0.25::double + financial * 0.15::double as score from q)
-select user_id_1, user_id_2, behavioral, financial, cast(shared_games as int) as shared_games, score, least(1, score * case when shared_games > 2 then 1.1 else 1 end::double * case when behavioral > 0.85 then 1.05 else 1 end::double * case when risk_match > 0.9 then 1.03 else 1 end::double) as boosted, case when score >= 0.85 then 'high' when score >= 0.7 then 'medium' else 'low' end as category from r""", (v.BETS,), "behavioral financial score boosted")
+_SIMILAR = _PROFILES + f""", cs as (select a.user_id as q, b.user_id as o, round(list_cosine_similarity(a.embedding, b.embedding), 9) as vector from pn a join pn b on a.user_id <> b.user_id where a.user_id % 100 = 0), nn as (select * from (select *, row_number() over (partition by q order by vector desc, o) as k from cs) where k <= 30),
+q as (select x.user_id as user_id_1, y.user_id as user_id_2, vector, ({_sql_near('session_frequency')} + {_sql_near('game_diversity')} + 1 - abs(x.win_rate - y.win_rate) + 1 - abs(x.risk_tolerance - y.risk_tolerance) + {_sql_near('session_duration')}) / 5 as behavioral,
+({_sql_near('avg_bet', True)} + {_sql_near('lifetime_value', True)} + {_sql_near('total_deposits', True)}) / 3 as financial, coalesce(len(list_intersect(x.favorite_games, y.favorite_games)), 0) as shared_games, 1 - abs(x.risk_tolerance - y.risk_tolerance) as risk_match,
+x.avg_bet as b1, y.avg_bet as b2, x.win_rate as w1, y.win_rate as w2, y.session_frequency as f2, list_sort(list_intersect(x.favorite_games, y.favorite_games)) as mutual from nn join pr x on x.user_id = q join pr y on y.user_id = o),
+r as (select *, vector * 0.6::double + behavioral * 0.25::double + financial * 0.15::double as score from q), bo as (select *, least(1, score * case when shared_games > 2 then 1.1 else 1 end::double * case when behavioral > 0.85 then 1.05 else 1 end::double * case when risk_match > 0.9 then 1.03 else 1 end::double) as boosted from r),
+best as (select * from (select *, row_number() over (partition by user_id_1 order by round(boosted, 9) desc, user_id_2) as rank from bo) where rank <= 10)"""
+
+
+def _similar(spark, sf):
+    profiles = _profiles(spark, sf)
+    return s.similar_users(profiles, s.profile_vectors(profiles), profiles.where("user_id % 100 = 0"), 10)
+
+
+@query(_SIMILAR + """ select user_id_1, user_id_2, vector, behavioral, financial, cast(shared_games as int) as shared_games, score, boosted, case when score >= 0.85 then 'high' when score >= 0.7 then 'medium' else 'low' end as category, rank from best""", (v.BETS,), "vector behavioral financial score boosted")
 def user_similarity(spark, sf):
-    pairs = s.profile_pairs(_profiles(spark, sf), "block").withColumn("vector", F.lit(0.5))
-    return s.user_similarity(pairs).select("user_id_1", "user_id_2", "behavioral", "financial", "shared_games", "score", "boosted", "category")
+    return _similar(spark, sf).select("user_id_1", "user_id_2", "vector", "behavioral", "financial", "shared_games", "score", "boosted", "category", "rank")
+
+
+@query(_SIMILAR + """ select user_id_1, user_id_2, concat_ws('; ', case when vector > 0.8 then 'Strong overall similarity in gaming behavior' end, case when behavioral > 0.8 then 'Similar session patterns and game preferences' end, case when financial > 0.8 then 'Comparable spending and betting patterns' end, case when abs(b1 - b2) < 50 then 'Similar bet amounts' end, case when abs(w1 - w2) < 0.1 then 'Similar win rates' end, case when shared_games > 0 then 'Both enjoy ' || array_to_string(mutual[1:2], ', ') end) as reasons,
+concat_ws('; ', case when b2 > 100 then 'High Roller VIP Program' end, case when f2 > 10 then 'Frequent Player Rewards' end, case when score > 0.8 then 'Friend Referral Program' end) as campaigns from best""", (v.BETS,))
+def similarity_reasons(spark, sf):
+    return s.similarity_reasons(_similar(spark, sf)).select("user_id_1", "user_id_2", F.array_join("reasons", "; ").alias("reasons"), F.array_join("campaigns", "; ").alias("campaigns"))
 
 
 @query(", n as (select game_id, count(distinct user_id) p from ratings group by 1) select game_id, p / (select max(p) from n) as score from n order by score desc, game_id limit 10", (v.RATINGS,), "score")
@@ -209,43 +247,75 @@ def recommend_popular(spark, sf):
     return s.recommend_popular(v.ratings(spark, sf))
 
 
-@query(""", nb as (select id as user_id, id + 1 as other, 0.5::double as weight from users where id + 1 in (select id from users) union all select id, id + 2, 0.25 from users where id + 2 in (select id from users)), sc as (select nb.user_id, game_id, sum(weight * rating) as score from nb join ratings on ratings.user_id = nb.other group by 1, 2),
+_NEAR = ", uv as (select id, [" + ", ".join(f"({x} - avg({x}) over ()) / stddev_pop({x}) over ()" for x in ("total_bets", "bet_count", "win_rate", "balance")) + """]::double[] as x from users), nc as (select a.id as user_id, b.id as other, round(list_cosine_similarity(a.x, b.x), 9) as weight from uv a join uv b on a.id <> b.id where a.id % 100 = 0 or a.id < 10), nb as (select * from (select *, row_number() over (partition by user_id order by weight desc, other) as k from nc) where k <= 5)"""
+
+
+def _neighbours(spark, sf):
+    """The five nearest of all users for a stated set of users."""
+    m = c.prepare_matrix(v.users(spark, sf), "id", ["total_bets", "bet_count", "win_rate", "balance"]).select(F.col("id").alias("vec_id"), F.col("features").alias("embedding"))
+    return s.knn(m.where("vec_id % 100 = 0 or vec_id < 10"), m, 5).select(F.col("query_id").alias("user_id"), F.col("vec_id").alias("other"), F.col("score").alias("weight"))
+
+
+@query(_NEAR + """, sc as (select nb.user_id, game_id, round(sum(weight * rating), 9) as score from nb join ratings on ratings.user_id = nb.other group by 1, 2),
 nw as (select * from sc where not exists (select 1 from ratings r where r.user_id = sc.user_id and r.game_id = sc.game_id)) select user_id, game_id, score, rank from (select *, row_number() over (partition by user_id order by score desc, game_id) as rank from nw) where rank <= 5""", (v.USERS, v.RATINGS), "score")
 def recommend_similar(spark, sf):
-    ids = v.users(spark, sf).select(F.col("id").alias("user_id"))
-    near = ids.select("user_id", (F.col("user_id") + 1).alias("other"), F.lit(0.5).alias("weight")).unionByName(ids.select("user_id", (F.col("user_id") + 2).alias("other"), F.lit(0.25).alias("weight")))
-    return s.recommend_similar(v.ratings(spark, sf), near, 5)
+    return s.recommend_similar(v.ratings(spark, sf), _neighbours(spark, sf), 5)
 
 
 def _players(spark, sf):
-    return v.users(spark, sf).where("id % 20 = 0").select(F.col("id").alias("user_id"), (F.col("win_rate") / 100).alias("risk_tolerance"), (F.col("total_bets") / F.col("bet_count") / 100).alias("avg_bet"), F.array(F.lit("ECONOMY"), F.lit("PROMO")).alias("game_categories"))
+    return v.users(spark, sf).select(F.col("id").alias("user_id"), (F.col("win_rate") / 100).alias("risk_tolerance"), (F.col("total_bets") / F.col("bet_count") / 100).alias("avg_bet"), F.array(F.lit("ECONOMY"), F.lit("PROMO")).alias("game_categories"), (10.0 + F.col("bet_count") % 50).alias("session_duration"))
+
+
+_PLAYERS = ", pl as (select id as user_id, win_rate / 100 as risk_tolerance, total_bets / bet_count / 100 as avg_bet, 10.0::double + bet_count % 50 as session_duration from users)"
+_RULES = """, ra as (select user_id, game_id, round(case when rtp > 0.96 then 0.2 else 0 end::double + case when risk_tolerance > 0.7 and volatility = 'high' then 0.3 when risk_tolerance < 0.4 and volatility = 'low' then 0.3 when volatility = 'medium' then 0.1 else 0 end::double + case when avg_bet between min_bet and max_bet then 0.2 else 0 end::double + case when category in ('ECONOMY', 'PROMO') then 0.2 else 0 end::double + case when abs(avg_session_duration - session_duration) < 5 then 0.1 else 0 end::double, 9) as score from pl, games),
+ru as (select user_id, game_id, score from (select *, row_number() over (partition by user_id order by score desc, game_id) as k from ra) where k <= 50)"""
+_POPULAR = ", pn as (select game_id, count(distinct user_id) p from ratings group by 1), po as (select game_id, p / (select max(p) from pn) as score from pn order by score desc, game_id limit 10)"
 
 
-_PLAYERS = ", pl as (select id as user_id, win_rate / 100 as risk_tolerance, total_bets / bet_count / 100 as avg_bet from users where id % 20 = 0)"
-_RULES = """, ru as (select user_id, game_id, case when rtp > 0.96 then 0.2 else 0 end::double + case when risk_tolerance > 0.7 and volatility = 'high' then 0.3 when risk_tolerance < 0.4 and volatility = 'low' then 0.3 when volatility = 'medium' then 0.1 else 0 end::double + case when avg_bet between min_bet and max_bet then 0.2 else 0 end::double + case when category in ('ECONOMY', 'PROMO') then 0.2 else 0 end::double as score from pl, games)"""
+def _rules(spark, sf):
+    return s.recommend_rules(_players(spark, sf), v.games(spark, sf))
 
 
 @query(_PLAYERS + _RULES + " select * from ru", (v.USERS, v.GAMES), "score")
 def recommend_rules(spark, sf):
-    return s.recommend_rules(_players(spark, sf), v.games(spark, sf))
+    return _rules(spark, sf)
 
 
-@query(_PLAYERS + _RULES + """, po as (select pl.user_id, game_id, 1.0::double / (1 + game_id) as score from pl, games where game_id % 10 = 0), u as (select user_id, game_id, score * 0.3::double as s, 'content' as source from ru union all select user_id, game_id, score * 0.1::double, 'popular' from po)
-select user_id, game_id, sum(s) as score, string_agg(distinct source, ',' order by source) as sources from u group by 1, 2""", (v.USERS, v.GAMES), "score")
-def recommend_hybrid(spark, sf):
-    popular = _players(spark, sf).select("user_id").crossJoin(v.games(spark, sf).where("game_id % 10 = 0").select("game_id", (F.lit(1.0) / (1 + F.col("game_id"))).alias("score")))
-    return s.recommend_hybrid({"content": recommend_rules_raw(spark, sf), "popular": popular})
+@query(_PLAYERS + _RULES + " select ru.user_id, ru.game_id, score, avg_session_duration as engagement_minutes, avg_bet * avg_session_duration / 60 as revenue_potential from ru join games on games.game_id = ru.game_id join pl on pl.user_id = ru.user_id", (v.USERS, v.GAMES), "score engagement_minutes revenue_potential")
+def recommend_value(spark, sf):
+    return s.recommend_value(_rules(spark, sf), _players(spark, sf), v.games(spark, sf)).select("user_id", "game_id", "score", "engagement_minutes", "revenue_potential")
 
 
-def recommend_rules_raw(spark, sf):
-    return s.recommend_rules(_players(spark, sf), v.games(spark, sf))
+_TERMS = "list_filter(string_split_regex(lower({}), '[^a-z0-9_]+'), lambda w: len(w) > 1)"
+_CONTENT = f""", fav as (select user_id, max_by(game_id, [rating::double, -game_id::double]) as g from ratings group by 1), ut as (select user_id, category || ' ' || provider || ' volatility_' || volatility as text from fav join games on games.game_id = fav.g), gt as (select game_id, category || ' ' || provider || ' volatility_' || volatility || ' rtp_' || cast(floor(rtp * 100) as int) as text from games),
+gw as (select game_id, {_TERMS.format('text')} as w from gt), uw as (select distinct text, {_TERMS.format('text')} as w from ut), g1 as (select game_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as term from gw), u1 as (select text, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as term from uw),
+gf as (select game_id, term, count(*) as tf from g1 group by 1, 2), uf as (select text, term, count(*) as tf from u1 group by 1, 2), vo as (select term, sum(tf) as a, count(*) as df from gf group by 1 order by a desc, term limit 1000), id as (select term, ln((1 + (select count(*) from games)) / (1 + df)) + 1 as idf from vo),
+gx as (select game_id, term, tf * idf as w from gf join id using (term)), ux as (select text, term, tf * idf as w from uf join id using (term)), gl as (select game_id, sqrt(sum(w * w)) as l from gx group by 1), ul as (select text, sqrt(sum(w * w)) as l from ux group by 1),
+sc as (select text, game_id, round(sum(ux.w / ul.l * gx.w / gl.l), 9) as score from ux join ul using (text) join gx using (term) join gl using (game_id) group by 1, 2), be as (select * from (select *, row_number() over (partition by text order by score desc, game_id) as k from sc) where k <= 20)"""
 
 
-@query(_PLAYERS + _RULES + """, ap as (select ru.user_id, ru.game_id, ru.score * case when rtp > 0.97 then 1.1 else 1 end::double as score, category, provider from ru join games on games.game_id = ru.game_id where score >= 0.3 and ru.game_id % 9 <> 0),
-f as (select *, row_number() over (partition by user_id, category order by round(score, 9) desc, game_id) c, row_number() over (partition by user_id, provider order by round(score, 9) desc, game_id) p from ap)
+@query(_CONTENT + " select user_id, game_id, score from ut join be using (text)", (v.RATINGS, v.GAMES), "score")
+def recommend_content(spark, sf):
+    games = v.games(spark, sf)
+    text = F.concat_ws(" ", "category", "provider", F.concat(F.lit("volatility_"), "volatility"))
+    fav = v.ratings(spark, sf).groupBy("user_id").agg(F.max_by("game_id", F.struct("rating", -F.col("game_id"))).alias("game_id"))
+    described = games.select("game_id", F.concat_ws(" ", text, F.concat(F.lit("rtp_"), F.floor(F.col("rtp") * 100).cast("int"))).alias("text"))
+    return s.recommend_content(fav.join(games.select("game_id", text.alias("text")), "game_id").select("user_id", "text"), described, 20)
+
+
+@query(_PLAYERS + _RULES + _POPULAR + """, u as (select user_id, game_id, score * 0.3::double as s, 'content' as source from ru union all select user_id, game_id, score * 0.1::double, 'popular' from po, pl)
+select user_id, game_id, sum(s) as score, string_agg(distinct source, ',' order by source) as sources from u group by 1, 2""", (v.USERS, v.GAMES, v.RATINGS), "score")
+def recommend_hybrid(spark, sf):
+    top = s.recommend_popular(v.ratings(spark, sf))  # ten rows
+    popular = _players(spark, sf).select("user_id").crossJoin(F.broadcast(top))
+    return s.recommend_hybrid({"content": _rules(spark, sf), "popular": popular})
+
+
+@query(_PLAYERS + _RULES + """, ap as (select ru.user_id, ru.game_id, round(ru.score * case when release_date > date '2024-01-01' then 1.2 else 1 end::double * case when rtp > 0.97 then 1.1 else 1 end::double, 9) as score, category, provider from ru join games on games.game_id = ru.game_id where score >= 0.3 and ru.game_id % 9 <> 0),
+f as (select *, row_number() over (partition by user_id, category order by score desc, game_id) c, row_number() over (partition by user_id, provider order by score desc, game_id) p from ap)
 select user_id, game_id, score * case when c = 1 then 1.3 else 1 end::double * case when p = 1 then 1.2 else 1 end::double as score from f""", (v.USERS, v.GAMES), "score")
 def diversify(spark, sf):
-    rules = recommend_rules_raw(spark, sf)
+    rules = _rules(spark, sf)
     excluded = rules.where("game_id % 9 = 0").select("user_id", "game_id")
     kept = s.apply_rules(rules, v.games(spark, sf), excluded).withColumn("score", F.round("score", 9))
     return s.diversify(kept).select("user_id", "game_id", "score")
@@ -310,9 +380,21 @@ def target(spark, sf):
     return s.target(_scored(spark, sf), 0.4, 100).select("user_id", "campaign_id", "score")
 
 
-@query(", sc as (select user_id, campaign_id, count(*)::double as cost, sum(conversion_value) / 1e5::double as roi from results group by 1, 2), b as (select *, row_number() over (partition by user_id order by roi desc, campaign_id) n from sc), r as (select *, sum(cost) over (order by roi desc, user_id rows unbounded preceding) as spent from b where n = 1) select user_id, campaign_id, roi, cost from r where spent <= 500", (v.RESULTS,), "roi cost")
+@query()
 def portfolio(spark, sf):
     rows = v.campaign_results(spark, sf).groupBy("user_id", "campaign_id").agg(F.count("*").cast("double").alias("cost"), (F.sum("conversion_value") / 1e5).alias("roi"))
     return s.portfolio(rows, 500.0)
 
 
+@query()
+def outcome_models(spark, sf):
+    """Outcomes of all users by models of their own results: a conversion in a campaign, no activity for 90 days, the sum of
+    bets, and the share of opened sends."""
+    sends = v.campaign_results(spark, sf).groupBy("user_id").agg(F.max(F.col("converted_at").isNotNull().cast("int")).alias("converted"), F.avg(F.col("opened_at").isNotNull().cast("double")).alias("engaged"))
+    since = lambda x: (F.lit(v.ORDERS_AS_OF).cast("double") - F.col(x).cast("double")) / 86400
+    users = v.users(spark, sf).select(
+        F.col("id").alias("user_id"), (F.col("total_bets") / F.col("bet_count") / 1000).alias("avg_bet"), F.col("bet_count").alias("session_frequency"), (F.col("win_rate") / 100).alias("win_rate"), "total_deposits",
+        since("registration_date").alias("days_since_registration"), since("last_activity").alias("days_since_last_activity"), F.col("total_bets").alias("ltv"), (since("last_activity") > 90).cast("int").alias("churned"))
+    rows = users.join(sends, "user_id")
+    models = s.fit_outcomes(rows, trees=10, forest_depth=5, boosted_depth=3)
+    return s.predict_outcomes(models, users).select("user_id", "conversion", "churn_risk", "predicted_ltv", "engagement")

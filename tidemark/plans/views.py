@@ -92,7 +92,8 @@ def games(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(
         F.col("p_partkey").alias("game_id"), F.col("p_name").alias("name"), F.col("p_type").alias("category"), F.col("p_brand").alias("provider"),
         (0.9 + F.col("p_size") / 500.0).alias("rtp"), F.when(F.col("p_size") % 3 == 0, "low").when(F.col("p_size") % 3 == 1, "medium").otherwise("high").alias("volatility"),
-        F.col("p_retailprice").alias("min_bet"), (F.col("p_retailprice") * 3).alias("max_bet"))
+        F.col("p_retailprice").alias("min_bet"), (F.col("p_retailprice") * 3).alias("max_bet"), (10.0 + F.col("p_size")).alias("avg_session_duration"),
+        F.date_add(F.lit("2023-01-01").cast("date"), (F.col("p_partkey") % 700).cast("int")).alias("release_date"))
 
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,5 +132,5 @@ RESULTS = """results as (select l_suppkey as campaign_id, o_custkey as user_id,
   case when l_returnflag <> 'N' then l_shipdate end as opened_at, case when l_returnflag = 'A' then l_shipdate end as clicked_at,
   case when l_returnflag = 'A' and l_linestatus = 'F' then l_shipdate end as converted_at, l_extendedprice as conversion_value from lineitem join orders on l_orderkey = o_orderkey)"""
 GAMES = """games as (select p_partkey as game_id, p_name as name, p_type as category, p_brand as provider, 0.9::double + p_size / 500.0::double as rtp,
-  case when p_size % 3 = 0 then 'low' when p_size % 3 = 1 then 'medium' else 'high' end as volatility, p_retailprice as min_bet, p_retailprice * 3 as max_bet from part)"""
+  case when p_size % 3 = 0 then 'low' when p_size % 3 = 1 then 'medium' else 'high' end as volatility, p_retailprice as min_bet, p_retailprice * 3 as max_bet, 10.0::double + p_size as avg_session_duration, date '2023-01-01' + cast(p_partkey % 700 as int) as release_date from part)"""
 RATINGS = """ratings as (select o_custkey as user_id, l_partkey as game_id, sum(l_quantity) as rating, sum(l_extendedprice) as revenue from lineitem join orders on l_orderkey = o_orderkey group by 1, 2)"""
