@@ -314,8 +314,9 @@ def links(docs: DataFrame, percent: int = 75, doc: str = "doc_id", text: str = "
     named = classes.where("key is not null").groupBy("key").agg(F.min("_row").alias("node"))
     members = written(classes.join(named, "key", "left").select("_row", "doc_id", "n_shingles", "node"), "members")
     release(classes)
-    shared = _shared(_postings(rows))
+    shared = written(_shared(_postings(rows)), "shared")  # the postings' shuffle files go before the next shuffle
     tiles = written(_tiles(shared, members.where("_row = node").select("node", "n_shingles"), percent), "tiles")
+    release(shared)
     several = tiles.groupBy("shingle").agg(F.count("*").alias("nodes")).where("nodes > 1").select("shingle")
     before, tiles = tiles, written(tiles.join(several, "shingle", "left_semi").select("shingle", "node", "n", "at"), "tiles")
     release(before)
