@@ -60,9 +60,20 @@ def check_outliers(df: DataFrame, columns: list[str], k: float = 1.5, limit: flo
     return _rows(one, [(f"outliers_{c}", "medium", 1 - F.col(c), F.col(c) <= limit) for c in columns])
 
 
-def check_types(df: DataFrame, expected: dict[str, str]) -> DataFrame:
-    have = dict(df.dtypes)
-    return df.sparkSession.createDataFrame([(f"type_{c}", "high", float(have.get(c) == t), have.get(c) == t) for c, t in expected.items()], "rule string, severity string, score double, passed boolean")
+def check_types(df: DataFrame, expected: dict[str, str], limit: float = 1.0) -> DataFrame:
+    """Type conformity by values: the share of a column's values that the expected type holds without loss (they read back
+    as they were). A missing column scores 0, one of nulls 1."""
+    def fits(c: str, t: str) -> Column:
+        if c not in df.columns:
+            return F.lit(0.0)
+        value = F.expr(f"try_cast(`{c}` as {t})")
+        whole = value.isNotNull()
+        if t not in ("string", "boolean", "date", "timestamp"):
+            whole = whole & (value.cast("double") == F.expr(f"try_cast(`{c}` as double)"))
+        return F.coalesce(F.try_divide(F.count_if(whole), F.count(f"`{c}`")), F.lit(1.0))
+
+    one = df.agg(*[fits(c, t).alias(c) for c, t in expected.items()])
+    return _rows(one, [(f"type_{c}", "high", F.col(c), F.col(c) >= limit) for c in expected])
 
 
 def check_business_rules(df: DataFrame, amount: str, low: float, high: float, allowed: dict[str, list[str]]) -> DataFrame:
@@ -125,8 +136,13 @@ def volume_anomaly(df: DataFrame, baseline: float, low: float = 0.8, high: float
 
 
 def schema_drift(df: DataFrame, expected: list[str]) -> DataFrame:
-    rows = [(c, "missing", "critical") for c in expected if c not in df.columns] + [(c, "extra", "medium") for c in df.columns if c not in expected]
-    return df.sparkSession.createDataFrame(rows, "column string, kind string, severity string")
+    """(column, kind, severity, filled): expected columns that are missing or hold nothing but nulls (critical), and extra ones
+    that hold values (medium), with the number of values."""
+    one = df.agg(F.lit(0).alias("_none"), *[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns])
+    seen = F.array(*[F.struct(F.lit(c).alias("column"), (F.col(f"`{c}`") if c in df.columns else F.lit(0)).cast("long").alias("filled"), F.lit(c in expected).alias("known"), F.lit(c in df.columns).alias("there")) for c in dict.fromkeys([*expected, *df.columns])])
+    rows = one.select(F.inline(seen))
+    kind = F.when(F.col("known") & ~F.col("there"), "missing").when(F.col("known") & (F.col("filled") == 0), "empty").when(~F.col("known") & (F.col("filled") > 0), "extra")
+    return rows.withColumn("kind", kind).where("kind is not null").select("column", "kind", F.when(F.col("kind") == "extra", "medium").otherwise("critical").alias("severity"), "filled")
 
 
 def quality_alerts(metrics: DataFrame, threshold: float = 0.9, cooldown_minutes: int = 15) -> DataFrame:

@@ -36,14 +36,93 @@ def read_parquet(spark, sf):
     return files.read_files(spark, f"{sf}/events.parquet").where("value > 100").select("event_id", "user_id")
 
 
-@query()
+def _lake(spark, sf):
+    """Event days as files of two formats, beside files that are no data, and the time an hour from now."""
+    path = folder(spark, "lake-files")
+    events = v.table(spark, sf, "events").withColumn("day", F.to_date("ts"))
+    events.groupBy("day").agg(F.count("*").alias("n")).coalesce(1).write.parquet(f"{path}/parquet")
+    events.groupBy("user_id").agg(F.count("*").alias("n")).coalesce(1).write.csv(f"{path}/csv")
+    events.select(F.col("event_type")).distinct().coalesce(1).write.text(f"{path}/text")
+    return files.list_lake_files(spark, path, dt.datetime.now() + dt.timedelta(hours=1))
+
+
+@query("select 'parquet' as format, count(distinct cast(ts as date)) > 0 as filled from events union all select 'csv', count(distinct user_id) > 0 from events")
 def list_lake_files(spark, sf):
-    return files.list_lake_files(spark, sf, dt.datetime(2200, 1, 1), days_back=10**6, most_age_days=10**6).select("format", "bytes")
+    return _lake(spark, sf).where("age_hours between 0.9 and 3").select("format", (F.col("bytes") > 0).alias("filled"))
 
 
-@query()
+@query("select format, 1::bigint as files, true as small, true as recent from (values ('parquet'), ('csv')) t(format) where (select count(*) from events) > 0")
 def lake_stats(spark, sf):
-    return files.lake_stats(files.list_lake_files(spark, sf, dt.datetime(2200, 1, 1), days_back=10**6, most_age_days=10**6)).select("format", "files", "mb")
+    return files.lake_stats(_lake(spark, sf)).select("format", "files", (F.col("mb") < 500).alias("small"), (F.col("most_age") < 3).alias("recent"))
+
+
+@query('select n_nationkey::bigint as "nation.key", n_name as "nation.name", n_regionkey::bigint as region from nation')
+def read_json(spark, sf):
+    path = folder(spark, "json")
+    rows = v.table(spark, sf, "nation").select(F.to_json(F.struct(F.struct(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name")).alias("nation"), F.col("n_regionkey").alias("region"))).alias("value"))
+    rows.groupBy().agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("value"), ",\n"), F.lit("]")).alias("value")).coalesce(1).write.text(path)  # 25 rows, one document
+    return files.read_files(spark, path, "json", "nation struct<key:long,name:string>, region long")
+
+
+@query("select count(*) as n, sum(c_acctbal) + count(*) as balance from customer", (), "balance")
+def load_replace(spark, sf):
+    path = folder(spark, "replace")
+    rows = v.table(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    sinks.load(rows, path, "append")
+    sinks.load(rows.withColumn("c_acctbal", F.col("c_acctbal") + 1), path, "overwrite")
+    return spark.read.parquet(path).agg(F.count("*").alias("n"), F.sum("c_acctbal").alias("balance"))
+
+
+@query("select c_custkey, c_acctbal from customer", (), "c_acctbal")
+def restore_latest(spark, sf):
+    """Two snapshots, an old one that expires, and the newest back."""
+    path, rows = folder(spark, "snapshots"), v.table(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    sinks.snapshot_table(rows.withColumn("c_acctbal", F.lit(0.0)), path, dt.datetime(2024, 1, 1))
+    sinks.snapshot_table(rows, path, dt.datetime(2024, 3, 1))
+    if len(sinks.expire_snapshots(rows, path, dt.datetime(2024, 3, 2))) != 1:
+        raise ValueError("one snapshot was to expire")
+    return sinks.restore_latest(rows, path)
+
+
+@query("select 'predictions' as topic, user_id::varchar as key, user_id, value as score from events", (), "score")
+def to_messages(spark, sf):
+    sent = sinks.to_messages(v.table(spark, sf, "events").select("user_id", F.col("value").alias("score")), "user_id", "predictions")
+    return sent.select("topic", "key", F.from_json("value", "user_id long, score double").alias("v")).select("topic", "key", "v.*")
+
+
+@query(" select count(*) as extracted, count(*) filter (where amount > 10) as cleaned, count(*) filter (where amount > 10) as transformed, count(*) filter (where amount > 10) as loaded, count(*) filter (where amount > 10) / count(*) as success_rate from tx", (v.TX,), "success_rate")
+def run_report(spark, sf):
+    """Counters observed along one pass."""
+    from pyspark.sql import Observation
+
+    seen = [Observation(n) for n in ("extracted", "cleaned", "transformed")]
+    rows = v.transactions(spark, sf).observe(seen[0], F.count("*").alias("n")).where("amount > 10").observe(seen[1], F.count("*").alias("n"))
+    rows = rows.withColumn("fee", F.col("amount") * 0.01).observe(seen[2], F.count("*").alias("n"))
+    path, began = folder(spark, "run"), dt.datetime.now()
+    sinks.load(rows, path)
+    counts = {n: o.get["n"] for n, o in zip(("extracted", "cleaned", "transformed"), seen, strict=True)} | {"loaded": spark.read.parquet(path).count()}
+    return sinks.run_report(counts, (dt.datetime.now() - began).total_seconds(), spark).drop("seconds", "rows_per_second")
+
+
+@query(" select user_id, 'bets' as \"table\", count(*) as records from bets where user_id % 100 = 0 group by user_id union all select user_id, 'interactions', count(*) from inter where user_id % 100 = 0 and responded = 1 group by user_id", (v.BETS, v.INTER))
+def export_subject(spark, sf):
+    """Records of the stated subjects, written by table and read again."""
+    path = folder(spark, "subject")
+    frames = {"bets": v.bets(spark, sf), "interactions": v.interactions(spark, sf).where("responded = 1")}
+    ids = v.bets(spark, sf).where("user_id % 100 = 0").select("user_id")
+    sinks.export_subject(frames, ids).write.partitionBy("table").json(path)
+    back = spark.read.schema("user_id long, record string, `table` string").json(path)
+    return back.where(F.from_json("record", "user_id long")["user_id"] == F.col("user_id")).groupBy("user_id", "table").agg(F.count("*").alias("records"))
+
+
+@query(", e as (select campaign_id, user_id, 'delivered' as status, sent_at as t, 1 p from results union all select campaign_id, user_id, 'opened', opened_at, 2 from results where opened_at is not null and campaign_id % 7 <> 0), r as (select *, row_number() over (partition by campaign_id, user_id order by p desc, t) n from e) select campaign_id, user_id, status from r where n = 1", (v.RESULTS,))
+def apply_webhooks(spark, sf):
+    r = v.campaign_results(spark, sf)
+    events = r.where("opened_at is not null").select(F.concat(F.lit("c"), "campaign_id").alias("campaign_ext"), F.concat(F.lit("u"), "user_id").alias("user_ext"), F.lit("opened").alias("status"), F.col("opened_at").alias("at"))
+    campaigns = v.campaigns(spark, sf).where("campaign_id % 7 <> 0").select(F.concat(F.lit("c"), "campaign_id").alias("campaign_ext"), "campaign_id")
+    users = v.users(spark, sf).select(F.concat(F.lit("u"), "id").alias("user_ext"), F.col("id").alias("user_id"))
+    have = r.select("campaign_id", "user_id", F.lit("delivered").alias("status"), F.col("sent_at").alias("at"))
+    return sinks.apply_webhooks(have, events, campaigns, users).select("campaign_id", "user_id", "status")
 
 
 @query("select user_id, max(day) as day, count(*) as n from (select distinct user_id, cast(ts as date) as day from events) group by user_id")
@@ -125,9 +204,11 @@ def apply_updates(spark, sf):
     return sinks.apply_updates(rows, rows.where("c_custkey % 3 = 0").withColumn("c_mktsegment", F.lit("BUILDING")), "c_custkey")[1]
 
 
-@query()
+@query("select 'customer' as \"table\", 'c_name' as field, 'identity' as category, 730 as retention_days, count(*) as rows, count(c_name) as filled from customer union all select 'customer', 'c_acctbal', 'financial', 1825, count(*), count(c_acctbal) from customer union all select 'orders', 'o_totalprice', 'financial', 1825, count(*), count(o_totalprice) from orders")
 def data_inventory(spark, sf):
-    return sinks.data_inventory({t: v.table(spark, sf, t) for t in ("customer", "events", "orders")}, {"name": ("identity", 730), "acct": ("financial", 1825), "price": ("financial", 1825)})
+    frames = {"customer": v.table(spark, sf, "customer").select("c_name", "c_acctbal"), "orders": v.table(spark, sf, "orders").select("o_totalprice")}
+    found = sinks.inventory_values(frames, {"name": ("identity", 730), "acct": ("financial", 1825), "price": ("financial", 1825)})
+    return found.select("table", "field", "category", "retention_days", "rows", "filled")
 
 
 # --- streams -----------------------------------------------------------------------------------------------
@@ -208,3 +289,66 @@ def furthest_status(spark, sf):
 @query("select o_custkey as user_id, o_orderkey from (select *, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) n from orders) where n <= 2")
 def best_orders(spark, sf):
     return segments.top_k_per(v.table(spark, sf, "orders"), "o_custkey", [F.desc("o_totalprice"), F.col("o_orderkey")], 2).select(F.col("o_custkey").alias("user_id"), "o_orderkey")
+
+
+@query(" select user_id, count(*) as n, sum(amount) as amount from tx group by user_id", (v.TX,), "amount")
+def process_batches(spark, sf):
+    """Micro-batches of a file stream through a handler, worked off once; a batch writes its own part, so that a repeated one
+    counts once."""
+    source, out, checkpoint = folder(spark, "process-in"), folder(spark, "process-out"), folder(spark, "process-offsets")
+    tx = v.transactions(spark, sf)
+    tx.repartition(4).write.parquet(source)
+    stream = spark.readStream.schema(tx.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    done = k.process(stream, lambda df, i: df.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("amount").alias("amount")).write.mode("overwrite").parquet(f"{out}/part={i}"), checkpoint)
+    done.awaitTermination()
+    return spark.read.parquet(out).groupBy("user_id").agg(F.sum("n").alias("n"), F.sum("amount").alias("amount"))
+
+
+@query(" select count(*) as rows, true as in_batches from tx", (v.TX,))
+def stream_metrics(spark, sf):
+    """Rows of the progress of a stream."""
+    source, checkpoint = folder(spark, "metrics-in"), folder(spark, "metrics-offsets")
+    tx = v.transactions(spark, sf)
+    tx.repartition(3).write.parquet(source)
+    done = k.process(spark.readStream.schema(tx.schema).option("maxFilesPerTrigger", 1).parquet(source), lambda df, i: df.write.format("noop").mode("overwrite").save(), checkpoint)
+    done.awaitTermination()
+    return k.stream_metrics(done.recentProgress, spark).agg(F.sum("rows").alias("rows"), (F.count("*") >= 3).alias("in_batches"))
+
+
+@query(", f as (select user_id, max(created_at) as u, count(*) as n from tx where created_at < timestamp '2024-01-25' group by 1) select transaction_id, case when f.u >= tx.created_at - interval 3 days then n end as stored_n from tx left join f on f.user_id = tx.user_id where tx.created_at >= timestamp '2024-01-25'", (v.TX,))
+def enrich_stream(spark, sf):
+    tx = v.transactions(spark, sf)
+    split = F.lit(dt.datetime(2024, 1, 25))
+    features = tx.where(F.col("created_at") < split).groupBy("user_id").agg(F.max("created_at").alias("updated_at"), F.count("*").alias("stored_n"))
+    return _streamed(spark, sf, "enrich", lambda df: k.enrich_stream(df.where(F.col("created_at") >= split), features, "created_at", "3 days").select("transaction_id", "stored_n"))
+
+
+@query()
+def online_kmeans(spark, sf):
+    """Labels of all transactions by centres that a stream of them has moved."""
+    source, checkpoint = folder(spark, "online-in"), folder(spark, "online-offsets")
+    tx = v.transactions(spark, sf).withColumn("hour", F.hour("created_at"))
+    tx.repartition(4, "transaction_id").write.parquet(source)
+    model = k.OnlineKMeans(3, ["amount", "hour"], per_version=2)
+    k.process(spark.readStream.schema(tx.schema).option("maxFilesPerTrigger", 1).parquet(source), model.learn, checkpoint).awaitTermination()
+    return model.predict(tx).select("transaction_id", "label", "confidence", F.lit(model.version).alias("version"))
+
+
+@query()
+def score_stream(spark, sf):
+    from ..operators import clustering
+
+    tx = v.transactions(spark, sf)
+    rows = tx.select("transaction_id", F.array(F.col("amount"), F.hour("created_at").cast("double")).alias("features"))
+    model = clustering.kmeans(rows, 3)[0]
+    return _streamed(spark, sf, "score", lambda df: k.score_stream(df.withColumn("hour", F.hour("created_at")), model, ["amount", "hour"]).select("transaction_id", "label", "distance", "confidence"))
+
+
+@query(" select count(*) as rows, sum(case when status = 'failed' then 1 else 0 end)::bigint as failed from tx", (v.TX,))
+def quality_monitor(spark, sf):
+    source, out, checkpoint = folder(spark, "monitor-in"), folder(spark, "monitor-out"), folder(spark, "monitor-offsets")
+    tx = v.transactions(spark, sf)
+    tx.repartition(3).write.parquet(source)
+    handler = k.quality_monitor(out, lambda df: df.agg(F.count("*").alias("rows"), F.count_if(F.col("status") == "failed").alias("failed")))
+    k.process(spark.readStream.schema(tx.schema).option("maxFilesPerTrigger", 1).parquet(source), handler, checkpoint).awaitTermination()
+    return spark.read.parquet(out).agg(F.sum("rows").alias("rows"), F.sum("failed").alias("failed"))

@@ -169,9 +169,9 @@ def check_outliers(spark, sf):
     return q.check_outliers(_dirty(spark, sf), ["amount"])
 
 
-@query("select 'type_event_id' as rule, 'high' as severity, 1.0::double as score, true as passed union all select 'type_value', 'high', 0.0, false", (), "score")
+@query("with k as (select count(*) filter (where try_cast(event_id::varchar as bigint) is not null) / count(event_id) as e, count(*) filter (where value = floor(value)) / count(value) as x, count(*) filter (where try_cast(event_type as double) is not null) / count(event_type) as t from events) " + _rules("k", ("type_event_id", "high", "e", "e >= 1"), ("type_value", "high", "x", "x >= 1"), ("type_event_type", "high", "t", "t >= 1")), (), "score")
 def check_types(spark, sf):
-    return q.check_types(v.table(spark, sf, "events"), {"event_id": "bigint", "value": "int"})
+    return q.check_types(v.table(spark, sf, "events"), {"event_id": "bigint", "value": "int", "event_type": "double"})
 
 
 @query(_DIRTY + ", k as (select count(*) filter (where amount between 0.01 and 100000) / count(*) a, count(*) filter (where device in ('mobile', 'desktop')) / count(*) d from dirty) " + _rules("k", ("amount_range", "high", "a", "a = 1"), ("allowed_device", "medium", "d", "d = 1")), (v.TX,), "score")
@@ -219,7 +219,7 @@ def volume_anomaly(spark, sf):
     return q.volume_anomaly(v.transactions(spark, sf), 5000.0)
 
 
-@query("select 'channel' as \"column\", 'missing' as kind, 'critical' as severity union all select 'props', 'extra', 'medium'")
+@query("select 'channel' as \"column\", 'missing' as kind, 'critical' as severity, 0::bigint as filled union all select 'props', 'extra', 'medium', count(props) from events having count(props) > 0")
 def schema_drift(spark, sf):
     return q.schema_drift(v.table(spark, sf, "events"), ["event_id", "ts", "user_id", "event_type", "value", "channel"])
 

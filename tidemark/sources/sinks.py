@@ -78,3 +78,86 @@ def data_inventory(frames: dict[str, DataFrame], policy: dict[str, tuple[str, in
             category, days = next((p for word, p in policy.items() if word in c.lower()), ("other", 365))
             rows.append((table, c, t, category, days))
     return spark.createDataFrame(rows, "`table` string, field string, type string, category string, retention_days int")
+
+
+def inventory_values(frames: dict[str, DataFrame], policy: dict[str, tuple[str, int]]) -> DataFrame:
+    """``data_inventory`` with what the fields hold: rows, filled values, and an estimate (5 %) of different ones."""
+    parts = None
+    for table, df in frames.items():
+        one = df.agg(F.count("*").alias("rows"), *[x for i, c in enumerate(df.columns) for x in (F.count(F.col(f"`{c}`")).alias(f"f{i}"), F.approx_count_distinct(F.col(f"`{c}`").cast("string")).alias(f"d{i}"))])
+        cells = F.array(*[F.struct(F.lit(table).alias("table"), F.lit(c).alias("field"), "rows", F.col(f"f{i}").alias("filled"), F.col(f"d{i}").alias("distinct")) for i, c in enumerate(df.columns)])
+        rows = one.select(F.inline(cells))
+        parts = rows if parts is None else parts.unionByName(rows)
+    return data_inventory(frames, policy).join(parts, ["table", "field"])
+
+
+def snapshot_table(df: DataFrame, folder: str, at: dt.datetime) -> str:
+    """Writes the table to a path with the time in its name, and returns that."""
+    path = f"{folder.rstrip('/')}/snapshot-{at:%Y%m%dT%H%M%S}"
+    df.write.parquet(path)
+    return path
+
+
+def snapshots(df: DataFrame, folder: str) -> list[str]:
+    """Paths of the snapshots in the folder, oldest first; df gives the session."""
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().toString() for s in system.listStatus(at) if s.getPath().getName().startswith("snapshot-")) if system.exists(at) else []
+
+
+def restore_latest(df: DataFrame, folder: str) -> DataFrame:
+    """The newest snapshot, with df's columns. Raises if there is none."""
+    found = snapshots(df, folder)
+    if not found:
+        raise ValueError(f"no snapshot in {folder}")
+    return df.sparkSession.read.schema(df.schema).parquet(found[-1])
+
+
+def expire_snapshots(df: DataFrame, folder: str, as_of: dt.datetime, days: int = 30) -> list[str]:
+    """Deletes the snapshots that are older than ``days``, but never the newest; returns their paths."""
+    least = f"snapshot-{as_of - dt.timedelta(days=days):%Y%m%dT%H%M%S}"
+    gone = [p for p in snapshots(df, folder)[:-1] if p.rsplit("/", 1)[1] < least]
+    for p in gone:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
+
+
+def to_messages(df: DataFrame, key: str, topic: str) -> DataFrame:
+    """(topic, key, value): rows as JSON messages, as the Kafka sink takes them from a batch or a stream."""
+    return df.select(F.lit(topic).alias("topic"), F.col(key).cast("string").alias("key"), F.to_json(F.struct(*df.columns)).alias("value"))
+
+
+def write_topic(df: DataFrame, servers: str, checkpoint: str | None = None):
+    """Messages to Kafka; a stream keeps its offsets in the checkpoint. Needs the Kafka package on the class path."""
+    if not df.isStreaming:
+        return df.write.format("kafka").option("kafka.bootstrap.servers", servers).save()
+    return df.writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("checkpointLocation", checkpoint).start()
+
+
+def run_report(counts: dict[str, int], seconds: float, spark) -> DataFrame:
+    """One row per run from observed counters (extracted, cleaned, transformed, loaded): seconds, rows a second, success rate."""
+    n = counts.get("extracted", 0)
+    row = (*[int(counts.get(x, 0)) for x in ("extracted", "cleaned", "transformed", "loaded")], float(seconds), n / seconds if seconds else 0.0, counts.get("loaded", 0) / n if n else 0.0)
+    return spark.createDataFrame([row], "extracted long, cleaned long, transformed long, loaded long, seconds double, rows_per_second double, success_rate double")
+
+
+def export_subject(frames: dict[str, DataFrame], ids: DataFrame, key: str = "user_id") -> DataFrame:
+    """(key, table, record): all rows of the subjects as JSON, a row each, to be written partitioned by table; columns that
+    a table lacks don't appear, and subjects without rows have none."""
+    mine, out = ids.select(key).distinct(), None
+    for table, df in frames.items():
+        one = df.join(mine, key, "left_semi").select(key, F.lit(table).alias("table"), F.to_json(F.struct(*sorted(df.columns))).alias("record"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def apply_webhooks(results: DataFrame, events: DataFrame, campaigns: DataFrame, users: DataFrame) -> DataFrame:
+    """results (campaign_id, user_id, status, at) after events (campaign_ext, user_ext, status, at) whose external ids are
+    known: of each pair the furthest status wins, the earliest time of that; new pairs join."""
+    place = F.array_position(F.array(*[F.lit(x) for x in ("delivered", "opened", "clicked", "converted")]), F.col("status"))
+    known = events.join(campaigns.select("campaign_ext", "campaign_id"), "campaign_ext").join(users.select("user_ext", "user_id"), "user_ext").select("campaign_id", "user_id", "status", "at")
+    rows = results.select("campaign_id", "user_id", "status", "at").unionByName(known).withColumn("_p", place)
+    best = rows.groupBy("campaign_id", "user_id").agg(F.max(F.struct("_p", -F.col("at").cast("double"), "at", "status")).alias("m"))
+    return best.select("campaign_id", "user_id", F.col("m.status").alias("status"), F.col("m.at").alias("at"))

@@ -93,3 +93,86 @@ def stream_metrics(progress: list[dict], spark: SparkSession) -> DataFrame:
     """(batch, rows, rows_per_second, dropped) of a query's recent progress."""
     rows = [(int(p["batchId"]), int(p["numInputRows"]), float(p.get("processedRowsPerSecond") or 0.0), int(sum(s.get("numRowsDroppedByWatermark", 0) for s in p.get("stateOperators", [])))) for p in progress]
     return spark.createDataFrame(rows, "batch long, rows long, rows_per_second double, dropped long")
+
+
+def enrich_stream(events: DataFrame, features: DataFrame, ts: str, ttl: str = "300 seconds") -> DataFrame:
+    """Events with their user's stored features (user_id, updated_at, ...), a stream-static join: features that are older than
+    ``ttl`` at the event count as missing (null), and so do those of unknown users."""
+    names = [c for c in features.columns if c not in ("user_id", "updated_at")]
+    f = features.select("user_id", F.col("updated_at").alias("_at"), *[F.col(c).alias(f"_{c}") for c in names])
+    rows = events.join(f, "user_id", "left")
+    fresh = F.col("_at") >= F.col(ts) - F.expr(f"interval {ttl}")
+    return rows.select(*events.columns, *[F.when(fresh, F.col(f"_{c}")).alias(c) for c in names])
+
+
+class OnlineKMeans:
+    """Centres that move with micro-batches: each batch is scaled by the running mean and spread of all batches so far, is
+    assigned in Spark, and adds its sums to the centres' with ``decay`` for the past. Only k sums a batch come to the
+    driver. ``version`` goes up with every ``per_version`` batches. Used as a handler of ``process``."""
+
+    def __init__(self, k: int, columns: list[str], decay: float = 1.0, per_version: int = 100):
+        self.k, self.columns, self.decay, self.per_version = k, columns, decay, per_version
+        self.n, self.mean, self.m2 = 0, [0.0] * len(columns), [0.0] * len(columns)
+        self.centres: list[list[float]] = []
+        self.weights: list[float] = []
+        self.batches = 0
+
+    @property
+    def version(self) -> int:
+        return self.batches // self.per_version
+
+    def _scaled(self) -> list:
+        spread = [(m / self.n) ** 0.5 if self.n and m > 0 else 1.0 for m in self.m2]
+        return [(F.col(c).cast("double") - F.lit(m)) / F.lit(s) for c, m, s in zip(self.columns, self.mean, spread, strict=True)]
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        """df with label (the nearest centre, the first among equals) and confidence: 1 minus the spread of the columns'
+        distances, within 0.1 and 1; rows with nulls get neither."""
+        x = F.array(*self._scaled())
+        far = F.array(*[F.aggregate(F.zip_with(x, F.array(*[F.lit(v) for v in c]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v) for c in self.centres])
+        rows = df.withColumn("_d", far)
+        best = F.array_min("_d")
+        gaps = F.array(*[F.abs(v - F.array(*[F.lit(c[i]) for c in self.centres])[F.col("label")]) for i, v in enumerate(self._scaled())])
+        rows = rows.withColumn("label", (F.array_position("_d", best) - 1).cast("int")).withColumn("_g", gaps)
+        mean = F.aggregate("_g", F.lit(0.0), lambda s, v: s + v) / len(self.columns)
+        spread = F.sqrt(F.aggregate(F.transform("_g", lambda v: (v - mean) * (v - mean)), F.lit(0.0), lambda s, v: s + v) / len(self.columns))
+        return rows.withColumn("confidence", F.greatest(F.lit(0.1), F.least(F.lit(1.0), 1 - spread))).drop("_d", "_g")
+
+    def learn(self, df: DataFrame, batch: int = 0) -> None:
+        rows = df.select(*self.columns).dropna()
+        s = rows.agg(F.count("*").alias("n"), *[f(F.col(c).cast("double")).alias(f"{p}{i}") for i, c in enumerate(self.columns) for p, f in (("m", F.avg), ("v", F.var_pop))]).first()
+        if not s.n:
+            return
+        for i in range(len(self.columns)):  # two means and spreads into one
+            d, total = s[f"m{i}"] - self.mean[i], self.n + s.n
+            self.m2[i] += s[f"v{i}"] * s.n + d * d * self.n * s.n / total
+            self.mean[i] += d * s.n / total
+        self.n += s.n
+        if len(self.centres) < self.k:
+            scaled = rows.select(F.array(*self._scaled()).alias("x")).distinct().orderBy(F.xxhash64("x"), "x").limit(self.k - len(self.centres)).collect()
+            self.centres += [list(r.x) for r in scaled]
+            self.weights += [0.0] * len(scaled)
+        sums = self.predict(rows).groupBy("label").agg(F.count("*").alias("n"), *[F.sum(v).alias(f"s{i}") for i, v in enumerate(self._scaled())]).collect()
+        for r in sums:
+            old = self.weights[r.label] * self.decay
+            self.centres[r.label] = [(c * old + r[f"s{i}"]) / (old + r.n) for i, c in enumerate(self.centres[r.label])]
+            self.weights[r.label] = old + r.n
+        self.batches += 1
+
+
+def score_stream(df: DataFrame, model, features: list[str]) -> DataFrame:
+    """A stream or table through a fitted pyspark.ml clustering model: label and confidence 1 / (1 + distance)."""
+    from ..operators.clustering import assign_clusters
+
+    rows = df.withColumn("features", F.array(*[F.col(c).cast("double") for c in features]))
+    return assign_clusters(model, rows).drop("features")
+
+
+def quality_monitor(out: str, measure: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """A handler that appends each micro-batch's measures to a table, with the batch's number. A repeated batch replaces
+    its own part, so measures count once."""
+
+    def handle(df: DataFrame, batch: int) -> None:
+        measure(df).withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{out}/part={batch}")
+
+    return handle
