@@ -21,8 +21,8 @@ def _bag(rows):
 # --- suffix buckets ----------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("length", [40, 90])
-def test_suffix_against_brute_force(docs, corpus, length):
+@pytest.mark.parametrize(("length", "gram"), [(40, 16), (90, 16), (200, 32)])
+def test_suffix_against_brute_force(docs, corpus, length, gram):
     count = collections.Counter()
     for _, t in corpus:
         b = (t or "").encode()
@@ -36,7 +36,7 @@ def test_suffix_against_brute_force(docs, corpus, length):
                 gone[k : k + length] = True
         n_spans = int((np.diff(np.concatenate(([0], gone.astype(np.int8)))) == 1).sum())
         want.append((d, len(b), int(gone.sum()), n_spans, bytes(np.frombuffer(b, np.uint8)[~gone])))
-    found = suffix.dedup_bytes(docs, length=length, gram=16).select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept")).collect()
+    found = suffix.dedup_bytes(docs, length=length, gram=gram).select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept")).collect()
     assert _bag((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in found) == _bag(want)
 
 

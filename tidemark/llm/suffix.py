@@ -1,21 +1,29 @@
 """Suffix dedup by bucket-pointer refinement over a sparse set of suffixes. Every byte that a string of ``length``
 bytes covers which also starts anywhere else goes.
 
-Suffixes are sampled where the text decides: of each window of ``length`` bytes, the place whose gram of ``gram``
-bytes hashes lowest (its anchor). Equal windows have equal anchors at equal distances, so the buckets of equal
-anchor grams hold all repeats. Buckets are then refined by the identifiers of the text at later and earlier offsets:
+The initial bucket of a suffix is its gram of ``gram`` bytes. A bucket of w bytes is refined to up to 2 w by the
+identifiers of its suffix at its own and at a later offset, both of w bytes, and the refined identifiers are used again
+for the next width (32, 64, 128, 200 bytes). So the identifier of any string comes from those of its halves, down to grams.
 
-1. An item is an anchor with the windows that have it. Its bucket is its gram (the core that all of its windows
-   share), its class the identifier of all the text that its windows cover.
+Suffixes are sampled where the text decides: of each window of ``length`` bytes, the place whose gram hashes lowest (its
+anchor). Equal windows have equal anchors at equal distances, so the buckets of equal anchor grams hold all repeats. They
+are sorted and refined in rounds, each over what the last one left open:
+
+1. An item is an anchor with the windows that have it. Its bucket is its gram (which all of its windows share), its class
+   the identifiers at the first and the last of its windows, which together are all the text that they cover.
 2. A bucket of one item has no repeat. A class of several repeats in all its windows. A bucket of several classes is
-   refined again, each class by one member only: its items are split in blocks of 16 windows with longer cores.
+   refined again, each class by the members of one row only: its items are split in blocks of 16 windows, whose buckets
+   are the identifiers of the longer text that these windows share.
 3. What is still mixed is split into single windows, whose identifiers decide.
 
-Each decision is used again by the next step, so that text is hashed finely only next to where copies part.
-Identifiers are 64-bit hashes of bytes; two different texts meet only if core and class both collide.
+Each decision is used again by the next round, so that text is refined to single places only next to where copies part.
+Identifiers have 64 bits. Two different texts count as equal only if bucket and class collide both (in the last round the
+identifiers of the first 128 bytes and of all 200), which is once in 2**128 pairs. Buckets that many rows share are
+counted before they are shuffled, and classes are settled as rows of their own.
 
 Defined cases: null text is empty; texts shorter than ``length`` keep all; rows that repeat an id, or have none, are
-texts of their own (so equal ones repeat); other columns are ignored. docs must read the same rows each time (a table).
+texts of their own (so equal ones repeat); other columns are ignored, whatever their names. docs must read the same rows
+each time (a table).
 """
 
 from __future__ import annotations
@@ -54,6 +62,18 @@ def anchors(rolling: RollingHash, windows: int, length: int, gram: int) -> tuple
     return np.concatenate(found), grams
 
 
+def refined(grams: np.ndarray, at: np.ndarray, width: int, gram: int) -> np.ndarray:
+    """Identifiers of the strings of ``width`` bytes from these places: of two shorter ones, the second at a later offset,
+    each refined from grams in the same way."""
+    if width == gram:
+        return grams[at]
+    half = gram
+    while 2 * half < width:
+        half *= 2
+    first, later = refined(grams, at, half, gram), refined(grams, at + width - half, half, gram)
+    return mix64(first * np.uint64(0x9FB21C651E98DF25) + later + np.uint64(width))
+
+
 def first_items(data: np.ndarray, length: int, gram: int) -> list[np.ndarray]:
     """core, full, anchor, lo, n of the items of one text."""
     rolling = RollingHash(data)
@@ -61,11 +81,16 @@ def first_items(data: np.ndarray, length: int, gram: int) -> list[np.ndarray]:
     lo = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
     n = np.diff(np.append(lo, len(place)))
     anchor = place[lo]
-    full = mix64(rolling.at(lo, lo + n - 1 + length) + (anchor - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + n.astype(np.uint64))
-    return [grams[anchor].view(np.int64), full.view(np.int64), anchor, lo, n]
+    return [grams[anchor].view(np.int64), _class(grams, anchor, lo, n, length, gram).view(np.int64), anchor, lo, n]
 
 
-def blocks(data: np.ndarray, items: np.ndarray, length: int) -> list[np.ndarray]:
+def _class(grams: np.ndarray, anchor: np.ndarray, lo: np.ndarray, n: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Identifier of the text that windows lo .. lo + n - 1 cover (n is at most length), and of its place at the anchor."""
+    ends = refined(grams, lo, length, gram) * np.uint64(0xA0761D6478BD642F) + refined(grams, lo + n - 1, length, gram)
+    return mix64(ends + (anchor - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + n.astype(np.uint64))
+
+
+def blocks(data: np.ndarray, items: np.ndarray, length: int, gram: int) -> list[np.ndarray]:
     """Items (anchor, lo, n) split where the distance to the anchor is a multiple of BLOCK."""
     anchor, lo, n = items.T
     far, near = (anchor - lo) // BLOCK, (anchor - lo - n + 1) // BLOCK
@@ -75,19 +100,21 @@ def blocks(data: np.ndarray, items: np.ndarray, length: int) -> list[np.ndarray]
     anchor, lo, end = anchor[which], lo[which], (lo + n)[which]
     first = np.maximum(lo, anchor - block * BLOCK - BLOCK + 1)
     last = np.minimum(end, anchor - block * BLOCK + 1)
-    rolling = RollingHash(data)
-    core = rolling.at(anchor - block * BLOCK, anchor - block * BLOCK - BLOCK + 1 + length)
-    full = mix64(rolling.at(first, last - 1 + length) + (last - first).astype(np.uint64) + (anchor - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return [core.view(np.int64), full.view(np.int64), anchor, first, last - first]
+    grams = RollingHash(data).every(gram)
+    core = refined(grams, anchor - block * BLOCK, length - BLOCK + 1, gram)
+    return [core.view(np.int64), _class(grams, anchor, first, last - first, length, gram).view(np.int64), anchor, first, last - first]
 
 
-def windows(data: np.ndarray, items: np.ndarray, length: int) -> list[np.ndarray]:
+def windows(data: np.ndarray, items: np.ndarray, length: int, gram: int) -> list[np.ndarray]:
     """Items as single windows."""
     anchor, lo, n = items.T
     which = np.repeat(np.arange(len(n)), n)
     at = lo[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-    h = RollingHash(data).at(at, at + length).view(np.int64)
-    return [h, h, anchor[which], at, np.ones(len(at), np.int64)]
+    grams = RollingHash(data).every(gram)
+    half = gram
+    while 2 * half < length:
+        half *= 2
+    return [refined(grams, at, half, gram).view(np.int64), refined(grams, at, length, gram).view(np.int64), anchor[which], at, np.ones(len(at), np.int64)]
 
 
 def _bytes(text) -> np.ndarray:
@@ -126,7 +153,7 @@ def _items(rows: DataFrame, length: int, gram: int) -> DataFrame:
     return rows.mapInArrow(each, ITEM)
 
 
-def _split(rows: DataFrame, decided: DataFrame, split, length: int) -> DataFrame:
+def _split(rows: DataFrame, decided: DataFrame, split, length: int, gram: int) -> DataFrame:
     """The items that go on, split by ``split`` with their text at hand."""
     lists = decided.where("go").groupBy("_row").agg(F.collect_list(F.struct("anchor", "lo", "n")).alias("items"))
 
@@ -135,40 +162,39 @@ def _split(rows: DataFrame, decided: DataFrame, split, length: int) -> DataFrame
             for batch in batches:
                 for row, text, items in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                     flat = items.values.flatten()
-                    yield row, split(_bytes(text), np.stack([np.asarray(x, np.int64) for x in flat], axis=1), length)
+                    yield row, split(_bytes(text), np.stack([np.asarray(x, np.int64) for x in flat], axis=1), length, gram)
 
         yield from _emit(found())
 
     return rows.join(lists, "_row").select("_row", "text", "items").mapInArrow(each, ITEM)
 
 
-def _decide(items: DataFrame) -> DataFrame:
+def _decide(items: DataFrame, what: str) -> DataFrame:
     """(_row, anchor, lo, n, repeats, go) of the items whose bucket has others."""
     buckets = items.groupBy("core").agg(F.count("*").alias("size"), (F.min("full") != F.max("full")).alias("mixed")).where("size > 1").drop("size")
-    shared = items.join(buckets, "core")
-    place = F.struct("_row", "lo")
-    classes = shared.where("mixed").groupBy("core", "full").agg(F.count("*").alias("members"), F.min(place).alias("first"))
-    mixed = shared.where("mixed").join(classes, ["core", "full"])
+    shared = written(items.join(buckets, "core"), f"{what}-shared")
     one = shared.where("not mixed").select("_row", "anchor", "lo", "n", F.lit(True).alias("repeats"), F.lit(False).alias("go"))
-    return one.unionByName(mixed.select("_row", "anchor", "lo", "n", (F.col("members") > 1).alias("repeats"), ((F.col("members") == 1) | (F.col("first") == place)).alias("go")))
+    mixed = shared.where("mixed")
+    classes = mixed.groupBy("core", "full").agg(F.count("*").alias("members"), F.min("_row").alias("least"))
+    rows = mixed.drop("mixed").join(classes, ["core", "full"]).select("_row", "anchor", "lo", "n", (F.col("members") > 1).alias("repeats"), (F.col("_row") == F.col("least")).alias("go"))
+    return written(one.unionByName(rows), f"{what}-decided")
 
 
 def repeated_windows(rows: DataFrame, length: int, gram: int) -> DataFrame:
     """(_row, lo, n): runs of starting places of strings that start elsewhere too. rows: _row, text."""
-    first = written(_decide(written(_items(rows, length, gram), "anchors")), "anchors-decided")
-    second = written(_decide(written(_split(rows, first, blocks, length), "blocks")), "blocks-decided")
-    single = written(_split(rows, second, windows, length), "windows")
-    # a window's identifier is its bucket and its class: two of one bucket repeat
-    twice = single.groupBy("core").agg(F.count("*").alias("size")).where("size > 1").select("core")
-    third = single.join(twice, "core", "left_semi")
+    first = _decide(written(_items(rows, length, gram), "anchors"), "anchors")
+    second = _decide(written(_split(rows, first, blocks, length, gram), "blocks"), "blocks")
+    single = written(_split(rows, second, windows, length, gram), "windows")
+    twice = single.groupBy("core", "full").agg(F.count("*").alias("size")).where("size > 1").select("core", "full")
+    third = single.join(twice, ["core", "full"], "left_semi")
     return first.where("repeats").select("_row", "lo", "n").unionByName(second.where("repeats").select("_row", "lo", "n")).unionByName(third.select("_row", "lo", "n"))
 
 
 def dedup_bytes(docs: DataFrame, length: int = 200, gram: int = 32, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, spans, kept): every row of docs; spans are the removed [first, end) byte
     runs, kept the bytes that are left."""
-    if not BLOCK < length - gram:
-        raise ValueError("length must exceed gram by more than a block")
+    if not (BLOCK < length - gram and length >= 2 * gram):
+        raise ValueError("length must be two grams at least, and exceed one by more than a block")
     rows = with_row_id(docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))).select("_row", "doc_id", "text")
     found = repeated_windows(rows.select("_row", "text"), length, gram)
     lists = found.groupBy("_row").agg(F.collect_list(F.struct("lo", "n")).alias("runs"))
