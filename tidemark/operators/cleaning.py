@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from ..functions import text
 from ..functions.stats import one_row, quantile
 
@@ -114,15 +115,15 @@ def filter_recent(df: DataFrame, as_of: dt.datetime, days: int = 90, column: str
 
 
 def clean(df: DataFrame, as_of: dt.datetime, keys: tuple[str, ...] = ("user_id", "created_at"), tie: str = "transaction_id") -> tuple[DataFrame, DataFrame]:
-    """Cleaned rows and a report (step, rows, removed) of one row per step."""
-    steps = [("input", df)]
-    steps.append(("key", require_key(df)))
-    steps.append(("exact_duplicates", dedup_exact(steps[-1][1])))
-    steps.append(("key_duplicates", dedup_key(steps[-1][1], list(keys), [F.col(tie).desc()])))
-    steps.append(("missing", fill_missing(steps[-1][1], as_of)))
+    """Cleaned rows and a report (step, rows, removed) of one row per step. Each step that shuffles or needs statistics of
+    all rows is a table, from which the next one and the report go on, so that nothing runs twice."""
+    steps = [("input", df), ("key", require_key(df))]
+    steps.append(("exact_duplicates", written(dedup_exact(steps[-1][1]), "clean")))
+    steps.append(("key_duplicates", written(dedup_key(steps[-1][1], list(keys), [F.col(tie).desc()]), "clean")))
+    steps.append(("missing", written(fill_missing(steps[-1][1], as_of), "clean")))
     steps.append(("amounts", filter_amount(steps[-1][1])))
     steps.append(("dates", filter_dates(steps[-1][1], as_of)))
-    steps.append(("outliers", handle_outliers(steps[-1][1], ["amount"])))
+    steps.append(("outliers", written(handle_outliers(steps[-1][1], ["amount"]), "clean")))
     counts = None
     for i, (name, rows) in enumerate(steps):
         one = rows.agg(F.lit(i).alias("place"), F.lit(name).alias("step"), F.count("*").alias("rows"))
@@ -132,6 +133,18 @@ def clean(df: DataFrame, as_of: dt.datetime, keys: tuple[str, ...] = ("user_id",
     return steps[-1][1], report.select("step", "rows", "removed")
 
 
+def clean_quality(cleaned: DataFrame, report: DataFrame, least: float = 0.95) -> DataFrame:
+    """One row: completeness, retention, errors and the quality score of a cleaning: 0.3 completeness, 0.3 retention, 0.2 less a
+    tenth for each error, 0.2 less the share of duplicates that were removed; 0 without rows."""
+    filled = cleaned.agg(F.count("*").alias("n"), sum((F.count(f"`{c}`") for c in cleaned.columns), F.lit(0)).alias("filled"))
+    of = lambda step, c: F.max(F.when(F.col("step") == step, F.col(c)))
+    one = report.agg(of("input", "rows").alias("before"), of("outliers", "rows").alias("after"), F.sum(F.when(F.col("step").isin("exact_duplicates", "key_duplicates"), F.col("removed"))).alias("duplicates")).crossJoin(F.broadcast(filled))
+    complete, kept = F.try_divide(F.col("filled"), F.col("n") * len(cleaned.columns)), F.try_divide(F.col("after"), F.col("before"))
+    rows = one.select(F.coalesce(complete, F.lit(0.0)).alias("completeness"), F.coalesce(kept, F.lit(0.0)).alias("retention"), "duplicates", "before", "n").withColumn("errors", (F.col("completeness") < least).cast("int"))
+    score = F.col("completeness") * 0.3 + F.col("retention") * 0.3 + F.greatest(F.lit(0.0), 1 - F.col("errors") / 10) * 0.2 + (1 - F.least(F.lit(1.0), F.col("duplicates") / F.greatest("before", F.lit(1)))) * 0.2
+    return rows.select("completeness", "retention", "errors", F.when(F.col("n") > 0, score).otherwise(0.0).alias("quality_score"))
+
+
 def validate_cleaned(df: DataFrame, keys: list[str]) -> DataFrame:
     """One row: share of nulls, share of key duplicates, number of issues and whether at most two."""
     nulls = sum((F.count_if(F.col(c).isNull()) for c in df.columns), F.lit(0)) / (F.count("*") * len(df.columns))

@@ -14,10 +14,18 @@ def rate_by(df: DataFrame, key: str, ts: str, condition: str, size: str = "1 day
     return df.groupBy(key, F.window(ts, size).start.alias("start")).agg(F.count("*").alias("n"), F.avg(F.coalesce(F.expr(condition), F.lit(False)).cast("double")).alias("rate"))
 
 
-def impute(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Nulls of numeric columns become the column's exact median; a column of nulls becomes 0."""
-    stats = one_row(df, *[F.median(c).alias(f"_median_{c}") for c in columns])
-    return df.crossJoin(stats).select(*[F.coalesce(F.col(c).cast("double"), F.col(f"_median_{c}"), F.lit(0.0)).alias(c) if c in columns else F.col(c) for c in df.columns])
+def impute(df: DataFrame, columns: list[str], accuracy: int = 100_000) -> DataFrame:
+    """Nulls of numeric columns become the column's median (to 1 in ``accuracy`` ranks, so that no task holds a column), those
+    of other columns the commonest value (smallest of equals); a column of nulls becomes 0 or stays null."""
+    kinds = dict(df.dtypes)
+    numeric = [c for c in columns if kinds[c] in ("tinyint", "smallint", "int", "bigint", "float", "double") or kinds[c].startswith("decimal")]
+    stats = one_row(df, F.lit(0).alias("_one"), *[F.percentile_approx(F.col(c).cast("double"), F.lit(0.5), F.lit(accuracy)).alias(f"_fill_{c}") for c in numeric])
+    rows = df.crossJoin(stats)
+    for c in (x for x in columns if x not in numeric):
+        counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("x")).agg(F.count("*").alias("n"))
+        rows = rows.crossJoin(F.broadcast(counts.agg(F.min(F.struct((-F.col("n")).alias("n"), "x"))["x"].alias(f"_fill_{c}"))))
+    fill = lambda c: F.coalesce(F.col(c).cast("double"), F.col(f"_fill_{c}"), F.lit(0.0)) if c in numeric else F.coalesce(F.col(c), F.col(f"_fill_{c}"))
+    return rows.select(*[fill(c).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def importance_sample(df: DataFrame, key: str, x: str, y: str, n: int, order: str) -> DataFrame:

@@ -262,7 +262,7 @@ def rhythm(df: DataFrame) -> DataFrame:
 def channel_preference(df: DataFrame, channels: list[str]) -> DataFrame:
     """Preferred channel (smallest name among ties), its share, entropy over ln 6, and the share of each channel."""
     p = shares(df, "user_id", "channel")
-    best = F.max_by("channel", F.struct("n", *[-F.ascii(F.substring("channel", i, 1)) for i in (1, 2, 3)]))
+    best = F.min(F.struct((-F.col("n")).alias("n"), "channel"))["channel"]
     return p.groupBy("user_id").agg(
         best.alias("preferred_channel"), F.max("p").alias("preferred_share"), (entropy("p") / F.log(F.lit(float(len(channels))))).alias("channel_entropy"),
         *[F.coalesce(F.max(F.when(F.col("channel") == c, F.col("p"))), F.lit(0.0)).alias(f"share_{c}") for c in channels])
@@ -306,6 +306,27 @@ def feature_documentation(df: DataFrame, columns: list[str]) -> DataFrame:
     return long.groupBy("feature").agg(F.count("v").alias("n"), F.count_if(F.col("v").isNull()).alias("nulls"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), q[0].alias("p25"), q[1].alias("p50"), q[2].alias("p75"), F.max("v").alias("max"))
 
 
+def feature_quality(df: DataFrame, columns: list[str], least_variance: float = 0.01, most_null: float = 0.5) -> DataFrame:
+    """(feature, variance, null_share, drop): columns of little variance or of many nulls are to be dropped."""
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "feature", "v")
+    one = long.groupBy("feature").agg(F.var_samp("v").alias("variance"), F.avg(F.col("v").isNull().cast("double")).alias("null_share"))
+    return one.withColumn("drop", (F.coalesce("variance", F.lit(0.0)) < least_variance) | (F.col("null_share") > most_null))
+
+
+def top_correlations(pairs: DataFrame, k: int = 10) -> DataFrame:
+    """The k pairs of ``feature_redundancy`` of largest absolute correlation, ties by name."""
+    return pairs.where("correlation is not null").orderBy(F.desc(F.round(F.abs("correlation"), 9)), "a", "b").limit(k)
+
+
+def support_profile(df: DataFrame) -> DataFrame:
+    """Per user support tickets, their share, the commonest content of tickets (smallest name of equals), the entropy of
+    their contents and their mean engagement; users without tickets have nulls there."""
+    ticket = F.contains(F.col("interaction_type"), F.lit("support"))
+    base = df.groupBy("user_id").agg(F.count_if(ticket).alias("support_tickets"), share(ticket).alias("support_rate"), F.avg(F.when(ticket, F.col("engagement_score"))).alias("satisfaction"))
+    issues = shares(df.where(ticket), "user_id", "content_type").groupBy("user_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "content_type"))["content_type"].alias("top_issue"), entropy("p").alias("issue_entropy"))
+    return base.join(issues, "user_id", "left")
+
+
 def feature_redundancy(df: DataFrame, columns: list[str], limit: float = 0.8) -> DataFrame:
     """(a, b, correlation, redundant) of all pairs of the named columns, in one aggregate."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -147,12 +151,21 @@ def schema_drift(df: DataFrame, expected: list[str]) -> DataFrame:
 
 def quality_alerts(metrics: DataFrame, threshold: float = 0.9, cooldown_minutes: int = 15) -> DataFrame:
     """Alerts of metrics (dimension, ts, score) below the threshold, critical below 0.7 and high below 0.85 of it. Of
-    one dimension and severity, an alert silences those of the next minutes. The choice is greedy in time, so
-    each key is folded in order within its own sorted list."""
+    one dimension and severity, an alert silences those of the next minutes. The choice is greedy in time, so the distinct
+    times of each key pass through a task in order, of which only the last alert is held."""
     low = metrics.where(F.col("score") < threshold).withColumn("severity", F.when(F.col("score") < 0.7 * threshold, "critical").when(F.col("score") < 0.85 * threshold, "high").otherwise("medium"))
-    times = low.groupBy("dimension", "severity").agg(F.array_sort(F.collect_list(F.col("ts").cast("double"))).alias("t"))
-    kept = F.expr(f"aggregate(t, cast(array() as array<double>), (a, x) -> if(size(a) = 0 or x - element_at(a, -1) >= {cooldown_minutes * 60}, concat(a, array(x)), a))")
-    return times.select("dimension", "severity", F.explode(kept).alias("at")).select("dimension", "severity", F.timestamp_seconds("at").alias("ts"))
+    def pass_on(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, last = None, 0.0
+        for batch in batches:
+            keep = np.zeros(len(batch), bool)
+            for i, (dimension, severity, at) in enumerate(batch.itertuples(index=False)):
+                if (dimension, severity) != key or at - last >= cooldown_minutes * 60:
+                    key, last, keep[i] = (dimension, severity), at, True
+            yield batch[keep]
+
+    times = low.select("dimension", "severity", F.col("ts").cast("double").alias("at")).distinct()
+    ordered = times.repartition("dimension", "severity").sortWithinPartitions("dimension", "severity", "at")
+    return ordered.mapInPandas(pass_on, times.schema).select("dimension", "severity", F.timestamp_seconds("at").alias("ts"))
 
 
 def quality_baseline(history: DataFrame, last: int = 100) -> DataFrame:
@@ -183,7 +196,7 @@ def hourly_alerts(df: DataFrame, factor: float = 3.0, days: int = 7) -> DataFram
     """Hours (ts, value) whose volume is over ``factor`` times the mean hour of the days before: a baseline over a range
     of time. Hours are few, whatever the rows."""
     hours = df.groupBy(F.date_trunc("hour", "created_at").alias("hour")).agg(F.count("*").alias("n"), F.sum("amount").alias("amount"))
-    w = Window.partitionBy(F.lit(1)).orderBy(F.col("hour").cast("long")).rangeBetween(-days * 86400, -1)
+    w = Window.orderBy(F.col("hour").cast("long")).rangeBetween(-days * 86400, -1)
     rows = hours.withColumns({"baseline": F.avg("n").over(w), "seen": F.count("*").over(w)})
     return rows.select("hour", "n", "baseline", ((F.col("seen") > 0) & (F.col("n") > factor * F.col("baseline"))).alias("alert"))
 
@@ -191,7 +204,7 @@ def hourly_alerts(df: DataFrame, factor: float = 3.0, days: int = 7) -> DataFram
 def failure_alerts(df: DataFrame, limit: float = 0.05, windows: int = 2) -> DataFrame:
     """Days whose share of failed rows is over the limit, firing when that holds for ``windows`` days in a row."""
     days = df.groupBy(F.to_date("created_at").alias("day")).agg(F.avg((F.col("status") == "failed").cast("double")).alias("rate"))
-    w = Window.partitionBy(F.lit(1)).orderBy("day").rowsBetween(1 - windows, 0)
+    w = Window.orderBy("day").rowsBetween(1 - windows, 0)  # a row per day
     over = F.min((F.col("rate") > limit).cast("int")).over(w)
     return days.withColumn("firing", (over == 1) & (F.count("*").over(w) == windows))
 
@@ -206,9 +219,12 @@ def dominant_error(df: DataFrame, column: str, limit: float = 0.7) -> DataFrame:
     return counts.crossJoin(one_row(counts, F.sum("n").alias("_t"))).select(column, "n", (F.col("n") / F.col("_t")).alias("share"), (F.col("n") / F.col("_t") > limit).alias("dominant"))
 
 
-def latency_summary(df: DataFrame, key: str, column: str) -> DataFrame:
-    """Mean, 95 % and 99 % quantiles (linear interpolation) per key."""
-    return df.groupBy(key).agg(F.count("*").alias("n"), F.avg(column).alias("mean"), F.percentile(column, F.lit(0.95)).alias("p95"), F.percentile(column, F.lit(0.99)).alias("p99"))
+def latency_summary(df: DataFrame, key: str, column: str, failed: str, ts: str) -> DataFrame:
+    """Mean, 95 % and 99 % quantiles (linear interpolation), share of failed requests, and requests a second per key."""
+    span = F.max(F.col(ts).cast("double")) - F.min(F.col(ts).cast("double"))
+    return df.groupBy(key).agg(
+        F.count("*").alias("n"), F.avg(column).alias("mean"), F.percentile(column, F.lit(0.95)).alias("p95"), F.percentile(column, F.lit(0.99)).alias("p99"),
+        F.avg(F.coalesce(F.expr(failed), F.lit(False)).cast("double")).alias("error_rate"), F.try_divide(F.count("*"), span).alias("throughput"))
 
 
 def metrics_summary(df: DataFrame, ts: str, name: str, value: str, minutes: int = 5) -> DataFrame:

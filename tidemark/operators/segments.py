@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import share, whole_days
+from ..sources.shared import written
 
 # The rules of the segments.
 HIGH = {"total_deposits": 1000, "ltv": 2500, "bet_frequency": 5, "churn_risk": 0.3}
@@ -122,7 +123,8 @@ def high_risk_users(users: DataFrame, clusters: DataFrame, as_of: dt.datetime, v
     """Users of some value that are at risk or silent for 14 days, with whole days of silence."""
     now = clusters.where("is_current").select(F.col("user_id").alias("id"), "churn_risk")
     rows = users.join(now, "id").where(((F.col("churn_risk") > 0.7) | (F.col("last_activity") < F.lit(as_of) - F.expr("interval 14 days"))) & (F.col("total_deposits") > value))
-    return rows.select("id", "churn_risk", whole_days(F.col("last_activity"), F.lit(as_of)).alias("days_inactive"))
+    out = rows.select("id", "churn_risk", whole_days(F.col("last_activity"), F.lit(as_of)).alias("days_inactive"))
+    return out.orderBy(F.desc("churn_risk"), F.desc("days_inactive"), "id")
 
 
 def data_health(users: DataFrame, tx: DataFrame) -> DataFrame:
@@ -177,19 +179,31 @@ def scd2_as_of(history: DataFrame, at: dt.datetime) -> DataFrame:
     return history.where((F.col("valid_from") <= F.lit(at)) & (F.col("valid_to").isNull() | (F.lit(at) < F.col("valid_to"))))
 
 
-def search_users(users: DataFrame, name: str | None = None, segment: str | None = None, page: int = 1, limit: int = 20) -> DataFrame:
-    """A page of users, newest activity first."""
-    rows = users
-    if name:
-        rows = rows.where(F.col("name").ilike(f"%{name}%"))
-    if segment:
-        rows = rows.where(F.col("segment") == segment)
+def matching_users(users: DataFrame, name: str | None = None, segment: str | None = None, cluster: int | None = None) -> DataFrame:
+    rows = users.where(F.col("name").ilike(f"%{name}%")) if name else users
+    rows = rows.where(F.col("segment") == segment) if segment else rows
+    return rows.where(F.col("cluster_id") == cluster) if cluster is not None else rows
+
+
+def search_facets(users: DataFrame, **filters) -> DataFrame:
+    """(facet, value, n): how many users match in all, by segment and by cluster."""
+    rows = matching_users(users, **filters).select(F.explode(F.array(*[F.struct(F.lit(f).alias("facet"), x.cast("string").alias("value")) for f, x in (("total", F.lit("all")), ("segment", F.col("segment")), ("cluster", F.col("cluster_id")))])).alias("x"))
+    return rows.groupBy("x.facet", "x.value").agg(F.count("*").alias("n"))
+
+
+def search_users(users: DataFrame, name: str | None = None, segment: str | None = None, page: int = 1, limit: int = 20, cluster: int | None = None) -> DataFrame:
+    """A page of users, newest activity first; ``search_facets`` has the total."""
+    rows = matching_users(users, name, segment, cluster)
     return rows.orderBy(F.desc("last_activity"), "id").offset((page - 1) * limit).limit(limit)
 
 
-def table_view(df: DataFrame, term: str, columns: list[str]) -> DataFrame:
-    """Rows in which any of the columns holds the term, without regard to case."""
-    return df.where(F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in columns])).contains(term.lower()))
+def table_view(df: DataFrame, term: str, columns: list[str], filters: dict[str, str] | None = None, sort: str | None = None, descending: bool = False) -> DataFrame:
+    """Rows in which any of the columns holds the term and each filtered column its own, without regard to case, in the
+    order of a column (nulls last)."""
+    rows = df.where(F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in columns])).contains(term.lower()))
+    for c, x in (filters or {}).items():
+        rows = rows.where(F.lower(F.col(c).cast("string")).contains(x.lower()))
+    return rows.orderBy(F.col(sort).desc_nulls_last() if descending else F.col(sort).asc_nulls_last()) if sort else rows
 
 
 def users_by_cluster(users: DataFrame, cluster: int, page: int, limit: int, as_of: dt.datetime) -> DataFrame:
@@ -206,14 +220,23 @@ def top_k_per(df: DataFrame, part: str, order: list[Column], k: int) -> DataFram
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(part).orderBy(*order))).where(F.col("rank") <= k)
 
 
+def numbered(df: DataFrame, *order: Column, name: str = "place", ranges: int = 64) -> DataFrame:
+    """df with the place of each row in the whole order, from 0. Rows are dealt into ranges of the order, which sampled
+    quantiles cut; the sizes of the ranges before are added, so that no task orders all rows. The order must be total."""
+    dealt = written(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "numbered")
+    before = dealt.groupBy("_range").agg(F.count("*").alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_range", "_before")
+    inner = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return dealt.withColumn(name, inner.cast("long")).join(F.broadcast(before), "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")
+
+
 def systematic_sample(df: DataFrame, key: str, step: int) -> DataFrame:
-    """About every step-th row, chosen by a hash of the key, so that the choice doesn't hang on partitions."""
-    return df.where(F.pmod(F.xxhash64(key), F.lit(step)) == 0)
+    """Every step-th row in the order of the key, which must be unique, beginning with the first."""
+    return numbered(df, F.col(key)).where(F.col("place") % step == 0).drop("place")
 
 
 def split(df: DataFrame, key: str, fraction: float = 0.2) -> DataFrame:
     """A stable split by the key: validation has the fraction."""
-    return df.withColumn("is_validation", F.pmod(F.crc32(F.col(key).cast("string")), F.lit(1000)) < int(fraction * 1000))
+    return df.withColumn("is_validation", F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % 1000 < int(fraction * 1000))
 
 
 def ab_assign(df: DataFrame, key: str, split_percent: int = 50) -> DataFrame:

@@ -127,6 +127,7 @@ def temporal_row_features(df: DataFrame, ts: str = "created_at") -> DataFrame:
     hour = F.hour(ts)
     return df.withColumns({
         "hour": hour, "weekday": F.weekday(ts), "is_weekend": (F.weekday(ts) >= 5).cast("int"), "month": F.month(ts), "quarter": F.quarter(ts), "day": F.dayofmonth(ts),
+        "week": F.weekofyear(ts), "is_business_hours": hour.between(9, 17).cast("int"), "is_peak_hours": hour.between(19, 23).cast("int"), "period": F.when(hour <= 6, "night").when(hour <= 12, "morning").when(hour <= 18, "afternoon").otherwise("evening"),
         "time_slot": F.when(hour < 6, "madrugada").when(hour < 12, "manha").when(hour < 18, "tarde").otherwise("noite")})
 
 

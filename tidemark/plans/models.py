@@ -149,6 +149,25 @@ def knn(spark, sf):
     return s.knn(vectors.where("vec_id % 50 = 0"), vectors, 5).select("query_id", "rank", "vec_id", "score")
 
 
+@query("""with p as (select a.vec_id q, b.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 9) as score from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0 and b.label in (2, 5))
+select q as query_id, rank, vec_id, score from (select *, row_number() over (partition by q order by score desc, vec_id) as rank from p) where rank <= 3""", (), "score")
+def knn_filtered(spark, sf):
+    vectors = v.vectors(spark, sf)
+    return s.knn(vectors.where("vec_id % 100 = 0"), vectors, 3, where="label in (2, 5)").select("query_id", "rank", "vec_id", "score")
+
+
+@query("select vec_id, vec_id % 11 <> 0 as fits from embeddings")
+def split_dimension(spark, sf):
+    rows = v.vectors(spark, sf).withColumn("embedding", F.when(F.col("vec_id") % 11 == 0, F.slice("embedding", 1, 5)).otherwise(F.col("embedding")))
+    good, bad = s.split_dimension(rows, 64)
+    return good.select("vec_id", F.lit(True).alias("fits")).unionByName(bad.select("vec_id", F.lit(False).alias("fits")))
+
+
+@query()
+def reduce_vectors(spark, sf):
+    return c.project_2d(v.vectors(spark, sf), "embedding", 8).select("vec_id", "projected")
+
+
 @query("select vec_id, label from (select *, row_number() over (partition by label order by vec_id) n from embeddings where label in (1, 3)) where n <= 5")
 def cluster_members(spark, sf):
     return segments.top_k_per(v.vectors(spark, sf).where("label in (1, 3)"), "label", [F.col("vec_id")], 5).select("vec_id", "label")

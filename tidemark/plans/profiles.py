@@ -198,3 +198,20 @@ def feature_documentation(spark, sf):
 @query(", c as (" + " union all ".join(f"select '{a}' as a, '{b}' as b, corr({a}, {b}) as correlation from bets" for i, a in enumerate(_N) for b in _N[i + 1:]) + ") select *, abs(correlation) > 0.8 as redundant from c", (v.BETS,), "correlation")
 def feature_redundancy(spark, sf):
     return ops.feature_redundancy(v.bets(spark, sf), _N)
+
+
+@query(" select * from (select feature, var_samp(x) as variance, avg(case when x is null then 1.0 else 0.0 end) as null_share, coalesce(var_samp(x), 0) < 0.01 or avg(case when x is null then 1.0 else 0.0 end) > 0.5 as drop from (" + " union all ".join(f"select '{a}' as feature, {a}::double as x from bets" for a in [*_N, "deposit_amount"]) + ") group by feature)", (v.BETS,), "variance null_share")
+def feature_quality(spark, sf):
+    return ops.feature_quality(v.bets(spark, sf), [*_N, "deposit_amount"])
+
+
+@query(", c as (" + " union all ".join(f"select '{a}' as a, '{b}' as b, corr({a}, {b}) as correlation from bets" for i, a in enumerate(_N) for b in _N[i + 1:]) + ") select *, abs(correlation) > 0.8 as redundant from c order by round(abs(correlation), 9) desc, a, b limit 3", (v.BETS,), "correlation")
+def top_correlations(spark, sf):
+    return ops.top_correlations(ops.feature_redundancy(v.bets(spark, sf), _N), 3)
+
+
+@query(""", b as (select user_id, count(*) filter (where interaction_type like '%support%') as support_tickets, avg(case when interaction_type like '%support%' then 1.0 else 0.0 end) as support_rate, avg(engagement_score) filter (where interaction_type like '%support%') as satisfaction from inter group by 1),
+i as (select user_id, content_type, count(*) n from inter where interaction_type like '%support%' group by 1, 2), p as (select *, n / sum(n) over (partition by user_id) q, row_number() over (partition by user_id order by n desc, content_type) k from i), t as (select user_id, max(content_type) filter (where k = 1) as top_issue, -sum(q * ln(q)) as issue_entropy from p group by 1)
+select b.*, top_issue, issue_entropy from b left join t on t.user_id = b.user_id""", (v.INTER,), "support_rate satisfaction issue_entropy")
+def support_profile(spark, sf):
+    return ops.support_profile(v.interactions(spark, sf))

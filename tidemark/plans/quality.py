@@ -126,6 +126,11 @@ def clean_report(spark, sf):
     return c.clean(_dirty(spark, sf), v.EVENTS_AS_OF)[1]
 
 
+@query()
+def clean_quality(spark, sf):
+    return c.clean_quality(*c.clean(_dirty(spark, sf), v.EVENTS_AS_OF))
+
+
 @query(_DIRTY + """, s as (select count(*) as rows, (5 * count(*) - count(user_id) - count(amount) - count(game_type) - count(device) - count(created_at) + 2 * count(*) - count(status) - count(transaction_id)) / (7 * count(*)) as null_share, 1 - count(distinct (user_id, created_at)) / count(*) as duplicate_share from dirty)
 select *, cast(null_share > 0.05 as int) + cast(duplicate_share > 0.02 as int) + cast(rows = 0 as int) as issues, true as valid from s""", (v.TX,), "null_share duplicate_share")
 def validate_cleaned(spark, sf):
@@ -261,9 +266,9 @@ def dominant_error(spark, sf):
     return q.dominant_error(v.transactions(spark, sf).where("status = 'failed'"), "channel")
 
 
-@query(" select channel, count(*) as n, avg(delay_hours) as mean, quantile_cont(delay_hours, 0.95) as p95, quantile_cont(delay_hours, 0.99) as p99 from inter group by channel", (v.INTER,), "mean p95 p99")
+@query(" select channel, count(*) as n, avg(delay_hours) as mean, quantile_cont(delay_hours, 0.95) as p95, quantile_cont(delay_hours, 0.99) as p99, avg(case when interaction_type = 'support_ticket' then 1.0 else 0.0 end) as error_rate, count(*) / nullif(epoch(max(timestamp)) - epoch(min(timestamp)), 0) as throughput from inter group by channel", (v.INTER,), "mean p95 p99 error_rate throughput")
 def latency_summary(spark, sf):
-    return q.latency_summary(v.interactions(spark, sf), "channel", "delay_hours")
+    return q.latency_summary(v.interactions(spark, sf), "channel", "delay_hours", "interaction_type = 'support_ticket'", "timestamp")
 
 
 @query(" select channel, time_bucket(interval 5 minutes, created_at) as start, count(*) as n, avg(amount) as mean, min(amount) as low, max(amount) as high from tx group by 1, 2", (v.TX,), "mean low high")

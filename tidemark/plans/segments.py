@@ -142,9 +142,9 @@ def search_users(spark, sf):
     return ops.search_users(v.users(spark, sf), name="1", segment="BUILDING").select("id", "name", "segment")
 
 
-@query("select c_custkey, c_name, c_mktsegment from customer where lower(concat_ws(' ', c_name, c_mktsegment)) like '%mach%'")
+@query("select c_custkey, c_name, c_mktsegment from customer where lower(concat_ws(' ', c_name, c_mktsegment)) like '%mach%' and c_name like '%2%' order by c_name desc")
 def table_view(spark, sf):
-    return ops.table_view(v.table(spark, sf, "customer"), "Mach", ["c_name", "c_mktsegment"]).select("c_custkey", "c_name", "c_mktsegment")
+    return ops.table_view(v.table(spark, sf, "customer"), "Mach", ["c_name", "c_mktsegment"], {"c_name": "2"}, "c_name", True).select("c_custkey", "c_name", "c_mktsegment")
 
 
 @query(f"select id, name, total_deposits - total_withdrawals as ltv, case when floor((epoch({_AT}) - epoch(last_activity)) / 86400) < 7 then 100 when floor((epoch({_AT}) - epoch(last_activity)) / 86400) < 30 then 70 when floor((epoch({_AT}) - epoch(last_activity)) / 86400) < 90 then 40 else 10 end as activity_score from users where cluster_id = 3 order by ltv desc, id limit 10", (v.USERS,), "ltv")
@@ -162,14 +162,19 @@ def top_k_per(spark, sf):
     return ops.top_k_per(v.ratings(spark, sf), "user_id", [F.desc("rating"), F.col("game_id")], 3).select("user_id", "game_id", "rating", "rank")
 
 
-@query()
+@query("select id from (select c_custkey as id, row_number() over (order by c_custkey) - 1 as k from customer join (select distinct o_custkey from orders) on o_custkey = c_custkey) where k % 10 = 0")
 def systematic_sample(spark, sf):
     return ops.systematic_sample(v.users(spark, sf), "id", 10).select("id")
 
 
-@query()
+@query("select c_custkey as id, cast('0x' || substr(md5(c_custkey::varchar), 1, 8) as bigint) % 1000 < 200 as is_validation from customer")
 def split(spark, sf):
-    return ops.split(v.users(spark, sf), "id").groupBy("is_validation").count()
+    return ops.split(v.table(spark, sf, "customer").select(F.col("c_custkey").alias("id")), "id")
+
+
+@query(" select 'total' as facet, 'all' as value, count(*) as n from users where name ilike '%1%' union all select 'segment', segment, count(*) from users where name ilike '%1%' group by segment union all select 'cluster', cluster_id::varchar, count(*) from users where name ilike '%1%' group by cluster_id", (v.USERS,))
+def search_facets(spark, sf):
+    return ops.search_facets(v.users(spark, sf), name="1")
 
 
 @query("select c_custkey as id, cast(('0x' || md5(c_custkey::varchar))::uhugeint % 100 as int) as bucket, case when ('0x' || md5(c_custkey::varchar))::uhugeint % 100 < 50 then 'b' else 'a' end as variant from customer")

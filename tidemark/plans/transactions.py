@@ -87,10 +87,10 @@ def table_stats(spark, sf):
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("oldest", "newest")})
 
 
-@query("""select transaction_id, cast(hour(created_at) as int) as hour, cast(isodow(created_at) - 1 as int) as weekday, cast(isodow(created_at) >= 6 as int) as is_weekend, cast(month(created_at) as int) as month, cast(quarter(created_at) as int) as quarter, cast(day(created_at) as int) as day,
+@query("""select transaction_id, cast(hour(created_at) as int) as hour, cast(isodow(created_at) - 1 as int) as weekday, cast(isodow(created_at) >= 6 as int) as is_weekend, cast(month(created_at) as int) as month, cast(quarter(created_at) as int) as quarter, cast(day(created_at) as int) as day, cast(weekofyear(created_at) as int) as week, cast(hour(created_at) between 9 and 17 as int) as is_business_hours, cast(hour(created_at) between 19 and 23 as int) as is_peak_hours, case when hour(created_at) <= 6 then 'night' when hour(created_at) <= 12 then 'morning' when hour(created_at) <= 18 then 'afternoon' else 'evening' end as period,
 case when hour(created_at) < 6 then 'madrugada' when hour(created_at) < 12 then 'manha' when hour(created_at) < 18 then 'tarde' else 'noite' end as time_slot from tx""", (v.TX,))
 def temporal_row_features(spark, sf):
-    return ops.temporal_row_features(v.transactions(spark, sf)).select("transaction_id", "hour", "weekday", "is_weekend", "month", "quarter", "day", "time_slot")
+    return ops.temporal_row_features(v.transactions(spark, sf)).select("transaction_id", "hour", "weekday", "is_weekend", "month", "quarter", "day", "week", "is_business_hours", "is_peak_hours", "period", "time_slot")
 
 
 _MODE = "select user_id, x from (select user_id, {0} as x, row_number() over (partition by user_id order by count(*) desc, {0}) k from tx group by user_id, {0}) where k = 1"
