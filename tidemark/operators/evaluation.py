@@ -311,3 +311,105 @@ def export_for_campaigns(labels: DataFrame, profiles: DataFrame, features: list[
     report = cluster_report(profiles, features)
     names = report.select(F.col("label").alias("cluster"), F.concat(F.lit("cluster_"), "label").alias("name"), "size", *[F.col(f"{x}_mean").alias(f"mean_{x}") for x in features])
     return labels.select(key, F.col("label").alias("cluster")).join(F.broadcast(names), "cluster").select(key, "cluster", "name", "size", *[f"mean_{x}" for x in features])
+
+
+# --- more measures and choices -----------------------------------------------------------------------------
+
+
+def adjusted_mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: mutual information of two labelings over what chance gives (arithmetic mean). The contingency table, of
+    labels times labels, is all that comes to the driver."""
+    from math import lgamma, log
+
+    cells = df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n")).toPandas()
+    n, row, col = float(cells["n"].sum()), cells.groupby("a", dropna=False)["n"].sum().to_numpy(), cells.groupby("b", dropna=False)["n"].sum().to_numpy()
+    if not n:
+        return df.sparkSession.createDataFrame([], "ami double")
+    h = lambda x: -float((x / n * np.log(x / n)).sum())
+    of_a, of_b = cells.groupby("a", dropna=False)["n"].transform("sum"), cells.groupby("b", dropna=False)["n"].transform("sum")
+    mi, expected = float((cells["n"] / n * np.log(cells["n"] * n / (of_a * of_b))).sum()), 0.0
+    for x in map(int, row):
+        for y in map(int, col):
+            at = np.arange(max(1, x + y - int(n)), min(x, y) + 1)
+            base = lgamma(x + 1) + lgamma(y + 1) + lgamma(n - x + 1) + lgamma(n - y + 1) - lgamma(n + 1)
+            p = np.array([base - lgamma(k + 1) - lgamma(x - k + 1) - lgamma(y - k + 1) - lgamma(n - x - y + k + 1) for k in at.tolist()])
+            expected += float((at / n * (np.log(n * at) - log(x * y)) * np.exp(p)).sum())
+    usual = (h(row) + h(col)) / 2
+    ami = 1.0 if abs(usual - expected) < 1e-12 else (mi - expected) / (usual - expected)
+    return df.sparkSession.createDataFrame([(ami,)], "ami double")
+
+
+def silhouette(df: DataFrame, key: str, features: str = "features", sample: int = 2000) -> DataFrame:
+    """(label, n, silhouette) of plain distances over a bounded sample: the ``sample`` rows of smallest hash of the key are
+    held against each other, so the pairs are bounded too. Noise is left out; a label with one sampled row has 0."""
+    some = df.where(F.col("label") != c.NOISE).select(key, "label", F.col(features).cast("array<double>").alias("v")).orderBy(F.xxhash64(F.lit("silhouette"), key), key).limit(sample)
+    rows = some.toPandas()
+    x, label = np.array(rows["v"].tolist()).reshape(len(rows), -1), rows["label"].to_numpy()
+    out = []
+    if len(rows):
+        d = np.sqrt(np.maximum(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2), 0)) if len(rows) * len(rows) * x.shape[1] < 2e8 else np.sqrt(np.maximum((x * x).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * x @ x.T, 0))
+        names = np.unique(label)
+        sums = np.stack([d[:, label == g].sum(axis=1) for g in names], axis=1)
+        size = np.array([(label == g).sum() for g in names])
+        own = np.searchsorted(names, label)
+        inner = sums[np.arange(len(x)), own] / np.maximum(size[own] - 1, 1)
+        other = sums / size
+        other[np.arange(len(x)), own] = np.inf
+        outer = other.min(axis=1) if len(names) > 1 else np.zeros(len(x))
+        s = np.where(size[own] > 1, (outer - inner) / np.maximum(np.maximum(outer, inner), 1e-300), 0.0)
+        out = [(int(g), int((label == g).sum()), float(s[label == g].mean())) for g in names]
+    return df.sparkSession.createDataFrame(out, "label int, n long, silhouette double")
+
+
+def kth_distances(df: DataFrame, key: str, features: str = "features", k: int = 4, sample: int = 2000) -> DataFrame:
+    """(key, distance) to the k-th nearest of all other rows, for the ``sample`` rows of smallest hash of the key. The sample
+    is broadcast; tasks keep the k least distances of each before they are merged."""
+    some = df.select(key, features).orderBy(F.xxhash64(F.lit("kth"), key), key).limit(sample).collect()
+    ids, q = np.array([r[0] for r in some], np.int64), np.array([r[1] for r in some], float).reshape(len(some), -1)
+
+    def least(batches):
+        best = np.full((len(ids), k), np.inf)
+        for batch in batches:
+            if len(batch) and len(ids):
+                x = np.array(batch[features].tolist(), float)
+                d = np.sqrt(np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T, 0))
+                d[ids[:, None] == batch[key].to_numpy()[None, :]] = np.inf
+                best = np.sort(np.concatenate((best, d), axis=1), axis=1)[:, :k]
+        which, _ = np.nonzero(np.isfinite(best))
+        yield pd.DataFrame({key: ids[which], "d": best[np.isfinite(best)]})
+
+    rows = df.select(key, features).mapInPandas(least, f"{key} long, d double")
+    order = F.row_number().over(Window.partitionBy(key).orderBy("d"))
+    return rows.withColumn("_n", order).where(F.col("_n") == k).select(key, F.col("d").alias("distance"))
+
+
+def dbscan_eps(df: DataFrame, key: str, features: str = "features", k: int = 4, sample: int = 2000) -> float:
+    """The distance at the sharpest bend (largest second difference) of the sorted k-th distances of a bounded sample; with
+    under three of them their 95 % quantile."""
+    d = np.sort(kth_distances(df, key, features, k, sample).toPandas()["distance"].to_numpy())
+    if not len(d):
+        raise ValueError("too few rows for a k-th neighbour")
+    return float(d[int(np.argmax(np.diff(d, 2))) + 2]) if len(d) > 2 else float(np.quantile(d, 0.95))
+
+
+def dbscan_grid(df: DataFrame, key: str, features: str, dimensions: int, eps: list[float], min_samples: list[int]) -> DataFrame:
+    """(eps, min_samples, clusters, noise_share, score) of each setting: score is the silhouette over a bounded sample, plus
+    1 / (1 + Davies-Bouldin), plus Calinski-Harabasz / 1000; null with fewer than two clusters. Each is a distributed run."""
+    out = []
+    for e in eps:
+        for m in min_samples:
+            found = c.dbscan(df, key, features, e, m, dimensions).join(df.select(key, features), key)
+            one = found.agg(F.countDistinct(F.when(F.col("label") != c.NOISE, F.col("label"))).alias("k"), F.avg((F.col("label") == c.NOISE).cast("double")).alias("noise")).first()
+            score = None
+            if one.k >= 2:
+                i = c.internal_metrics(found, features).first()
+                s = silhouette(found.withColumn("label", F.col("label").cast("int")), key, features, 1000).toPandas()
+                score = float((s["silhouette"] * s["n"]).sum() / s["n"].sum()) + 1 / (1 + i.davies_bouldin) + i.calinski_harabasz / 1000
+            out.append((float(e), int(m), int(one.k), float(one.noise or 0.0), score))
+    return df.sparkSession.createDataFrame(out, "eps double, min_samples int, clusters int, noise_share double, score double")
+
+
+def outlier_spread(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(feature, is_outlier, n, mean, median, std) of clustered and noise rows; medians to 1 in 10,000 ranks."""
+    long = df.withColumn("is_outlier", F.col("label") == c.NOISE).select("is_outlier", *[F.col(x).cast("double").alias(x) for x in columns]).unpivot(["is_outlier"], columns, "feature", "x")
+    return long.groupBy("feature", "is_outlier").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.percentile_approx("x", F.lit(0.5), F.lit(10_000)).alias("median"), F.stddev_samp("x").alias("std"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alerts, derived, evaluation, ingest, models, monitoring, profiles, quality, segments, transactions
+from . import alerts, derived, evaluation, extend, ingest, models, monitoring, profiles, quality, segments, transactions
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "alerts", "derived", "evaluation", "ingest", "models", "monitoring", "profiles", "quality", "segments", "transactions"]
+__all__ = ["ORACLE", "QUERIES", "alerts", "derived", "evaluation", "extend", "ingest", "models", "monitoring", "profiles", "quality", "segments", "transactions"]

@@ -183,3 +183,44 @@ def export_for_campaigns(spark, sf):
     csv = f"{path}-csv"
     out.write.option("header", True).csv(csv)
     return spark.read.schema(out.schema).option("header", True).csv(csv)
+
+
+@query()
+def adjusted_mutual_information(spark, sf):
+    return ops.adjusted_mutual_information(v.vectors(spark, sf).withColumn("other", (F.col("label") + F.col("vec_id") % 2).cast("int")), "label", "other")
+
+
+@query()
+def silhouette(spark, sf):
+    return ops.silhouette(v.vectors(spark, sf), "vec_id", "embedding")
+
+
+@query()
+def kth_distances(spark, sf):
+    return ops.kth_distances(_matrix(spark, sf), "user_id")
+
+
+@query()
+def dbscan_grid(spark, sf):
+    """A grid around the bend of the k-th distances."""
+    rows = written(_matrix(spark, sf), "dbscan-rows")
+    eps = ops.dbscan_eps(rows, "user_id")
+    return ops.dbscan_grid(rows, "user_id", "features", 3, [eps, 1.5 * eps], [4])
+
+
+@query(_LABELLED + " select feature, label = -1 as is_outlier, count(x) as n, avg(x) as mean, quantile_disc(x, 0.5) as median, stddev_samp(x) as std from l group by 1, 2", (v.BETS,), "mean median std")
+def outlier_spread(spark, sf):
+    return ops.outlier_spread(_labelled(spark, sf), _COLUMNS)
+
+
+_AGREE = _THREE.replace(", cl as", ", cx as") + """, m2 as (select l2, l1, row_number() over (partition by l2 order by count(*) desc, l1) as k from t where l2 <> -1 and l1 <> -1 group by 1, 2), m3 as (select l3, l1, row_number() over (partition by l3 order by count(*) desc, l1) as k from t where l3 <> -1 and l1 <> -1 group by 1, 2),
+vo as (select vec_id, l1 as label, 1.0::double / 3 as w from t union all select vec_id, coalesce(m2.l1, t.l2), 1.0::double / 3 from t left join m2 on m2.l2 = t.l2 and k = 1 union all select vec_id, coalesce(m3.l1, t.l3), 1.0::double / 3 from t left join m3 on m3.l3 = t.l3 and k = 1),
+g as (select vec_id, label, sum(w) as w from vo group by 1, 2), r as (select *, row_number() over (partition by vec_id order by round(w, 9) desc, label) as k from g), en as (select vec_id, case when w >= 0.6 then label else -1 end as label, w as agreement from r where k = 1)"""
+
+
+@query("with " + _AGREE + " select label, count(*) as n, avg(agreement) as mean, median(agreement) as median, min(agreement) as least, avg(case when agreement > 0.8 then 1.0 else 0.0 end) as stable, avg(case when agreement < 0.5 then 1.0 else 0.0 end) as unstable from en group by label", (), "mean median least stable unstable")
+def vote_stability(spark, sf):
+    """Stability of the vote of three labelings of the vectors."""
+    rows = _three(spark, sf)
+    votes = c.ensemble_vote([rows.select("vec_id", F.col(x).alias("label")) for x in ("l1", "l2", "l3")], [1.0, 1.0, 1.0], "vec_id")
+    return c.ensemble_stability(votes)
