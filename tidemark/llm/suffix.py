@@ -170,13 +170,14 @@ def _split(rows: DataFrame, decided: DataFrame, split, length: int, gram: int) -
 
 
 def _decide(items: DataFrame, what: str) -> DataFrame:
-    """(_row, anchor, lo, n, repeats, go) of the items whose bucket has others."""
+    """(_row, anchor, lo, n, repeats, go) of the items whose bucket has others. What is counted is a table of its own, so that
+    Spark can split the join of a bucket that very many items share."""
     buckets = items.groupBy("core").agg(F.count("*").alias("size"), (F.min("full") != F.max("full")).alias("mixed")).where("size > 1").drop("size")
-    shared = written(items.join(buckets, "core"), f"{what}-shared")
+    shared = written(items.join(written(buckets, f"{what}-buckets"), "core"), f"{what}-shared")
     one = shared.where("not mixed").select("_row", "anchor", "lo", "n", F.lit(True).alias("repeats"), F.lit(False).alias("go"))
     mixed = shared.where("mixed")
     classes = mixed.groupBy("core", "full").agg(F.count("*").alias("members"), F.min("_row").alias("least"))
-    rows = mixed.drop("mixed").join(classes, ["core", "full"]).select("_row", "anchor", "lo", "n", (F.col("members") > 1).alias("repeats"), (F.col("_row") == F.col("least")).alias("go"))
+    rows = mixed.drop("mixed").join(written(classes, f"{what}-classes"), ["core", "full"]).select("_row", "anchor", "lo", "n", (F.col("members") > 1).alias("repeats"), (F.col("_row") == F.col("least")).alias("go"))
     return written(one.unionByName(rows), f"{what}-decided")
 
 
@@ -186,7 +187,7 @@ def repeated_windows(rows: DataFrame, length: int, gram: int) -> DataFrame:
     second = _decide(written(_split(rows, first, blocks, length, gram), "blocks"), "blocks")
     single = written(_split(rows, second, windows, length, gram), "windows")
     twice = single.groupBy("core", "full").agg(F.count("*").alias("size")).where("size > 1").select("core", "full")
-    third = single.join(twice, ["core", "full"], "left_semi")
+    third = single.join(written(twice, "twice"), ["core", "full"], "left_semi")
     return first.where("repeats").select("_row", "lo", "n").unionByName(second.where("repeats").select("_row", "lo", "n")).unionByName(third.select("_row", "lo", "n"))
 
 
