@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, mix64, with_row_id, written
+from .common import RollingHash, mix64, release, with_row_id, written
 
 BLOCK = 16
 ITEM = "core long, full long, _row long, anchor int, lo int, n int"
@@ -172,19 +172,23 @@ def _split(rows: DataFrame, decided: DataFrame, split, length: int, gram: int) -
 def _decide(items: DataFrame, what: str) -> DataFrame:
     """(_row, anchor, lo, n, repeats, go) of the items whose bucket has others. What is counted is a table of its own, so that
     Spark can split the join of a bucket that very many items share."""
+    items = written(items, what)
     buckets = items.groupBy("core").agg(F.count("*").alias("size"), (F.min("full") != F.max("full")).alias("mixed")).where("size > 1").drop("size")
     shared = written(items.join(written(buckets, f"{what}-buckets"), "core"), f"{what}-shared")
+    release(items)
     one = shared.where("not mixed").select("_row", "anchor", "lo", "n", F.lit(True).alias("repeats"), F.lit(False).alias("go"))
     mixed = shared.where("mixed")
     classes = mixed.groupBy("core", "full").agg(F.count("*").alias("members"), F.min("_row").alias("least"))
     rows = mixed.drop("mixed").join(written(classes, f"{what}-classes"), ["core", "full"]).select("_row", "anchor", "lo", "n", (F.col("members") > 1).alias("repeats"), (F.col("_row") == F.col("least")).alias("go"))
-    return written(one.unionByName(rows), f"{what}-decided")
+    decided = written(one.unionByName(rows), f"{what}-decided")
+    release(shared)
+    return decided
 
 
 def repeated_windows(rows: DataFrame, length: int, gram: int) -> DataFrame:
     """(_row, lo, n): runs of starting places of strings that start elsewhere too. rows: _row, text."""
-    first = _decide(written(_items(rows, length, gram), "anchors"), "anchors")
-    second = _decide(written(_split(rows, first, blocks, length, gram), "blocks"), "blocks")
+    first = _decide(_items(rows, length, gram), "anchors")
+    second = _decide(_split(rows, first, blocks, length, gram), "blocks")
     single = written(_split(rows, second, windows, length, gram), "windows")
     twice = single.groupBy("core", "full").agg(F.count("*").alias("size")).where("size > 1").select("core", "full")
     third = single.join(written(twice, "twice"), ["core", "full"], "left_semi")
