@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import extend, significance
-from tidemark.operators import alerts, clustering, evaluation, quality, segments, similarity
+from tidemark.functions import extend, order, significance
+from tidemark.operators import alerts, clustering, evaluation, quality, similarity
 from tidemark.sources import sinks
 from tidemark.streaming import ingest
 
@@ -129,7 +129,18 @@ def test_spectral_consensus_keeps_clear_groups(spark):
 
 def test_places_in_the_whole_order(spark):
     df = spark.range(997).select(((F.col("id") * 577) % 997).alias("k"))
-    assert all(r.k == r.place for r in segments.numbered(df, F.col("k"), ranges=7).collect())
+    assert all(r.k == r.place for r in order.numbered(df, F.col("k"), ranges=7).collect())
+
+
+def test_quantiles_of_all_rows(spark):
+    rng = np.random.default_rng(9)
+    x, y = np.where(rng.random(1500) < 0.4, 3.0, rng.normal(size=1500)), rng.integers(0, 5, 1500).astype(float)
+    df = spark.createDataFrame([(float(a), None if i % 7 == 0 else float(b), None) for i, (a, b) in enumerate(zip(x, y, strict=True))], "x double, y double, z double")
+    qs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    found = order.exact_quantiles(df, {"x": qs, "y": qs, "z": [0.5]}, ranges=6)
+    assert found["x"] == pytest.approx(np.quantile(x, qs).tolist()) and found["y"] == pytest.approx(np.quantile(y[np.arange(1500) % 7 != 0], qs).tolist()) and found["z"] == [None]
+    assert order.exact_quantiles(df.limit(0), {"x": [0.5]}) == {"x": [None]}
+    assert order.modes(df.limit(0), ["x"]) == {"x": None} and order.modes(df, ["x"]) == {"x": 3.0}
 
 
 def test_alerts_need_consecutive_days(spark):

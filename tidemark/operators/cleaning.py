@@ -7,9 +7,10 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
 from ..functions import text
+from ..functions.order import exact_quantiles, modes
 from ..functions.stats import one_row, quantile
+from ..sources.shared import written
 
 # What fills missing fields.
 UNKNOWN_COLUMNS = ("game_type", "channel", "status")
@@ -33,17 +34,15 @@ def dedup_key(df: DataFrame, keys: list[str], newest: list) -> DataFrame:
 
 def fill_missing(df: DataFrame, as_of: dt.datetime, amounts: tuple[str, ...] = ("amount",), skip: tuple[str, ...] = ("user_id",)) -> DataFrame:
     """Nulls become ``unknown`` in known categories, the column's mode in other strings, 0 in amounts, the median in
-    other numbers and as_of in timestamps. Modes and medians come from one pass."""
+    other numbers and as_of in timestamps. Modes (the smallest of equals) and medians are exact at any size."""
     kinds = {c: t for c, t in df.dtypes if c not in skip}
-    modes = [c for c, t in kinds.items() if t == "string" and c not in UNKNOWN_COLUMNS]
+    texts = [c for c, t in kinds.items() if t == "string" and c not in UNKNOWN_COLUMNS]
     medians = [c for c, t in kinds.items() if t in ("double", "float", "int", "bigint") and c not in amounts]
-    out = df
-    if modes or medians:
-        out = out.crossJoin(one_row(df, *[F.mode(c, True).alias(f"_f_{c}") for c in modes], *[F.median(c).alias(f"_f_{c}") for c in medians]))
+    middle = exact_quantiles(df, {c: [0.5] for c in medians}) if medians else {}
     fill = {c: F.lit("unknown") for c in UNKNOWN_COLUMNS if c in kinds} | {c: F.lit(0.0) for c in amounts if c in kinds}
-    fill |= {c: F.col(f"_f_{c}") for c in modes} | {c: F.col(f"_f_{c}").cast(kinds[c]) for c in medians}
+    fill |= {c: F.lit(x).cast("string") for c, x in modes(df, texts).items()} | {c: F.lit(x[0]).cast(kinds[c]) for c, x in middle.items()}
     fill |= {c: F.lit(as_of).cast(t) for c, t in kinds.items() if t.startswith("timestamp")}
-    return out.select(*[F.coalesce(F.col(c), fill[c]).alias(c) if c in fill else F.col(c) for c in df.columns])
+    return df.select(*[F.coalesce(F.col(c), fill[c]).alias(c) if c in fill else F.col(c) for c in df.columns])
 
 
 def standardize_strings(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -58,7 +57,10 @@ def coerce_types(df: DataFrame, spec: dict[str, str]) -> DataFrame:
 
 
 def iqr_bounds(df: DataFrame, columns: list[str], k: float = 1.5, approx: bool = False) -> DataFrame:
-    q = [(quantile(c, 0.25, approx), quantile(c, 0.75, approx)) for c in columns]
+    if not approx:
+        exact = exact_quantiles(df, {c: [0.25, 0.75] for c in columns})
+        return F.broadcast(df.sparkSession.range(1).select(*[e for c, (a, b) in exact.items() for e in (F.lit(None if a is None else a - k * (b - a)).cast("double").alias(f"_lo_{c}"), F.lit(None if a is None else b + k * (b - a)).cast("double").alias(f"_hi_{c}"))]))
+    q = [(quantile(c, 0.25, True), quantile(c, 0.75, True)) for c in columns]
     return one_row(df, *[e for c, (a, b) in zip(columns, q, strict=True) for e in ((a - k * (b - a)).alias(f"_lo_{c}"), (b + k * (b - a)).alias(f"_hi_{c}"))])
 
 
@@ -80,10 +82,10 @@ def filter_zscore(df: DataFrame, columns: list[str], limit: float = 3.0) -> Data
 
 def handle_outliers(df: DataFrame, columns: list[str], k: float = 1.5, limit: float = 3.0) -> DataFrame:
     """Column after column, rows outside the quartile range or the z-score go; each bound sees the rows that are left.
-    A row outside either goes, so both bounds of a column come from one pass."""
+    A row outside either goes."""
     for c in columns:
-        stats = one_row(df, quantile(c, 0.25).alias("_a"), quantile(c, 0.75).alias("_b"), F.avg(c).alias("_m"), F.stddev_pop(c).alias("_s"))
-        rows = df.crossJoin(stats)
+        a, b = exact_quantiles(df, {c: [0.25, 0.75]})[c]
+        rows = df.crossJoin(one_row(df, F.lit(a).cast("double").alias("_a"), F.lit(b).cast("double").alias("_b"), F.avg(c).alias("_m"), F.stddev_pop(c).alias("_s")))
         inside = F.col(c).between(F.col("_a") - k * (F.col("_b") - F.col("_a")), F.col("_b") + k * (F.col("_b") - F.col("_a"))) & (F.abs(F.col(c) - F.col("_m")) <= limit * F.col("_s"))
         df = rows.where(F.col(c).isNull() | inside).select(*df.columns)
     return df

@@ -9,6 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import exact_quantiles
 from ..functions.stats import one_row
 from ..sources.shared import written
 
@@ -21,15 +22,17 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 def prepare_matrix(df: DataFrame, key: str, columns: list[str], scaler: str = "standard", least: int = 10) -> DataFrame:
     """(key, features): median fill and scaling; columns without spread go. Raises below ``least`` rows."""
-    calls = {"standard": (F.avg, F.stddev_pop), "minmax": (F.min, lambda c: F.max(c) - F.min(c)), "robust": (F.median, lambda c: F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25)))}
-    if scaler not in calls:
+    if scaler not in ("standard", "minmax", "robust"):
         raise ValueError(f"scaler {scaler!r}")
-    centre, spread = calls[scaler]
-    medians = one_row(df, F.count("*").alias("_rows"), *[F.median(c).alias(f"_median_{c}") for c in columns])
-    filled = df.crossJoin(medians).select(key, "_rows", *[F.coalesce(F.col(c).cast("double"), F.col(f"_median_{c}")).alias(c) for c in columns])
-    stats = filled.agg(F.max("_rows").alias("rows"), *[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("m", centre), ("s", spread))]).first()
-    if not stats["rows"] or stats["rows"] < least:
+    medians = exact_quantiles(df, {c: [0.5] for c in columns})
+    filled = df.select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(medians[c][0])).alias(c) for c in columns])
+    calls = {"standard": (F.avg, F.stddev_pop), "minmax": (F.min, lambda c: F.max(c) - F.min(c)), "robust": (F.avg, F.stddev_pop)}[scaler]
+    stats = filled.agg(F.count("*").alias("rows"), *[f(c).alias(f"{n}_{c}") for c in columns for n, f in zip("ms", calls, strict=True)]).first().asDict()
+    if stats["rows"] < least:
         raise ValueError(f"at least {least} rows are needed")
+    if scaler == "robust":
+        for c, (low, middle, high) in exact_quantiles(filled, {c: [0.25, 0.5, 0.75] for c in columns}).items():
+            stats |= {f"m_{c}": middle, f"s_{c}": None if middle is None else high - low}
     used = [c for c in columns if stats[f"s_{c}"]]
     return filled.select(key, F.array(*[(F.col(c) - stats[f"m_{c}"]) / stats[f"s_{c}"] for c in used]).alias("features"))
 

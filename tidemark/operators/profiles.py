@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import exact_quantiles
 from ..functions.stats import coefficient_of_variation, entropy, ratio, share, shares
 
 # Tiers by mean bet.
@@ -302,7 +303,9 @@ def content_preference(df: DataFrame) -> DataFrame:
 def feature_documentation(df: DataFrame, columns: list[str]) -> DataFrame:
     """(feature, n, nulls, mean, std, min, p25, p50, p75, max) of each numeric column."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "feature", "v")
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    exact = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in columns})
+    of = F.create_map(*[x for c, v in exact.items() for x in (F.lit(c), F.array(*[F.lit(y).cast("double") for y in v]))])
+    q = F.first(of[F.col("feature")])
     return long.groupBy("feature").agg(F.count("v").alias("n"), F.count_if(F.col("v").isNull()).alias("nulls"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), q[0].alias("p25"), q[1].alias("p50"), q[2].alias("p75"), F.max("v").alias("max"))
 
 

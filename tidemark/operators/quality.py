@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import exact_quantiles
 from ..functions.stats import one_row, quantile
 
 # Weights of the six dimensions, grades.
@@ -52,13 +53,18 @@ def check_freshness(df: DataFrame, ts: str, as_of: dt.datetime, limit_hours: flo
 
 
 def check_duplicates(df: DataFrame, keys: list[str], limit: float = 0.02) -> DataFrame:
-    one = df.agg(F.count("*").alias("n"), F.countDistinct(F.struct(*df.columns)).alias("e"), F.countDistinct(F.struct(*keys)).alias("k"))
+    rows = df.groupBy(*df.columns).agg(F.count("*").alias("_n")).groupBy(*keys).agg(F.count("*").alias("_e"), F.sum("_n").alias("_n"))
+    one = rows.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.coalesce(F.sum("_e"), F.lit(0)).alias("e"), F.count("*").alias("k"))
     r = lambda c: 1 - F.try_divide(F.col(c), F.col("n"))
     return _rows(one, [("duplicates_exact", "medium", 1 - r("e"), r("e") <= limit), ("duplicates_key", "high", 1 - r("k"), r("k") <= limit)])
 
 
 def check_outliers(df: DataFrame, columns: list[str], k: float = 1.5, limit: float = 0.05, approx: bool = False) -> DataFrame:
-    bounds = one_row(df, *[quantile(c, q, approx).alias(f"_{n}_{c}") for c in columns for n, q in (("a", 0.25), ("b", 0.75))])
+    if approx:
+        bounds = one_row(df, *[quantile(c, q, True).alias(f"_{n}_{c}") for c in columns for n, q in (("a", 0.25), ("b", 0.75))])
+    else:
+        exact = exact_quantiles(df, {c: [0.25, 0.75] for c in columns})
+        bounds = F.broadcast(df.sparkSession.range(1).select(*[F.lit(exact[c][i]).cast("double").alias(f"_{n}_{c}") for c in columns for i, n in enumerate("ab")]))
     out = lambda c: ~F.col(c).between(F.col(f"_a_{c}") - k * (F.col(f"_b_{c}") - F.col(f"_a_{c}")), F.col(f"_b_{c}") + k * (F.col(f"_b_{c}") - F.col(f"_a_{c}")))
     one = df.crossJoin(bounds).agg(*[F.try_divide(F.count_if(out(c)), F.count(c)).alias(c) for c in columns])
     return _rows(one, [(f"outliers_{c}", "medium", 1 - F.col(c), F.col(c) <= limit) for c in columns])

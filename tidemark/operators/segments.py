@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import share, whole_days
-from ..sources.shared import written
+from ..functions.order import numbered
 
 # The rules of the segments.
 HIGH = {"total_deposits": 1000, "ltv": 2500, "bet_frequency": 5, "churn_risk": 0.3}
@@ -220,15 +220,6 @@ def top_k_per(df: DataFrame, part: str, order: list[Column], k: int) -> DataFram
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(part).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def numbered(df: DataFrame, *order: Column, name: str = "place", ranges: int = 64) -> DataFrame:
-    """df with the place of each row in the whole order, from 0. Rows are dealt into ranges of the order, which sampled
-    quantiles cut; the sizes of the ranges before are added, so that no task orders all rows. The order must be total."""
-    dealt = written(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "numbered")
-    before = dealt.groupBy("_range").agg(F.count("*").alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_range", "_before")
-    inner = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
-    return dealt.withColumn(name, inner.cast("long")).join(F.broadcast(before), "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")
-
-
 def systematic_sample(df: DataFrame, key: str, step: int) -> DataFrame:
     """Every step-th row in the order of the key, which must be unique, beginning with the first."""
     return numbered(df, F.col(key)).where(F.col("place") % step == 0).drop("place")

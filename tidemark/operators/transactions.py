@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import numbered
 from ..functions.stats import EPSILON, one_row, quantile, whole_days, z_scores
 
 # Ticket categories, periods of analysis, kinds that move money in and out.
@@ -159,9 +160,8 @@ def encode_normalize(df: DataFrame, categories: list[str], numbers: list[str]) -
     """Categories as numbers in sorted order (``_encoded``), numbers as population z-scores (``_normalized``)."""
     out = df
     for c in categories:
-        # values of a category are few; their numbers come from the distinct values alone
-        codes = df.select(c).where(F.col(c).isNotNull()).distinct().agg(F.array_sort(F.collect_list(c)).alias(f"_{c}"))
-        out = out.crossJoin(F.broadcast(codes)).withColumn(f"{c}_encoded", (F.array_position(f"_{c}", F.col(c)) - 1).cast("long")).drop(f"_{c}")
+        codes = numbered(df.select(c).where(F.col(c).isNotNull()).distinct(), F.col(c), name=f"{c}_encoded")
+        out = out.join(codes, c, "left")
     return z_scores(out, numbers, "_normalized")
 
 
