@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
-
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -45,17 +46,35 @@ def unused(columns: list[str], name: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_WRITING: dict[int, list] = {}  # of each session: how many writes run, and the setting before the first
+_LOCK = threading.Lock()
+
+
+@contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """CLEANUP while at least one write of the session runs, also where several threads write."""
+    with _LOCK:
+        state = _WRITING.setdefault(id(spark), [0, None])
+        if not state[0]:
+            state[1] = spark.conf.get(CLEANUP, None)
+            spark.conf.set(CLEANUP, "true")
+        state[0] += 1
+    try:
+        yield
+    finally:
+        with _LOCK:
+            state[0] -= 1
+            if not state[0]:
+                spark.conf.set(CLEANUP, state[1]) if state[1] is not None else spark.conf.unset(CLEANUP)
+
+
 def written(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and survives the loss of any executor. The shuffle
     files that made it go at once, since nothing reads them after the table is there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{what}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _cleaning(spark):
         df.write.option("compression", codec).parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 

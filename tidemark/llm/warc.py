@@ -47,7 +47,8 @@ def decide(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit(""))
     keys = pages.select("_row", "page_id", F.sha1(payload).alias("sha"), F.octet_length(payload).alias("size"))
     first = keys.where(F.col("size") >= min_bytes).groupBy("sha", "size").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1")
-    revisits = keys.join(first, ["sha", "size"]).where("response is not null and not page_id <=> response").select("_row", F.col("response").alias("refers"))
+    # a table of its own, so that Spark can split the join of a payload that very many pages share
+    revisits = keys.join(written(first, "payloads"), ["sha", "size"]).where("response is not null and not page_id <=> response").select("_row", F.col("response").alias("refers"))
     return pages.join(revisits, "_row", "left")
 
 
