@@ -111,4 +111,34 @@ items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item
 select d.doc_id, cast(len(d.words) as bigint) as n_words, coalesce(p.n_hit, 0) as n_hit, coalesce(i.n_items, 0) as n_items,
   sha256(coalesce(i.items, '')) as items_sha256, coalesce(p.n_hit, 0) > 0 as contaminated
 from d left join places p using (doc_id) left join items i using (doc_id)""",
+    "op8_bitmap_tiles": f"""
+with recursive w as (select doc_id, list_filter(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws from documents),
+s as (select doc_id, unnest(case when len(ws) >= 5 then list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' '))) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as g from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+e as (select a, b from l union select b, a from l),
+r(a, b) as (select a, b from e union select r.a, e.b from r join e on e.a = r.b),
+m as (select a, min(b) as b from r group by a)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(m.b, d.doc_id)) as component_id
+from documents d left join n using (doc_id) left join m on m.a = d.doc_id""",
+    "op10_warc_chunks": """
+with p as (select page_id, coalesce(html, '') as h, sha1(coalesce(html, '')) as s from pages),
+g as (select *, max(page_id) over (partition by s, strlen(h)) as keeper from p)
+select page_id, strlen(h) as payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((cast('0x' || substr(s, cast(k // 4 * 5 + 1 as int), 5) as bigint) >> cast(15 - 5 * (k % 4) as bigint)) & 31 as int) + 1, 1)), '') as payload_digest,
+  case when page_id = keeper then 'response' else 'revisit' end as record_type, case when page_id <> keeper then keeper end as refers_to
+from g""",
+    "op6_suffix_buckets": """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+n as (select doc_id, h, length(h) // 2 as n from d),
+w as (select doc_id, s, md5(substr(h, 2 * s + 1, 400)) as m from (select doc_id, h, unnest(range(0, n - 199)) as s from n where n >= 200)),
+o as (select doc_id, s, lag(s) over (partition by doc_id order by s) as p from w where m in (select m from w group by m having count(*) > 1)),
+g as (select *, sum(case when p is null or s > p + 200 then 1 else 0 end) over (partition by doc_id order by s) as k from o),
+r as (select doc_id, k, min(s) as a, max(s) + 200 as b from g group by 1, 2),
+x as (select *, lag(b, 1, 0) over (partition by doc_id order by a) as q from r),
+t as (select x.doc_id, sum(b - a) as n_removed, count(*) as n_spans, string_agg(substr(h, 2 * q + 1, 2 * (a - q)), '' order by a) as pre, max(b) as last from x join n using (doc_id) group by 1)
+select n.doc_id, n.n as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(unhex(coalesce(pre || substr(h, 2 * last + 1), h))) as kept_sha256
+from n left join t using (doc_id)""",
 }
