@@ -15,13 +15,15 @@ from tidemark.llm.queries import tokenizer_path
 
 
 def _whole(docs: DataFrame) -> DataFrame:
-    """What the operators read, with each row as it is beside it: no name of a column can clash with theirs."""
-    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
+    """What the operators read, and the other columns as one beside it: no name of a column can clash with theirs, and the
+    text travels once."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("whole"))
 
 
 def _columns(docs: DataFrame, rows: DataFrame, **new: Column) -> DataFrame:
-    """The columns of docs out of ``whole``, with new values where docs has those columns."""
-    return rows.select(*[(new[c].cast(t) if c in new else F.col(f"whole.`{c}`")).alias(c) for c, t in docs.dtypes])
+    """The columns of docs out of ``whole`` and the text, with new values where docs has those columns."""
+    of = {"text": F.col("text")} | new
+    return rows.select(*[(of[c].cast(t) if c in of else F.col(f"whole.`{c}`")).alias(c) for c, t in docs.dtypes])
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +31,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     becomes the predicted language. Rows that repeat, or have a null id, are judged each for themselves; ties between
     languages go to the one that sorts first; with no labelled text all go; other columns, whatever their names, stay."""
     model = langid.LanguageModel.fit(docs.where(~langid.held_out(F.col("doc_id"))))
-    found = model.predict(_whole(docs), keep=("whole",)).where(F.col("lang_pred") != langid.UNKNOWN)
+    found = model.predict(_whole(docs), keep=("whole", "text")).where(F.col("lang_pred") != langid.UNKNOWN)
     return _columns(docs, found, lang=F.col("lang_pred"))
 
 
@@ -38,7 +40,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     lines goes. Null text is one empty line and becomes empty; rows with a null id are left as they are and count nowhere;
     rows that repeat an id count as one document; other columns, whatever their names, stay."""
     kept = lines.LineIndex.build(docs).apply(_whole(docs), keep=("whole",)).where("n_dropped < n_lines")
-    return _columns(docs, kept, text=F.col("text"), n_chars=F.length("text"))
+    return _columns(docs, kept, n_chars=F.length("text"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
