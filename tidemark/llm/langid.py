@@ -81,14 +81,17 @@ class LanguageModel:
         model = docs.sparkSession.sparkContext.broadcast(self)
         schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add(names[0], "string").add(names[1], "double")
 
+        at = keep.index(text) if text in keep else len(keep)  # a kept text travels once
+
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = model.value.best(t.as_py() for t in batch.column(len(keep)))
+                found = model.value.best(t.as_py() for t in batch.column(at))
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(k) for k in range(len(keep))), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
                     [*keep, names[0], names[1]])
 
-        return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text_to_score")).mapInArrow(score, schema)
+        more = [] if text in keep else [F.col(f"`{text}`").alias("_text_to_score")]
+        return docs.select(*[F.col(f"`{c}`") for c in keep], *more).mapInArrow(score, schema)
 
     @cached_property
     def _columns(self) -> np.ndarray:
