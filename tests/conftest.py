@@ -14,7 +14,7 @@ def spark(tmp_path_factory):
 
     folder = tmp_path_factory.mktemp("spark")
     conf = {
-        "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": "UTC",
+        "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g", "spark.sql.ui.retainedExecutions": "20", "spark.ui.retainedJobs": "50", "spark.ui.retainedStages": "50", "spark.ui.retainedTasks": "1000", "spark.ui.dagGraph.retainedRootRDDs": "50", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": "UTC",
         "spark.checkpoint.dir": str(folder / "shared"), "spark.sql.warehouse.dir": str(folder / "warehouse"), "spark.local.dir": str(folder / "local"),
     }
     session = SparkSession.builder.master("local[4]").config(map=conf).getOrCreate()

@@ -28,6 +28,7 @@ def kmeans_large(df: DataFrame, ks: range, features: str = "features", sample: i
         score = ClusteringEvaluator(featuresCol="_v", predictionCol="label").evaluate(labelled)
         if best is None or score > best[0] + 1e-12:
             best = (score, k, model)
+    rows.unpersist()
     return best[1], c.assign_clusters(best[2], df, features)
 
 
