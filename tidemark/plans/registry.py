@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-DIGITS = 4
+DIGITS = 4  # adding 0.0 in SQL makes a negative zero plain, as Spark rounds it
 #: Moves values off the exact halves that means of prices fall on, where the last bit would decide.
 NUDGE = 3.3e-7
 
@@ -31,7 +31,7 @@ def query(sql: str | None = None, views: tuple[str, ...] = (), doubles: str = ""
         QUERIES[f.__name__] = run
         if sql:
             body = f"with {', '.join(views)} {sql}" if views and not sql.lstrip().startswith(",") else f"with {', '.join(views)}{sql}" if views else sql
-            cols = ", ".join(f"round({c} + {NUDGE}, {DIGITS}) as {c}" for c in doubles.split())
+            cols = ", ".join(f"round({c} + {NUDGE}, {DIGITS}) + 0.0::double as {c}" for c in doubles.split())
             ORACLE[f.__name__] = f"select * replace ({cols}) from ({body})" if cols else body
         return run
 
