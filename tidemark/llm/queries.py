@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, jaccard, langid, lines, packing, spans, suffix, warc
+from . import ann, chat, decontam, jaccard, langid, lines, packing, reputation, spans, suffix, variants, warc, whitening
 from .common import table
 
 
@@ -63,6 +63,34 @@ def op10_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), most=16)
+    parts = found.select("vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "part"))
+    return parts.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "part.whitened", "part.explained", "identity_error")
+
+
+#: The rules of the query: each holds for its host with all subdomains and for paths that begin with its own.
+URL_RULES = [reputation.Rule("allow", "com", "/"), reputation.Rule("block", "example.com", "/en/"), reputation.Rule("allow", "www.example.com", "/en/"), reputation.Rule("block", "net", "/es/"), reputation.Rule("block", "net", "/fr/")]
+
+
+def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(url, good): pages whose document is labelled. A page shows the document that its URL numbers; it is good if that is
+    of quality and not toxic. Of several labels of a document all must be good."""
+    labels = table(spark, sf_dir, "labels").where("doc_id is not null and quality is not null")
+    labels = labels.groupBy("doc_id").agg(F.every((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"))
+    number = F.try_to_number(F.regexp_extract(reputation.path_of(F.col("url")), "/([0-9]{1,18})", 1), F.lit("9" * 18)).cast("long")
+    return table(spark, sf_dir, "pages").select("url", number.alias("doc_id")).join(labels, "doc_id").select("url", "good")
+
+
+def op12_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reputation.judge(table(spark, sf_dir, "pages"), page_outcomes(spark, sf_dir), URL_RULES)
+
+
+def op13_permuterm_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = variants.variant_groups(variants.count_words(table(spark, sf_dir, "documents")))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,10 +99,14 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_chat_snapshots, op2_multiprobe_lsh, op3_sentence_spans, op4_vector_packing, op5_language_id, op6_suffix_buckets,
-    op7_line_filters, op8_bitmap_tiles, op9_benchmark_windows, op10_warc_chunks, pipeline)}
+    op7_line_filters, op8_bitmap_tiles, op9_benchmark_windows, op10_warc_chunks, op11_embedding_whitening,
+    op12_host_reputation, op13_permuterm_variants, pipeline)}
 
 _WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORTH = """case when coalesce(sum(n * (n - 1.0) * m * (1 - m)), 0) = 0 then 10000.0
+  when sum((k - n * m) * (k - n * m)) <= sum(n * m * (1 - m)) then 10000.0
+  else least(10000.0, greatest(1.0, sum(n * (n - 1.0) * m * (1 - m)) / (sum((k - n * m) * (k - n * m)) - sum(n * m * (1 - m))) - 1)) end"""
 
 ORACLE: dict[str, str] = {
     "op1_chat_snapshots": """
@@ -141,4 +173,45 @@ t as (select x.doc_id, sum(b - a) as n_removed, count(*) as n_spans, string_agg(
 select n.doc_id, n.n as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans,
   sha256(unhex(coalesce(pre || substr(h, 2 * last + 1), h))) as kept_sha256
 from n left join t using (doc_id)""",
+    "op12_host_reputation": f"""
+with p as (select page_id, url, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+u as (select page_id, url, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from p),
+l as (select doc_id, bool_and(quality = 1 and coalesce(toxic, 0) = 0) as good from labels where doc_id is not null and quality is not null group by doc_id),
+s as (select host, 0 as n, 0 as k from u union all
+  select host, 1, cast(good as int) from u join l on l.doc_id = try_cast(regexp_extract(path, '/([0-9]{{1,18}})', 1) as bigint)),
+h as (select host, sum(n) as n, sum(k) as k, string_split(host, '.') as w, regexp_matches(host, '^[0-9.]*(:[0-9]+)?$') as num from s group by host),
+h2 as (select *, array_to_string(w[-2:], '.') as two, array_to_string(w[-2:], '.') in ({", ".join(f"'{x}'" for x in reputation.TWO_LABELS)}) as long from h),
+h3 as (select host, n, k, case when num then '' when long then two else w[-1] end as suffix, case when num then host when long then array_to_string(w[-3:], '.') else two end as domain from h2),
+d as (select domain, max(suffix) as suffix, sum(n) as n, sum(k) as k from h3 group by domain),
+f as (select suffix, sum(n) as n, sum(k) as k from d group by suffix),
+f1 as (select *, (select (sum(k) + 1.0) / (sum(n) + 2.0) from d) as m from f),
+fw as (select {_WORTH} as worth from f1),
+f2 as (select suffix, (k + worth * m) / (n + worth) as sm from f1, fw),
+d1 as (select d.*, sm as m from d join f2 using (suffix)),
+dw as (select {_WORTH} as worth from d1),
+d2 as (select domain, (k + worth * m) / (n + worth) as dm from d1, dw),
+g1 as (select h3.*, dm as m from h3 join d2 using (domain)),
+gw as (select case when sum(n) > 0 then {_WORTH} else 2.0 end as worth from g1),
+g2 as (select host, n, worth, (k + worth * m) / (n + worth) as mean from g1, gw),
+b as (select host from g2 where mean + 1.645 * sqrt(mean * (1 - mean) / (n + worth + 1)) < 0.5),
+r(verdict, rh, rp) as (values ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+m as (select page_id, url, host, path, max_by(rh || rp, length(rh || rp)) filter (where rh is not null) as rule, max_by(verdict, length(rh || rp)) as ruled
+  from u left join r on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by page_id, url, host, path)
+select page_id, host, path, rule, coalesce(ruled, case when host in (select host from b) then 'block' else 'allow' end) as verdict from m""",
+    "op13_permuterm_variants": f"""
+with recursive t as (select doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[a-z\u00C0-\u00FF]+')) as run from documents),
+c as (select run, cast(doc_id as varchar) || ':' || run as s, count(*) as n from t where length(run) >= 7 group by doc_id, run),
+x as (select run, n, hex(encode(s)) as x from c),
+k as (select run, n, xor(list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(range(length(x)), lambda i: cast(instr('0123456789ABCDEF', substr(x, cast(case when i % 2 = 0 then i + 2 else i end as int), 1)) - 1 as bigint))),
+  lambda a, b: xor([0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108][cast(xor(a, b) & 15 as int) + 1], a >> 4)), 4294967295) as h from x),
+e as (select case when h % 31 = 0 then substr(run, 1, cast(h % length(run) as int)) || substr(run, cast(h % length(run) as int) + 2) else run end as word, n from k),
+w as (select word, cast(sum(n) as bigint) as n from e where length(word) >= 7 group by word having sum(n) >= 2),
+g as (select word, substr(word, 1, cast(i - 1 as int)) as a, substr(word, cast(i + 1 as int)) as b from (select word, unnest(range(1, length(word) + 1)) as i from w)),
+q as (select distinct word, a || b as short from g),
+p as (select l.word, r.word as other from g l join g r on l.a || '*' || l.b = r.a || '*' || r.b and l.word <> r.word
+  union select q.word, w.word from q join w on w.word = q.short union select w.word, q.word from q join w on w.word = q.short),
+y as (select p.word, p.other, w.n, row_number() over (partition by p.word order by w.n desc, p.other) as place, count(*) over (partition by p.word) as n_near from p join w on w.word = p.other),
+z as (select w.word, w.n, coalesce(y.n_near, 0) as n_near, case when y.n >= 10 * w.n then y.other end as form, case when y.n >= 10 * w.n then y.n end as form_n from w left join y on y.word = w.word and y.place = 1),
+f(word, tip) as (select word, word from z union all select f.word, z.form from f join z on z.word = f.tip where z.form is not null)
+select z.word, form, f.tip as root, n, n_near, form_n from z join f using (word) where not exists (select 1 from z o where o.word = f.tip and o.form is not null)""",
 }
