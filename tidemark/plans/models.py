@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import clustering as c
-from ..operators import segments
+from ..operators import hierarchy, segments
 from ..operators import similarity as s
 from . import views as v
 from .registry import query
@@ -417,3 +417,13 @@ def outcome_models(spark, sf):
     rows = users.join(sends, "user_id")
     models = s.fit_outcomes(rows, trees=10, forest_depth=5, boosted_depth=3)
     return s.predict_outcomes(models, users).select("user_id", "conversion", "churn_risk", "predicted_ltv", "engagement")
+
+
+@query()
+def hdbscan(spark, sf):
+    return hierarchy.hdbscan(_matrix(spark, sf), "user_id", "features", 15, 5, dimensions=3).labels
+
+
+@query()
+def hdbscan_auto(spark, sf):
+    return hierarchy.hdbscan_auto(_matrix(spark, sf), "user_id", "features", [10, 15, 25, 40], [5], dimensions=3)[1]
