@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..operators import segments
-from ..sources import files, sinks
+from ..sources import buckets, files, sinks
 from ..sources.shared import folder
 from ..streaming import ingest as k
 from . import views as v
@@ -351,3 +351,55 @@ def quality_monitor(spark, sf):
     handler = k.quality_monitor(out, lambda df: df.agg(F.count("*").alias("rows"), F.count_if(F.col("status") == "failed").alias("failed")))
     k.process(spark.readStream.schema(tx.schema).option("maxFilesPerTrigger", 1).parquet(source), handler, checkpoint).awaitTermination()
     return spark.read.parquet(out).agg(F.sum("rows").alias("rows"), F.sum("failed").alias("failed"))
+
+
+@query("""select c_custkey, case when c_custkey % 6 = 0 then c_acctbal + 2 when c_custkey % 2 = 0 then c_acctbal + 1 else c_acctbal end as c_acctbal, case when c_custkey % 10 = 3 then 'CHANGED' else c_mktsegment end as c_mktsegment,
+  case when c_custkey % 7 = 0 then timestamp '2024-01-31' end as deleted_at from customer where c_custkey % 11 <> 0 union all select c_custkey + 1000000, c_acctbal + 1, null, null from customer where c_custkey % 2 = 0""", (), "c_acctbal")
+def stored_upserts(spark, sf):
+    """A stored table after upserts in two batches (one handed over twice), a partial update, soft and hard deletion."""
+    rows = v.table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_mktsegment", F.lit(None).cast("timestamp").alias("deleted_at"))
+    table = buckets.BucketTable.create(rows, folder(spark, "stored-upserts"), "c_custkey", 16)
+    some = rows.where("c_custkey % 2 = 0").select("c_custkey", (F.col("c_acctbal") + 1).alias("c_acctbal"))
+    first = some.unionByName(some.withColumn("c_custkey", F.col("c_custkey") + 1000000))
+    table = table.upsert(first, batch=0).upsert(first.withColumn("c_acctbal", F.lit(0.0)), batch=0)
+    twice = rows.where("c_custkey % 6 = 0").select("c_custkey", F.explode(F.array(F.lit(2), F.lit(1))).alias("step"), "c_acctbal").withColumn("c_acctbal", F.col("c_acctbal") + F.col("step"))
+    table = table.upsert(twice, order="step", batch=1)
+    table = table.update(rows.where("c_custkey % 10 = 3").select("c_custkey", F.lit("CHANGED").alias("c_mktsegment"), F.lit(None).cast("double").alias("c_acctbal")))
+    table = table.delete(rows.where("c_custkey % 7 = 0"), dt.datetime(2024, 1, 31)).delete(rows.where("c_custkey % 11 = 0"))
+    table.vacuum(1)
+    return table.read().withColumn("deleted_at", F.col("deleted_at").cast("timestamp_ntz"))
+
+
+@query(" select user_id, count(*) filter (where transaction_type = 'bet') as bets, count(*) filter (where transaction_type = 'deposit') as deposits, count(*) filter (where transaction_type = 'withdrawal') as withdrawals, max(created_at) as last_activity from tx group by user_id", (v.TX,))
+def stored_activity(spark, sf):
+    """Counters that a stream's micro-batches add to a stored table."""
+    tx = v.transactions(spark, sf)
+    source, at, checkpoint = folder(spark, "activity-in"), folder(spark, "activity"), folder(spark, "activity-offsets")
+    tx.select("transaction_id", "user_id", "transaction_type", "created_at").repartition(3, "transaction_id").write.parquet(source)
+    stream = spark.readStream.schema("transaction_id long, user_id long, transaction_type string, created_at timestamp").option("maxFilesPerTrigger", 1).parquet(source)
+    buckets.BucketTable.create(k.activity_counters(tx.limit(0)), at, "user_id", 16)
+    add = lambda table, df, batch: table.merge(k.activity_counters(df), k.apply_activity, batch, "activity")
+    k.process(stream, buckets.stream_into(at, add), checkpoint).awaitTermination()
+    return buckets.BucketTable(spark, at).read().withColumn("last_activity", F.col("last_activity").cast("timestamp_ntz"))
+
+
+@query(", e as (select campaign_id, user_id, 'delivered' as status, sent_at as t, 1 p from results union all select campaign_id, user_id, 'opened', opened_at, 2 from results where opened_at is not null union all select campaign_id, user_id, 'clicked', clicked_at, 3 from results where clicked_at is not null), r as (select *, row_number() over (partition by campaign_id, user_id order by p desc, t) n from e) select campaign_id, user_id, status from r where n = 1", (v.RESULTS,))
+def stored_statuses(spark, sf):
+    """The furthest status of each campaign and user, from events that reach a stored table in micro-batches, in any order."""
+    r = v.campaign_results(spark, sf)
+    events = None
+    for status, at in (("clicked", "clicked_at"), ("delivered", "sent_at"), ("opened", "opened_at")):
+        one = r.where(F.col(at).isNotNull()).select("campaign_id", "user_id", F.lit(status).alias("status"), F.col(at).alias("at"))
+        events = one if events is None else events.unionByName(one)
+    events = events.withColumn("pair", F.concat_ws("/", "campaign_id", "user_id"))
+    source, at, checkpoint = folder(spark, "status-in"), folder(spark, "status"), folder(spark, "status-offsets")
+    events.repartition(3, "status").write.parquet(source)
+    buckets.BucketTable.create(events.limit(0), at, "pair", 16)
+
+    def further(old, new):
+        both = old.unionByName(new)
+        return k.furthest_status(both, ["pair", "campaign_id", "user_id"])
+
+    move = lambda table, df, batch: table.merge(df, further, batch, "statuses")
+    k.process(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source), buckets.stream_into(at, move), checkpoint).awaitTermination()
+    return buckets.BucketTable(spark, at).read().select("campaign_id", "user_id", "status")

@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import clustering as c
-from ..operators import hierarchy, segments
+from ..operators import hierarchy, segments, vector_index
 from ..operators import similarity as s
+from ..sources.shared import folder
 from . import views as v
 from .registry import query
 
@@ -427,3 +428,12 @@ def hdbscan(spark, sf):
 @query()
 def hdbscan_auto(spark, sf):
     return hierarchy.hdbscan_auto(_matrix(spark, sf), "user_id", "features", [10, 15, 25, 40], [5], dimensions=3)[1]
+
+
+@query()
+def indexed_search(spark, sf):
+    """Neighbours by a stored index of which a part was built, a part joined later and a part was deleted."""
+    vectors = v.vectors(spark, sf)
+    index = vector_index.VectorIndex.build(vectors.where("vec_id % 10 < 8"), folder(spark, "index"), buckets=16)
+    index = index.upsert(vectors.where("vec_id % 10 >= 7"), batch=0).delete(vectors.where("vec_id % 13 = 0").select("vec_id"), batch=1)
+    return index.search(vectors.where("vec_id % 100 = 0"), 10, index.probes_for(10))

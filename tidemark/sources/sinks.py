@@ -16,8 +16,16 @@ def load(df: DataFrame, path: str, mode: str = "overwrite", as_of: dt.datetime |
     (writer.partitionBy(*partition) if partition else writer).parquet(path)
 
 
-def merge_upsert(target: DataFrame, source: DataFrame, key: str, as_of: dt.datetime | None = None) -> DataFrame:
-    """Target after the source: its values win where a key is in both, columns that it lacks stay, new rows join."""
+def last_of_key(df: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """One row per key: that of the largest ``order``; among equals, and without an order, that of the largest hash."""
+    by = F.struct(*([F.col(f"`{order}`")] if order else []), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    return df.groupBy(F.col(f"`{key}`").alias("_key")).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), by).alias("_row")).select("_row.*")
+
+
+def merge_upsert(target: DataFrame, source: DataFrame, key: str, as_of: dt.datetime | None = None, order: str | None = None) -> DataFrame:
+    """Target after the source: its values win where a key is in both, columns that it lacks stay, new rows join. Of several
+    source rows of a key that of the largest ``order`` counts (``last_of_key``)."""
+    source = last_of_key(source, key, order)
     s = source.select(F.col(key), *[F.col(c).alias(f"_s_{c}") for c in source.columns if c != key], F.lit(True).alias("_in"))
     rows = target.join(s, key, "full")
     out = []
