@@ -58,6 +58,39 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]], ranges: int =
     return out
 
 
+def grouped_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float], ranges: int = 64) -> DataFrame:
+    """(keys, quantiles): linear-interpolated quantiles of the value within each group, in the order of ``qs``; nulls are left out,
+    and so are groups without values. Values are counted first and dealt by (group, value) into ranges, so that a group of any
+    size is many tasks' work."""
+    group = F.struct(*[F.col(f"`{k}`") for k in keys]).alias("g")
+    counts = df.select(group, F.col(f"`{value}`").cast("double").alias("v")).where("v is not null").groupBy("g", "v").agg(F.count("*").alias("n"))
+    dealt = written(counts.repartitionByRange(ranges, "g", "v").withColumn("r", F.spark_partition_id()), "quantiles")
+    sizes = dealt.groupBy("g", "r").agg(F.sum("n").alias("n"))  # of a group a row per range
+    of_group = Window.partitionBy("g")
+    sizes = sizes.withColumn("end", F.sum("n").over(of_group.orderBy("r").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(of_group))
+    places = F.array_distinct(F.flatten(F.array(*[F.array(F.floor((F.col("all") - 1) * q), F.least(F.floor((F.col("all") - 1) * q) + 1, F.col("all") - 1)) for q in qs])))
+    asked = sizes.withColumn("place", F.explode(F.filter(places, lambda p: (p < F.col("end")) & (p >= F.col("end") - F.col("n"))))).select("g", "r", "all", "place", (F.col("place") - F.col("end") + F.col("n")).alias("offset"))
+    within = dealt.join(asked.select("g", "r").distinct(), ["g", "r"], "left_semi").withColumn("upto", F.sum("n").over(Window.partitionBy("g", "r").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    met = within.join(asked, ["g", "r"]).where("offset < upto and offset >= upto - n")
+    found = met.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("place", "v"))).alias("at"), F.max("all").alias("all"))  # two places a quantile at most
+    low = lambda q: F.floor((F.col("all") - 1) * q)
+    one = lambda q: F.col("at")[low(q)] + ((F.col("all") - 1) * q - low(q)) * (F.col("at")[F.least(low(q) + 1, F.col("all") - 1)] - F.col("at")[low(q)])
+    return found.select("g.*", F.array(*[one(q) for q in qs]).alias("quantiles"))
+
+
+def neighbourhoods(df: DataFrame, order: list[Column], values: dict[str, Column], reach: int, block: int = 1_000_000) -> DataFrame:
+    """df with averages (name: column) over the ``reach`` rows before and after each row in the whole order, which must be total. The order
+    is cut in blocks (of ``reach`` rows at least), and the rows at their edges go to both sides."""
+    if block < reach:
+        raise ValueError("a block must hold the rows around one")
+    placed = numbered(df, *order, name="_place")
+    at = F.floor(F.col("_place") / block)
+    copies = F.array_distinct(F.array(at, F.floor((F.col("_place") - reach) / block), F.floor((F.col("_place") + reach) / block)))
+    w = Window.partitionBy("_block").orderBy("_place").rowsBetween(-reach, reach)
+    rows = placed.withColumn("_block", F.explode(copies)).select("*", *[F.avg(c).over(w).alias(name) for name, c in values.items()])
+    return rows.where(F.col("_block") == at).drop("_block", "_place")
+
+
 def modes(df: DataFrame, columns: list[str]) -> dict[str, object]:
     """The commonest value of each column over all rows, the smallest of equals; null without values."""
     return {c: df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("x")).agg(F.count("*").alias("n")).agg(F.min(F.struct((-F.col("n")).alias("n"), "x"))["x"]).first()[0] for c in columns}

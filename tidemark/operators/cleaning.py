@@ -159,6 +159,6 @@ def ml_ready(df: DataFrame, key: str = "user_id", drop: tuple[str, ...] = (), un
     rows = df.drop(*drop).dropDuplicates([key])
     strings = [c for c, t in rows.dtypes if t == "string" and c != key]
     if strings:
-        stats = rows.agg(F.count("*").alias("_n"), *[F.approx_count_distinct(c).alias(c) for c in strings]).first()
-        rows = rows.drop(*[c for c in strings if stats["_n"] and stats[c] / stats["_n"] > unique])
+        n = rows.count()
+        rows = rows.drop(*[c for c in strings if n and rows.where(F.col(c).isNotNull()).select(c).distinct().count() / n > unique])
     return rows.fillna(0)

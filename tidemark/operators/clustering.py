@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.order import exact_quantiles
+from ..functions.order import exact_quantiles, grouped_quantiles
 from ..functions.stats import one_row
 from ..sources.shared import written
 
@@ -134,7 +134,9 @@ def cluster_profiles(df: DataFrame, columns: list[str]) -> DataFrame:
     sizes = df.groupBy("label").agg(F.count("*").alias("size"))
     sizes = sizes.crossJoin(one_row(df, F.count("*").alias("_n"))).select("label", "size", (F.col("size") * 100 / F.col("_n")).alias("percentage"))
     long = df.select("label", *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(["label"], columns, "feature", "x")
-    stats = long.groupBy("label", "feature").agg(F.avg("x").alias("mean"), F.median("x").alias("median"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    stats = long.groupBy("label", "feature").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    medians = grouped_quantiles(long, ["label", "feature"], "x", [0.5]).select("label", "feature", F.col("quantiles")[0].alias("median"))
+    stats = stats.join(medians, ["label", "feature"], "left").select("label", "feature", "mean", "median", "std", "min", "max")
     return stats.join(F.broadcast(sizes), "label").withColumn("is_noise", F.col("label") == NOISE)
 
 
@@ -242,7 +244,9 @@ def ensemble_vote(labelings: list[DataFrame], weights: list[float], key: str, th
 def ensemble_stability(votes: DataFrame) -> DataFrame:
     """Agreement per label: mean, median, least, and shares of stable (over 0.8) and unstable (under 0.5) rows."""
     a = F.col("agreement")
-    return votes.groupBy("label").agg(F.count("*").alias("n"), F.avg(a).alias("mean"), F.median(a).alias("median"), F.min(a).alias("least"), F.avg((a > 0.8).cast("double")).alias("stable"), F.avg((a < 0.5).cast("double")).alias("unstable"))
+    medians = grouped_quantiles(votes, ["label"], "agreement", [0.5]).select("label", F.col("quantiles")[0].alias("median"))
+    one = votes.groupBy("label").agg(F.count("*").alias("n"), F.avg(a).alias("mean"), F.min(a).alias("least"), F.avg((a > 0.8).cast("double")).alias("stable"), F.avg((a < 0.5).cast("double")).alias("unstable"))
+    return one.join(medians, "label", "left").select("label", "n", "mean", "median", "least", "stable", "unstable")
 
 
 def cluster_sizes(df: DataFrame) -> DataFrame:

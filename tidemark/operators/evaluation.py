@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import lgamma, log
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
+from ..functions.order import grouped_quantiles
 from ..functions.stats import EPSILON, one_row
 from . import clustering as c
 
@@ -317,11 +320,24 @@ def export_for_campaigns(labels: DataFrame, profiles: DataFrame, features: list[
 # --- more measures and choices -----------------------------------------------------------------------------
 
 
+def _chance(x: int, y: int, n: int, spreads: float = 60.0) -> float:
+    """Expected share of the mutual information of labels of x and y among n rows: over the counts that they can share, within so many
+    spreads of the mean that the rest is below the last bit. One count's chance is had from the one before."""
+    mean, low, high = x * y / n, max(1, x + y - n), min(x, y)
+    spread = (mean * (1 - x / n) * (1 - y / n) * n / max(1, n - 1)) ** 0.5
+    low, high = max(low, int(mean - spreads * (spread + 1))), min(high, int(mean + spreads * (spread + 1)) + 1)
+    if high < low:
+        return 0.0
+    k = np.arange(low, high + 1, dtype=float)
+    first = lgamma(x + 1) + lgamma(y + 1) + lgamma(n - x + 1) + lgamma(n - y + 1) - lgamma(n + 1) - lgamma(low + 1) - lgamma(x - low + 1) - lgamma(y - low + 1) - lgamma(n - x - y + low + 1)
+    step = np.log((x - k[:-1]) * (y - k[:-1])) - np.log((k[:-1] + 1) * (n - x - y + k[:-1] + 1))
+    p = first + np.append(0.0, np.cumsum(step))
+    return float((k / n * (np.log(n * k) - log(x) - log(y)) * np.exp(p)).sum())
+
+
 def adjusted_mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: mutual information of two labelings over what chance gives (arithmetic mean). The contingency table, of
     labels times labels, is all that comes to the driver."""
-    from math import lgamma, log
-
     cells = df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n")).toPandas()
     n, row, col = float(cells["n"].sum()), cells.groupby("a", dropna=False)["n"].sum().to_numpy(), cells.groupby("b", dropna=False)["n"].sum().to_numpy()
     if not n:
@@ -331,10 +347,7 @@ def adjusted_mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
     mi, expected = float((cells["n"] / n * np.log(cells["n"] * n / (of_a * of_b))).sum()), 0.0
     for x in map(int, row):
         for y in map(int, col):
-            at = np.arange(max(1, x + y - int(n)), min(x, y) + 1)
-            base = lgamma(x + 1) + lgamma(y + 1) + lgamma(n - x + 1) + lgamma(n - y + 1) - lgamma(n + 1)
-            p = np.array([base - lgamma(k + 1) - lgamma(x - k + 1) - lgamma(y - k + 1) - lgamma(n - x - y + k + 1) for k in at.tolist()])
-            expected += float((at / n * (np.log(n * at) - log(x * y)) * np.exp(p)).sum())
+            expected += _chance(x, y, int(n))
     usual = (h(row) + h(col)) / 2
     ami = 1.0 if abs(usual - expected) < 1e-12 else (mi - expected) / (usual - expected)
     return df.sparkSession.createDataFrame([(ami,)], "ami double")
@@ -411,6 +424,25 @@ def dbscan_grid(df: DataFrame, key: str, features: str, dimensions: int, eps: li
 
 
 def outlier_spread(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(feature, is_outlier, n, mean, median, std) of clustered and noise rows; medians to 1 in 10,000 ranks."""
+    """(feature, is_outlier, n, mean, median, std) of clustered and noise rows; medians are exact."""
     long = df.withColumn("is_outlier", F.col("label") == c.NOISE).select("is_outlier", *[F.col(x).cast("double").alias(x) for x in columns]).unpivot(["is_outlier"], columns, "feature", "x")
-    return long.groupBy("feature", "is_outlier").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.percentile_approx("x", F.lit(0.5), F.lit(10_000)).alias("median"), F.stddev_samp("x").alias("std"))
+    medians = grouped_quantiles(long, ["feature", "is_outlier"], "x", [0.5]).select("feature", "is_outlier", F.col("quantiles")[0].alias("median"))
+    one = long.groupBy("feature", "is_outlier").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"))
+    return one.join(medians, ["feature", "is_outlier"], "left").select("feature", "is_outlier", "n", "mean", "median", "std")
+
+
+def squared_silhouette(df: DataFrame, features: str = "features") -> DataFrame:
+    """(label, n, silhouette) over all rows, with squared distances, whose means follow from each cluster's sums; noise is left
+    out, and a label of one row has 0. The clusters' sums (labels times dimensions) are broadcast."""
+    rows = df.where(F.col("label") != c.NOISE).select("label", F.col(features).cast("array<double>").alias("v"))
+    norm = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)
+    sums = c.centroids(rows, "v").join(rows.groupBy("label").agg(F.avg(norm(F.col("v"))).alias("sq")), "label")
+    known = sums.agg(F.collect_list(F.struct("label", "n", "centre", "sq")).alias("all"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    mean = lambda k: norm(F.col("v")) - 2 * dot(F.col("v"), k.centre) + k.sq
+    far = rows.crossJoin(F.broadcast(known)).withColumn("far", F.transform("all", lambda k: F.struct(k.label.alias("label"), k.n.alias("n"), F.greatest(F.lit(0.0), mean(k)).alias("d"))))
+    own = F.filter("far", lambda k: k.label == F.col("label"))[0]
+    a = F.try_divide(own.d * own.n, own.n - 1)
+    b = F.array_min(F.transform(F.filter("far", lambda k: k.label != F.col("label")), lambda k: k.d))
+    s = F.when(own.n > 1, F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0))).otherwise(0.0)
+    return far.select("label", s.alias("s")).groupBy("label").agg(F.count("*").alias("n"), F.avg("s").alias("silhouette"))

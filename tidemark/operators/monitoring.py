@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import exact_quantiles, neighbourhoods
 from ..functions.stats import coefficient_of_variation, one_row
 from ..sources.shared import written
 
@@ -14,27 +15,26 @@ def rate_by(df: DataFrame, key: str, ts: str, condition: str, size: str = "1 day
     return df.groupBy(key, F.window(ts, size).start.alias("start")).agg(F.count("*").alias("n"), F.avg(F.coalesce(F.expr(condition), F.lit(False)).cast("double")).alias("rate"))
 
 
-def impute(df: DataFrame, columns: list[str], accuracy: int = 100_000) -> DataFrame:
-    """Nulls of numeric columns become the column's median (to 1 in ``accuracy`` ranks, so that no task holds a column), those
-    of other columns the commonest value (smallest of equals); a column of nulls becomes 0 or stays null."""
+def impute(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Nulls of numeric columns become the column's exact median, those of other columns the commonest value (smallest of
+    equals); a column of nulls becomes 0 or stays null."""
     kinds = dict(df.dtypes)
     numeric = [c for c in columns if kinds[c] in ("tinyint", "smallint", "int", "bigint", "float", "double") or kinds[c].startswith("decimal")]
-    stats = one_row(df, F.lit(0).alias("_one"), *[F.percentile_approx(F.col(c).cast("double"), F.lit(0.5), F.lit(accuracy)).alias(f"_fill_{c}") for c in numeric])
-    rows = df.crossJoin(stats)
+    medians = exact_quantiles(df, {c: [0.5] for c in numeric}) if numeric else {}
+    rows = df
     for c in (x for x in columns if x not in numeric):
         counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("x")).agg(F.count("*").alias("n"))
         rows = rows.crossJoin(F.broadcast(counts.agg(F.min(F.struct((-F.col("n")).alias("n"), "x"))["x"].alias(f"_fill_{c}"))))
-    fill = lambda c: F.coalesce(F.col(c).cast("double"), F.col(f"_fill_{c}"), F.lit(0.0)) if c in numeric else F.coalesce(F.col(c), F.col(f"_fill_{c}"))
+    fill = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c][0]).cast("double"), F.lit(0.0)) if c in numeric else F.coalesce(F.col(c), F.col(f"_fill_{c}"))
     return rows.select(*[fill(c).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def importance_sample(df: DataFrame, key: str, x: str, y: str, n: int, order: str) -> DataFrame:
     """The n rows of most importance: 0.3 distance to the centre plus 0.7 deviation from the mean of the ten rows
-    around. Neighbours are those of the same user in the order, so that no task orders all rows."""
-    w = Window.partitionBy("user_id").orderBy(order, key).rowsBetween(-5, 5)
+    around in the order of all rows."""
     c = one_row(df, F.avg(x).alias("_x"), F.avg(y).alias("_y"))
     far = lambda a, b: F.sqrt(F.pow(F.col(x) - a, 2) + F.pow(F.col(y) - b, 2))
-    rows = df.crossJoin(c).withColumn("_a", F.avg(x).over(w)).withColumn("_b", F.avg(y).over(w))
+    rows = neighbourhoods(df.select(key, order, x, y), [F.col(order), F.col(key)], {"_a": F.col(x), "_b": F.col(y)}, 5).crossJoin(c)
     rows = rows.select(key, F.round(0.3 * far(F.col("_x"), F.col("_y")) + 0.7 * far(F.col("_a"), F.col("_b")), 6).alias("importance"))
     return rows.orderBy(F.desc("importance"), key).limit(n)
 
@@ -48,11 +48,12 @@ def timing(df: DataFrame) -> DataFrame:
     return rows.groupBy("user_id").agg(coefficient_of_variation("d").alias("duration_by_hour_cv"), F.max_by("h", F.struct("d", -F.col("h"))).alias("best_hour"), F.corr("rh", "rb").alias("hour_bet_correlation"))
 
 
-def model_health(df: DataFrame, key: str, ts: str, failed: str, latency: str, minutes: int = 60) -> DataFrame:
+def model_health(df: DataFrame, key: str, ts: str, failed: str, latency: str, minutes: int = 60, succeeded: str | None = None) -> DataFrame:
     """(key, start, requests, error_rate, mean_latency, status): errors over 5 % are unhealthy, a mean latency over 1 s
-    is degraded, success below 99 % a warning."""
-    rows = df.groupBy(key, F.window(ts, f"{minutes} minutes").start.alias("start")).agg(F.count("*").alias("requests"), F.avg(F.expr(failed).cast("double")).alias("error_rate"), F.avg(latency).alias("mean_latency"))
-    return rows.withColumn("status", F.when(F.col("error_rate") > 0.05, "unhealthy").when(F.col("mean_latency") > 1.0, "degraded").when(F.col("error_rate") > 0.01, "warning").otherwise("healthy"))
+    is degraded, success below 95 % a warning. What has not failed has succeeded, unless ``succeeded`` says it."""
+    ok = F.expr(succeeded) if succeeded else ~F.expr(failed)
+    rows = df.groupBy(key, F.window(ts, f"{minutes} minutes").start.alias("start")).agg(F.count("*").alias("requests"), F.avg(F.expr(failed).cast("double")).alias("error_rate"), F.avg(latency).alias("mean_latency"), F.avg(ok.cast("double")).alias("_ok"))
+    return rows.withColumn("status", F.when(F.col("error_rate") > 0.05, "unhealthy").when(F.col("mean_latency") > 1.0, "degraded").when(F.col("_ok") < 0.95, "warning").otherwise("healthy")).drop("_ok")
 
 
 def lineage(edges: DataFrame) -> DataFrame:

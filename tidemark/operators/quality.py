@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.order import exact_quantiles
+from ..functions.order import exact_quantiles, grouped_quantiles
 from ..functions.stats import one_row, quantile
 
 # Weights of the six dimensions, grades.
@@ -226,11 +226,12 @@ def dominant_error(df: DataFrame, column: str, limit: float = 0.7) -> DataFrame:
 
 
 def latency_summary(df: DataFrame, key: str, column: str, failed: str, ts: str) -> DataFrame:
-    """Mean, 95 % and 99 % quantiles (linear interpolation), share of failed requests, and requests a second per key."""
+    """Mean, 95 % and 99 % quantiles (linear interpolation, exact at any size of a key), share of failed requests, and requests a
+    second per key."""
     span = F.max(F.col(ts).cast("double")) - F.min(F.col(ts).cast("double"))
-    return df.groupBy(key).agg(
-        F.count("*").alias("n"), F.avg(column).alias("mean"), F.percentile(column, F.lit(0.95)).alias("p95"), F.percentile(column, F.lit(0.99)).alias("p99"),
-        F.avg(F.coalesce(F.expr(failed), F.lit(False)).cast("double")).alias("error_rate"), F.try_divide(F.count("*"), span).alias("throughput"))
+    one = df.groupBy(key).agg(F.count("*").alias("n"), F.avg(column).alias("mean"), F.avg(F.coalesce(F.expr(failed), F.lit(False)).cast("double")).alias("error_rate"), F.try_divide(F.count("*"), span).alias("throughput"))
+    q = grouped_quantiles(df, [key], column, [0.95, 0.99]).select(F.col(key).alias("_k"), "quantiles")
+    return one.join(q, one[key].eqNullSafe(q["_k"]), "left").select(key, "n", "mean", F.get("quantiles", F.lit(0)).alias("p95"), F.get("quantiles", F.lit(1)).alias("p99"), "error_rate", "throughput")
 
 
 def metrics_summary(df: DataFrame, ts: str, name: str, value: str, minutes: int = 5) -> DataFrame:

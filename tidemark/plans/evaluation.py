@@ -208,7 +208,7 @@ def dbscan_grid(spark, sf):
     return ops.dbscan_grid(rows, "user_id", "features", 3, [eps, 1.5 * eps], [4])
 
 
-@query(_LABELLED + " select feature, label = -1 as is_outlier, count(x) as n, avg(x) as mean, quantile_disc(x, 0.5) as median, stddev_samp(x) as std from l group by 1, 2", (v.BETS,), "mean median std")
+@query(_LABELLED + " select feature, label = -1 as is_outlier, count(x) as n, avg(x) as mean, median(x) as median, stddev_samp(x) as std from l group by 1, 2", (v.BETS,), "mean median std")
 def outlier_spread(spark, sf):
     return ops.outlier_spread(_labelled(spark, sf), _COLUMNS)
 
@@ -224,3 +224,12 @@ def vote_stability(spark, sf):
     rows = _three(spark, sf)
     votes = c.ensemble_vote([rows.select("vec_id", F.col(x).alias("label")) for x in ("l1", "l2", "l3")], [1.0, 1.0, 1.0], "vec_id")
     return c.ensemble_stability(votes)
+
+
+@query("""with x as (select vec_id, label, list_transform(embedding, lambda e: e::double) as v from embeddings), m as (select label, i, avg(v[i]) as c from x, unnest(range(1, len(v) + 1)) as t(i) group by 1, 2),
+k as (select label as l2, list(c order by i) as centre from m group by 1), q as (select label as l2, count(*) as n, avg(list_dot_product(v, v)) as sq from x group by 1),
+d as (select vec_id, label, l2, n, greatest(0, list_dot_product(v, v) - 2 * list_dot_product(v, centre) + sq) as d from x, k join q using (l2)),
+s as (select vec_id, label, max(case when l2 = label then n end) as n, max(case when l2 = label then d * n / (n - 1) end) as a, min(case when l2 <> label then d end) as b from d group by 1, 2)
+select label, count(*) as n, avg(case when n > 1 then (b - a) / greatest(a, b) else 0 end) as silhouette from s group by label""", (), "silhouette")
+def squared_silhouette(spark, sf):
+    return ops.squared_silhouette(v.vectors(spark, sf), "embedding")

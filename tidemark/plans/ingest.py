@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from ..operators import segments
 from ..sources import buckets, files, sinks
-from ..sources.shared import folder
+from ..sources.shared import StateLog, folder
 from ..streaming import ingest as k
+from ..streaming import stateful
 from . import views as v
 from .registry import query
 
@@ -328,7 +329,7 @@ def online_kmeans(spark, sf):
     source, checkpoint = folder(spark, "online-in"), folder(spark, "online-offsets")
     tx = v.transactions(spark, sf).withColumn("hour", F.hour("created_at"))
     tx.repartition(4, "transaction_id").write.parquet(source)
-    model = k.OnlineKMeans(3, ["amount", "hour"], per_version=2)
+    model = k.OnlineKMeans(3, ["amount", "hour"], per_version=2, log=StateLog(spark, folder(spark, "online-log")))
     k.process(spark.readStream.schema(tx.schema).option("maxFilesPerTrigger", 1).parquet(source), model.learn, checkpoint).awaitTermination()
     return model.predict(tx).select("transaction_id", "label", "confidence", F.lit(model.version).alias("version"))
 
@@ -403,3 +404,63 @@ def stored_statuses(spark, sf):
     move = lambda table, df, batch: table.merge(df, further, batch, "statuses")
     k.process(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source), buckets.stream_into(at, move), checkpoint).awaitTermination()
     return buckets.BucketTable(spark, at).read().select("campaign_id", "user_id", "status")
+
+
+def _folded(spark, sf, name: str, plan):
+    """Transactions through a stateful plan, in four micro-batches of about a quarter of the time each, some rows in the batch after
+    their own, and a last row that moves the watermark past all of them."""
+    source, out, checkpoint = folder(spark, f"{name}-in"), folder(spark, f"{name}-out"), folder(spark, f"{name}-offsets")
+    tx = v.transactions(spark, sf)
+    late = F.when(F.col("transaction_id") % 3 == 0, 12).otherwise(0) * F.expr("interval 1 hour")
+    days = F.datediff(F.col("created_at") + late, F.lit(dt.date(2024, 1, 1)))
+    for part in range(4):
+        low, high = (days >= 8 * part) if part else F.lit(True), (days < 8 * (part + 1)) if part < 3 else F.lit(True)
+        tx.where(low & high).coalesce(1).write.mode("append").parquet(source)
+    end = tx.limit(1).select(*[F.lit(dt.datetime(2100, 1, 1)).alias(c) if c == "created_at" else F.lit(-1).cast("long").alias(c) if c == "user_id" else c for c in tx.columns])
+    end.coalesce(1).write.mode("append").parquet(source)
+    with stateful.rocksdb(spark):
+        made = plan(spark.readStream.schema(tx.schema).option("maxFilesPerTrigger", 1).parquet(source))
+        run = made.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(made.schema).parquet(out)
+
+
+@query("select transaction_id, user_id, sum(case when transaction_type in ('deposit', 'win') then amount else -amount end) over (partition by user_id order by created_at, transaction_id rows unbounded preceding) as balance from tx", (v.TX,), "balance")
+def balances_stream(spark, sf):
+    return _folded(spark, sf, "balances", lambda df: stateful.balances(df, "2 days"))
+
+
+@query(""", b as (select transaction_id, user_id, created_at, lag(amount) over w as amount, lag(created_at) over w as prev from tx window w as (partition by user_id order by created_at, transaction_id))
+select transaction_id, user_id, case when epoch_us(created_at) // 1000 - epoch_us(prev) // 1000 <= 43200000 then amount end as last_amount, case when epoch_us(created_at) // 1000 - epoch_us(prev) // 1000 <= 43200000 then (epoch_us(created_at) // 1000 - epoch_us(prev) // 1000) / 1000.0::double end as age from b""", (v.TX,), "last_amount age")
+def last_features_stream(spark, sf):
+    return _folded(spark, sf, "last", lambda df: stateful.last_features(df, ["amount"], dt.timedelta(hours=12), "2 days"))
+
+
+_ALERTS = """, low as (select distinct channel as dimension, case when amount / 100 < 0.63 then 'critical' when amount / 100 < 0.765 then 'high' else 'medium' end as severity, created_at as ts from tx where amount / 100 < 0.9),
+nxt as (select *, min(ts) over (partition by dimension, severity order by ts range between interval 15 minutes following and unbounded following) as later from low)
+"""
+
+
+@query(f"select * from (with recursive {v.TX} {_ALERTS}, " + "a as (select dimension, severity, min(ts) as raised from low group by 1, 2 union all select n.dimension, n.severity, n.later from a join nxt n on n.dimension = a.dimension and n.severity = a.severity and n.ts = a.raised where n.later is not null) select dimension, severity, raised from a)")
+def alerts_stream(spark, sf):
+    metrics = lambda df: df.select(F.col("channel").alias("dimension"), F.col("created_at").alias("ts"), (F.col("amount") / 100).alias("score"))
+    return _folded(spark, sf, "alerts", lambda df: stateful.alerts(metrics(df), "2 days")).where("raised < timestamp '2099-01-01'").withColumn("raised", F.col("raised").cast("timestamp_ntz"))
+
+
+@query("select transaction_id, case when created_at <= timestamp '2024-01-10' then 0 when created_at <= timestamp '2024-01-20' then 1 else 2 end as run from tx", (v.TX,))
+def extract_increments(spark, sf):
+    """Three extractions from a table that grows, by a stored high-water mark; one sink fails and gets its rows again."""
+    tx, log, out = v.transactions(spark, sf), StateLog(spark, folder(spark, "marks")), folder(spark, "increments")
+
+    def fails(df):
+        raise OSError("sink")
+
+    for run, until in enumerate((dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 20), dt.datetime(2100, 1, 1))):
+        there = tx.where(F.col("created_at") <= F.lit(until))
+        if run == 1:
+            try:
+                files.extract_increment(there, "created_at", log, fails)
+            except OSError:
+                pass
+        files.extract_increment(there, "created_at", log, lambda df, run=run: df.select("transaction_id", F.lit(run).alias("run")).write.mode("append").parquet(out))
+    return spark.read.parquet(out)

@@ -19,7 +19,7 @@ def impute(spark, sf):
     return ops.impute(v.bets(spark, sf).select("event_id", "deposit_amount", F.when(F.col("event_id") % 7 != 0, F.col("game_type")).alias("kind")), ["deposit_amount", "kind"])
 
 
-@query(""", c as (select avg(bet_amount) x, avg(session_duration) y from bets), r as (select event_id, bet_amount, session_duration, avg(bet_amount) over w a, avg(session_duration) over w b from bets window w as (partition by user_id order by timestamp, event_id rows between 5 preceding and 5 following))
+@query(""", c as (select avg(bet_amount) x, avg(session_duration) y from bets), r as (select event_id, bet_amount, session_duration, avg(bet_amount) over w a, avg(session_duration) over w b from bets window w as (order by timestamp, event_id rows between 5 preceding and 5 following))
 select event_id, round(0.3 * sqrt(power(bet_amount - x, 2) + power(session_duration - y, 2)) + 0.7 * sqrt(power(bet_amount - a, 2) + power(session_duration - b, 2)), 6) as importance from r, c order by importance desc, event_id limit 50""", (v.BETS,), "importance")
 def importance_sample(spark, sf):
     return ops.importance_sample(v.bets(spark, sf), "event_id", "bet_amount", "session_duration", 50, "timestamp")
@@ -31,11 +31,11 @@ def timing(spark, sf):
     return ops.timing(v.bets(spark, sf))
 
 
-@query(""", m as (select channel, time_bucket(interval 6 hours, timestamp) as start, count(*) as requests, avg(case when interaction_type = 'support_ticket' then 1.0 else 0.0 end) as error_rate, avg(delay_hours / 20) as mean_latency from inter group by 1, 2)
-select *, case when error_rate > 0.05 then 'unhealthy' when mean_latency > 1 then 'degraded' when error_rate > 0.01 then 'warning' else 'healthy' end as status from m""", (v.INTER,), "error_rate mean_latency")
+@query(""", m as (select channel, time_bucket(interval 6 hours, timestamp) as start, count(*) as requests, avg(case when interaction_type = 'support_ticket' then 1.0 else 0.0 end) as error_rate, avg(delay_hours / 20) as mean_latency, avg(case when interaction_type <> 'support_ticket' and responded = 0 then 1.0 else 0.0 end) as ok from inter group by 1, 2)
+select * exclude (ok), case when error_rate > 0.05 then 'unhealthy' when mean_latency > 1 then 'degraded' when ok < 0.95 then 'warning' else 'healthy' end as status from m""", (v.INTER,), "error_rate mean_latency")
 def model_health(spark, sf):
     rows = v.interactions(spark, sf).withColumn("latency", F.col("delay_hours") / 20)
-    return ops.model_health(rows, "channel", "timestamp", "interaction_type = 'support_ticket'", "latency", 360).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return ops.model_health(rows, "channel", "timestamp", "interaction_type = 'support_ticket'", "latency", 360, "interaction_type <> 'support_ticket' and responded = 0").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query(""" with recursive e as (select c_custkey as feature, c_custkey // 2 as base from customer where c_custkey > 1), p as (select base, feature, 1 as depth from e union all select p.base, e.feature, depth + 1 from p join e on e.base = p.feature)

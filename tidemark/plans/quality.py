@@ -294,7 +294,13 @@ def quality_baseline(spark, sf):
     return q.quality_baseline(days, 10)
 
 
-@query()
+_ALERTS = f"""with recursive {v.TX}, low as (select distinct channel as dimension, case when amount / 100 < 0.63 then 'critical' when amount / 100 < 0.765 then 'high' else 'medium' end as severity, created_at as ts from tx where amount / 100 < 0.9),
+nxt as (select *, min(ts) over (partition by dimension, severity order by ts range between interval 15 minutes following and unbounded following) as later from low),
+a as (select dimension, severity, min(ts) as ts from low group by 1, 2 union all select n.dimension, n.severity, n.later from a join nxt n on n.dimension = a.dimension and n.severity = a.severity and n.ts = a.ts where n.later is not null)
+select dimension, severity, ts from a"""
+
+
+@query(_ALERTS)
 def quality_alerts(spark, sf):
     metrics = v.transactions(spark, sf).select(F.col("channel").alias("dimension"), F.col("created_at").alias("ts"), (F.col("amount") / 100).alias("score"))
-    return q.quality_alerts(metrics)
+    return q.quality_alerts(metrics).withColumn("ts", F.col("ts").cast("timestamp_ntz"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .shared import StateLog
+
 # What stands for null in CSV files, and known file endings.
 NULLS = ["", "NULL", "null", "None", "nan"]
 FORMATS = {"parquet": "parquet", "csv": "csv", "json": "json", "jsonl": "jsonl", "ndjson": "jsonl", "feather": "feather"}
@@ -95,6 +97,20 @@ def extract_incremental(df: DataFrame, ts: str, since: dt.datetime | None, as_of
     return df.where((F.col(ts) > F.lit(since or as_of - dt.timedelta(hours=24))) & (F.col(ts) <= F.lit(as_of)))
 
 
+def extract_increment(df: DataFrame, ts: str, log: StateLog, sink: Callable[[DataFrame], None], first: dt.datetime | None = None) -> int:
+    """Hands the rows after the log's high-water mark (after ``first``, or all, where there is none yet) to the sink, up to the
+    largest time that there is as it begins, and moves the mark once the sink is done: a failed sink gets them again.
+    Rows without a time are never extracted. Returns their number."""
+    entry = log.last()
+    since = dt.datetime.fromisoformat(entry[1]) if entry else first
+    new = df.where(F.col(ts) > F.lit(since)) if since is not None else df.where(F.col(ts).isNotNull())
+    one = new.agg(F.max(ts).alias("until"), F.count("*").alias("n")).first()
+    if one.n:
+        sink(new.where(F.col(ts) <= F.lit(one.until)))
+        log.put(entry[0] + 1 if entry else 0, one.until.isoformat())
+    return one.n
+
+
 def normalize_transactions(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """Renamed and coerced, without rows that lack user or amount, with parts of the time."""
     rows = df.withColumnsRenamed(mapping).withColumns({"amount": F.col("amount").try_cast("double"), "created_at": F.col("created_at").try_cast("timestamp")}).dropna(subset=["user_id", "amount"])

@@ -29,3 +29,33 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = folder(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class StateLog:
+    """Numbered small texts in a folder, as a handler's state after each batch: an entry is there whole or not at all, and one
+    that is there is never replaced."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _system(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def last(self) -> tuple[int, str] | None:
+        """The largest number and its text, or None."""
+        at, system = self._system(self.path)
+        names = [s.getPath().getName() for s in system.listStatus(at)] if system.exists(at) else []
+        numbers = [int(n) for n in names if n.isdigit()]
+        return (max(numbers), self.spark.read.schema("entry string").parquet(f"{self.path}/{max(numbers):012d}").first()[0]) if numbers else None
+
+    def put(self, number: int, entry: str, keep: int = 10) -> None:
+        """Adds an entry, and deletes those before the last ``keep``. Fails where the number is taken."""
+        staged = f"{self.path}/_{uuid.uuid4().hex}"
+        self.spark.createDataFrame([(entry,)], "entry string").coalesce(1).write.parquet(staged)
+        (source, system), (target, _) = self._system(staged), self._system(f"{self.path}/{number:012d}")
+        if system.exists(target) or not system.rename(source, target):
+            raise RuntimeError(f"entry {number} of {self.path} is taken")
+        old = sorted(int(n) for n in (s.getPath().getName() for s in system.listStatus(self._system(self.path)[0])) if n.isdigit())[:-keep]
+        for n in old:
+            system.delete(self._system(f"{self.path}/{n:012d}")[0], True)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import StateLog
+
 # Fields that messages of a topic need.
 REQUIRED = {
     "user-events": ["user_id", "event_type", "timestamp"],
@@ -97,25 +100,39 @@ def stream_metrics(progress: list[dict], spark: SparkSession) -> DataFrame:
 
 def enrich_stream(events: DataFrame, features: DataFrame, ts: str, ttl: str = "300 seconds") -> DataFrame:
     """Events with their user's stored features (user_id, updated_at, ...), a stream-static join: features that are older than
-    ``ttl`` at the event count as missing (null), and so do those of unknown users."""
+    ``ttl`` at the event, or younger than it, count as missing (null), and so do those of unknown users. For features that the
+    stream itself brings see ``stateful.last_features``."""
     names = [c for c in features.columns if c not in ("user_id", "updated_at")]
     f = features.select("user_id", F.col("updated_at").alias("_at"), *[F.col(c).alias(f"_{c}") for c in names])
     rows = events.join(f, "user_id", "left")
-    fresh = F.col("_at") >= F.col(ts) - F.expr(f"interval {ttl}")
+    fresh = (F.col("_at") >= F.col(ts) - F.expr(f"interval {ttl}")) & (F.col("_at") <= F.col(ts))
     return rows.select(*events.columns, *[F.when(fresh, F.col(f"_{c}")).alias(c) for c in names])
 
 
 class OnlineKMeans:
     """Centres that move with micro-batches: each batch is scaled by the running mean and spread of all batches so far, is
     assigned in Spark, and adds its sums to the centres' with ``decay`` for the past. Only k sums a batch come to the
-    driver. ``version`` goes up with every ``per_version`` batches. Used as a handler of ``process``."""
+    driver. ``version`` goes up with every ``per_version`` batches. Used as a handler of ``process``. With a ``log`` each
+    batch's state is stored under its number: a restarted stream goes on from there, and a batch that is handed over again
+    counts once."""
 
-    def __init__(self, k: int, columns: list[str], decay: float = 1.0, per_version: int = 100):
+    def __init__(self, k: int, columns: list[str], decay: float = 1.0, per_version: int = 100, log: StateLog | None = None):
         self.k, self.columns, self.decay, self.per_version = k, columns, decay, per_version
         self.n, self.mean, self.m2 = 0, [0.0] * len(columns), [0.0] * len(columns)
         self.centres: list[list[float]] = []
         self.weights: list[float] = []
         self.batches = 0
+        self.log = log
+        self._seen = self._restore()
+
+    def _restore(self) -> int:
+        """The state of the log's last batch, and its number (-1 without one)."""
+        entry = self.log.last() if self.log else None
+        if entry is None:
+            return -1
+        for name, value in json.loads(entry[1]).items():
+            setattr(self, name, value)
+        return entry[0]
 
     @property
     def version(self) -> int:
@@ -139,6 +156,14 @@ class OnlineKMeans:
         return rows.withColumn("confidence", F.greatest(F.lit(0.1), F.least(F.lit(1.0), 1 - spread))).drop("_d", "_g")
 
     def learn(self, df: DataFrame, batch: int = 0) -> None:
+        if self.log and batch <= self._seen:
+            return
+        self._learn(df)
+        if self.log:
+            self.log.put(batch, json.dumps({x: getattr(self, x) for x in ("n", "mean", "m2", "centres", "weights", "batches")}))
+            self._seen = batch
+
+    def _learn(self, df: DataFrame) -> None:
         rows = df.select(*self.columns).dropna()
         s = rows.agg(F.count("*").alias("n"), *[f(F.col(c).cast("double")).alias(f"{p}{i}") for i, c in enumerate(self.columns) for p, f in (("m", F.avg), ("v", F.var_pop))]).first()
         if not s.n:
