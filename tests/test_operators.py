@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
-from tidemark.operators import clustering, cleaning, profiles, quality, segments, similarity
+from tidemark.operators import cleaning, clustering, hierarchy, profiles, quality, segments, similarity
 from tidemark.sources import files, sinks
 from tidemark.streaming import ingest
 
@@ -102,7 +102,7 @@ def test_kmeans_and_k(spark):
 
 def test_dbscan_against_brute_force(spark):
     rows = _blobs(spark)
-    found = {r.id: (r.label, r.is_core) for r in clustering.dbscan(rows, "id", "features", 0.3, 4, 2).collect()}
+    found = {r.id: (r.label, r.is_core) for r in hierarchy.dbscan(rows, "id", "features", 0.3, 4, 2).collect()}
     ids, x = zip(*[(r.id, r.features) for r in rows.collect()], strict=True)
     x = np.array(x)
     near = ((x[:, None] - x[None]) ** 2).sum(-1) <= 0.3**2

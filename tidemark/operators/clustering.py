@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions.order import exact_quantiles, grouped_quantiles
 from ..functions.stats import one_row
-from ..sources.shared import written
 
 NOISE = -1
 
@@ -185,35 +184,6 @@ def cross_cluster(personas: DataFrame) -> DataFrame:
     return personas.crossJoin(t).agg((1 - F.stddev_samp("size") / F.avg("size")).alias("balance"), F.sum(F.pow(F.col("value") / F.col("_v"), 2)).alias("value_concentration"), F.sum(F.col("risk") * F.col("size") / F.col("_s")).alias("weighted_risk"))
 
 
-def dbscan(df: DataFrame, key: str, features: str, eps: float, min_samples: int, dimensions: int) -> DataFrame:
-    """(key, label, is_core): density clusters of low-dimensional vectors (reduce first). Points meet only points of
-    neighbouring cells of width eps; core points that are near each other share a component, border points join
-    that of their nearest core, the rest is noise. A label is the smallest core id of its component. Components spread
-    by smallest-label rounds with pointer jumps, each round a table in the shared folder."""
-    points = df.select(F.col(key).alias("id"), F.col(features).alias("v"), F.transform(F.col(features), lambda x: F.floor(x / eps)).alias("cell"))
-    around = "array(" + ", ".join("array(" + ", ".join(str(int(x)) for x in o) + ")" for o in _offsets(dimensions)) + ")"
-    near = points.select(F.col("id").alias("b"), F.col("v").alias("w"), F.explode(F.expr(f"transform({around}, o -> zip_with(cell, o, (x, y) -> x + y))")).alias("cell"))
-    pairs = points.join(near, "cell").select(F.col("id").alias("a"), "b", squared_distance(F.col("v"), F.col("w")).alias("d"))
-    pairs = written(pairs.where(F.col("d") <= eps * eps), "dbscan-pairs")
-    cores = written(pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select(F.col("a").alias("core")), "dbscan-cores")
-    edges = pairs.join(cores.withColumnRenamed("core", "a"), "a").join(cores.withColumnRenamed("core", "b"), "b").select("a", "b")
-    edges = written(edges, "dbscan-edges")
-    labels = written(edges.groupBy("a").agg(F.min("b").alias("l")), "dbscan-labels")
-    before = None
-    while True:
-        step = edges.join(labels.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("l").alias("l"))
-        jump = labels.select(F.col("a").alias("l"), F.col("l").alias("m"))
-        labels = written(step.join(jump, "l").select("a", F.least("l", "m").alias("l")), "dbscan-labels")
-        now = labels.agg(F.sum("l")).first()[0]
-        if now == before:
-            break
-        before = now
-    of_core = labels.select(F.col("a").alias("b"), "l")
-    border = pairs.join(of_core, "b").groupBy("a").agg(F.min_by("l", F.struct("d", "b")).alias("near")).withColumnRenamed("a", "id")
-    out = points.select("id").join(labels.withColumnRenamed("a", "id"), "id", "left").join(border, "id", "left")
-    return out.select(F.col("id").alias(key), F.coalesce("l", "near", F.lit(NOISE)).alias("label"), F.col("l").isNotNull().alias("is_core"))
-
-
 def _offsets(dimensions: int) -> list[tuple[int, ...]]:
     out: list[tuple[int, ...]] = [()]
     for _ in range(dimensions):

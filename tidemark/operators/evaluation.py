@@ -16,6 +16,7 @@ from pyspark.sql.types import DoubleType
 from ..functions.order import grouped_quantiles
 from ..functions.stats import EPSILON, one_row
 from . import clustering as c
+from . import hierarchy
 
 
 def kmeans_large(df: DataFrame, ks: range, features: str = "features", sample: int = 5000, seed: int = 42) -> tuple[int, DataFrame]:
@@ -412,7 +413,7 @@ def dbscan_grid(df: DataFrame, key: str, features: str, dimensions: int, eps: li
     out = []
     for e in eps:
         for m in min_samples:
-            found = c.dbscan(df, key, features, e, m, dimensions).join(df.select(key, features), key)
+            found = hierarchy.dbscan(df, key, features, e, m, dimensions).join(df.select(key, features), key)
             one = found.agg(F.countDistinct(F.when(F.col("label") != c.NOISE, F.col("label"))).alias("k"), F.avg((F.col("label") == c.NOISE).cast("double")).alias("noise")).first()
             score = None
             if one.k >= 2:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.significance import p_value_f
 from ..operators import clustering as c
 from ..operators import evaluation as ops
+from ..operators import hierarchy
 from ..sources.shared import written
 from . import views as v
 from .models import _COLUMNS, _LABELLED, _labelled, _matrix
@@ -43,7 +44,7 @@ def bootstrap_stability(spark, sf):
 def dbscan_predict(spark, sf):
     rows = written(_matrix(spark, sf), "dbscan-rows")
     known, new = rows.where("user_id % 5 <> 0"), rows.where("user_id % 5 = 0")
-    found = c.dbscan(known, "user_id", "features", 0.9, 4, 3).where("is_core").join(known, "user_id")
+    found = hierarchy.dbscan(known, "user_id", "features", 0.9, 4, 3).where("is_core").join(known, "user_id")
     return ops.dbscan_predict(new, found, "user_id", "features", 0.9, 3)
 
 

@@ -115,7 +115,7 @@ def project_2d(spark, sf):
 
 @query()
 def dbscan(spark, sf):
-    return c.dbscan(_matrix(spark, sf), "user_id", "features", 0.9, 4, 3)
+    return hierarchy.dbscan(_matrix(spark, sf), "user_id", "features", 0.9, 4, 3)
 
 
 @query(""", l as (select user_id, cast(user_id % 4 as int) a, cast(user_id % 4 as int) b, cast(user_id % 3 as int) x from bets group by user_id), t as (select x, a, count(*) n from l group by 1, 2), m as (select x, a as y, row_number() over (partition by x order by n desc, a) k from t),
@@ -437,3 +437,8 @@ def indexed_search(spark, sf):
     index = vector_index.VectorIndex.build(vectors.where("vec_id % 10 < 8"), folder(spark, "index"), buckets=16)
     index = index.upsert(vectors.where("vec_id % 10 >= 7"), batch=0).delete(vectors.where("vec_id % 13 = 0").select("vec_id"), batch=1)
     return index.search(vectors.where("vec_id % 100 = 0"), 10, index.probes_for(10))
+
+
+@query()
+def outlier_scores(spark, sf):
+    return hierarchy.outlier_scores(_matrix(spark, sf), "user_id", "features", 0.9, 4, 3)
