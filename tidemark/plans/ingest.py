@@ -416,7 +416,7 @@ def _folded(spark, sf, name: str, plan):
     for part in range(4):
         low, high = (days >= 8 * part) if part else F.lit(True), (days < 8 * (part + 1)) if part < 3 else F.lit(True)
         tx.where(low & high).coalesce(1).write.mode("append").parquet(source)
-    end = tx.limit(1).select(*[F.lit(dt.datetime(2100, 1, 1)).alias(c) if c == "created_at" else F.lit(-1).cast("long").alias(c) if c == "user_id" else c for c in tx.columns])
+    end = tx.limit(1).select(*[F.lit(dt.datetime(2100, 1, 1)).alias(c) if c == "created_at" else F.lit(-1).cast("long").alias(c) if c == "user_id" else F.lit(0.0).alias(c) if c == "amount" else c for c in tx.columns])
     end.coalesce(1).write.mode("append").parquet(source)
     with stateful.rocksdb(spark):
         made = plan(spark.readStream.schema(tx.schema).option("maxFilesPerTrigger", 1).parquet(source))

@@ -14,7 +14,7 @@ def rate_by(spark, sf):
     return ops.rate_by(v.transactions(spark, sf), "channel", "created_at", "status = 'failed'").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query(", g as (select *, case when event_id % 7 <> 0 then game_type end as kind from bets) select event_id, coalesce(deposit_amount, (select quantile_disc(deposit_amount, 0.5) from bets)) as deposit_amount, coalesce(kind, (select kind from g where kind is not null group by kind order by count(*) desc, kind limit 1)) as kind from g", (v.BETS,), "deposit_amount")
+@query(", g as (select *, case when event_id % 7 <> 0 then game_type end as kind from bets) select event_id, coalesce(deposit_amount, (select median(deposit_amount) from bets)) as deposit_amount, coalesce(kind, (select kind from g where kind is not null group by kind order by count(*) desc, kind limit 1)) as kind from g", (v.BETS,), "deposit_amount")
 def impute(spark, sf):
     return ops.impute(v.bets(spark, sf).select("event_id", "deposit_amount", F.when(F.col("event_id") % 7 != 0, F.col("game_type")).alias("kind")), ["deposit_amount", "kind"])
 

@@ -144,7 +144,8 @@ def last_features(df: DataFrame, features: list[str], ttl: dt.timedelta, delay:
 
 def alerts(df: DataFrame, delay: str, threshold: float = 0.9, cooldown: dt.timedelta = dt.timedelta(minutes=15), dimension: str = "dimension", ts: str = "ts", score: str = "score") -> DataFrame:
     """(dimension, severity, raised): alerts of metrics below the threshold, critical below 0.7 and high below 0.85 of it; of one
-    dimension and severity an alert silences those of the next minutes. The same as ``quality_alerts`` on a table."""
+    dimension and severity an alert silences those of the next minutes. The same as ``quality_alerts`` on a table. Metrics that
+    are not below the threshold do not move the watermark."""
     low = df.where(F.col(score) < threshold).withColumn("severity", F.when(F.col(score) < 0.7 * threshold, "critical").when(F.col(score) < 0.85 * threshold, "high").otherwise("medium"))
     wait = int(cooldown.total_seconds() * 1000)
 
