@@ -24,7 +24,7 @@ def _bag(df):
 
 @pytest.mark.parametrize("apply", [
     lambda d: jaccard.components(d), lambda d: suffix.dedup_bytes(d, length=90, gram=16).drop("kept"), lambda d: lines.LineIndex.build(d).apply(d),
-    lambda d: decontam.report(decontam.contamination(d, d.where("doc_id = 300").select(F.col("doc_id").alias("item_id"), "text"))),
+    lambda d: decontam.report(d, d.where("doc_id = 300").select(F.col("doc_id").alias("item_id"), "text")),
     lambda d: langid.LanguageModel.fit(d.where("doc_id % 4 <> 2")).predict(d).select("doc_id", "lang_pred", F.round("score", 6)),
     lambda d: packing.pack_documents(d, tokenizer_path()).groupBy("doc_id").agg(F.sum("length")), lambda d: spans.dedup_spans(d).agg(F.sum("n_sentences"))])
 def test_other_columns_change_nothing(docs, clashing, apply):

@@ -384,14 +384,27 @@ def _contamination(corpus, items, width):
         yield d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("set_bytes", [1 << 20, 0])
+@pytest.mark.parametrize("set_rows", [1 << 21, 40])
 @pytest.mark.parametrize("width", [10, 3])
-def test_contamination_against_brute_force(docs, corpus, benchmark, set_bytes, width):
+def test_contamination_against_brute_force(docs, corpus, benchmark, set_rows, width):
     items = [(r.item_id, r.text) for r in benchmark.collect()]
-    found = decontam.report(decontam.contamination(docs, benchmark, width, set_bytes))
+    found = decontam.report(docs, benchmark, width, set_rows)
     assert _bag(found.collect()) == _bag(_contamination(corpus, items, width))
 
 
+def test_large_benchmark_with_a_shared_window(spark):
+    prompt = " ".join(f"read{k}" for k in range(11))
+    texts = [(i, f"{prompt} " + " ".join(f"w{(i * 7919 + k * k * 31) % 50_000}" for k in range(100))) for i in range(2000)]
+    body = dict(texts)
+    corpus = [(0, prompt), (1, "so " + prompt + " and on"), (2, " ".join(body[5].split()[20:45])), (3, None), (4, body[7] + " x " + body[8]), (5, "w1 w2 w3"), (6, " ".join(body[9].split()[50:59]))]
+    docs, items = spark.createDataFrame(corpus, "doc_id long, text string"), spark.createDataFrame(texts, "item_id long, text string")
+    assert decontam.benchmark_windows(items, 10).select("gram").distinct().count() > 190_000
+    found = decontam.report(docs, items, set_rows=80_000)
+    assert _bag(found.collect()) == _bag(_contamination(corpus, texts, 10))
+    whole = {r.doc_id: r["items"] for r in decontam.contamination(docs, items).collect()}
+    assert len(whole[0]) == len(whole[1]) == 2000 and whole[2] == ["5"] and whole[6] == []
+
+
 def test_decontaminate(docs, benchmark, nothing):
     clean = decontam.decontaminate(docs, benchmark)
     assert clean.columns == docs.columns and 0 < clean.count() < docs.count()
@@ -400,7 +413,7 @@ def test_decontaminate(docs, benchmark, nothing):
     assert decontam.decontaminate(clash, benchmark, mode="spans").columns == clash.columns
     cut = decontam.decontaminate(docs, benchmark, mode="spans")
     assert cut.columns == docs.columns and cut.count() == docs.count()
-    left = decontam.report(decontam.contamination(cut, benchmark.where("item_id < 3")))
+    left = decontam.report(cut, benchmark.where("item_id < 3"))
     assert left.where("contaminated").count() == 0
     assert decontam.decontaminate(docs, nothing.selectExpr("doc_id as item_id", "text")).count() == docs.count()
     assert decontam.decontaminate(nothing, benchmark).count() == 0

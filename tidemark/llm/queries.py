@@ -55,7 +55,7 @@ def op8_bitmap_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.report(decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op10_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
