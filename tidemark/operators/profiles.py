@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.order import exact_quantiles
+from ..functions.spectrum import spectral_peaks
 from ..functions.stats import coefficient_of_variation, entropy, ratio, share, shares
 
 # Tiers by mean bet.
@@ -232,6 +233,15 @@ def activity_cycles(df: DataFrame) -> DataFrame:
         F.when(many, part(F.col("gap") < 2)).alias("burst_share"), F.when(many, part(F.col("gap") > 168)).alias("long_break_share"))
 
 
+def cycle_regularity(df: DataFrame, **options) -> DataFrame:
+    """(user_id, n_gaps, cycle_regularity): peaks of the spectrum of a user's gaps between sessions, of at least 0.3 of its mean, over
+    the places that a peak can have; 0.5 for fewer than 8 gaps, null for fewer than 3. A user of any length is many tasks' work."""
+    gaps = df.select("user_id", "timestamp", "event_id", ((F.col("timestamp").cast("double") - F.lag(F.col("timestamp").cast("double")).over(_order())) / 3600).alias("gap"))
+    found = spectral_peaks(gaps, "user_id", "gap", "timestamp", "event_id", **options)
+    regular = F.when(F.col("n") >= 8, F.col("peaks") / (F.floor(F.col("n") / 2) - 1)).when(F.col("n") > 2, 0.5)
+    return found.select("user_id", F.col("n").alias("n_gaps"), regular.alias("cycle_regularity"))
+
+
 def daily_span(df: DataFrame) -> DataFrame:
     """Means over a user's days of the hours between first and last row, and shares of days that begin by 8 or end from 22."""
     days = df.groupBy("user_id", F.to_date("timestamp").alias("day")).agg(F.min(F.hour("timestamp")).alias("a"), F.max(F.hour("timestamp")).alias("b"))

@@ -136,6 +136,17 @@ def activity_cycles(spark, sf):
     return ops.activity_cycles(v.bets(spark, sf))
 
 
+@query(f""", r as (select user_id, event_id, timestamp, (epoch(timestamp) - epoch(lag(timestamp) {_W})) / 3600 as gap from bets),
+g as (select user_id, gap, row_number() {_W} - 1 as i, count(*) over (partition by user_id) as n from r where gap is not null),
+f as (select user_id, n, k, sqrt(power(sum(gap * cos(2 * pi() * ((i * k) % n) / n)), 2) + power(sum(gap * sin(2 * pi() * ((i * k) % n) / n)), 2)) as m from g, (select unnest(range((select max(n) from g))) as k) where k < n group by 1, 2, 3),
+c as (select *, round(m / avg(m) over (partition by user_id), 9) as s from f),
+p as (select *, lag(s) over w as a, lead(s) over w as b from c where k >= 1 and k < n // 2 window w as (partition by user_id order by k)),
+t as (select user_id, count(*) filter (where s > a and s > b and s >= 0.3) as peaks from p group by 1), u as (select distinct user_id, n from g)
+select user_id, n as n_gaps, case when n >= 8 then coalesce(peaks, 0) / (n // 2 - 1) when n > 2 then 0.5::double end as cycle_regularity from u left join t using (user_id)""", (v.BETS,), "cycle_regularity")
+def cycle_regularity(spark, sf):
+    return ops.cycle_regularity(v.bets(spark, sf))
+
+
 @query(""", d as (select user_id, cast(timestamp as date) x, min(hour(timestamp)) a, max(hour(timestamp)) b from bets group by 1, 2)
 select user_id, avg(b - a) as avg_daily_span, avg(case when a <= 8 then 1.0 else 0.0 end) as early_share, avg(case when b >= 22 then 1.0 else 0.0 end) as late_share from d group by user_id""", (v.BETS,), "avg_daily_span early_share late_share")
 def daily_span(spark, sf):
