@@ -191,3 +191,22 @@ def test_feature_registry_orders_and_refuses(spark):
     for names, error in ((["d"], "circle"), (["nothing"], "unknown")):
         with pytest.raises(ValueError, match=error):
             f.compute(spark.range(1), names)
+
+
+def test_service_rules(spark):
+    from datetime import datetime as at
+
+    requests = spark.createDataFrame([(at(2024, 1, 1, 0, 5), 1.0, 200, False), (at(2024, 1, 1, 0, 6), 3.0, 500, None), (at(2024, 1, 1, 2, 0), None, None, True), (at(2024, 1, 1, 2, 9), 0.5, 401, True), (None, 9.0, 500, True)], "ts timestamp, s double, code int, login boolean")
+    found = {(r.metric, r["at"].hour): r.value for r in alerts.request_metrics(requests, "ts", "s", "code", "login").collect()}
+    assert found == pytest.approx({("latency_p99", 0): 2.98, ("availability", 0): 0.5, ("throughput", 0): 2 / 3600, ("failed_logins", 0): 0, ("throughput", 1): 0, ("failed_logins", 1): 0,
+                                   ("latency_p99", 2): 0.5, ("availability", 2): 0.5, ("throughput", 2): 2 / 3600, ("failed_logins", 2): 1 / 3600})
+    cases = spark.createDataFrame([(at(2024, 1, 1, 0), at(2024, 1, 1, 2)), (at(2024, 1, 1, 0), None), (None, at(2024, 1, 1, 1)), (at(2024, 1, 1, 3), at(2024, 1, 1, 3))], "a timestamp, b timestamp")
+    assert [r.value for r in alerts.pending_metrics(cases, "a", "b").orderBy("at").collect()] == [2, 2, 1, 1]
+    stale = alerts.staleness_metrics(cases.where("a is not null"), "a", until=F.lit(dt.datetime(2024, 1, 2, 5))).orderBy("at").collect()
+    assert [r.value for r in stale][:5] == [1, 2, 3, 1, 2] and len(stale) == 30 and stale[-1].value == 27
+    sends = alerts.send_metrics(cases, "a", "b is not null", "b is null")
+    assert sorted((r.metric, r["at"].hour, r.value) for r in sends.collect()) == [("delivery_failure_rate", 0, 0.5), ("delivery_failure_rate", 3, 0.0), ("engagement_rate", 0, 0.5), ("engagement_rate", 3, 1.0)]
+    every = stale and alerts.business_alerts(alerts.staleness_metrics(cases, "a", until=F.lit(dt.datetime(2024, 1, 2, 5))), alerts.SERVICE_RULES, "at")
+    assert [(r.rule, r.value) for r in every.orderBy("at").collect()] == [("stale_pipeline", float(x)) for x in (25, 26, 27)]
+    for f in (lambda d: alerts.request_metrics(d, "a", "1", "200", "true"), lambda d: alerts.pending_metrics(d, "a", "b"), lambda d: alerts.staleness_metrics(d, "a", until=F.lit(dt.datetime(2024, 1, 1)))):
+        assert f(cases.where("false")).count() == 0

@@ -57,3 +57,39 @@ select count(*) as total_alerts, count(*) filter (where severity = 'critical') a
 def drift_summary(spark, sf):
     rows = v.transactions(spark, sf).select(F.col("created_at").alias("detected_at"), F.when(F.col("amount") > 150, "critical").when(F.col("amount") > 80, "warning").otherwise("info").alias("severity"), (F.col("amount") / 1000).alias("drift_score"), F.array("game_type", "device").alias("affected_features"))
     return ops.drift_summary(rows, F.lit(dt.datetime(2024, 1, 20))).withColumn("most_affected_features", F.array_join("most_affected_features", ","))
+
+
+# what the stored tables have fewer of than a live service
+_BOUNDS = {"failed_logins": 0.0005, "stale_pipeline": 3.0, "sla_throughput": 0.003, "campaign_engagement": 0.4, "campaign_delivery": 0.3}
+_SERVICE = [(r, m, k, _BOUNDS.get(r, x), n, s) for r, m, k, x, n, s in ops.SERVICE_RULES]
+_CODE = "case when interaction_type = 'support_ticket' and engagement_score > 0.9 then 503 when interaction_type = 'reactive' and engagement_score < 0.3 then 401 else 200 end"
+_SERVICES = f""", rq as (select time_bucket(interval 1 hour, timestamp) as start, delay_hours / 20 as latency, {_CODE} as code, channel = 'phone' as login from inter),
+rp as (select start, count(*) as n, avg(case when code < 500 then 1.0 else 0.0 end) as availability, count(*) filter (where login and code between 400 and 499) as f, quantile_cont(latency, 0.99) as latency_p99 from rq group by 1),
+rg as (select unnest(generate_series(min(start), max(start), interval 1 hour)) as start from rp), rw as (select start, availability, latency_p99, coalesce(n / 3600, 0) as throughput, coalesce(f / 3600, 0) as failed_logins from rg left join rp using (start)),
+sd as (select sent_at::timestamp as start, avg(case when opened_at is not null then 1.0 else 0.0 end) as engagement_rate, avg(case when opened_at is null and conversion_value < 30000 then 1.0 else 0.0 end) as delivery_failure_rate from results group by 1),
+pc as (select start, sum(d) as d from (select sent_at::timestamp as start, 1 as d from results union all select converted_at::timestamp, -1 from results where converted_at is not null) group by 1),
+pg as (select unnest(generate_series(min(start), max(start), interval 1 day)) as start from pc), pw as (select start, sum(coalesce(d, 0)) over (order by start) as pending from pg left join pc using (start)),
+up as (select time_bucket(interval 1 hour, created_at) as start, max(created_at) as u from tx where status = 'failed' group by 1), ug as (select unnest(generate_series(min(start), max(start), interval 1 hour)) as start from up),
+uw as (select start, (epoch(start) - epoch(max(u) over (order by start))) / 3600 + 1 as hours_since_update from ug left join up using (start)),
+me as (select 'latency_p99' as metric, start, latency_p99::double as value from rw where latency_p99 is not null union all select 'availability', start, availability::double from rw where availability is not null union all select 'throughput', start, throughput::double from rw union all select 'failed_logins', start, failed_logins::double from rw
+union all select 'engagement_rate', start, engagement_rate::double from sd union all select 'delivery_failure_rate', start, delivery_failure_rate::double from sd union all select 'pending', start, pending::double from pw union all select 'hours_since_update', start, hours_since_update::double from uw)"""
+_SERVICE_FIRED = " union all ".join(f"select '{r}' as rule, start, value, null::double as baseline, '{s}' as severity from me where metric = '{m}' and value {'>' if k == 'over' else '<'} {x}" for r, m, k, x, _, s in _SERVICE)
+
+
+def _services(spark, sf):
+    sends = v.campaign_results(spark, sf)
+    parts = [ops.request_metrics(v.interactions(spark, sf), "timestamp", "delay_hours / 20", _CODE, "channel = 'phone'"),
+             ops.send_metrics(sends, "sent_at", "opened_at is not null", "opened_at is null and conversion_value < 30000", 24),
+             ops.pending_metrics(sends, "sent_at", "converted_at", 24),
+             ops.staleness_metrics(v.transactions(spark, sf).where("status = 'failed'"), "created_at")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query(_SERVICES + " select * from me", (v.INTER, v.RESULTS, v.TX), "value")
+def service_metrics(spark, sf):
+    return _services(spark, sf).select("metric", F.col("at").cast("timestamp_ntz").alias("start"), "value")
+
+
+@query(_SERVICES + " " + _SERVICE_FIRED, (v.INTER, v.RESULTS, v.TX), "value")
+def service_alerts(spark, sf):
+    return ops.business_alerts(_services(spark, sf), _SERVICE, "at").withColumn("at", F.col("at").cast("timestamp_ntz")).withColumnRenamed("at", "start")
