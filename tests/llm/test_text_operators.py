@@ -297,6 +297,24 @@ def test_many_tiny_documents_need_no_padding(spark):
     assert sum(sizes) == 100_000 and sum(4096 - n for n in sizes if n & (n - 1)) == 0
 
 
+def test_each_limit_of_packing_binds(docs):
+    def packed(**options):
+        found = packing.pack_documents(docs.where("text is not null").repartition(2, "doc_id"), tokenizer_path(), max_tokens=256, prompt_share=0.25, **options).collect()
+        of = collections.defaultdict(list)
+        for r in found:
+            of[r.sequence_id].append(r)
+        sizes = {k: sum(r.length for r in rows) for k, rows in of.items()}
+        assert all(n & (n - 1) == 0 for n in sizes.values())  # full, or a power of two: nothing is padded
+        return max(map(len, of.values())), max(sum(r.loss_tokens for r in rows) for rows in of.values()), sum(sizes.values())
+
+    segments, loss, tokens = packed(max_segments=4, max_loss=208)
+    assert segments <= 4 and loss <= 208
+    free_segments, loss, same = packed(max_segments=256, max_loss=208)
+    assert free_segments > 4 and loss <= 208 and same == tokens
+    segments, free_loss, same = packed(max_segments=4)
+    assert segments <= 4 and free_loss > 208 and same == tokens
+
+
 def test_packing_of_nothing(nothing):
     assert packing.pack_documents(nothing, tokenizer_path()).count() == 0
 

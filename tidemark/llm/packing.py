@@ -120,6 +120,7 @@ class Packer:
         self.next = first_sequence
         self.items: list[tuple] = []  # (key, start, loss-bearing tokens before each place or None: all bear loss)
         self.sizes = np.empty((0, 3), np.int64)
+        self.leads = np.empty(0, np.int64)  # tokens without loss at an item's start
         self.open: list[tuple] = []  # (key, start, length, loss sums)
         self.room = self.limits.copy()
 
@@ -136,6 +137,15 @@ class Packer:
             return int(min(n, room[2]))
         return int(min(n, np.searchsorted(sums, sums[start] + room[2], "right") - 1 - start))
 
+    def _keep(self, key, start: int, n: int, sums) -> None:
+        self.items.append((key, start, sums))
+        self.sizes = np.vstack([self.sizes, [[n, 1, self._loss(sums, start, n)]]])
+        self.leads = np.append(self.leads, self._lead(sums, start, n))
+
+    @staticmethod
+    def _lead(sums, start: int, n: int) -> int:
+        return 0 if sums is None else int(min(n, np.searchsorted(sums, sums[start], "right") - 1 - start))
+
     def _placed(self, pieces: list[tuple]) -> Iterator[tuple]:
         offset = 0
         for key, start, length, sums in pieces:
@@ -148,11 +158,10 @@ class Packer:
         start = 0
         while start < n:
             take = self._longest(sums, start, n - start, self.limits)
-            if start + take < n or take == self.limits[0]:
+            if take == self.limits[0]:
                 yield from self._placed([(key, start, take, sums)])
             else:
-                self.items.append((key, start, sums))
-                self.sizes = np.vstack([self.sizes, [[take, 1, self._loss(sums, start, take)]]])
+                self._keep(key, start, take, sums)
             start += take
         while len(self.items) > self.pool:
             yield from self._step()
@@ -166,7 +175,8 @@ class Packer:
             k = int(np.where(fits, score, -1.0).argmax())
             take = int(self.sizes[k, 0])
         else:
-            k = int(self.sizes[:, 0].argmax())
+            begun = np.minimum(np.minimum(self.sizes[:, 0], self.room[0]), self.leads + self.room[2])  # of each the start that fits
+            k = int(np.lexsort((-self.sizes[:, 0], -begun))[0])
             take = self._longest(self.items[k][2], self.items[k][1], int(self.sizes[k, 0]), self.room)
         if take:
             key, start, sums = self.items[k]
@@ -176,14 +186,30 @@ class Packer:
             if take < self.sizes[k, 0]:
                 self.items[k] = (key, start + take, sums)
                 self.sizes[k] -= [take, 0, loss]
+                self.leads[k] = self._lead(sums, start + take, int(self.sizes[k, 0]))
             else:
                 self.items[k] = self.items[-1]
                 self.sizes[k] = self.sizes[-1]
                 self.items.pop()
                 self.sizes = self.sizes[:-1]
+                self.leads[k] = self.leads[-1]
+                self.leads = self.leads[:-1]
         if not take or self.room[0] == 0 or self.room[1] == 0:
-            yield from self._placed(self.open)
-            self.open, self.room = [], self.limits.copy()
+            pieces, self.open, self.room = self.open, [], self.limits.copy()
+            yield from self._closed(pieces)
+
+    def _closed(self, pieces: list[tuple]) -> Iterator[tuple]:
+        """A sequence that is full; of one that a limit has closed before, what fills a power of two. The rest goes back."""
+        left = sum(p[2] for p in pieces)
+        left = left if left == self.limits[0] else 1 << (left.bit_length() - 1)
+        full = []
+        for key, start, length, sums in pieces:
+            if take := min(length, left):
+                full.append((key, start, take, sums))
+            if take < length:
+                self._keep(key, start + take, length - take, sums)
+            left -= take
+        yield from self._placed(full)
 
     def finish(self) -> Iterator[tuple]:
         """The rest. What the last sequence holds is cut into parts of power-of-two lengths, without padding."""

@@ -30,7 +30,8 @@ def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), max_segments=4096)
+    """Of each document the first quarter of its tokens counts as a prompt, without loss."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), max_segments=16, max_loss=3328, prompt_share=0.25)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
