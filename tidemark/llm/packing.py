@@ -111,14 +111,14 @@ def tokenizer_of(path: str) -> WordTokenizer:
 
 
 class Packer:
-    """Packs items (key, number of tokens, loss mask or None) into sequences; yields pieces
+    """Packs items (key, number of tokens, loss mask, first place with loss, or None) into sequences; yields pieces
     (key, start, length, loss, sequence, offset). Holds at most ``pool`` items and one open sequence."""
 
     def __init__(self, max_tokens: int, max_segments: int, max_loss: int, pool: int, first_sequence: int = 0):
         self.limits = np.array([max_tokens, max_segments, max_loss], np.int64)
         self.pool = pool
         self.next = first_sequence
-        self.items: list[tuple] = []  # (key, start, loss-bearing tokens before each place or None: all bear loss)
+        self.items: list[tuple] = []  # (key, start, loss-bearing tokens before each place, or where loss begins, or None: all bear loss)
         self.sizes = np.empty((0, 3), np.int64)
         self.leads = np.empty(0, np.int64)  # tokens without loss at an item's start
         self.open: list[tuple] = []  # (key, start, length, loss sums)
@@ -126,6 +126,8 @@ class Packer:
 
     @staticmethod
     def _loss(sums, start: int, length: int) -> int:
+        if isinstance(sums, int):
+            return max(0, start + length - max(start, sums))
         return length if sums is None else int(sums[start + length] - sums[start])
 
     def _longest(self, sums, start: int, n: int, room: np.ndarray) -> int:
@@ -135,6 +137,8 @@ class Packer:
             return 0
         if sums is None:
             return int(min(n, room[2]))
+        if isinstance(sums, int):
+            return int(min(n, max(0, sums - start) + room[2]))
         return int(min(n, np.searchsorted(sums, sums[start] + room[2], "right") - 1 - start))
 
     def _keep(self, key, start: int, n: int, sums) -> None:
@@ -144,6 +148,8 @@ class Packer:
 
     @staticmethod
     def _lead(sums, start: int, n: int) -> int:
+        if isinstance(sums, int):
+            return max(0, min(n, sums - start))
         return 0 if sums is None else int(min(n, np.searchsorted(sums, sums[start], "right") - 1 - start))
 
     def _placed(self, pieces: list[tuple]) -> Iterator[tuple]:
@@ -153,8 +159,9 @@ class Packer:
             offset += length
         self.next += 1
 
-    def add(self, key, n: int, loss: np.ndarray | None = None) -> Iterator[tuple]:
-        sums = None if loss is None else np.concatenate(([0], np.cumsum(loss))).astype(np.int64)
+    def add(self, key, n: int, loss: np.ndarray | int | None = None) -> Iterator[tuple]:
+        """``loss``: which tokens bear it, or the place from which on all do; null: all."""
+        sums = loss if loss is None or isinstance(loss, int) else np.concatenate(([0], np.cumsum(loss))).astype(np.int64)
         start = 0
         while start < n:
             take = self._longest(sums, start, n - start, self.limits)
@@ -260,7 +267,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, max_tokens: int = 4096,
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = np.append(tokenizer.ids(t.as_py() or ""), np.uint32(end_id)).astype("<u4")
                 ids_of[number] = (d, ids, len(ids))
-                loss = None if not prompt_share else (np.arange(len(ids)) >= int(prompt_share * len(ids))).astype(np.int8)
+                loss = None if not prompt_share else int(prompt_share * len(ids))
                 for piece in packer.add(number, len(ids), loss):
                     row(piece)
                 number += 1
