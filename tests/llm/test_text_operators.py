@@ -94,6 +94,31 @@ def test_components_of_a_chain_and_of_nothing(spark, nothing):
     assert all(found[i] == 0 for i in range(1, 61)) and found[101] == 100
     assert jaccard.components(nothing).count() == 0
 
+@pytest.mark.parametrize("own", [60, 100])
+def test_texts_in_one_frame_make_no_pairs(spark, tmp_path, monkeypatch, own):
+    """A family whose texts share most words, but less than the threshold: its tiles must not compare all with all."""
+    frame, pair = " ".join(f"frame{k}" for k in range(240)), " ".join(f"pair{k}" for k in range(240))
+    rows = [(k, f"{frame} " + " ".join(f"own{k}x{j}" for j in range(own + k % 3))) for k in range(400)]
+    rows += [(1000, pair), (1001, f"{pair} more"), (1002, pair + " " + " ".join(f"own{j}" for j in range(60)))]
+    path = str(tmp_path / "family.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(path)
+    met = []
+    tile_pairs = jaccard._tile_pairs
+
+    def counted(mixed, percent):
+        with monkeypatch.context() as m:
+            m.setattr(jaccard, "_reach", lambda percent, x, y: "true")  # all that meet, before places are compared
+            met.append(tile_pairs(mixed, percent).count())
+        return tile_pairs(mixed, percent)
+
+    monkeypatch.setattr(jaccard, "_tile_pairs", counted)
+    found = {r.doc_id: r.component_id for r in jaccard.components(spark.read.parquet(path)).collect()}
+    sets = {d: set(zip(*[t.split()[k:] for k in range(5)])) for d, t in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert 0.5 < alike(0, 3) < 0.75 and alike(1000, 1002) >= 0.75
+    assert found == {d: 1000 if d >= 1000 else d for d, _ in rows}
+    assert met and met[0] <= 3 + len(rows)
+
 
 # --- line filters ------------------------------------------------------------------------------------------
 

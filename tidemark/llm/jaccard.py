@@ -273,10 +273,12 @@ def _leader_pairs(mixed: DataFrame, turn: int, percent: int) -> DataFrame:
 
 def _tile_pairs(mixed: DataFrame, percent: int) -> DataFrame:
     """(a, b), distinct: nodes of different components that share a prefix shingle and whose sizes and places in the order
-    allow a link. The larger of a pair looks up the smaller in the tile of the shingle and of the larger one's band."""
+    allow a link. The larger of a pair looks up the smaller in the tile of the shingle and of the larger one's band. A node
+    is the smaller one only where its place allows a link with a set of its own size, so a tile in which no node's place
+    does (the frame of texts that are alike by less than the threshold) makes no pair at all."""
     rows = mixed.withColumn("band", _band("n", percent))
     large = rows.select("shingle", "band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("group").alias("gb"), F.col("at").alias("atb"))
-    small = rows.select("shingle", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("group").alias("ga"), F.col("at").alias("ata"))
+    small = rows.where(f"{100 + percent} * (n - at) >= {2 * percent} * n").select("shingle", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("group").alias("ga"), F.col("at").alias("ata"))
     pairs = large.join(small, ["shingle", "band"]).where(f"ga <> gb and 100 * na >= {percent} * nb and (na < nb or na = nb and a < b) and {_reach(percent, 'a', 'b')}")
     return pairs.select("a", "b").distinct()
 
