@@ -109,6 +109,61 @@ def test_archive_round_trip(spark, tmp_path):
     body = b"".join((tmp_path / "out" / r.path.rsplit("/", 1)[1]).read_bytes() for r in files)
     assert body.count(b"WARC/1.1\r\n") == len(pages) and ("é" * 1000).encode() in body
     assert warc.read_archive(warc.write_archive(df.limit(0))).count() == 0
+    again = warc.read_archive(warc.read_files(spark, str(tmp_path / "out"), chunk_bytes=700))
+    assert collections.Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.intact) for r in again.collect()) == want
+    assert {r.url for r in again.where("page_id in (3, 7)").collect()} == {"about:blank", "a%0D%0Ab"}
+
+
+def test_files_are_valid_records(spark, tmp_path):
+    """Files read by a parser of their own: each record as the format wants it, HTTP responses as http.client reads them."""
+    import email.parser
+    import gzip
+    import http.client
+    import io
+    import re
+
+    pages = [(k, f"http://h/{k}?é", ("x" * k, None, "same\r\n\r\nbody")[k % 3]) for k in range(40)] + [(1, "http://h/1", ""), (None, "", "no id")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    archive = warc.write_archive(df, chunk_bytes=8, date="2024-05-06T07:08:09Z")
+    (tmp_path / "w").mkdir()
+    files = warc.write_files(archive, str(tmp_path / "w")).collect()
+    ids, refers, bodies = [], [], collections.Counter()
+    for f in files:
+        data = (tmp_path / "w" / f.path.rsplit("/", 1)[1]).read_bytes()
+        while data:
+            head, _, data = data.partition(b"\r\n\r\n")
+            version, _, rest = head.decode().partition("\r\n")
+            fields = email.parser.HeaderParser().parsestr(rest)
+            n = int(fields["Content-Length"])
+            block, end, data = data[:n], data[n : n + 4], data[n + 4 :]
+            assert version == "WARC/1.1" and end == b"\r\n\r\n" and fields["WARC-Date"] == "2024-05-06T07:08:09Z" and fields["WARC-Target-URI"]
+            assert re.fullmatch(r"<urn:uuid:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}>", fields["WARC-Record-ID"]) and fields["Content-Type"] == "application/http; msgtype=response"
+            ids.append(fields["WARC-Record-ID"])
+            if fields["WARC-Type"] == "revisit":
+                refers.append(fields["WARC-Refers-To"])
+                assert block.endswith(b"\r\n\r\n")
+                continue
+
+            class Wire:
+                def makefile(self, *_, block=block):
+                    return io.BytesIO(block)
+
+            answer = http.client.HTTPResponse(Wire())
+            answer.begin()
+            body = answer.read()
+            assert answer.status == 200 and fields["WARC-Payload-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode()
+            bodies[body.decode()] += 1
+    assert len(ids) == len(set(ids)) == len(pages) and refers and set(refers) <= set(ids)
+    assert bodies == collections.Counter({h or "" for _, _, h in pages})
+    foreign = b"WARC/1.0\r\nwarc-type: warcinfo\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://o/\r\nContent-Type: application/http;msgtype=response\r\nContent-Length: 23\r\n\r\nHTTP/1.1 200 OK\r\n\r\nbody\r\n\r\n"
+    (tmp_path / "o").mkdir()
+    (tmp_path / "o" / "a.warc.gz").write_bytes(gzip.compress(foreign[:70]) + gzip.compress(foreign[70:]))
+    got = {(r.record_type, r.url, r.payload_bytes, r.page_id, r.intact) for r in warc.read_archive(warc.read_files(spark, str(tmp_path / "o"))).collect()}
+    assert got == {("warcinfo", None, 5, None, None), ("response", "http://o/", 4, None, None)}
+    for cut, message in ((50, "no end or no length"), (54, "ends within a record")):
+        (tmp_path / "o" / "b.warc").write_bytes(foreign[:cut])
+        with pytest.raises(Exception, match=message):
+            warc.read_files(spark, str(tmp_path / "o")).count()
 
 
 def test_pipeline(spark, sf_dir):
