@@ -96,6 +96,30 @@ def compare_algorithms(evaluations: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "algorithm")))  # a row per algorithm
 
 
+def algorithm_advice(evaluations: DataFrame, close: float = 0.1) -> DataFrame:
+    """(algorithm, advice) of the best of ``compare_algorithms``: a row for each piece of advice, from its n_clusters, outlier_ratio
+    and stability_level, and one for the second where its score is less than ``close`` behind. Missing measures give no advice;
+    no evaluations give no rows."""
+    ranked = compare_algorithms(evaluations)
+    second = ranked.where("rank = 2").select(F.col("algorithm").cast("string").alias("second"), F.col("score").alias("second_score"))
+    best = ranked.where("rank = 1").select("algorithm", "score").join(evaluations.drop("score"), "algorithm").join(second, F.lit(True), "left")
+    # Texts of advice.
+    texts = [
+        F.when(F.col("n_clusters") < 3, "Adjust parameters to get more clusters").when(F.col("n_clusters") > 10, "Many clusters: consider simplifying"),
+        F.when(F.col("outlier_ratio") > 0.2, "Many outliers: check the quality of the data"),
+        F.when(F.col("stability_level") == "low", "Unstable clusters: consider more data or other features").when(F.col("stability_level") == "high", "Stable clusters: fit for production"),
+        F.when(F.col("score") - F.col("second_score") < close, F.concat(F.lit("Little difference to "), "second", F.lit(": consider both"))),
+    ]
+    return best.select("algorithm", F.explode(F.array_compact(F.array(*texts))).alias("advice"))
+
+
+def actionability(tests: DataFrame, p: float = 0.05) -> DataFrame:
+    """One row (measures, actionable, share) over tests (feature, p): the share of measures that the clusters set apart. A null
+    p counts as not set apart; no measures give a share of 0."""
+    found = F.count(F.when(F.col("p") < p, 1))
+    return tests.agg(F.count("*").alias("measures"), found.alias("actionable"), F.coalesce(found / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0)).alias("share"))
+
+
 def ensemble_weights(evaluations: DataFrame, strategy: str = "quality") -> DataFrame:
     """(algorithm, weight), adding up to 1. quality: silhouette 0.4, 1 / (1 + Davies-Bouldin) 0.3, Calinski-Harabasz / 1000
     0.2 and closeness to 10 % outliers 0.1, over the weights of the measures that are there; adaptive: 0.7 of that and

@@ -63,6 +63,17 @@ def compare_algorithms(spark, sf):
     return ops.compare_algorithms(_evaluations(spark, sf))
 
 
+@query("with " + _EVAL + """, m as (select label as algorithm, count(distinct vec_id % 13) as n_clusters, case when avg(abs(embedding[3])) < 0.05 then 'low' else 'high' end as stability_level from embeddings group by 1),
+s as (select algorithm, ((silhouette + 1) / 2 + 1 / (1 + davies_bouldin) + least(calinski_harabasz / 1000, 1)) * case when outlier_ratio > 0.3 then 1 - outlier_ratio else 1 end + stability * 0.2 as score, outlier_ratio from ev),
+r as (select *, lead(algorithm) over w as second, lead(score) over w as behind, row_number() over w as k from s window w as (order by score desc, algorithm)),
+a as (select algorithm, unnest([case when n_clusters < 3 then 'Adjust parameters to get more clusters' when n_clusters > 10 then 'Many clusters: consider simplifying' end, case when outlier_ratio > 0.2 then 'Many outliers: check the quality of the data' end,
+  case stability_level when 'low' then 'Unstable clusters: consider more data or other features' when 'high' then 'Stable clusters: fit for production' end, case when score - behind < 0.1 then 'Little difference to ' || second || ': consider both' end]) as advice from r join m using (algorithm) where k = 1) select * from a where advice is not null""", ())
+def algorithm_advice(spark, sf):
+    x = F.abs(F.col("embedding")[2].cast("double"))
+    more = v.vectors(spark, sf).groupBy(F.col("label").alias("algorithm")).agg(F.countDistinct(F.col("vec_id") % 13).alias("n_clusters"), F.when(F.avg(x) < 0.05, "low").otherwise("high").alias("stability_level"))
+    return ops.algorithm_advice(_evaluations(spark, sf).join(more, "algorithm"))
+
+
 @query("with " + _EVAL + """, q as (select algorithm, consensus, silhouette * 0.4 + 1 / (1 + davies_bouldin) * 0.3 + calinski_harabasz / 1000 * 0.2 + (1 - abs(outlier_ratio - 0.1)) * 0.1 as q from ev)
 select algorithm, q / sum(q) over () as quality, 0.7 * q / sum(q) over () + 0.3 * greatest(consensus, 0) / sum(greatest(consensus, 0)) over () as adaptive from q""", (), "quality adaptive")
 def ensemble_weights(spark, sf):
@@ -111,6 +122,12 @@ def business_significance(spark, sf):
     return f.select("feature", "f", "p", "eta_squared", ((F.col("p") < 0.05) & (F.col("eta_squared") > 0.06)).alias("actionable"))
 
 
+@query()
+def actionability(spark, sf):
+    """Share of the measures that the labels set apart."""
+    return ops.actionability(business_significance(spark, sf))
+
+
 _PERSONAS = """, ps as (select cast(user_id % 12 as int) as label, avg(bet_amount) * (1 + any_value(user_id % 12)) / 2 as avg_bet, stddev_samp(bet_amount) / avg(bet_amount) * (any_value(user_id % 12) % 4) as volatility, (sum(win_amount) - sum(bet_amount)) / sum(bet_amount) as roi, 1 / (1 + stddev_samp(session_duration) / avg(session_duration) * (any_value(user_id % 12) % 3)) as consistency, avg(games_played) / 10 * (any_value(user_id % 12) % 3) as intensity, (any_value(user_id % 12) % 5) / 4.0::double as game_entropy,
 avg(case when event_id % 3 = 0 then 1.0 else 0.0 end) as email, avg(case when event_id % 3 = 1 then 1.0 else 0.0 end) as sms, avg(case when event_id % 3 = 2 then 1.0 else 0.0 end) as push, avg(promotion_used) * (any_value(user_id % 12) % 3) / 2 as response_rate, cast(any_value(user_id % 12) * 2 as double) as contact_hour, avg(case when dayofweek(timestamp) in (0, 6) then 1.0 else 0.0 end) * (any_value(user_id % 12) % 4) as weekend_ratio from bets group by 1),
 pe as (select label, case when avg_bet >= 1000 then 'whale' when avg_bet >= 100 then 'high_roller' when avg_bet >= 20 then 'regular' when avg_bet > 0 then 'casual' end as spending_tier, case when volatility > 2 then 'high_risk' when volatility > 1 then 'moderate_risk' else 'low_risk' end as risk_profile, case when roi > 0.1 then 'profitable' when roi > -0.1 then 'break_even' else 'losing' end as profitability, case when consistency > 0.8 then 'highly_consistent' when consistency > 0.5 then 'moderately_consistent' else 'inconsistent' end as consistency_level,

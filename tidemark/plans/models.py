@@ -395,6 +395,19 @@ def targeting_score(spark, sf):
     return s.personalize(_scored(spark, sf)).select("user_id", "campaign_id", "score", "expected_revenue", "offer", "send_time")
 
 
+@query(_sql_features() + _TARGETS + _CAMPAIGN + """, sd as (select el.*, bonus_usage, session_frequency / 100 as engagement from el join (select user_id, count(converted_at) / count(*)::double as bonus_usage from results group by 1) using (user_id))
+select user_id, campaign_id, least(1, conversion * 0.4::double + (1 - churn_risk) * 0.3::double + least(1, lifetime_value / 1000) * 0.2::double + engagement * 0.1::double) as confidence, greatest(0, 0.2::double - churn_risk) as churn_risk_reduction, engagement * 0.5::double as engagement_lift,
+concat_ws('; ', case when conversion > 0.3 then 'High conversion probability (' || printf('%.2f%%', round(conversion * 100, 2)) || ')' end, case when churn_risk < 0.3 then 'Low churn risk' end, case when lifetime_value > 1000 then 'High predicted lifetime value' end, 'Perfect fit for ' || segment || ' segment') as reasons,
+concat_ws('; ', case when churn_risk > 0.7 then 'High churn risk' end, case when inactive_days > 14 then 'Recent inactivity' end, case when conversion < 0.1 then 'Low conversion probability' end) as risk_factors,
+concat_ws('; ', case when bonus_usage < 0.3 then 'Consider bonus education content' end, case when engagement < 0.5 then 'Add gamification elements' end) as suggestions from sd""", (v.USERS, v.RESULTS), "confidence churn_risk_reduction engagement_lift")
+def targeting_details(spark, sf):
+    """Reasons, risks, suggestions and lifts of scored users; the share of sends that converted stands for the use of bonuses."""
+    used = v.campaign_results(spark, sf).groupBy("user_id").agg((F.count("converted_at") / F.count("*")).alias("bonus_usage"))
+    rows = s.targeting_details(_scored(spark, sf).join(used, "user_id"))
+    lists = [F.array_join(x, "; ").alias(x) for x in ("reasons", "risk_factors", "suggestions")]
+    return rows.select("user_id", "campaign_id", "confidence", "churn_risk_reduction", "engagement_lift", *lists)
+
+
 @query(_sql_features() + _TARGETS + _CAMPAIGN + _SCORED + " select user_id, campaign_id, score from sc where score >= 0.4 order by score desc, user_id limit 100", (v.USERS,), "score")
 def target(spark, sf):
     return s.target(_scored(spark, sf), 0.4, 100).select("user_id", "campaign_id", "score")
