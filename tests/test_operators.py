@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
-from tidemark.operators import cleaning, clustering, hierarchy, profiles, quality, segments, similarity
+from tidemark.operators import cleaning, clustering, evaluation, hierarchy, profiles, quality, segments, similarity
 from tidemark.sources import files, sinks
 from tidemark.streaming import ingest
 
@@ -160,3 +160,49 @@ def test_upsert_is_idempotent(spark):
 def test_progress_rows(spark):
     rows = ingest.stream_metrics([{"batchId": 1, "numInputRows": 5, "stateOperators": [{"numRowsDroppedByWatermark": 2}]}], spark)
     assert tuple(rows.first()) == (1, 5, 0.0, 2)
+
+
+def test_lag_by_topic_and_partition():
+    sources = [
+        {"endOffset": {"bets": {"0": 5, "1": 7}}, "latestOffset": {"bets": {"0": 9, "1": 7, "2": 4}}}, {"endOffset": '{"wins": {"0": 1}}', "latestOffset": '{"wins": {"0": 3}}'},
+        {"endOffset": {"logOffset": 2}, "latestOffset": None}, {"endOffset": "text", "latestOffset": "text"}]
+    assert ingest.lags({"sources": sources}) == {"bets:0": 4, "bets:1": 0, "bets:2": 4, "wins:0": 2}
+    assert ingest.lags({}) == {}
+
+
+def test_progress_log_of_a_repeated_batch(spark, tmp_path):
+    """A batch that is told of again replaces its row; idle progress leaves none."""
+    import json
+    from types import SimpleNamespace
+
+    log = ingest.ProgressLog(spark, str(tmp_path / "log"))
+    for batch, n in ((0, 5), (1, 7), (1, 7), (2, 0)):
+        told = {"id": "a", "batchId": batch, "numInputRows": n, "timestamp": "2024-01-02T03:04:05.000Z", "durationMs": {"triggerExecution": 1500}, "stateOperators": [{"numRowsDroppedByWatermark": batch}],
+                "sources": [{"endOffset": {"t": {"0": n}}, "latestOffset": {"t": {"0": 10}}}]}
+        log.onQueryProgress(SimpleNamespace(progress=SimpleNamespace(json=json.dumps(told))))
+    assert [(r.query, r.batch, r.rows, r.seconds, r.dropped, r.lag) for r in log.rows().orderBy("batch").collect()] == [("a", 0, 5, 1.5, 0, {"t:0": 5}), ("a", 1, 7, 1.5, 1, {"t:0": 3})]
+
+
+def test_hybrid_of_four_recommenders(spark):
+    parts = {"collaborative": [(1, 1, 1.0), (1, 2, 0.5)], "content": [(1, 1, 0.4)], "similar": [(2, 1, 1.0)], "popular": [(1, 2, 1.0), (2, 1, 0.5)]}
+    frames = {k: spark.createDataFrame(rows, "user_id long, game_id long, score double") for k, rows in parts.items()}
+    found = {(r.user_id, r.game_id): (round(r.score, 9), r.sources) for r in similarity.recommend_hybrid(frames).collect()}
+    assert found == {(1, 1): (0.52, "collaborative,content"), (1, 2): (0.3, "collaborative,popular"), (2, 1): (0.25, "popular,similar")}
+
+
+def test_targeting_details_of_nulls(spark):
+    schema = "conversion double, churn_risk double, predicted_ltv double, engagement double, inactive_days int, bonus_usage double, segment string, target_segments array<string>"
+    rows = spark.createDataFrame([(0.34375, 0.1, 2000.0, 0.6, 3, 0.5, "vip", ["vip"]), (0.05, 0.9, 10.0, 0.1, 20, 0.1, "dormant", ["vip"]), (None,) * 8], schema)
+    best, worst, nothing = similarity.targeting_details(rows).collect()
+    assert best.reasons == ["High conversion probability (34.38%)", "Low churn risk", "High predicted lifetime value", "Perfect fit for vip segment"] and best.risk_factors == best.suggestions == []
+    assert worst.reasons == [] and worst.risk_factors == ["High churn risk", "Recent inactivity", "Low conversion probability"] and len(worst.suggestions) == 2
+    assert nothing.reasons == nothing.risk_factors == nothing.suggestions == []
+
+
+def test_advice_and_actionability_of_nothing(spark):
+    schema = "algorithm string, silhouette double, davies_bouldin double, calinski_harabasz double, outlier_ratio double, stability double, n_clusters int, stability_level string"
+    one = spark.createDataFrame([("a", 0.5, 1.0, 10.0, 0.3, 0.5, 2, "low"), ("b", 0.45, 1.0, 10.0, 0.0, 0.5, 5, "high")], schema)
+    assert [r.advice for r in evaluation.algorithm_advice(one).collect()] == ["Adjust parameters to get more clusters", "Many outliers: check the quality of the data", "Unstable clusters: consider more data or other features", "Little difference to b: consider both"]
+    assert evaluation.algorithm_advice(one.limit(0)).count() == 0 and evaluation.algorithm_advice(one.where("algorithm = 'b'")).count() == 1
+    tests = spark.createDataFrame([("x", 0.01), ("y", 0.2), ("z", None), ("w", 0.04)], "feature string, p double")
+    assert tuple(evaluation.actionability(tests).first()) == (4, 2, 0.5) and tuple(evaluation.actionability(tests.limit(0)).first()) == (0, 0, 0.0)

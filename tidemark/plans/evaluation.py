@@ -113,19 +113,23 @@ def cluster_sample(spark, sf):
     return ops.cluster_sample(v.bets(spark, sf).select("event_id", "bet_amount", "session_duration"), "event_id", ["bet_amount", "session_duration"], 20)
 
 
-@query()
-def business_significance(spark, sf):
-    """p of the analysis of variance of each measure, and whether it can be acted on (p under 0.05, eta squared over 0.06)."""
+def _tested(spark, sf):
     rows = _labelled(spark, sf)
     n = rows.agg(F.count("*").alias("n"), F.countDistinct("label").alias("k"))
     f = c.business_separation(rows, _COLUMNS).crossJoin(F.broadcast(n)).withColumn("p", p_value_f(F.col("f"), F.col("k") - 1, F.col("n") - F.col("k")))
-    return f.select("feature", "f", "p", "eta_squared", ((F.col("p") < 0.05) & (F.col("eta_squared") > 0.06)).alias("actionable"))
+    return f
+
+
+@query()
+def business_significance(spark, sf):
+    """p of the analysis of variance of each measure, and whether it can be acted on (p under 0.05, eta squared over 0.06)."""
+    return _tested(spark, sf).select("feature", "f", "p", "eta_squared", ((F.col("p") < 0.05) & (F.col("eta_squared") > 0.06)).alias("actionable"))
 
 
 @query()
 def actionability(spark, sf):
     """Share of the measures that the labels set apart."""
-    return ops.actionability(business_significance(spark, sf))
+    return ops.actionability(_tested(spark, sf))
 
 
 _PERSONAS = """, ps as (select cast(user_id % 12 as int) as label, avg(bet_amount) * (1 + any_value(user_id % 12)) / 2 as avg_bet, stddev_samp(bet_amount) / avg(bet_amount) * (any_value(user_id % 12) % 4) as volatility, (sum(win_amount) - sum(bet_amount)) / sum(bet_amount) as roi, 1 / (1 + stddev_samp(session_duration) / avg(session_duration) * (any_value(user_id % 12) % 3)) as consistency, avg(games_played) / 10 * (any_value(user_id % 12) % 3) as intensity, (any_value(user_id % 12) % 5) / 4.0::double as game_entropy,

@@ -315,6 +315,28 @@ def stream_metrics(spark, sf):
     return k.stream_metrics(done.recentProgress, spark).agg(F.sum("rows").alias("rows"), (F.count("*") >= 3).alias("in_batches"))
 
 
+@query(" select user_id % 3 as part, count(*) as rows, 0 as dropped, true as in_time from tx group by 1", (v.TX,))
+def stream_progress(spark, sf):
+    """Rows of three streams as a listener has written them."""
+    source, out = folder(spark, "progress-in"), folder(spark, "progress-log")
+    tx = v.transactions(spark, sf).withColumn("part", F.col("user_id") % 3)
+    tx.write.partitionBy("part").parquet(source)
+    log = k.ProgressLog(spark, out)
+    spark.streams.addListener(log)
+    try:
+        names, in_time = [], True
+        for part in range(3):
+            stream = spark.readStream.schema(tx.drop("part").schema).parquet(f"{source}/part={part}")
+            done = k.process(stream, lambda df, i: df.write.format("noop").mode("overwrite").save(), folder(spark, "progress-offsets"))
+            done.awaitTermination()
+            in_time = log.wait(done) and in_time
+            names.append((part, done.id))
+    finally:
+        spark.streams.removeListener(log)
+    rows = log.rows().join(F.broadcast(spark.createDataFrame(names, "part long, query string")), "query")
+    return rows.groupBy("part").agg(F.sum("rows").alias("rows"), F.sum("dropped").alias("dropped"), F.lit(in_time).alias("in_time"))
+
+
 @query(", f as (select user_id, max(created_at) as u, count(*) as n from tx where created_at < timestamp '2024-01-25' group by 1) select transaction_id, case when f.u >= tx.created_at - interval 3 days then n end as stored_n from tx left join f on f.user_id = tx.user_id where tx.created_at >= timestamp '2024-01-25'", (v.TX,))
 def enrich_stream(spark, sf):
     tx = v.transactions(spark, sf)

@@ -314,8 +314,7 @@ gx as (select game_id, term, tf * idf as w from gf join id using (term)), ux as
 sc as (select text, game_id, round(sum(ux.w / ul.l * gx.w / gl.l), 9) as score from ux join ul using (text) join gx using (term) join gl using (game_id) group by 1, 2), be as (select * from (select *, row_number() over (partition by text order by score desc, game_id) as k from sc) where k <= 20)"""
 
 
-@query(_CONTENT + " select user_id, game_id, score from ut join be using (text)", (v.RATINGS, v.GAMES), "score")
-def recommend_content(spark, sf):
+def _content(spark, sf):
     games = v.games(spark, sf)
     text = F.concat_ws(" ", "category", "provider", F.concat(F.lit("volatility_"), "volatility"))
     fav = v.ratings(spark, sf).groupBy("user_id").agg(F.max_by("game_id", F.struct("rating", -F.col("game_id"))).alias("game_id"))
@@ -323,12 +322,30 @@ def recommend_content(spark, sf):
     return s.recommend_content(fav.join(games.select("game_id", text.alias("text")), "game_id").select("user_id", "text"), described, 20)
 
 
-@query(_PLAYERS + _RULES + _POPULAR + """, u as (select user_id, game_id, score * 0.3::double as s, 'content' as source from ru union all select user_id, game_id, score * 0.1::double, 'popular' from po, pl)
+@query(_CONTENT + " select user_id, game_id, score from ut join be using (text)", (v.RATINGS, v.GAMES), "score")
+def recommend_content(spark, sf):
+    return _content(spark, sf)
+
+
+def _hybrid_parts(spark, sf):
+    """The recommenders that read no learned model."""
+    top = s.recommend_popular(v.ratings(spark, sf))  # ten rows
+    return {"content": _content(spark, sf), "similar": s.recommend_similar(v.ratings(spark, sf), _neighbours(spark, sf), 5), "popular": v.users(spark, sf).select(F.col("id").alias("user_id")).crossJoin(F.broadcast(top))}
+
+
+@query(_NEAR + _CONTENT + _POPULAR + """, si as (select nb.user_id, game_id, round(sum(weight * rating), 9) as score from nb join ratings on ratings.user_id = nb.other group by 1, 2),
+sn as (select * from si where not exists (select 1 from ratings r where r.user_id = si.user_id and r.game_id = si.game_id)), st as (select *, row_number() over (partition by user_id order by score desc, game_id) as rank from sn),
+u as (select user_id, game_id, score * 0.3::double as s, 'content' as source from ut join be using (text) union all select user_id, game_id, score * 0.2::double, 'similar' from st where rank <= 5 union all select id, game_id, score * 0.1::double, 'popular' from po, users)
 select user_id, game_id, sum(s) as score, string_agg(distinct source, ',' order by source) as sources from u group by 1, 2""", (v.USERS, v.GAMES, v.RATINGS), "score")
 def recommend_hybrid(spark, sf):
-    top = s.recommend_popular(v.ratings(spark, sf))  # ten rows
-    popular = _players(spark, sf).select("user_id").crossJoin(F.broadcast(top))
-    return s.recommend_hybrid({"content": _rules(spark, sf), "popular": popular})
+    """Content, similar users and popularity; ``recommend_hybrid_learned`` adds factors."""
+    return s.recommend_hybrid(_hybrid_parts(spark, sf))
+
+
+@query()
+def recommend_hybrid_learned(spark, sf):
+    """All four recommenders."""
+    return s.recommend_hybrid({"collaborative": s.recommend_cf(v.ratings(spark, sf), 5), **_hybrid_parts(spark, sf)})
 
 
 @query(_PLAYERS + _RULES + """, ap as (select ru.user_id, ru.game_id, round(ru.score * case when release_date > date '2024-01-01' then 1.2 else 1 end::double * case when rtp > 0.97 then 1.1 else 1 end::double, 9) as score, category, provider from ru join games on games.game_id = ru.game_id where score >= 0.3 and ru.game_id % 9 <> 0),

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..sources.shared import StateLog
 
@@ -98,6 +100,72 @@ def stream_metrics(progress: list[dict], spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "batch long, rows long, rows_per_second double, dropped long")
 
 
+def _offsets(value, place: tuple = ()) -> dict[tuple, int]:
+    """The numbers of an offset's JSON by their places in it: topic and partition, for messages."""
+    if isinstance(value, str):
+        try:
+            value = json.loads(value)
+        except ValueError:
+            return {}
+    if isinstance(value, dict):
+        return {k: n for name, inner in value.items() for k, n in _offsets(inner, (*place, str(name))).items()}
+    return {place: value} if isinstance(value, int) and not isinstance(value, bool) else {}
+
+
+def lags(progress: dict) -> dict[str, int]:
+    """Offsets of each topic and partition (``topic:0``) that a batch's progress leaves to be read. A partition that the batch
+    has not touched counts from 0, one that has gone counts nothing; a source that doesn't tell its latest offsets has none."""
+    out: dict[str, int] = {}
+    for source in progress.get("sources", []):
+        done = _offsets(source.get("endOffset"))
+        for place, latest in _offsets(source.get("latestOffset")).items():
+            name = ":".join(place)
+            out[name] = out.get(name, 0) + max(0, latest - done.get(place, 0))
+    return out
+
+
+class ProgressLog(StreamingQueryListener):
+    """A listener that writes a row for each batch of every query of the session: ``spark.streams.addListener(log)``. The rows
+    are tables in a folder (use one that executors share), one for each query and batch, so that a batch that is repeated
+    after a restart counts once; idle progress without rows is left out. ``rows`` reads them."""
+
+    SCHEMA = "at timestamp, rows long, rows_per_second double, seconds double, dropped long, lag map<string, long>"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._ended: set[str] = set()
+        self._change = threading.Condition()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = json.loads(event.progress.json)
+        if not p["numInputRows"]:
+            return
+        dropped = sum(s.get("numRowsDroppedByWatermark", 0) for s in p.get("stateOperators", []))
+        row = (p["timestamp"], int(p["numInputRows"]), float(p.get("processedRowsPerSecond") or 0.0), p.get("durationMs", {}).get("triggerExecution", 0) / 1000, int(dropped), lags(p))
+        rows = self.spark.createDataFrame([row], self.SCHEMA.replace("at timestamp", "at string")).withColumn("at", F.col("at").cast("timestamp"))
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/query={p['id']}/batch={int(p['batchId'])}")
+
+    def onQueryTerminated(self, event) -> None:
+        with self._change:
+            self._ended.add(str(event.runId))
+            self._change.notify_all()
+
+    def wait(self, query, seconds: float = 60.0) -> bool:
+        """Whether the rows of an ended query are all written, within so many seconds: listeners hear of batches later."""
+        with self._change:
+            return self._change.wait_for(lambda: str(query.runId) in self._ended, seconds)
+
+    def rows(self) -> DataFrame:
+        """(at, rows, rows_per_second, seconds, dropped, lag, query, batch); fails where nothing has been written yet."""
+        return self.spark.read.schema(f"{self.SCHEMA}, query string, batch long").parquet(self.path)
+
+
 def enrich_stream(events: DataFrame, features: DataFrame, ts: str, ttl: str = "300 seconds") -> DataFrame:
     """Events with their user's stored features (user_id, updated_at, ...), a stream-static join: features that are older than
     ``ttl`` at the event, or younger than it, count as missing (null), and so do those of unknown users. For features that the
