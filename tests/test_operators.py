@@ -206,3 +206,13 @@ def test_advice_and_actionability_of_nothing(spark):
     assert evaluation.algorithm_advice(one.limit(0)).count() == 0 and evaluation.algorithm_advice(one.where("algorithm = 'b'")).count() == 1
     tests = spark.createDataFrame([("x", 0.01), ("y", 0.2), ("z", None), ("w", 0.04)], "feature string, p double")
     assert tuple(evaluation.actionability(tests).first()) == (4, 2, 0.5) and tuple(evaluation.actionability(tests.limit(0)).first()) == (0, 0, 0.0)
+
+
+def test_csv_export_of_odd_values(spark):
+    rows = spark.createDataFrame([(1, 'a,"b"\nc', None, [1, 2]), (2, "x", 1.5, None)], "user_id long, `note, of` string, amount double, parts array<int>")
+    frames = {"t": rows}
+    assert sinks.csv_headers(frames) == {"t": 'amount,"note, of",parts,user_id'}
+    found = sinks.export_subject(frames, rows.select("user_id"), fmt="csv").select("user_id", F.from_csv("record", "amount double, note string, parts string, user_id long", {"multiLine": "true"}).alias("x")).orderBy("user_id").collect()
+    assert [tuple(r.x) for r in found] == [(None, 'a,"b"\nc', "[1,2]", 1), (1.5, "x", None, 2)]
+    with pytest.raises(ValueError, match="format"):
+        sinks.export_subject(frames, rows.select("user_id"), fmt="xml")

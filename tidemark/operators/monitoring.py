@@ -72,3 +72,9 @@ def lineage(edges: DataFrame) -> DataFrame:
         found = written(found.unionByName(last), "lineage")
     per = found.groupBy(F.col("base").alias("feature")).agg(F.count("*").alias("dependents"), F.max("depth").alias("depth"))
     return per.withColumn("impact", F.when(F.col("dependents") > 10, "high").when(F.col("dependents") > 5, "medium").otherwise("low"))
+
+
+def definition_versions(definitions: DataFrame, query: str = "query", logic: str = "logic") -> DataFrame:
+    """Adds ``version``, eight digits that change with a feature's query or the logic of its transformation. Nulls count as
+    empty texts."""
+    return definitions.withColumn("version", F.substring(F.sha2(F.concat(F.coalesce(F.col(query), F.lit("")), F.coalesce(F.col(logic), F.lit(""))), 256), 1, 8))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import segments
 from ..sources import buckets, files, sinks
-from ..sources.shared import StateLog, folder
+from ..sources.shared import StateLog, folder, written
 from ..streaming import ingest as k
 from ..streaming import stateful
 from . import views as v
@@ -206,9 +206,35 @@ def apply_updates(spark, sf):
 
 @query("select 'customer' as \"table\", 'c_name' as field, 'identity' as category, 730 as retention_days, count(*) as rows, count(c_name) as filled from customer union all select 'customer', 'c_acctbal', 'financial', 1825, count(*), count(c_acctbal) from customer union all select 'orders', 'o_totalprice', 'financial', 1825, count(*), count(o_totalprice) from orders")
 def data_inventory(spark, sf):
+    return _inventory(spark, sf).select("table", "field", "category", "retention_days", "rows", "filled")
+
+
+def _inventory(spark, sf):
     frames = {"customer": v.table(spark, sf, "customer").select("c_name", "c_acctbal"), "orders": v.table(spark, sf, "orders").select("o_totalprice")}
-    found = sinks.inventory_values(frames, {"name": ("identity", 730), "acct": ("financial", 1825), "price": ("financial", 1825)})
-    return found.select("table", "field", "category", "retention_days", "rows", "filled")
+    return written(sinks.inventory_values(frames, {"name": ("identity", 730), "acct": ("financial", 1825), "price": ("financial", 1825)}), "inventory")
+
+
+@query("select 'customer' as \"table\", 'contract' as legal_basis, 'accounts' as purpose, 'financial,identity' as categories, 2 as fields, 1825 as retention_days, count(*) as rows from customer union all select 'orders', 'unknown', 'unknown', 'financial', 1, 1825, count(*) from orders")
+def processing_register(spark, sf):
+    """Legal basis, categories and retention of tables, with their rows."""
+    fields = _inventory(spark, sf)
+    return sinks.processing_register(fields, {"customer": ("contract", "accounts")}).join(fields.groupBy("table").agg(F.max("rows").alias("rows")), "table")
+
+
+@query(" select user_id, 'bets' as \"table\", count(*) as records, count(deposit_amount) as filled, sum(bet_amount) as amount, '' as words from bets where user_id % 100 = 0 group by user_id union all select user_id, 'interactions', count(*), 0, sum(engagement_score), string_agg(distinct channel, ',' order by channel) from inter where user_id % 100 = 0 group by user_id", (v.BETS, v.INTER), "amount")
+def export_subject_csv(spark, sf):
+    """CSV records of the stated subjects, written by table, and read again with their headers."""
+    path = folder(spark, "subject-csv")
+    frames = {"bets": v.bets(spark, sf), "interactions": v.interactions(spark, sf)}
+    sinks.export_subject(frames, v.bets(spark, sf).where("user_id % 100 = 0").select("user_id"), fmt="csv").write.partitionBy("table").parquet(path)
+    back, out = spark.read.schema("user_id long, record string, `table` string").parquet(path), None
+    for table, header in sinks.csv_headers(frames).items():
+        amount, filled, words = ("bet_amount", "deposit_amount", F.lit("")) if table == "bets" else ("engagement_score", None, F.array_join(F.array_sort(F.collect_set("x.channel")), ","))
+        schema = ", ".join(f"`{c}` {'long' if c == 'user_id' else 'string'}" for c in header.split(","))
+        rows = back.where(F.col("table") == table).withColumn("x", F.from_csv("record", schema)).where("x.user_id = user_id")
+        one = rows.groupBy("user_id", "table").agg(F.count("*").alias("records"), (F.count(f"x.{filled}") if filled else F.lit(0).cast("long")).alias("filled"), F.sum(F.col(f"x.{amount}").cast("double")).alias("amount"), words.alias("words"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 # --- streams -----------------------------------------------------------------------------------------------

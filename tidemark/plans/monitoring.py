@@ -43,3 +43,9 @@ select base as feature, count(*) as dependents, cast(max(depth) as int) as depth
 def lineage(spark, sf):
     ids = v.table(spark, sf, "customer").where("c_custkey > 1")
     return ops.lineage(ids.select(F.col("c_custkey").alias("feature"), F.floor(F.col("c_custkey") / 2).alias("depends_on")))
+
+
+@query("select p_partkey as feature, substr(sha256(p_name || p_type), 1, 8) as version from part")
+def definition_versions(spark, sf):
+    """Names and types of parts stand for queries and logic."""
+    return ops.definition_versions(v.table(spark, sf, "part"), "p_name", "p_type").select(F.col("p_partkey").alias("feature"), "version")

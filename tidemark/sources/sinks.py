@@ -88,6 +88,14 @@ def data_inventory(frames: dict[str, DataFrame], policy: dict[str, tuple[str, in
     return spark.createDataFrame(rows, "`table` string, field string, type string, category string, retention_days int")
 
 
+def processing_register(inventory: DataFrame, bases: dict[str, tuple[str, str]]) -> DataFrame:
+    """(table, legal_basis, purpose, categories, fields, retention_days) of each table of an inventory: its legal basis and purpose
+    (``unknown`` where none is stated), the distinct categories in order, and the longest retention of its fields."""
+    stated = inventory.sparkSession.createDataFrame([(t, *b) for t, b in bases.items()], "`table` string, legal_basis string, purpose string")
+    per = inventory.groupBy("table").agg(F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"), F.count("*").alias("fields"), F.max("retention_days").alias("retention_days"))
+    return per.join(stated, "table", "left").select("table", *[F.coalesce(c, F.lit("unknown")).alias(c) for c in ("legal_basis", "purpose")], "categories", "fields", "retention_days")
+
+
 def inventory_values(frames: dict[str, DataFrame], policy: dict[str, tuple[str, int]]) -> DataFrame:
     """``data_inventory`` with what the fields hold: rows, filled values, and an estimate (5 %) of different ones."""
     parts = None
@@ -151,16 +159,27 @@ def run_report(counts: dict[str, int], seconds: float, spark) -> DataFrame:
     return spark.createDataFrame([row], "extracted long, cleaned long, transformed long, loaded long, seconds double, rows_per_second double, success_rate double")
 
 
-def export_subject(frames: dict[str, DataFrame], ids: DataFrame, key: str = "user_id") -> DataFrame:
-    """(key, table, record): all rows of the subjects as JSON, a row each, to be written partitioned by table; columns that
-    a table lacks don't appear, and subjects without rows have none."""
+def export_subject(frames: dict[str, DataFrame], ids: DataFrame, key: str = "user_id", fmt: str = "json") -> DataFrame:
+    """(key, table, record): all rows of the subjects as JSON or CSV, a row each, to be written partitioned by table; columns
+    that a table lacks don't appear, and subjects without rows have none. Columns are in the order of their names; CSV quotes
+    texts that need it, leaves nulls empty, and has arrays, maps and structs as JSON; ``csv_headers`` has its first lines."""
+    if fmt not in ("json", "csv"):
+        raise ValueError(f"format {fmt!r}")
     mine, out = ids.select(key).distinct(), None
     for table, df in frames.items():
-        one = df.join(mine, key, "left_semi").select(key, F.lit(table).alias("table"), F.to_json(F.struct(*sorted(df.columns))).alias("record"))
+        kinds = dict(df.dtypes)
+        flat = [F.to_json(F.col(f"`{c}`")).alias(c) if kinds[c].startswith(("array", "map", "struct")) else F.col(f"`{c}`") for c in sorted(df.columns)]
+        record = F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)])) if fmt == "json" else F.to_csv(F.struct(*flat))
+        one = df.join(mine, key, "left_semi").select(key, F.lit(table).alias("table"), record.alias("record"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def csv_headers(frames: dict[str, DataFrame]) -> dict[str, str]:
+    """The header line of each table of a CSV export."""
+    return {table: ",".join(f'"{c.replace(chr(34), chr(34) * 2)}"' if set(c) & set('",\r\n') else c for c in sorted(df.columns)) for table, df in frames.items()}
+
+
 def apply_webhooks(results: DataFrame, events: DataFrame, campaigns: DataFrame, users: DataFrame) -> DataFrame:
     """results (campaign_id, user_id, status, at) after events (campaign_ext, user_ext, status, at) whose external ids are
     known: of each pair the furthest status wins, the earliest time of that; new pairs join."""
