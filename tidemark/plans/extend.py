@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import extend as ops
+from ..functions.stats import quotient
 from ..sources.shared import folder
 from . import views as v
 from .registry import query
@@ -33,7 +34,7 @@ def map_files(spark, sf):
 @query(" select event_id, bet_amount - win_amount as loss, (bet_amount - win_amount) / bet_amount as loss_share from bets", (v.BETS,), "loss loss_share")
 def feature_registry(spark, sf):
     features = ops.FeatureRegistry()
-    features.register("loss_share", F.col("loss") / F.col("bet_amount"), ("loss", "bet_amount"))
+    features.register("loss_share", quotient(F.col("loss"), F.col("bet_amount")), ("loss", "bet_amount"))
     features.register("loss", F.col("bet_amount") - F.col("win_amount"))
     return features.compute(v.bets(spark, sf), ["loss_share"]).select("event_id", "loss", "loss_share")
 
