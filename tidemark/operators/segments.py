@@ -249,8 +249,9 @@ def ab_results(df: DataFrame, minimum: int = 100) -> DataFrame:
 
 
 def frequency_cap(sends: DataFrame, per_day: int = 3, per_week: int = 2) -> DataFrame:
-    """Whether each send (user_id, sent_at, send_id) stays within the caps, counting those of the day and week before."""
-    w = lambda s: Window.partitionBy("user_id").orderBy(F.col("sent_at").cast("long")).rangeBetween(-s, 0)
+    """Whether each send (user_id, sent_at, send_id) stays within the caps, counting those of the day and week before;
+    times count to the nearest second."""
+    w = lambda s: Window.partitionBy("user_id").orderBy(F.rint(F.col("sent_at").cast("double")).cast("long")).rangeBetween(-s, 0)
     rows = sends.withColumns({"day_count": F.count("*").over(w(86400)), "week_count": F.count("*").over(w(7 * 86400))})
     return rows.withColumn("allowed", (F.col("day_count") <= per_day) & (F.col("week_count") <= per_week))
 
