@@ -49,10 +49,10 @@ def daily_user_activity(df: DataFrame, as_of: dt.datetime, days: int = 90) -> Da
 
 def rfm(df: DataFrame, as_of: dt.datetime, approx: bool = False) -> DataFrame:
     """Recency in whole days, frequency and monetary value per user, quartile scores 1 to 4 and a segment. The quartile
-    cuts are one row that is broadcast."""
+    cuts are one row that is broadcast. Sums are taken to six places, so that the order of adding up parts none that are equal."""
     values = df.groupBy("user_id").agg(
         whole_days(F.max("created_at"), F.lit(as_of)).alias("recency_days"), F.count("created_at").alias("frequency_transactions"),
-        F.sum("amount").alias("monetary_value"))
+        F.round(F.sum("amount"), 6).alias("monetary_value"))
     names = {"recency": "recency_days", "frequency": "frequency_transactions", "monetary": "monetary_value"}
     cuts = one_row(values, *[quantile(c, q / 4, approx).alias(f"_{n}{q}") for n, c in names.items() for q in (1, 2, 3)])
     out = values.crossJoin(cuts)
