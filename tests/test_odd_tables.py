@@ -55,3 +55,13 @@ def test_rhythm_of_equal_neighbours(spark):
     rows += [(100 + h, AT.replace(hour=h)) for h in range(24) for _ in range(3)]  # all places are equal
     df = spark.createDataFrame(rows, "user_id long, timestamp timestamp")
     assert {(r.user_id >= 100, r.rhythm_peaks) for r in profiles.rhythm(df).collect()} == {(False, 3 / 11), (True, 0.0)}
+
+
+def test_daily_metrics_keep_one_sketch_a_day(spark):
+    from tidemark.operators import alerts
+
+    rows = [(u, 10.0 * i, "completed", "bet", float(i % 7), AT + dt.timedelta(days=d)) for d in range(2) for i, u in enumerate((1, 1, 2, None))]
+    rows += [(None, 1.0, "failed", "bet", 1.0, AT + dt.timedelta(days=2))]
+    df = alerts.daily_metrics(spark.createDataFrame(rows, "user_id long, amount double, status string, transaction_type string, delay double, created_at timestamp"))
+    assert not [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "percentile_approx" in x and "user_id" in x.split("functions=")[0]]
+    assert sorted(r.value for r in df.where("metric = 'active_users'").collect()) == [0.0, 2.0, 2.0]
