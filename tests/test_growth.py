@@ -21,3 +21,14 @@ def test_components_in_one_array_or_by_rounds(spark):
     for most in (1 << 20, 5):
         found = {r.id: r.root for r in hierarchy.components(edges, most).collect()}
         assert set(found) == set(expected) and len({(expected[i], found[i]) for i in found}) == 5
+
+
+def test_nearest_core_in_a_dense_place_makes_no_pairs_of_rows(spark):
+    rng = np.random.default_rng(1)
+    known, new = rng.normal(0, 0.3, (300, 2)), np.concatenate([rng.normal(0, 0.4, (90, 2)), [[9.0, 9.0]]])
+    frame = lambda x, name: spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], f"{name} long, features array<double>")
+    made = evaluation.dbscan_predict(frame(new, "id"), frame(known, "label"), "id", "features", 0.2, 2, leaf_size=40)
+    assert "cell" not in made._jdf.queryExecution().optimizedPlan().toString()
+    d = np.sqrt(((new[:, None] - known[None]) ** 2).sum(axis=2))
+    expected = {i: int(d[i].argmin()) if d[i].min() <= 0.3 else -1 for i in range(len(new))}
+    assert {r.id: r.label for r in made.collect()} == expected
