@@ -32,3 +32,11 @@ def test_nearest_core_in_a_dense_place_makes_no_pairs_of_rows(spark):
     d = np.sqrt(((new[:, None] - known[None]) ** 2).sum(axis=2))
     expected = {i: int(d[i].argmin()) if d[i].min() <= 0.3 else -1 for i in range(len(new))}
     assert {r.id: r.label for r in made.collect()} == expected
+
+
+def test_kth_distances_of_more_rows_than_a_block(spark):
+    x = np.random.default_rng(2).normal(size=(1300, 2))
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "id long, features array<double>").coalesce(1)
+    found = {r.id: r.distance for r in evaluation.kth_distances(df, "id", k=3, sample=50).collect()}
+    d = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), axis=1)
+    assert len(found) == 50 and all(abs(v - d[i, 3]) < 1e-6 for i, v in found.items())
