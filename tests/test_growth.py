@@ -40,3 +40,13 @@ def test_kth_distances_of_more_rows_than_a_block(spark):
     found = {r.id: r.distance for r in evaluation.kth_distances(df, "id", k=3, sample=50).collect()}
     d = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), axis=1)
     assert len(found) == 50 and all(abs(v - d[i, 3]) < 1e-6 for i, v in found.items())
+
+
+def test_lineage_doubles_its_steps(spark, monkeypatch):
+    rounds = []
+    real = monitoring.written
+    monkeypatch.setattr(monitoring, "written", lambda df, what: rounds.append(what) or real(df, what))
+    chain = [(f"f{i}", f"f{i - 1}") for i in range(1, 21)] + [("f3", "f0"), ("a", "b"), ("b", "a")]
+    found = {r.feature: (r.dependents, r.depth) for r in monitoring.lineage(spark.createDataFrame(chain, "feature string, depends_on string")).collect()}
+    assert found == {f"f{i}": (20 - i, 20 - i if i else 18) for i in range(20)} | {"a": (2, 2), "b": (2, 2)}
+    assert len(rounds) <= 7

@@ -58,18 +58,15 @@ def model_health(df: DataFrame, key: str, ts: str, failed: str, latency: str, mi
 
 def lineage(edges: DataFrame) -> DataFrame:
     """(feature, dependents, depth, impact) over edges (feature, depends_on): how many features depend on each, over
-    any number of steps, the longest shortest path, and the impact level. Pairs reached grow by one step a round; each
-    round is a table in the shared folder. Cycles end, since a pair is kept once."""
+    any number of steps, the longest shortest path, and the impact level. Known steps double each round: a pair whose
+    shortest path is longer than them passes a feature that is just so many steps from its base. A round's new pairs are a
+    table in the shared folder. Cycles end, since a pair is kept once."""
     step = edges.select(F.col("depends_on").alias("base"), "feature").distinct()
-    found = written(step.withColumn("depth", F.lit(1)), "lineage")
-    last, depth = found, 1
-    while True:
-        depth += 1
-        further = last.select("base", F.col("feature").alias("via")).join(step.select(F.col("base").alias("via"), "feature"), "via").select("base", "feature").distinct()
-        last = written(further.join(found, ["base", "feature"], "left_anti").withColumn("depth", F.lit(depth)), "lineage")
-        if last.isEmpty():
-            break
-        found = written(found.unionByName(last), "lineage")
+    found, known = written(step.withColumn("depth", F.lit(1)), "lineage"), 1
+    while not (ends := found.where(F.col("depth") == known).select("base", F.col("feature").alias("via"))).isEmpty():
+        further = ends.join(found.withColumnRenamed("base", "via"), "via").groupBy("base", "feature").agg((F.min("depth") + known).alias("depth"))
+        new = written(further.join(found, ["base", "feature"], "left_anti"), "lineage")
+        found, known = found.unionByName(new), 2 * known
     per = found.groupBy(F.col("base").alias("feature")).agg(F.count("*").alias("dependents"), F.max("depth").alias("depth"))
     return per.withColumn("impact", F.when(F.col("dependents") > 10, "high").when(F.col("dependents") > 5, "medium").otherwise("low"))
 
