@@ -50,3 +50,13 @@ def test_lineage_doubles_its_steps(spark, monkeypatch):
     found = {r.feature: (r.dependents, r.depth) for r in monitoring.lineage(spark.createDataFrame(chain, "feature string, depends_on string")).collect()}
     assert found == {f"f{i}": (20 - i, 20 - i if i else 18) for i in range(20)} | {"a": (2, 2), "b": (2, 2)}
     assert len(rounds) <= 7
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(BucketTable, "rows_per_task", 100, raising=False)
+    rows = spark.range(2000).select(F.col("id").alias("k"), F.lit("x").alias("v"))
+    table = BucketTable.create(rows, str(tmp_path / "t"), "k", 2)
+    sizes = [pq.ParquetFile(f).metadata.num_rows for f in glob.glob(f"{tmp_path}/t/data/*/*/*.parquet")]
+    assert table.read().count() == 2000 and max(sizes) < 500
+    table = table.upsert(rows.where("k < 100").withColumn("v", F.lit("y")))
+    assert table.read().where("v = 'y'").count() == 100 and table.read().select("k").distinct().count() == 2000

@@ -436,21 +436,21 @@ def stored_activity(spark, sf):
 def stored_statuses(spark, sf):
     """The furthest status of each campaign and user, from events that reach a stored table in micro-batches, in any order."""
     r = v.campaign_results(spark, sf)
-    events = None
+    parts = []
     for status, at in (("clicked", "clicked_at"), ("delivered", "sent_at"), ("opened", "opened_at")):
         one = r.where(F.col(at).isNotNull()).select("campaign_id", "user_id", F.lit(status).alias("status"), F.col(at).alias("at"))
-        events = one if events is None else events.unionByName(one)
-    events = events.withColumn("pair", F.concat_ws("/", "campaign_id", "user_id"))
+        parts.append(one.withColumn("pair", F.concat_ws("/", "campaign_id", "user_id")))
     source, at, checkpoint = folder(spark, "status-in"), folder(spark, "status"), folder(spark, "status-offsets")
-    events.repartition(3, "status").write.parquet(source)
-    buckets.BucketTable.create(events.limit(0), at, "pair", 16)
+    buckets.BucketTable.create(parts[0].limit(0), at, "pair", 16)
 
     def further(old, new):
         both = old.unionByName(new)
         return k.furthest_status(both, ["pair", "campaign_id", "user_id"])
 
     move = lambda table, df, batch: table.merge(df, further, batch, "statuses")
-    k.process(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source), buckets.stream_into(at, move), checkpoint).awaitTermination()
+    for one in parts:  # a micro-batch is all files of one status
+        one.write.mode("append").parquet(source)
+        k.process(spark.readStream.schema(one.schema).parquet(source), buckets.stream_into(at, move), checkpoint).awaitTermination()
     return buckets.BucketTable(spark, at).read().select("campaign_id", "user_id", "status")
 
 

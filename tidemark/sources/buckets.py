@@ -25,6 +25,9 @@ LOG = "bucket int, part string, writer string, batch long, fields string, `key`
 class BucketTable:
     """``create`` makes it, the constructor finds it; ``read`` gives its rows, and the other methods make the next version."""
 
+    #: About how many rows a task of a change writes.
+    rows_per_task = 500_000
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         entries = self._versions()
@@ -98,8 +101,12 @@ class BucketTable:
         version = self.version + 1
         if not touched:
             return self._commit(version, "", [], [], batches) if batch is not None or version == 0 else self
-        rows = how(self._rows(touched), new).select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self.schema.fields])
-        placed = rows.withColumn("_b", self.bucket(F.col(f"`{self.key}`"))).repartition(max(1, len(touched)), "_b")
+        old = self._rows(touched)
+        # a bucket of many rows is written by several tasks, so that no task's share grows with the table
+        tasks = max(len(touched), -(-(old.count() + new.count()) // self.rows_per_task))
+        deal = F.pmod(F.xxhash64(F.lit("task"), F.col(f"`{self.key}`")), F.lit(-(-tasks // len(touched))))
+        rows = how(old, new).select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self.schema.fields])
+        placed = rows.withColumn("_b", self.bucket(F.col(f"`{self.key}`"))).repartition(tasks, "_b", deal)
         part = f"{version:012d}-{uuid.uuid4().hex}"  # no other writer's
         placed.write.partitionBy("_b").parquet(f"{self.path}/data/{part}")
         at, system = self._system(f"{self.path}/data/{part}")
