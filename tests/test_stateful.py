@@ -67,6 +67,23 @@ def test_alerts_are_those_of_the_table(spark, tmp_path):
     assert sorted((r.dimension, r.severity, r.raised) for r in found.collect()) == sorted((r.dimension, r.severity, r.ts) for r in expected.collect())
 
 
+def test_state_is_of_buckets_and_ids_stay_whole(spark, tmp_path):
+    users = [None, 2**60, 2**60 + 1, *range(40)]  # doubles would not tell the large ones apart
+    rows = [(u, i, START + dt.timedelta(seconds=i), "win", 1.0, "x") for i, u in enumerate(users * 2)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame([END], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    count = lambda state, r: ((state[0] + 1 if state else 1,), (r["transaction_id"], state[0] + 1 if state else 1))
+    with stateful.rocksdb(spark):
+        stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        made = stateful.in_order(stream, ["user_id"], "created_at", count, "n long", "transaction_id long, n long", "1 hour", buckets=2)
+        run = made.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "offsets")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    found = sorted((r.transaction_id, r.user_id, r.n) for r in spark.read.schema(made.schema).parquet(str(tmp_path / "out")).collect() if r.user_id != -1)
+    assert found == [(i, u, 1 + i // len(users)) for i, (u, *_) in enumerate(rows)]
+    # a chunk of rows, the states and a timer of each bucket, however many keys there are
+    assert max(s.numRowsTotal for p in run.recentProgress for s in p.stateOperators) <= 8
+
+
 def test_centres_go_on_after_a_restart_and_a_batch_counts_once(spark, tmp_path):
     batch = lambda seed: spark.createDataFrame([(float(random.Random(seed * 100 + i).gauss(seed % 2 * 10, 1)),) for i in range(50)], "x double")
     plain = ingest.OnlineKMeans(2, ["x"])

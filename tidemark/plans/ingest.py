@@ -455,21 +455,19 @@ def stored_statuses(spark, sf):
 
 
 def _folded(spark, sf, name: str, plan):
-    """Transactions through a stateful plan, in four micro-batches of about a quarter of the time each, some rows in the batch after
-    their own, and a last row that moves the watermark past all of them."""
+    """Transactions through a stateful plan that is started again for each of four parts of about a quarter of the time, some rows in
+    the part after their own, and for a last row that moves the watermark past all of them. A micro-batch is all files of a part."""
     source, out, checkpoint = folder(spark, f"{name}-in"), folder(spark, f"{name}-out"), folder(spark, f"{name}-offsets")
     tx = v.transactions(spark, sf)
     late = F.when(F.col("transaction_id") % 3 == 0, 12).otherwise(0) * F.expr("interval 1 hour")
-    days = F.datediff(F.col("created_at") + late, F.lit(dt.date(2024, 1, 1)))
-    for part in range(4):
-        low, high = (days >= 8 * part) if part else F.lit(True), (days < 8 * (part + 1)) if part < 3 else F.lit(True)
-        tx.where(low & high).coalesce(1).write.mode("append").parquet(source)
+    part = F.least(F.lit(3), F.greatest(F.lit(0), F.coalesce(F.floor(F.datediff(F.col("created_at") + late, F.lit(dt.date(2024, 1, 1))) / 8), F.lit(0))))
     end = tx.limit(1).select(*[F.lit(dt.datetime(2100, 1, 1)).alias(c) if c == "created_at" else F.lit(-1).cast("long").alias(c) if c == "user_id" else F.lit(0.0).alias(c) if c == "amount" else c for c in tx.columns])
-    end.coalesce(1).write.mode("append").parquet(source)
-    with stateful.rocksdb(spark):
-        made = plan(spark.readStream.schema(tx.schema).option("maxFilesPerTrigger", 1).parquet(source))
-        run = made.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    run.awaitTermination()
+    for rows in (*[tx.where(part == i) for i in range(4)], end):
+        rows.write.mode("append").parquet(source)
+        with stateful.rocksdb(spark):
+            made = plan(spark.readStream.schema(tx.schema).parquet(source))
+            run = made.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        run.awaitTermination()
     return spark.read.schema(made.schema).parquet(out)
 
 
