@@ -60,3 +60,14 @@ def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path, monkeypatch
     assert table.read().count() == 2000 and max(sizes) < 500
     table = table.upsert(rows.where("k < 100").withColumn("v", F.lit("y")))
     assert table.read().where("v = 'y'").count() == 100 and table.read().select("k").distinct().count() == 2000
+
+
+def test_a_far_row_makes_its_leaf_ask_alone(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(0, 0.3, (600, 2)), [[40.0, 40.0]]])
+    nodes, n, leaves = hierarchy.leaves_of(spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "key long, x array<double>"), 20), len(x), 31
+    where = hierarchy._directory(nodes.withColumn("core", F.lit(0.0)), 2, True)
+    asked = lambda df: df.agg(F.sum(F.size("ask_ids"))).first()[0]
+    assert n <= asked(hierarchy.core_asks(hierarchy._leaves(nodes, "x", "w"), where, 2, 3)) < n * leaves / 3
+    most = nodes.select("leaf", "id", "x", F.lit(0.0).alias("core"), F.col("id").alias("comp"), F.when(F.col("id") == n - 1, 100.0).otherwise(0.02).alias("most"))
+    assert leaves - 1 <= asked(hierarchy.edge_asks(hierarchy._leaves(most, "x", "core", "comp", "most"), where, np.full(leaves, -1), 2)) < 4 * n
