@@ -255,15 +255,17 @@ def seasonality(df: DataFrame) -> DataFrame:
     return months.join(shares(rows, "user_id", "q").groupBy("user_id").agg(F.max("p").alias("max_quarter_share")), "user_id")
 
 
-def rhythm(df: DataFrame) -> DataFrame:
-    """Discrete Fourier transform of each user's 24 hourly counts: peaks of the first 11 magnitudes over 11 and the
-    largest and mean magnitude over rows. Neighbours that are equal to nine places are one place of a peak, whose last bits
-    (they differ with the order of adding up) decide nothing."""
+def rhythm(df: DataFrame, places: int | None = 9) -> DataFrame:
+    """Discrete Fourier transform of each user's 24 hourly counts, added in order of hours: peaks of the first 11 magnitudes over
+    11 and the largest and mean magnitude over rows. Neighbours that are equal to so many places are one place of a peak, whose
+    last bits decide nothing; without ``places`` magnitudes are compared as the sums come, as SQL does."""
     rows = df.groupBy("user_id", F.hour("timestamp").alias("h")).count()
-    per = rows.groupBy("user_id").agg(F.collect_list(F.struct("h", "count")).alias("c"), F.sum("count").alias("n"))
+    per = rows.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("h", "count"))).alias("c"), F.sum("count").alias("n"))
     part = lambda f: F.expr(f"transform(sequence(1, 11), k -> aggregate(c, 0D, (a, x) -> a + x.count * {f}(2 * pi() * k * x.h / 24)))")
     per = per.withColumn("re", part("cos")).withColumn("im", part("sin")).withColumn("m", F.zip_with("re", "im", lambda a, b: F.sqrt(a * a + b * b)))
-    per = per.withColumn("d", F.expr("transform(m, x -> round(x, 9))")).withColumn("d", F.expr("filter(d, (x, i) -> i = 0 or x <> get(d, i - 1))"))
+    per = per.withColumn("d", F.col("m") if places is None else F.expr(f"transform(m, x -> round(x, {places}))"))
+    if places is not None:
+        per = per.withColumn("d", F.expr("filter(d, (x, i) -> i = 0 or x <> get(d, i - 1))"))
     peaks = F.expr("size(filter(d, (x, i) -> x > get(d, i - 1) and x > get(d, i + 1)))")
     mean = F.aggregate("m", F.lit(0.0), lambda a, x: a + x) / 11
     return per.select("user_id", (peaks / 11.0).alias("rhythm_peaks"), (F.array_max("m") / F.col("n")).alias("rhythm_max"), (mean / F.col("n")).alias("rhythm_mean"))

@@ -164,7 +164,7 @@ def seasonality(spark, sf):
 g as (select *, lag(m) over (partition by user_id order by k) a, lead(m) over (partition by user_id order by k) b from f)
 select user_id, count(*) filter (where m > a and m > b) / 11 as rhythm_peaks, max(m) / any_value(t) as rhythm_max, avg(m) / any_value(t) as rhythm_mean from g group by user_id""", (v.BETS,), "rhythm_peaks rhythm_max rhythm_mean")
 def rhythm(spark, sf):
-    return ops.rhythm(v.bets(spark, sf))
+    return ops.rhythm(v.bets(spark, sf), places=None)
 
 
 @query(""", c as (select user_id, channel, count(*) n from inter group by 1, 2), p as (select *, n / sum(n) over (partition by user_id) p, row_number() over (partition by user_id order by n desc, channel) k from c)
